@@ -78,19 +78,21 @@ def account_stats(txns: DataFrame, account_col: str | None = "account_id",
     mean_daily_burn).
     """
     daily = daily_net(txns, account_col, date_col, amount_col)
-    net = F.col("net").cast("double")
     stats = daily.groupBy("account_id").agg(
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
         F.sum("net").alias("total_net"),
-        F.avg(F.when(net < 0, net)).alias("_neg_mean"),
+        F.sum(F.when(F.col("net") < 0, F.col("net"))).alias("_neg_sum"),
+        F.count(F.when(F.col("net") < 0, F.lit(1))).alias("_neg_days"),
     )
     n_days = F.datediff("last_date", "first_date") + 1
     return stats.select(
         "account_id", "first_date", "last_date", n_days.alias("n_days"),
         "total_net",
         (F.col("total_net").cast("double") / n_days).alias("mean_daily_net"),
-        F.coalesce(-F.col("_neg_mean"), F.lit(0.0)).alias("mean_daily_burn"),
+        # exact decimal sum / day count: one correctly rounded division
+        F.coalesce(-(F.col("_neg_sum").cast("double") / F.col("_neg_days")), F.lit(0.0))
+        .alias("mean_daily_burn"),
     )
 
 

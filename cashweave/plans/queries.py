@@ -321,7 +321,7 @@ def q_daily_series_filled(spark, sf_dir):
 WITH f AS ({DAILY_FILLED_SQL}), sb AS ({CUSTOMER_BALANCES_SQL})
 SELECT f.account_id, f.date, f.net,
        round(coalesce(sb.starting_balance, 0) + sum(CAST(f.net AS DOUBLE)) OVER
-             (PARTITION BY f.account_id ORDER BY f.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2)
+             (PARTITION BY f.account_id ORDER BY f.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
          AS balance
 FROM f LEFT JOIN sb ON sb.account_id = f.account_id
 """)
@@ -329,7 +329,7 @@ def q_running_balance(spark, sf_dir):
     d = fc_ops.daily_series(events_ledger(spark, sf_dir))
     rb = fc_ops.running_balance(d, customer_balances(spark, sf_dir))
     return rb.select("account_id", "date", F.col("net").cast(MONEY).alias("net"),
-                     F.round("balance", 2).alias("balance"))
+                     F.round("balance", 6).alias("balance"))
 
 
 def _forecast_sql(horizon: int, as_of: str, ledger_sql: str = ORDERS_LEDGER_SQL) -> str:
@@ -337,7 +337,8 @@ def _forecast_sql(horizon: int, as_of: str, ledger_sql: str = ORDERS_LEDGER_SQL)
 WITH l AS ({ledger_sql}),
 d AS (SELECT account_id, transaction_date AS date, sum(amount) AS net FROM l GROUP BY 1, 2),
 st AS (SELECT account_id, min(date) AS first_date, max(date) AS last_date, sum(net) AS total_net,
-              avg(CASE WHEN net < 0 THEN CAST(net AS DOUBLE) END) AS neg_mean
+              CAST(sum(CASE WHEN net < 0 THEN net END) AS DOUBLE) / count(CASE WHEN net < 0 THEN 1 END)
+                AS neg_mean
        FROM d GROUP BY 1),
 sb AS ({CUSTOMER_BALANCES_SQL}),
 j AS (
@@ -373,21 +374,18 @@ FROM r
 
 
 def _forecast_select(alias: str = "") -> str:
-    return ("account_id, round(starting_balance, 2) AS starting_balance, "
-            "round(mean_daily_net, 6) AS mean_daily_net, round(mean_daily_burn, 6) AS mean_daily_burn, "
-            "round(last_balance, 2) AS last_balance, last_date, death_date, horizon_days, backend, summary")
+    # the doubles come from the same IEEE operations on exact decimal sums in
+    # both engines, so they are compared unrounded
+    return ("account_id, starting_balance, mean_daily_net, mean_daily_burn, last_balance, last_date, "
+            "death_date, horizon_days, backend, summary")
 
 
 @register("forecast_summary", f"SELECT {_forecast_select()} FROM ({_forecast_sql(90, AS_OF)}) f")
 def q_forecast_summary(spark, sf_dir):
     s = fc_ops.forecast_summary(canonical_orders(spark, sf_dir), customer_balances(spark, sf_dir),
                                 horizon_days=90, as_of=AS_OF)
-    return s.select(
-        "account_id", F.round("starting_balance", 2).alias("starting_balance"),
-        F.round("mean_daily_net", 6).alias("mean_daily_net"),
-        F.round("mean_daily_burn", 6).alias("mean_daily_burn"),
-        F.round("last_balance", 2).alias("last_balance"), "last_date", "death_date",
-        "horizon_days", "backend", "summary")
+    return s.select("account_id", "starting_balance", "mean_daily_net", "mean_daily_burn", "last_balance",
+                    "last_date", "death_date", "horizon_days", "backend", "summary")
 
 
 @register("runout_date", f"""
@@ -402,7 +400,7 @@ def q_runout_date(spark, sf_dir):
 @register("forecast_projection", f"""
 WITH f AS ({_forecast_sql(90, AS_OF)})
 SELECT account_id, i AS day_no, CAST(last_date + CAST(i AS INTEGER) AS DATE) AS date,
-       round(last_balance + mean_daily_net * i, 2) AS projected_balance
+       last_balance + mean_daily_net * i AS projected_balance
 FROM f, (SELECT unnest(generate_series(1, 90)) AS i) g
 WHERE last_date IS NOT NULL
 """)
@@ -411,4 +409,4 @@ def q_forecast_projection(spark, sf_dir):
                                 horizon_days=90, as_of=AS_OF)
     p = fc_ops.forecast_projection(s)
     return p.select("account_id", F.col("day_no").cast("long").alias("day_no"), "date",
-                    F.round("projected_balance", 2).alias("projected_balance"))
+                    "projected_balance")
