@@ -410,3 +410,149 @@ def q_forecast_projection(spark, sf_dir):
     p = fc_ops.forecast_projection(s)
     return p.select("account_id", F.col("day_no").cast("long").alias("day_no"), "date",
                     "projected_balance")
+
+
+# ---------------------------------------------------------------------------
+# Personal data
+# ---------------------------------------------------------------------------
+
+@register("pii_mask_documents", f"SELECT doc_id, {sq.pii_mask('text')} AS text_masked FROM documents")
+def q_pii_mask_documents(spark, sf_dir):
+    from cashweave.functions.pii import mask_pii
+    return table(spark, sf_dir, "documents").select("doc_id", mask_pii("text").alias("text_masked"))
+
+
+@register("pii_mask_conversations",
+          f"SELECT conv_id, turn, {sq.pii_mask('text')} AS text_masked FROM conversations")
+def q_pii_mask_conversations(spark, sf_dir):
+    from cashweave.functions.pii import mask_pii
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", mask_pii("text").alias("text_masked"))
+
+
+@register("masked_descriptions", f"""
+SELECT row_ord, description, {sq.pii_mask('description')} AS description_masked FROM ({ORDERS_LEDGER_SQL}) l
+""")
+def q_masked_descriptions(spark, sf_dir):
+    from cashweave.functions.pii import mask_pii
+    c = canonical_orders(spark, sf_dir)
+    return c.select("row_ord", "description", mask_pii("description").alias("description_masked"))
+
+
+# ---------------------------------------------------------------------------
+# Notes: embedding, upsert, search
+# ---------------------------------------------------------------------------
+
+@register("hash_embedding", f"""
+WITH c AS ({sq.token_counts('documents', 'doc_id', 'text')}),
+n AS (SELECT k, sum(cnt * cnt) AS sumsq FROM c GROUP BY 1)
+SELECT c.k AS doc_id, CAST(c.bucket AS INTEGER) AS bucket, c.cnt AS count,
+       CAST(c.cnt AS DOUBLE) / sqrt(CAST(n.sumsq AS DOUBLE)) AS weight
+FROM c JOIN n ON n.k = c.k
+""")
+def q_hash_embedding(spark, sf_dir):
+    from cashweave.functions.embeddings import with_embedding
+    e = with_embedding(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "emb", 256)
+    z = e.select("doc_id", F.col("emb.sumsq").alias("sumsq"),
+                 F.posexplode(F.arrays_zip(F.col("emb.idx").alias("b"), F.col("emb.cnt").alias("c"))))
+    return z.select("doc_id", F.col("col.b").alias("bucket"), F.col("col.c").alias("count"),
+                    (F.col("col.c").cast("double") / F.sqrt(F.col("sumsq").cast("double"))).alias("weight"))
+
+
+def document_notes(spark: SparkSession, sf_dir: str, dim: int = 256) -> DataFrame:
+    """Documents upserted into an empty note store in doc_id order; the id is
+    the stable text hash, so exact copies collapse to the later document."""
+    from cashweave.operators.notes import prepare_notes, upsert_notes
+    d = table(spark, sf_dir, "documents")
+    meta = F.create_map(F.lit("type"), F.col("source"), F.lit("lang"), F.col("lang"),
+                        F.lit("doc_id"), F.col("doc_id").cast("string"))
+    accepted, _ = prepare_notes(d, text="text", metadata=meta, order_by="doc_id", dim=dim)
+    return upsert_notes(None, accepted)
+
+
+NOTES_SQL = """
+SELECT id, doc_id AS seq, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, source, lang, doc_id,
+       text AS raw_text
+FROM (SELECT substr(sha1(text), 1, 16) AS id, *,
+             row_number() OVER (PARTITION BY substr(sha1(text), 1, 16) ORDER BY doc_id DESC) AS rn
+      FROM documents WHERE text IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '') d
+WHERE rn = 1
+"""
+
+
+@register("note_upsert", f"""
+SELECT id, seq, CAST(doc_id AS VARCHAR) AS doc_id, source AS type, length(text) AS text_len FROM ({NOTES_SQL}) n
+""")
+def q_note_upsert(spark, sf_dir):
+    n = document_notes(spark, sf_dir)
+    return n.select("id", "seq", F.col("metadata")["doc_id"].alias("doc_id"),
+                    F.col("metadata")["type"].alias("type"), F.length("text").alias("text_len"))
+
+
+@register("note_count", f"SELECT count(*) AS notes FROM ({NOTES_SQL}) n")
+def q_note_count(spark, sf_dir):
+    from cashweave.operators.notes import note_count
+    return note_count(document_notes(spark, sf_dir))
+
+
+SEARCH_SQL = f"""
+WITH notes AS ({NOTES_SQL}),
+nc AS ({sq.token_counts('notes', 'seq', 'raw_text')}),
+nn AS (SELECT k, sum(cnt * cnt) AS sumsq FROM nc GROUP BY 1),
+qc AS ({sq.token_counts('benchmark', 'item_id', 'text')}),
+qn AS (SELECT k, sum(cnt * cnt) AS sumsq FROM qc GROUP BY 1),
+dots AS (SELECT qc.k AS question_id, nc.k AS seq, sum(qc.cnt * nc.cnt) AS dot
+         FROM qc JOIN nc ON nc.bucket = qc.bucket GROUP BY 1, 2),
+s AS (SELECT d.question_id, d.seq,
+             CAST(d.dot AS DOUBLE) / (sqrt(CAST(nn.sumsq AS DOUBLE)) * sqrt(CAST(qn.sumsq AS DOUBLE))) AS score
+      FROM dots d JOIN nn ON nn.k = d.seq JOIN qn ON qn.k = d.question_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seq) AS rank FROM s)
+SELECT r.question_id, CAST(r.rank AS INTEGER) AS rank, notes.id, r.score, r.seq
+FROM r JOIN notes ON notes.seq = r.seq
+WHERE r.rank <= 4 AND r.score > 0
+"""
+
+
+@register("note_search_topk", SEARCH_SQL)
+def q_note_search_topk(spark, sf_dir):
+    from cashweave.operators.notes import search_notes
+    notes = document_notes(spark, sf_dir)
+    qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"),
+                                                  F.col("text").alias("question"))
+    hits = search_notes(notes, qs, k=4, dim=256)
+    return hits.select("question_id", "rank", "id", "score", "seq")
+
+
+@register("embedding_topk", """
+WITH e AS (
+  SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT label, i, sum(CAST(x AS DOUBLE)) AS s FROM e GROUP BY 1, 2),
+cv AS (SELECT label, list(s ORDER BY i) AS s FROM c GROUP BY 1),
+cn AS (
+  SELECT label, list_transform(s, lambda x: x / sqrt(list_sum(list_transform(s, lambda y: y * y)))) AS q
+  FROM cv),
+u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+un AS (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS w
+  FROM u),
+sc AS (SELECT cn.label, un.vec_id, list_dot_product(un.w, cn.q) AS score FROM cn, un),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM sc)
+SELECT CAST(label AS BIGINT) AS label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score
+FROM r WHERE rank <= 4 AND score > 0
+""")
+def q_embedding_topk(spark, sf_dir):
+    """Top-4 vectors nearest to each label's summed direction (X14, T1 on
+    dense vectors). The label sums are an aggregate of the whole table."""
+    from cashweave.operators.notes import search_vectors
+    e = table(spark, sf_dir, "embeddings")
+    items = e.select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vec"))
+    dim = 64
+    sums = e.select("label", F.posexplode("embedding").alias("i", "x")) \
+        .groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
+    queries = sums.groupBy("label").agg(
+        F.sort_array(F.collect_list(F.struct("i", "s"))).alias("parts")) \
+        .select(F.col("label").cast("long").alias("question_id"),
+                F.transform("parts", lambda p: p["s"]).alias("qvec"))
+    hits = search_vectors(items, queries, k=4)
+    return hits.where(F.col("score") > 0).select(
+        F.col("question_id").alias("label"), "rank", F.col("seq").alias("vec_id"),
+        F.round("score", 6).alias("score"))

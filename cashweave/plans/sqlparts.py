@@ -72,3 +72,33 @@ def categorize_cte(src: str, key: str = "row_ord") -> str:
                   ELSE 'no keyword matched' END AS rationale
       FROM {src} t LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r ON r.k = t.{key})
     """
+
+
+def pii_mask(x: str) -> str:
+    """The masking chain in RE2. RE2 has no look-around, so each Python
+    ``\\b`` is matched as a captured neighbour character and put back; the
+    boundary patterns run twice so matches separated by one character are
+    all found."""
+    w, nw, d = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]", r"\p{Nd}"
+
+    def rr(s: str, pat: str, rep: str) -> str:
+        return f"regexp_replace({s}, '{pat}', '{rep}', 'g')"
+
+    s = f"coalesce({x}, '')"
+    s = rr(s, r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+", "[EMAIL]")
+    for _ in range(2):
+        s = rr(s, rf"(^|{nw})({d}{{3}}-{d}{{2}}-{d}{{4}})($|{nw})", r"\1[SSN]\3")
+    for _ in range(2):
+        s = rr(s, rf"(^|{nw})((?:{d}[ -]?){{12,18}}{d})(?:([ -])({w})|($|{nw}))", r"\1[CARD]\4\5")
+    s = rr(s, rf"(?:(?:\+?{d}{{1,3}}[ .-]?)?\(?{d}{{3}}\)?[ .-]?{d}{{3}}[ .-]?{d}{{4}})", "[PHONE]")
+    for _ in range(2):
+        s = rr(s, rf"(^|{nw})({d}{{8,}})($|{nw})", r"\1[ACCT]\3")
+    return s
+
+
+def token_counts(src: str, key: str, text: str, dim: int = 256) -> str:
+    """(k, bucket, cnt) hashing-embedder counts of ``text`` per ``key``."""
+    return f"""
+    SELECT k, CAST(('0x' || substr(md5(lower(tok)), 1, 8)) AS BIGINT) % {dim} AS bucket, count(*) AS cnt
+    FROM (SELECT {key} AS k, unnest(regexp_extract_all({text}, '[A-Za-z][A-Za-z0-9_]+')) AS tok FROM {src}) t
+    GROUP BY 1, 2"""
