@@ -556,3 +556,241 @@ def q_embedding_topk(spark, sf_dir):
     return hits.where(F.col("score") > 0).select(
         F.col("question_id").alias("label"), "rank", F.col("seq").alias("vec_id"),
         F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------------------
+# Questions and answers
+# ---------------------------------------------------------------------------
+
+from cashweave.sources.ledgers import QUESTIONS_SQL, customer_questions  # noqa: E402
+
+QUESTIONS_PARSED_SQL = f"""
+SELECT question_id, account_id, question, starting_balance, {sq.intent('question')} AS intent,
+       {sq.question_amount('question')} AS asked_amount, {sq.question_category('question')} AS asked_category
+FROM ({QUESTIONS_SQL}) q
+"""
+
+
+@register("question_parse", f"""
+SELECT question_id, intent, asked_amount, asked_category FROM ({QUESTIONS_PARSED_SQL}) q
+""")
+def q_question_parse(spark, sf_dir):
+    from cashweave.operators.advisor import parse_questions
+    q = parse_questions(customer_questions(spark, sf_dir))
+    return q.select("question_id", "intent", "asked_amount", "asked_category")
+
+
+CATEGORIZED_ORDERS_SQL = f"""
+WITH l AS ({ORDERS_LEDGER_SQL}), {sq.categorize_cte('l')}
+SELECT l.*, c.category FROM l JOIN cat c ON c.k = l.row_ord
+"""
+
+WINDOW_SQL = f"""
+WITH t AS ({CATEGORIZED_ORDERS_SQL}),
+mx AS (SELECT account_id, max(transaction_date) AS max_date FROM t GROUP BY 1)
+SELECT t.* FROM t JOIN mx ON mx.account_id = t.account_id WHERE t.transaction_date >= mx.max_date - 30
+"""
+
+
+@register("window_30d_net", f"""
+SELECT account_id, CAST(sum(amount) AS DECIMAL(18,2)) AS net_window,
+       CAST(sum(CASE WHEN amount < 0 THEN amount END) AS DECIMAL(18,2)) AS spend_window,
+       count(*) AS rows_window, count(CASE WHEN amount < 0 THEN 1 END) AS expense_rows_window
+FROM ({WINDOW_SQL}) w GROUP BY 1
+""")
+def q_window_30d_net(spark, sf_dir):
+    from cashweave.operators.advisor import window_aggregates
+    acct, _ = window_aggregates(categorized_orders(spark, sf_dir))
+    return acct.select("account_id", F.col("net_window").cast(MONEY).alias("net_window"),
+                       F.col("spend_window").cast(MONEY).alias("spend_window"),
+                       "rows_window", "expense_rows_window")
+
+
+@register("category_spend_30d", f"""
+SELECT account_id, category, CAST(sum(CASE WHEN amount < 0 THEN amount END) AS DECIMAL(18,2)) AS cat_spend,
+       count(*) AS cat_rows
+FROM ({WINDOW_SQL}) w GROUP BY 1, 2
+""")
+def q_category_spend_30d(spark, sf_dir):
+    from cashweave.operators.advisor import window_aggregates
+    _, by_cat = window_aggregates(categorized_orders(spark, sf_dir))
+    return by_cat.select("account_id", "category", F.col("cat_spend").cast(MONEY).alias("cat_spend"), "cat_rows")
+
+
+CITATION_SETS_SQL = f"""
+WITH w AS (SELECT *, {sq.content_hash('transaction_date', 'amount', 'description')} AS raw_hash
+           FROM ({WINDOW_SQL}) w0)
+SELECT account_id, 'window' AS scope, CAST(NULL AS VARCHAR) AS category, raw_hash, row_ord AS pos FROM w
+UNION ALL
+SELECT account_id, 'window_expenses', CAST(NULL AS VARCHAR), raw_hash, row_ord FROM w WHERE amount < 0
+UNION ALL
+SELECT account_id, 'window_category', category, raw_hash, row_ord FROM w
+"""
+
+
+def _qa_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return categorized_orders(spark, sf_dir)
+
+
+@register("citation_sets", CITATION_SETS_SQL)
+def q_citation_sets(spark, sf_dir):
+    from cashweave.operators.advisor import citation_sets
+    return citation_sets(_qa_txns(spark, sf_dir)).select("account_id", "scope", "category", "raw_hash", "pos")
+
+
+@register("citation_integrity", f"""
+SELECT count(*) AS missing_citations
+FROM ({CITATION_SETS_SQL}) c
+WHERE NOT EXISTS (SELECT 1 FROM ({ORDERS_LEDGER_SQL}) l
+                  WHERE {sq.content_hash('l.transaction_date', 'l.amount', 'l.description')} = c.raw_hash)
+""")
+def q_citation_integrity(spark, sf_dir):
+    from cashweave.operators.advisor import citation_integrity, citation_sets
+    t = _qa_txns(spark, sf_dir)
+    return citation_integrity(citation_sets(t), t)
+
+
+def _notes_top1_sql(questions_sql: str) -> str:
+    return f"""
+    notes AS ({NOTES_SQL}),
+    nc AS ({sq.token_counts('notes', 'seq', 'raw_text')}),
+    nn AS (SELECT k, sum(cnt * cnt) AS sumsq FROM nc GROUP BY 1),
+    qq AS ({questions_sql}),
+    qc AS ({sq.token_counts('qq', 'question_id', 'question')}),
+    qn AS (SELECT k, sum(cnt * cnt) AS sumsq FROM qc GROUP BY 1),
+    dots AS (SELECT qc.k AS question_id, nc.k AS seq, sum(qc.cnt * nc.cnt) AS dot
+             FROM qc JOIN nc ON nc.bucket = qc.bucket GROUP BY 1, 2),
+    sc AS (SELECT d.question_id, d.seq,
+                  CAST(d.dot AS DOUBLE) / (sqrt(CAST(nn.sumsq AS DOUBLE)) * sqrt(CAST(qn.sumsq AS DOUBLE))) AS score
+           FROM dots d JOIN nn ON nn.k = d.seq JOIN qn ON qn.k = d.question_id),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seq) AS rank FROM sc),
+    topn AS (SELECT rk.question_id, rk.rank, rk.score, notes.id AS note_id, notes.text AS note_text,
+                    coalesce(notes.source, 'note') AS note_type
+             FROM rk JOIN notes ON notes.seq = rk.seq WHERE rk.score > 0 AND rk.rank <= 4)"""
+
+
+ANSWERS_SQL = f"""
+WITH t AS ({CATEGORIZED_ORDERS_SQL}),
+d AS (SELECT account_id, transaction_date AS date, sum(amount) AS net FROM t GROUP BY 1, 2),
+st AS (SELECT account_id, max(date) AS last_date, sum(net) AS total_net,
+              CAST(sum(net) AS DOUBLE) / (date_diff('day', min(date), max(date)) + 1) AS mean_daily_net,
+              coalesce(-(CAST(sum(CASE WHEN net < 0 THEN net END) AS DOUBLE)
+                         / count(CASE WHEN net < 0 THEN 1 END)), 0) AS mean_daily_burn
+       FROM d GROUP BY 1),
+w AS ({WINDOW_SQL}),
+aw AS (SELECT account_id, sum(amount) AS net_window, sum(CASE WHEN amount < 0 THEN amount END) AS spend_window,
+              count(*) AS rows_window, count(CASE WHEN amount < 0 THEN 1 END) AS expense_rows_window
+       FROM w GROUP BY 1),
+cw AS (SELECT account_id, category, sum(CASE WHEN amount < 0 THEN amount END) AS cat_spend, count(*) AS cat_rows
+       FROM w GROUP BY 1, 2),
+q AS ({QUESTIONS_PARSED_SQL}),
+{_notes_top1_sql(QUESTIONS_SQL)},
+j AS (
+  SELECT q.question_id, q.account_id, q.question, q.intent, q.asked_amount AS amount, q.asked_category AS cat,
+         coalesce(q.starting_balance, 0) AS start,
+         st.last_date, st.total_net, st.mean_daily_net, st.mean_daily_burn,
+         CAST(aw.net_window AS DOUBLE) AS net30, aw.spend_window, aw.rows_window, aw.expense_rows_window,
+         cw.cat_spend, cw.cat_rows, tn.note_id, tn.note_text, tn.note_type,
+         st.last_date IS NOT NULL AS has_txns
+  FROM q LEFT JOIN st ON st.account_id = q.account_id
+         LEFT JOIN aw ON aw.account_id = q.account_id
+         LEFT JOIN cw ON cw.account_id = q.account_id AND cw.category = q.asked_category
+         LEFT JOIN (SELECT * FROM topn WHERE rank = 1) tn ON tn.question_id = q.question_id),
+dd AS (
+  SELECT j.question_id, min(i.i) AS step
+  FROM j JOIN (SELECT unnest(generate_series(1, 180)) AS i) i
+    ON j.start + CAST(j.total_net AS DOUBLE) + j.mean_daily_net * i.i <= 0
+  WHERE j.has_txns GROUP BY 1),
+a AS (
+  SELECT j.*, CASE WHEN dd.step IS NOT NULL THEN CAST(j.last_date + CAST(dd.step AS INTEGER) AS DATE) END AS death,
+         j.start - j.mean_daily_burn * CAST(30 AS DOUBLE) AS cushion,
+         coalesce(j.cat_rows, 0) > 0 AS has_cat_rows
+  FROM j LEFT JOIN dd ON dd.question_id = j.question_id),
+b AS (
+  SELECT a.*,
+    CASE
+      WHEN intent = 'runway' THEN
+        CASE WHEN NOT has_txns THEN 'No transactions available to compute runway.'
+             WHEN death IS NULL THEN 'Cash-flow positive: avg daily net ' || {sq.money('mean_daily_net')} ||
+                  '. No runway risk in the next 180 days.'
+             ELSE 'Projected runway: ' || CAST(date_diff('day', DATE '{AS_OF}', death) AS VARCHAR) ||
+                  ' days. Balance hits $0 on ' || strftime(death, '%Y-%m-%d') || ' at avg daily burn ' ||
+                  {sq.money('mean_daily_burn')} || '.' END
+      WHEN intent = 'affordability' THEN
+        CASE WHEN NOT has_txns THEN 'I don''t have enough recent transactions to judge affordability.'
+             WHEN amount IS NULL THEN 'Your last-30-day net cashflow is ' || {sq.money('net30')} ||
+                  '. Anything meaningfully below that fits within recent headroom.'
+             WHEN net30 <= 0 THEN 'Not advisable: last-30-day net cashflow is ' || {sq.money('net30')} ||
+                  ' (negative). Covering ' || {sq.money('amount')} || ' would deepen the burn.'
+             WHEN amount > CAST(0.5 AS DOUBLE) * net30 AND amount > cushion THEN
+                  'Risky: ' || {sq.money('amount')} || ' is more than half of last-30-day net cashflow (' ||
+                  {sq.money('net30')} || ') and larger than your one-month cushion (' || {sq.money('cushion')} ||
+                  ' after expected burn).'
+             ELSE 'Yes, affordable: ' || {sq.money('amount')} || ' fits within last-30-day net cashflow of ' ||
+                  {sq.money('net30')} || ' and leaves a one-month cushion of ' || {sq.money('cushion')} || '.' END
+      WHEN intent = 'category_spend' THEN
+        CASE WHEN NOT has_txns THEN 'I need categorized transactions to answer spend questions.'
+             WHEN cat IS NULL THEN 'Total spend in the last 30 days: ' ||
+                  {sq.money('abs(coalesce(CAST(spend_window AS DOUBLE), 0))')} || '.'
+             WHEN NOT has_cat_rows THEN 'No transactions in category `' || cat || '` in the last 30 days.'
+             ELSE 'Spent ' || {sq.money('abs(coalesce(CAST(cat_spend AS DOUBLE), 0))')} || ' on `' || cat ||
+                  '` across ' || CAST(cat_rows AS VARCHAR) || ' transactions in the last 30 days.' END
+      ELSE
+        CASE WHEN note_id IS NOT NULL THEN 'Based on your business context (' || note_type || '): ' || note_text
+             WHEN NOT has_txns THEN 'I don''t have any transactions or notes to draw on yet.'
+             ELSE 'Net cashflow across the loaded period is ' || {sq.money('total_net')} ||
+                  '. Ask me about spend by category, runway, or affordability.' END
+    END AS answer,
+    CASE
+      WHEN intent IN ('runway', 'affordability') THEN CASE WHEN has_txns THEN 'window' END
+      WHEN intent = 'category_spend' THEN
+        CASE WHEN NOT has_txns THEN NULL WHEN cat IS NULL THEN 'window_expenses'
+             WHEN has_cat_rows THEN 'window_category' END
+      ELSE CASE WHEN note_id IS NOT NULL THEN 'note' WHEN has_txns THEN 'window' END
+    END AS cite_scope
+  FROM a)
+SELECT question_id, account_id, question, intent, answer, cite_scope,
+       CASE WHEN cite_scope = 'window_category' THEN cat END AS cite_category,
+       CAST(CASE cite_scope WHEN 'window' THEN rows_window WHEN 'window_expenses' THEN expense_rows_window
+                 WHEN 'window_category' THEN cat_rows WHEN 'note' THEN 1 ELSE 0 END AS BIGINT) AS n_citations,
+       CASE WHEN cite_scope = 'note' THEN note_id END AS note_id, 'rules' AS backend
+FROM b
+"""
+
+
+def _answers(spark: SparkSession, sf_dir: str):
+    from cashweave.operators.advisor import answer_questions
+    return answer_questions(customer_questions(spark, sf_dir), _qa_txns(spark, sf_dir),
+                            notes=document_notes(spark, sf_dir), as_of=AS_OF)
+
+
+@register("answers", ANSWERS_SQL)
+def q_answers(spark, sf_dir):
+    answers, _ = _answers(spark, sf_dir)
+    return answers
+
+
+@register("retrieved_notes", f"""
+WITH {_notes_top1_sql(QUESTIONS_SQL)}
+SELECT question_id, CAST(rank AS INTEGER) AS rank, note_id AS id, round(score, 3) AS score FROM topn
+""")
+def q_retrieved_notes(spark, sf_dir):
+    _, hits = _answers(spark, sf_dir)
+    return hits.select("question_id", "rank", "id", F.round("score", 3).alias("score"))
+
+
+@register("answer_citations_first3", f"""
+WITH a AS ({ANSWERS_SQL}),
+h AS (SELECT *, row_number() OVER (PARTITION BY account_id, scope, category ORDER BY pos) AS n
+      FROM ({CITATION_SETS_SQL}) c)
+SELECT a.question_id, h.raw_hash AS cite_id, h.pos
+FROM a JOIN h ON h.account_id = a.account_id AND h.scope = a.cite_scope
+             AND h.category IS NOT DISTINCT FROM a.cite_category
+WHERE h.n <= 3
+UNION ALL
+SELECT question_id, note_id, CAST(0 AS BIGINT) FROM a WHERE cite_scope = 'note'
+""")
+def q_answer_citations_first3(spark, sf_dir):
+    from cashweave.operators.advisor import answer_citations, citation_sets
+    answers, _ = _answers(spark, sf_dir)
+    return answer_citations(answers, citation_sets(_qa_txns(spark, sf_dir)), first_n=3)

@@ -102,3 +102,22 @@ def token_counts(src: str, key: str, text: str, dim: int = 256) -> str:
     SELECT k, CAST(('0x' || substr(md5(lower(tok)), 1, 8)) AS BIGINT) % {dim} AS bucket, count(*) AS cnt
     FROM (SELECT {key} AS k, unnest(regexp_extract_all({text}, '[A-Za-z][A-Za-z0-9_]+')) AS tok FROM {src}) t
     GROUP BY 1, 2"""
+
+
+def intent(q: str) -> str:
+    from cashweave.schema import GENERAL_INTENT, INTENT_PATTERNS
+    whens = " ".join(f"WHEN regexp_matches({q}, '{p}') THEN '{name}'" for name, p in INTENT_PATTERNS)
+    return f"CASE {whens} ELSE '{GENERAL_INTENT}' END"
+
+
+def question_amount(q: str) -> str:
+    from cashweave.schema import QUESTION_AMOUNT_PATTERN
+    return (f"CAST(replace(nullif(regexp_extract({q}, '{QUESTION_AMOUNT_PATTERN}', 1), ''), ',', '') "
+            f"AS DOUBLE)")
+
+
+def question_category(q: str) -> str:
+    from cashweave.schema import CATEGORY_SYNONYMS, TAX_CATEGORIES
+    pairs = [(c.lower(), c) for c in TAX_CATEGORIES] + list(CATEGORY_SYNONYMS)
+    whens = " ".join(f"WHEN contains(lower({q}), '{w}') THEN '{c}'" for w, c in pairs)
+    return f"CASE {whens} END"

@@ -143,3 +143,81 @@ FROM events
 CUSTOMER_BALANCES_SQL = """
 SELECT c_custkey AS account_id, CAST(c_acctbal AS DOUBLE) AS starting_balance FROM customer
 """
+
+
+# Question templates for the per-customer question table (our own test data).
+# {amount} and {category} are filled from the customer key.
+QUESTION_TEMPLATES: tuple[str, ...] = (
+    "What's my runway?",
+    "How long until we go broke?",
+    "Can I afford a ${amount} laptop?",
+    "Should I buy new equipment?",
+    "How much did I spend on {category} in the last 30 days?",
+    "How much did I spend on coffee?",
+    "How much did I spend recently?",
+    "What did the last order cost?",
+    "What are our Q3 marketing plans?",
+    "Summarize my business",
+)
+
+
+def _template_parts(t: str) -> list[tuple[str, str]]:
+    """Split a template into ("lit", text) / ("amount"|"category", "") parts."""
+    parts: list[tuple[str, str]] = []
+    rest = t
+    while rest:
+        i = min([p for p in (rest.find("{amount}"), rest.find("{category}")) if p >= 0], default=-1)
+        if i < 0:
+            parts.append(("lit", rest))
+            break
+        if i > 0:
+            parts.append(("lit", rest[:i]))
+        if rest.startswith("{amount}", i):
+            parts.append(("amount", ""))
+            rest = rest[i + len("{amount}"):]
+        else:
+            parts.append(("category", ""))
+            rest = rest[i + len("{category}"):]
+    return parts
+
+
+def customer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per customer: (question_id, account_id, question,
+    starting_balance). The template, amount and category follow the key."""
+    from cashweave.schema import TAX_CATEGORIES
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    amount = F.format_number(F.pmod(key * 37, F.lit(5000)) + 5, 0)
+    cats = F.array(*[F.lit(x) for x in TAX_CATEGORIES])
+    category = F.element_at(cats, (F.pmod(F.floor(key / 10), F.lit(len(TAX_CATEGORIES))) + 1).cast("int"))
+    texts = []
+    for t in QUESTION_TEMPLATES:
+        pieces = [F.lit(v) if kind == "lit" else (amount if kind == "amount" else category)
+                  for kind, v in _template_parts(t)]
+        texts.append(F.concat(*pieces))
+    idx = (F.pmod(key, F.lit(len(QUESTION_TEMPLATES))) + 1).cast("int")
+    return c.select(key.alias("question_id"), key.alias("account_id"),
+                    F.element_at(F.array(*texts), idx).alias("question"),
+                    F.col("c_acctbal").cast("double").alias("starting_balance"))
+
+
+def _questions_sql() -> str:
+    from cashweave.schema import TAX_CATEGORIES
+    cats = ", ".join("'" + x.replace("'", "''") + "'" for x in TAX_CATEGORIES)
+    amount = "format('{:,}', (c_custkey * 37) % 5000 + 5)"
+    category = f"list_extract([{cats}], CAST((c_custkey // 10) % {len(TAX_CATEGORIES)} AS INTEGER) + 1)"
+    texts = []
+    for t in QUESTION_TEMPLATES:
+        pieces = []
+        for kind, v in _template_parts(t):
+            if kind == "lit":
+                pieces.append("'" + v.replace("'", "''") + "'")
+            else:
+                pieces.append(amount if kind == "amount" else category)
+        texts.append(" || ".join(pieces))
+    return (f"SELECT c_custkey AS question_id, c_custkey AS account_id, "
+            f"list_extract([{', '.join(texts)}], CAST(c_custkey % {len(QUESTION_TEMPLATES)} AS INTEGER) + 1) "
+            f"AS question, CAST(c_acctbal AS DOUBLE) AS starting_balance FROM customer")
+
+
+QUESTIONS_SQL = _questions_sql()
