@@ -794,3 +794,188 @@ def q_answer_citations_first3(spark, sf_dir):
     from cashweave.operators.advisor import answer_citations, citation_sets
     answers, _ = _answers(spark, sf_dir)
     return answer_citations(answers, citation_sets(_qa_txns(spark, sf_dir)), first_n=3)
+
+
+# ---------------------------------------------------------------------------
+# Reports
+# ---------------------------------------------------------------------------
+
+@register("kpis", f"""
+SELECT account_id, count(*) AS transactions,
+       CAST(coalesce(sum(CASE WHEN amount > 0 THEN amount END), 0) AS DECIMAL(18,2)) AS total_income,
+       CAST(abs(coalesce(sum(CASE WHEN amount < 0 THEN amount END), 0)) AS DECIMAL(18,2)) AS total_expenses,
+       CAST(sum(amount) AS DECIMAL(18,2)) AS net_cashflow,
+       CASE WHEN sum(amount) >= 0 THEN 'positive' ELSE 'negative' END AS net_direction
+FROM ({ORDERS_LEDGER_SQL}) l GROUP BY 1
+""")
+def q_kpis(spark, sf_dir):
+    from cashweave.operators.reports import kpis
+    k = kpis(canonical_orders(spark, sf_dir), by=["account_id"])
+    return k.select("account_id", "transactions", *[F.col(c).cast(MONEY).alias(c) for c in
+                                                    ("total_income", "total_expenses", "net_cashflow")],
+                    "net_direction")
+
+
+@register("kpis_total", f"""
+SELECT count(*) AS transactions,
+       CAST(coalesce(sum(CASE WHEN amount > 0 THEN amount END), 0) AS DECIMAL(18,2)) AS total_income,
+       CAST(abs(coalesce(sum(CASE WHEN amount < 0 THEN amount END), 0)) AS DECIMAL(18,2)) AS total_expenses,
+       CAST(sum(amount) AS DECIMAL(18,2)) AS net_cashflow,
+       CASE WHEN sum(amount) >= 0 THEN 'positive' ELSE 'negative' END AS net_direction
+FROM ({ORDERS_LEDGER_SQL}) l
+""")
+def q_kpis_total(spark, sf_dir):
+    from cashweave.operators.reports import kpis
+    k = kpis(canonical_orders(spark, sf_dir))
+    return k.select("transactions", *[F.col(c).cast(MONEY).alias(c) for c in
+                                      ("total_income", "total_expenses", "net_cashflow")], "net_direction")
+
+
+@register("spend_by_category", f"""
+SELECT category, CAST(sum(abs(amount)) AS DECIMAL(18,2)) AS amount
+FROM ({CATEGORIZED_ORDERS_SQL}) t WHERE amount < 0 GROUP BY 1 ORDER BY 2 DESC
+""")
+def q_spend_by_category(spark, sf_dir):
+    from cashweave.operators.reports import spend_by_category
+    s = spend_by_category(categorized_orders(spark, sf_dir))
+    return s.select("category", F.col("amount").cast(MONEY).alias("amount"))
+
+
+@register("daily_cashflow", f"""
+SELECT transaction_date AS date, CAST(sum(amount) AS DECIMAL(18,2)) AS net
+FROM ({ORDERS_LEDGER_SQL}) l GROUP BY 1 ORDER BY 1
+""")
+def q_daily_cashflow(spark, sf_dir):
+    from cashweave.operators.reports import daily_cashflow
+    d = daily_cashflow(canonical_orders(spark, sf_dir))
+    return d.select("date", F.col("net").cast(MONEY).alias("net"))
+
+
+@register("transaction_detail", f"""
+WITH l AS ({ORDERS_LEDGER_SQL}), {sq.categorize_cte('l')}
+SELECT l.row_ord, l.transaction_date AS "Date", l.description AS "Description",
+       {sq.money('l.amount')} AS "Amount", c.category AS "Category",
+       format('{{:.0f}}%', c.confidence * 100) AS "Confidence"
+FROM l JOIN cat c ON c.k = l.row_ord
+""")
+def q_transaction_detail(spark, sf_dir):
+    from cashweave.operators.reports import transaction_detail
+    return transaction_detail(categorized_orders(spark, sf_dir), keep=["row_ord"])
+
+
+# ---------------------------------------------------------------------------
+# Seasonal projection
+# ---------------------------------------------------------------------------
+
+@register("seasonal_projection", f"""
+WITH f AS ({DAILY_FILLED_SQL}), sb AS ({CUSTOMER_BALANCES_SQL}),
+b AS (SELECT f.account_id, f.date,
+             coalesce(sb.starting_balance, 0) + sum(CAST(f.net AS DOUBLE)) OVER
+               (PARTITION BY f.account_id ORDER BY f.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance
+      FROM f LEFT JOIN sb ON sb.account_id = f.account_id),
+fr AS (SELECT account_id, min(date) AS d0, max(date) AS d1 FROM b GROUP BY 1),
+s AS (SELECT b.*, fr.d0, fr.d1, CAST(date_diff('day', fr.d0, b.date) AS DOUBLE) AS t FROM b JOIN fr USING (account_id)),
+fit AS (SELECT account_id, d0, d1, coalesce(regr_slope(balance, t), 0) AS slope,
+               coalesce(regr_intercept(balance, t), 0) AS intercept FROM s GROUP BY 1, 2, 3),
+eff AS (SELECT s.account_id, dayofweek(s.date) AS dow, avg(s.balance - (fit.intercept + fit.slope * s.t)) AS effect
+        FROM s JOIN fit USING (account_id) GROUP BY 1, 2),
+p AS (SELECT fit.*, g.i AS day_no, CAST(fit.d1 + CAST(g.i AS INTEGER) AS DATE) AS date
+      FROM fit, (SELECT unnest(generate_series(1, 30)) AS i) g)
+SELECT p.account_id, p.day_no, p.date,
+       round(p.intercept + p.slope * CAST(date_diff('day', p.d0, p.date) AS DOUBLE) + coalesce(eff.effect, 0), 4)
+         AS projected_balance
+FROM p LEFT JOIN eff ON eff.account_id = p.account_id AND eff.dow = dayofweek(p.date)
+""")
+def q_seasonal_projection(spark, sf_dir):
+    from cashweave.operators.seasonal import seasonal_projection
+    p = seasonal_projection(events_ledger(spark, sf_dir), customer_balances(spark, sf_dir), horizon_days=30)
+    return p.select("account_id", F.col("day_no").cast("long").alias("day_no"), "date",
+                    F.round("projected_balance", 4).alias("projected_balance"))
+
+
+# ---------------------------------------------------------------------------
+# External-model batches (request build, response merge, rewrite context)
+# ---------------------------------------------------------------------------
+
+def _model_rows(spark: SparkSession, sf_dir: str):
+    from cashweave.operators.model_batches import request_rows
+    c = categorized_orders(spark, sf_dir)
+    return request_rows(c, batch_size=5), c
+
+
+@register("model_request_batches")
+def q_model_request_batches(spark, sf_dir):
+    from cashweave.operators.model_batches import request_bodies
+    rows, _ = _model_rows(spark, sf_dir)
+    return request_bodies(rows)
+
+
+def synthetic_responses(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """A stand-in model for tests: answers each batch from the rules output,
+    but skips some rows, invents a category for others, repeats index 0 with
+    a later answer, and returns prose instead of JSON for some batches."""
+    r = rows.join(rules.select("row_ord", "category", "ai_confidence_score"), "row_ord")
+    i = F.col("index")
+    items = r.where(F.pmod(i, F.lit(11)) != 5).select(
+        "account_id", "batch_id", i.alias("pos"),
+        F.struct(i.alias("index"),
+                 F.when(F.pmod(i, F.lit(7)) == 3, F.lit("Snacks")).otherwise(F.col("category")).alias("category"),
+                 F.col("ai_confidence_score").alias("confidence")).alias("it"))
+    extra = r.where(i == 0).select(
+        "account_id", "batch_id", F.lit(10 ** 9).cast("long").alias("pos"),
+        F.struct(i.alias("index"), F.lit("Transfers").alias("category"), F.lit(0.42).alias("confidence"))
+        .alias("it"))
+    g = items.unionByName(extra).groupBy("account_id", "batch_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "it"))).alias("l"))
+    body = F.concat(F.lit("```json\n"), F.to_json(F.transform("l", lambda x: x["it"])), F.lit("\n```"))
+    bad = F.pmod(F.col("batch_id") + F.col("account_id"), F.lit(5)) == 0
+    return g.select("account_id", "batch_id",
+                    F.when(bad, F.lit("Sorry, I cannot classify these.")).otherwise(body).alias("response"))
+
+
+@register("model_response_merge", f"""
+WITH l AS ({ORDERS_LEDGER_SQL}), {sq.categorize_cte('l')},
+n AS (SELECT account_id, count(*) AS n FROM l GROUP BY 1),
+b AS (SELECT l.account_id, l.row_ord, l.row_ord % greatest(1, CAST(ceil(n.n / 5) AS BIGINT)) AS batch_id
+      FROM l JOIN n USING (account_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY account_id, batch_id ORDER BY row_ord) - 1 AS idx FROM b)
+SELECT r.row_ord,
+       CASE WHEN (r.batch_id + r.account_id) % 5 = 0 THEN c.category
+            WHEN r.idx = 0 THEN 'Transfers'
+            WHEN r.idx % 11 = 5 THEN 'Uncategorized'
+            WHEN r.idx % 7 = 3 THEN 'Uncategorized'
+            ELSE c.category END AS category,
+       CASE WHEN (r.batch_id + r.account_id) % 5 = 0 THEN c.confidence
+            WHEN r.idx = 0 THEN 0.42
+            WHEN r.idx % 11 = 5 THEN 0.0
+            ELSE c.confidence END AS ai_confidence_score,
+       CASE WHEN (r.batch_id + r.account_id) % 5 = 0 THEN 'rules' ELSE 'model' END AS method
+FROM r JOIN cat c ON c.k = r.row_ord
+""")
+def q_model_response_merge(spark, sf_dir):
+    from cashweave.operators.model_batches import merge_responses
+    rows, rules = _model_rows(spark, sf_dir)
+    return merge_responses(rows, synthetic_responses(rows, rules), rules)
+
+
+from cashweave.operators.model_batches import REWRITE_PROMPT  # noqa: E402
+
+_REWRITE_PROMPT_SQL = REWRITE_PROMPT.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@register("model_rewrite_context", f"""
+WITH a AS ({ANSWERS_SQL}),
+{_notes_top1_sql(QUESTIONS_SQL)},
+ctx AS (SELECT question_id,
+               string_agg('- [' || note_id || '] ' || {sq.pii_mask('note_text')}, chr(10) ORDER BY rank) AS c
+        FROM topn GROUP BY 1)
+SELECT a.question_id,
+       '{_REWRITE_PROMPT_SQL}'
+       || 'Question: ' || a.question || chr(10) || 'Draft: ' || a.answer || chr(10) || 'Context notes:' || chr(10)
+       || coalesce(ctx.c, '(none)') || chr(10) || chr(10) || 'Rewritten answer:' AS prompt
+FROM a LEFT JOIN ctx ON ctx.question_id = a.question_id
+""")
+def q_model_rewrite_context(spark, sf_dir):
+    from cashweave.operators.model_batches import rewrite_context
+    answers, hits = _answers(spark, sf_dir)
+    return rewrite_context(answers, hits)
