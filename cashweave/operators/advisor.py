@@ -234,9 +234,10 @@ def answer_citations(answers: DataFrame, sets: DataFrame, first_n: int | None =
     if first_n is not None:
         w = Window.partitionBy("account_id", "scope", "category").orderBy("pos")
         s = s.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first_n).drop("_n")
-    cond = [tx["account_id"] == s["account_id"], tx["cite_scope"] == s["scope"],
-            tx["cite_category"].eqNullSafe(s["category"])]
-    joined = tx.join(s, cond).select(tx["question_id"], s["raw_hash"].alias("cite_id"), s["pos"])
+    a, c = tx.alias("a"), s.alias("c")
+    cond = [F.col("a.account_id") == F.col("c.account_id"), F.col("a.cite_scope") == F.col("c.scope"),
+            F.col("a.cite_category").eqNullSafe(F.col("c.category"))]
+    joined = a.join(c, cond).select(F.col("a.question_id"), F.col("c.raw_hash").alias("cite_id"), F.col("c.pos"))
     notes = answers.where(F.col("cite_scope") == SCOPE_NOTE).select(
         "question_id", F.col("note_id").alias("cite_id"), F.lit(0).cast("long").alias("pos"))
     return joined.unionByName(notes)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,8 +154,6 @@ def _automaton_scores(pairs: Sequence[tuple[str, str]]):
     Returns the same array<struct<score, neg_pos, category>> as the
     expression path (one entry per category, zero score when unmatched).
     """
-    import pandas as pd
-
     cats: list[str] = []
     for _, c in pairs:
         if c not in cats:

@@ -1,0 +1,40 @@
+import os
+
+from cashweave.functions.pii import mask_pii
+from cashweave.plans.jobs import ingest, run_ledger_job
+from cashweave.schema import TAX_CATEGORIES
+
+
+def test_run_ledger_job(spark, samples):
+    res = run_ledger_job(spark, [samples["chase"], samples["bofa"]], starting_balance=10000.0, horizon_days=60)
+    tx = res["transactions"].collect()
+    assert len(tx) == 12
+    assert all(r.category in TAX_CATEGORIES for r in tx)
+    assert res["projection"].count() == 60
+    f = res["forecast"].first()
+    assert round(f.mean_daily_net, 6) == 517.831667
+    assert round(f.mean_daily_burn, 6) == 312.288571
+
+
+def test_run_ledger_job_writes(spark, samples, tmp_path):
+    out = str(tmp_path / "out")
+    res = run_ledger_job(spark, [samples["chase"]], horizon_days=30, out=out)
+    assert res["projection"].count() == 30
+    assert os.path.isdir(os.path.join(out, "transactions_categorized"))
+    assert os.path.isdir(os.path.join(out, "forecast"))
+    f = res["forecast"].first()
+    assert round(f.mean_daily_net, 6) == 181.694167 and round(f.mean_daily_burn, 6) == 336.611667
+
+
+def test_ingest_masks(spark, samples, tmp_path):
+    res = ingest(spark, [samples["chase"], samples["chase"], samples["bofa"]], out=str(tmp_path / "clean"),
+                 mask=True, fmt="csv")
+    rows = res["transactions"].collect()
+    assert len(rows) == 12
+    atm = [r for r in rows if "ATM" in r.description][0]
+    assert "555123456789" in atm.description
+    assert "555123456789" not in atm.description_masked
+    d = res["dedup"].first()
+    assert (d.rows_before, d.duplicates_removed, d.rows_after) == (19, 7, 12)
+    per = {r.source: r.rows for r in res["rows_per_source"].collect()}
+    assert per == {"chase_sample": 14, "bofa_sample": 5}
