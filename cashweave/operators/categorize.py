@@ -61,29 +61,34 @@ def _lexicon_pairs(lexicon) -> list[tuple[str, str]]:
     return list(merged.items())
 
 
-def _score_struct(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """array<struct<score, neg_first_pos, category>> over categories."""
+def _category_blocks(pairs: Sequence[tuple[str, str]]) -> list[tuple[str, list[tuple[int, str]]]]:
     by_cat: dict[str, list[tuple[int, str]]] = {}
     for pos, (kw, cat) in enumerate(pairs):
         by_cat.setdefault(cat, []).append((pos, kw))
-    entries = []
-    for cat, kws in by_cat.items():
+    return list(by_cat.items())
+
+
+def _score_columns(text: Column, pairs: Sequence[tuple[str, str]]) -> list[tuple[Column, Column, str]]:
+    """Per category: (score = sum of matched keyword lengths, -position of
+    its first matched keyword or null, category name). Plain arithmetic and
+    ``contains``, so the stage stays in whole-stage codegen."""
+    out = []
+    for cat, kws in _category_blocks(pairs):
         score = None
         first = None
         for pos, kw in kws:
             hit = text.contains(F.lit(kw))
-            s = F.when(hit, F.lit(float(len(kw)))).otherwise(F.lit(0.0))
-            score = s if score is None else score + s
+            sc = F.when(hit, F.lit(float(len(kw)))).otherwise(F.lit(0.0))
+            score = sc if score is None else score + sc
             p = F.when(hit, F.lit(-pos))
             first = p if first is None else F.coalesce(first, p)
-        entries.append(F.struct(score.alias("score"), first.alias("neg_pos"), F.lit(cat).alias("category")))
-    return F.array(*entries)
+        out.append((score, first, cat))
+    return out
 
 
-def _finish(scores: Column, amount: Column) -> Column:
-    """Struct(category, confidence, rationale) from the per-category scores."""
-    best = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + s["score"])
+def _finish(best: Column, total: Column, amount: Column) -> Column:
+    """Struct(category, confidence, rationale) from the best category struct
+    (score, neg_pos, category) and the total score."""
     matched = best["score"] > 0
     conf = F.round(F.least(F.lit(0.99), F.lit(0.55) + (best["score"] / total) * F.lit(0.4)), 3)
     positive = amount.cast("double") > 0
@@ -98,14 +103,28 @@ def _finish(scores: Column, amount: Column) -> Column:
 
 
 def classify_column(description: Column | str, amount: Column | str, lexicon=None) -> Column:
-    """Single-row classification as a struct column."""
+    """Single-row classification as a struct column.
+
+    For whole tables prefer ``categorize``, which stages the work so each
+    intermediate is computed once.
+    """
     d = F.col(description) if isinstance(description, str) else description
     a = F.col(amount) if isinstance(amount, str) else amount
     pairs = _lexicon_pairs(lexicon)
     text = F.lower(F.coalesce(d.cast("string"), F.lit("")))
     if len(pairs) > EXPRESSION_LEXICON_LIMIT:
-        return _finish(_automaton_scores(pairs)(text), a)
-    return _finish(_score_struct(text, pairs), a)
+        scores = _automaton_scores(pairs)(text)
+        best = F.array_max(scores)
+        total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x["score"])
+        return _finish(best, total, a)
+    cols = _score_columns(text, pairs)
+    best = F.greatest(*[F.struct(sc.alias("score"), fp.alias("neg_pos"), F.lit(c).alias("category"))
+                        for sc, fp, c in cols]) if len(cols) > 1 else \
+        F.struct(cols[0][0].alias("score"), cols[0][1].alias("neg_pos"), F.lit(cols[0][2]).alias("category"))
+    total = cols[0][0]
+    for sc, _, _ in cols[1:]:
+        total = total + sc
+    return _finish(best, total, a)
 
 
 def categorize(df: DataFrame, lexicon=None, description: str = "description",
@@ -113,26 +132,47 @@ def categorize(df: DataFrame, lexicon=None, description: str = "description",
                method_col: bool = False) -> DataFrame:
     """Fill ``category`` and ``ai_confidence_score``.
 
-    Row count and order are unchanged; the result struct is computed once
-    and its fields projected in a second select so the scores are not
-    re-evaluated per output column.
+    Row count and order are unchanged. Staged as three projections (the
+    lower-cased text; per-category scores; the result struct) so every
+    intermediate is computed once per row and the default lexicon path stays
+    inside whole-stage codegen.
     """
-    tmp = "_cat_result"
-    staged = df.withColumn(tmp, classify_column(description, amount, lexicon))
+    pairs = _lexicon_pairs(lexicon)
+    t, r = "_cat_text", "_cat_result"
+    staged = df.withColumn(t, F.lower(F.coalesce(F.col(description).cast("string"), F.lit(""))))
+    if len(pairs) > EXPRESSION_LEXICON_LIMIT:
+        staged = staged.withColumn("_cat_scores", _automaton_scores(pairs)(F.col(t)))
+        best = F.array_max("_cat_scores")
+        total = F.aggregate("_cat_scores", F.lit(0.0), lambda acc, x: acc + x["score"])
+        staged = staged.withColumn("_cat_best", best).withColumn("_cat_total", total)
+    else:
+        cols = _score_columns(F.col(t), pairs)
+        names = [f"_cat_s{i}" for i in range(len(cols))]
+        firsts = [f"_cat_p{i}" for i in range(len(cols))]
+        staged = staged.select("*", *[sc.alias(n) for (sc, _, _), n in zip(cols, names)],
+                               *[fp.alias(n) for (_, fp, _), n in zip(cols, firsts)])
+        structs = [F.struct(F.col(n).alias("score"), F.col(p).alias("neg_pos"), F.lit(c).alias("category"))
+                   for n, p, (_, _, c) in zip(names, firsts, cols)]
+        best = F.greatest(*structs) if len(structs) > 1 else structs[0]
+        total = F.col(names[0])
+        for n in names[1:]:
+            total = total + F.col(n)
+        staged = staged.select(*df.columns, t, best.alias("_cat_best"), total.alias("_cat_total"))
+    staged = staged.withColumn(r, _finish(F.col("_cat_best"), F.col("_cat_total"), F.col(amount)))
     cols = []
     for c in df.columns:
         if c == "category":
-            cols.append(F.col(f"{tmp}.category").alias("category"))
+            cols.append(F.col(f"{r}.category").alias("category"))
         elif c == "ai_confidence_score":
-            cols.append(F.col(f"{tmp}.confidence").alias("ai_confidence_score"))
+            cols.append(F.col(f"{r}.confidence").alias("ai_confidence_score"))
         else:
             cols.append(F.col(c))
     if "category" not in df.columns:
-        cols.append(F.col(f"{tmp}.category").alias("category"))
+        cols.append(F.col(f"{r}.category").alias("category"))
     if "ai_confidence_score" not in df.columns:
-        cols.append(F.col(f"{tmp}.confidence").alias("ai_confidence_score"))
+        cols.append(F.col(f"{r}.confidence").alias("ai_confidence_score"))
     if with_rationale:
-        cols.append(F.col(f"{tmp}.rationale").alias("rationale"))
+        cols.append(F.col(f"{r}.rationale").alias("rationale"))
     if method_col:
         cols.append(F.lit(RULES_METHOD).alias("categorizer_method"))
     return staged.select(*cols)

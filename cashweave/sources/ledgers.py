@@ -71,8 +71,19 @@ MERCHANTS: tuple[str, ...] = (
 )
 
 
+def spread(df: DataFrame, target: int | None = None) -> DataFrame:
+    """Round-robin a scan that arrives in fewer partitions than the cluster
+    has cores (a small table stored as one row group), so CPU-heavy narrow
+    work (regexes, keyword scoring, embedding) runs on every core. Large
+    tables already have many splits and pass through untouched."""
+    want = target or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def merchant_for(key: Column) -> Column:
