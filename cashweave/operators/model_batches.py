@@ -44,12 +44,14 @@ RESPONSE_TYPE = T.ArrayType(T.StructType([
 def request_rows(txns: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE, key: str = "row_ord") -> DataFrame:
     """(account_id, batch_id, index, <key>, description_masked, amount).
 
-    ``batch_id`` = key mod (ceil(rows / batch_size)) within the account;
-    ``index`` = position in the batch by key (X21 row numbering).
+    ``batch_id`` = hash(key) mod ceil(rows / batch_size) within the
+    account (first 4 MD5 bytes of the key text, so batches are even whatever
+    the key pattern); ``index`` = position in the batch by key (X21).
     """
     counts = txns.groupBy("account_id").agg(F.count(F.lit(1)).alias("_n"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(batch_size))).cast("long")
-    t = txns.join(counts, "account_id").withColumn("batch_id", F.pmod(F.col(key), nb))
+    h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    t = txns.join(counts, "account_id").withColumn("batch_id", F.pmod(h, nb))
     w = Window.partitionBy("account_id", "batch_id").orderBy(key)
     return t.select("account_id", "batch_id", (F.row_number().over(w) - 1).cast("long").alias("index"), key,
                     mask_pii("description").alias("description_masked"),

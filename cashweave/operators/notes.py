@@ -133,10 +133,13 @@ def _topk_rows(scores: np.ndarray, seqs: np.ndarray, k: int):
     return np.concatenate(out_r), np.concatenate(out_c)
 
 
-def _hashed_scorer(qids: np.ndarray, qmat: np.ndarray, qnorm: np.ndarray, dim: int, k: int):
-    """mapInPandas function scoring (seq, idx, cnt, sumsq) note batches."""
+def _hashed_scorer(block, dim: int, k: int):
+    """mapInPandas function scoring (seq, idx, cnt, sumsq) note batches
+    against a broadcast question block (qids, counts matrix, norms)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, qmat, qnorm = block.value
+        qt = np.ascontiguousarray(qmat.astype(np.float64).T)  # small integer counts: exact
         cand_q, cand_seq, cand_s = [], [], []
         nq = len(qids)
         chunk = max(1, SCORE_CELLS_PER_CHUNK // max(nq, 1))
@@ -145,7 +148,7 @@ def _hashed_scorer(qids: np.ndarray, qmat: np.ndarray, qnorm: np.ndarray, dim: i
                 part = pdf.iloc[lo:lo + chunk]
                 nmat = _dense_counts(part["idx"].tolist(), part["cnt"].tolist(), dim)
                 nnorm = np.sqrt(part["sumsq"].to_numpy(dtype=np.float64))
-                dots = nmat @ qmat.T  # exact: integer counts, far below 2**53
+                dots = nmat @ qt  # integer counts: products and sums exact in float64
                 with np.errstate(divide="ignore", invalid="ignore"):
                     s = dots / (nnorm[:, None] * qnorm[None, :])
                 s = np.where(np.isfinite(s), s, 0.0)
@@ -198,14 +201,16 @@ def search_notes(notes: DataFrame, questions: DataFrame, k: int = DEFAULT_K,
     note_vecs = notes.select("seq", F.col("embedding.idx").alias("idx"), F.col("embedding.cnt").alias("cnt"),
                              F.col("embedding.sumsq").alias("sumsq"))
     parts = []
-    for block in _question_blocks(q, max_question_block):
+    blocks = _question_blocks(q, max_question_block)
+    for block in blocks:
         rows = block.collect()  # bounded by max_question_block (checked above)
         if not rows:
             continue
         qids = np.array([r["question_id"] for r in rows], dtype=np.int64)
         qmat = _dense_counts([r["qemb"]["idx"] for r in rows], [r["qemb"]["cnt"] for r in rows], dim)
         qnorm = np.sqrt(np.array([r["qemb"]["sumsq"] for r in rows], dtype=np.float64))
-        parts.append(note_vecs.mapInPandas(_hashed_scorer(qids, qmat, qnorm, dim, k), HIT_SCHEMA))
+        block = spark.sparkContext.broadcast((qids, qmat.astype(np.float32), qnorm))
+        parts.append(note_vecs.mapInPandas(_hashed_scorer(block, dim, k), HIT_SCHEMA))
     if not parts:
         return spark.createDataFrame([], "question_id long, rank int, id string, text string, "
                                          "metadata map<string,string>, score double")
@@ -214,8 +219,11 @@ def search_notes(notes: DataFrame, questions: DataFrame, k: int = DEFAULT_K,
         hits = hits.unionByName(p)
     w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("seq").asc())
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    # hits are at most k per question: a bounded broadcast side
-    joined = notes.select("seq", "id", "text", "metadata").join(F.broadcast(top), "seq")
+    # hits are at most k per question: with one question block that is a
+    # proven bound and the hit table is broadcast; beyond it Spark picks the
+    # join from measured sizes
+    side = F.broadcast(top) if len(blocks) == 1 else top
+    joined = notes.select("seq", "id", "text", "metadata").join(side, "seq")
     return joined.select("question_id", F.col("rank").cast("int").alias("rank"), "id", "text", "metadata",
                          "score", "seq")
 
@@ -224,8 +232,9 @@ def search_notes(notes: DataFrame, questions: DataFrame, k: int = DEFAULT_K,
 # Dense vectors (the embeddings table)
 # ---------------------------------------------------------------------------
 
-def _dense_scorer(qids: np.ndarray, qmat: np.ndarray, k: int):
+def _dense_scorer(block, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, qmat = block.value
         cand_q, cand_seq, cand_s = [], [], []
         chunk = max(1, SCORE_CELLS_PER_CHUNK // max(len(qids), 1))
         for pdf in batches:
@@ -272,7 +281,8 @@ def search_vectors(items: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
         qmat = np.array([np.asarray(r["qvec"], dtype=np.float64) for r in rows])
         qn = np.sqrt((qmat * qmat).sum(axis=1))
         qmat = np.divide(qmat, qn[:, None], out=np.zeros_like(qmat), where=qn[:, None] > 0)
-        parts.append(items.select("seq", F.col("vec")).mapInPandas(_dense_scorer(qids, qmat, k), HIT_SCHEMA))
+        block = items.sparkSession.sparkContext.broadcast((qids, qmat))
+        parts.append(items.select("seq", F.col("vec")).mapInPandas(_dense_scorer(block, k), HIT_SCHEMA))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)

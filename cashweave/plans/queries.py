@@ -127,17 +127,18 @@ def q_date_coercion(spark, sf_dir):
 
 def _bank_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders ledger rendered as a checking-account export with bank
-    headers, text dates, split debit/credit text and padded descriptions."""
-    lg = orders_ledger(spark, sf_dir)
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_ord"), "o_orderstatus")
-    j = lg.join(o, "row_ord")
-    mag = F.abs(F.col("amount")).cast("string")
+    headers, text dates, split debit/credit text and padded descriptions
+    (one scan of ``orders``)."""
+    from cashweave.sources.ledgers import merchant_for
+    o = table(spark, sf_dir, "orders")
+    mag = F.col("o_totalprice").cast(MONEY).cast("string")
     status = F.col("o_orderstatus")
-    return j.select(
-        F.col("account_id").alias("Account"),
-        F.col("row_ord").alias("Ref"),
-        F.date_format("transaction_date", "MM/dd/yyyy").alias("Posting Date"),
-        F.concat(F.lit("  "), F.col("description"), F.lit(" ")).alias("Payee"),
+    desc = F.concat(merchant_for(F.col("o_orderkey")), F.lit(" #"), F.col("o_orderkey").cast("string"))
+    return o.select(
+        F.col("o_custkey").alias("Account"),
+        F.col("o_orderkey").alias("Ref"),
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("Posting Date"),
+        F.concat(F.lit("  "), desc, F.lit(" ")).alias("Payee"),
         F.when(status != "F", mag).alias(" Withdrawal "),
         F.when(status != "O", mag).alias("Deposit"),
     )
@@ -210,9 +211,18 @@ def q_content_hash(spark, sf_dir):
 def _dedup_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders ledger twice: the original, then a re-cased, re-spaced copy
     whose low-priority orders moved one day (so those are not duplicates)."""
-    lg = orders_ledger(spark, sf_dir)
-    pri = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_ord"), "o_orderpriority")
-    copy = lg.join(pri, "row_ord").select(
+    from cashweave.sources.ledgers import merchant_for
+    o = table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice").cast(MONEY)
+    base = o.select(
+        F.col("o_custkey").alias("account_id"),
+        F.to_date("o_orderdate").alias("transaction_date"),
+        F.when(F.col("o_orderstatus") == "F", price).otherwise(-price).alias("amount"),
+        F.concat(merchant_for(F.col("o_orderkey")), F.lit(" #"), F.col("o_orderkey").cast("string"))
+        .alias("description"),
+        F.col("o_orderkey").alias("row_ord"),
+        "o_orderpriority")
+    copy = base.select(
         "account_id",
         F.when(F.col("o_orderpriority") == "5-LOW", F.date_add("transaction_date", 1))
         .otherwise(F.col("transaction_date")).alias("transaction_date"),
@@ -220,7 +230,8 @@ def _dedup_input(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" "), F.lower(F.regexp_replace("description", " ", "  ")), F.lit("  "))
         .alias("description"),
         "row_ord")
-    first = normalize(lg, source="orders", keep=("account_id", "row_ord")).withColumn("file_ord", F.lit(0))
+    first = normalize(base.drop("o_orderpriority"), source="orders", keep=("account_id", "row_ord")) \
+        .withColumn("file_ord", F.lit(0))
     second = normalize(copy, source="orders_copy", keep=("account_id", "row_ord")).withColumn("file_ord", F.lit(1))
     return dedup_ops.union_sources([first, second])
 
@@ -936,7 +947,9 @@ def synthetic_responses(rows: DataFrame, rules: DataFrame) -> DataFrame:
 @register("model_response_merge", f"""
 WITH l AS ({ORDERS_LEDGER_SQL}), {sq.categorize_cte('l')},
 n AS (SELECT account_id, count(*) AS n FROM l GROUP BY 1),
-b AS (SELECT l.account_id, l.row_ord, l.row_ord % greatest(1, CAST(ceil(n.n / 5) AS BIGINT)) AS batch_id
+b AS (SELECT l.account_id, l.row_ord,
+             CAST(('0x' || substr(md5(CAST(l.row_ord AS VARCHAR)), 1, 8)) AS BIGINT)
+               % greatest(1, CAST(ceil(n.n / 5) AS BIGINT)) AS batch_id
       FROM l JOIN n USING (account_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY account_id, batch_id ORDER BY row_ord) - 1 AS idx FROM b)
 SELECT r.row_ord,
