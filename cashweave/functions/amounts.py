@@ -12,15 +12,16 @@ from cashweave.functions.text import py_strip
 _STRIP_CLASS = "[" + "".join("\\" + ch if ch in "\\^]-[" else ch for ch in AMOUNT_STRIP_CHARS) + "]"
 
 
-def coerce_amount(c: Column | str, dtype: T.DecimalType = AMOUNT_TYPE) -> Column:
+def coerce_amount(c: Column | str, dtype: T.DecimalType = AMOUNT_TYPE, trimmed: bool = False) -> Column:
     """Exact amount from bank text.
 
     null / blank / "nan" / "none" / "null" -> null; "(x)" -> -x; currency
     symbols, thousands separators and spaces removed; anything else that is
-    not a decimal number -> null. Numeric input columns are cast directly.
+    not a decimal number -> null. ``trimmed`` says the text is already
+    stripped (a staged column), which keeps the expression small.
     """
     col = F.col(c) if isinstance(c, str) else c
-    s = py_strip(col.cast("string"))
+    s = col.cast("string") if trimmed else py_strip(col.cast("string"))
     negative = s.startswith("(") & s.endswith(")")
     body = F.when(negative, s.substr(F.lit(2), F.length(s) - F.lit(2))).otherwise(s)
     body = F.regexp_replace(body, _STRIP_CLASS, "")

@@ -31,25 +31,42 @@ DEFAULT_TIMESTAMP_FORMATS: tuple[str, ...] = (
 )
 
 
+# Text shape -> patterns to try for it (checked in this order). A row is
+# parsed only with the patterns of its shape, so no row pays for a chain of
+# failed parse attempts.
+_SHAPES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy",)),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy",)),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy",)),
+)
+
+
 def coerce_date(c: Column | str, formats: Sequence[str] | None = None,
-                source_type: T.DataType | None = None) -> Column:
+                source_type: T.DataType | None = None, trimmed: bool = False) -> Column:
     """Calendar date from a raw column; unparseable text -> null.
 
     ``formats`` pins the accepted patterns (e.g. one per bank for strict
-    parity); by default every pattern in ``DEFAULT_DATE_FORMATS`` is tried
-    per row, then the timestamp patterns.
+    parity); by default the text's shape picks the pattern (ISO, US
+    month-first, ...), and other shapes fall back to trying every pattern in
+    ``DEFAULT_DATE_FORMATS`` then the timestamp patterns.
     """
     col = F.col(c) if isinstance(c, str) else c
     if isinstance(source_type, T.DateType):
         return col
     if isinstance(source_type, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(col)
-    s = py_strip(col.cast("string"))
+    s = col.cast("string") if trimmed else py_strip(col.cast("string"))
     if formats is not None:
         return F.coalesce(*[F.try_to_date(s, f) for f in formats], F.lit(None).cast("date"))
-    tries = [F.try_to_date(s, f) for f in DEFAULT_DATE_FORMATS]
-    tries += [F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in DEFAULT_TIMESTAMP_FORMATS]
-    return F.coalesce(*tries)
+    out = None
+    for shape, pats in _SHAPES:
+        parsed = F.coalesce(*[F.try_to_date(s, p) for p in pats]) if len(pats) > 1 else F.try_to_date(s, pats[0])
+        out = F.when(s.rlike(shape), parsed) if out is None else out.when(s.rlike(shape), parsed)
+    rest = [F.try_to_date(s, f) for f in DEFAULT_DATE_FORMATS]
+    rest += [F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in DEFAULT_TIMESTAMP_FORMATS]
+    return out.otherwise(F.coalesce(*rest))
 
 
 def iso_date(c: Column | str) -> Column:
