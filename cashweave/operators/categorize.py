@@ -3,7 +3,8 @@
 Each keyword that occurs as a substring of the lower-cased description adds
 its length to its category's score. The best score wins; a tie goes to the
 category whose earliest matched keyword comes first in the lexicon.
-Confidence = min(0.99, 0.55 + best/total * 0.4) rounded to 3 places. No match:
+Confidence = min(0.99, 0.55 + best/total * 0.4) rounded to 3 places the way
+Python rounds floats (``py_round``). No match:
 ("Income", 0.55) for a positive amount, else ("Uncategorized", 0.30).
 
 The lexicon is small and fixed per job, so it is compiled into column
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cashweave.functions.numeric import py_round
 from cashweave.schema import KEYWORD_LEXICON, TAX_CATEGORIES
 
 RULES_METHOD = "rules"
@@ -90,7 +92,7 @@ def _finish(best: Column, total: Column, amount: Column) -> Column:
     """Struct(category, confidence, rationale) from the best category struct
     (score, neg_pos, category) and the total score."""
     matched = best["score"] > 0
-    conf = F.round(F.least(F.lit(0.99), F.lit(0.55) + (best["score"] / total) * F.lit(0.4)), 3)
+    conf = py_round(F.least(F.lit(0.99), F.lit(0.55) + (best["score"] / total) * F.lit(0.4)), 3)
     positive = amount.cast("double") > 0
     category = F.when(matched, best["category"]).when(positive, F.lit("Income")) \
         .otherwise(F.lit("Uncategorized"))
