@@ -260,7 +260,7 @@ def answers_json(answers: DataFrame, hits: DataFrame | None, sets: DataFrame, fi
             F.struct("rank", "id", F.round("score", 3).alias("score"), "text"))).alias("_h"))
         a = a.join(h, "question_id", "left")
     else:
-        a = a.withColumn("_h", F.lit(None))
+        a = a.withColumn("_h", F.lit(None).cast("array<struct<rank:int,id:string,score:double,text:string>>"))
     rec = F.struct(
         "question", "answer",
         F.struct(F.col("cite_scope").alias("scope"), F.col("cite_category").alias("category"),

@@ -71,3 +71,18 @@ def test_empty_store(spark):
     store = upsert_notes(None, prepare_notes(b, order_by="o")[0])
     q = spark.createDataFrame([(1, "anything")], "question_id long, question string")
     assert search_notes(store, q).count() == 0
+
+
+def test_persist_round_trip(spark, tmp_path):
+    from cashweave.sinks.writers import write_notes
+    from cashweave.sources.exports import read_notes
+    b = spark.createDataFrame([("Runway target is 18 months", {"type": "goal"}, 0)],
+                              "text string, metadata map<string,string>, o int")
+    store = upsert_notes(None, prepare_notes(b, metadata="metadata", order_by="o")[0])
+    path = write_notes(store, str(tmp_path / "notes"), version=1)
+    back = read_notes(spark, path)
+    r = back.first()
+    assert r.text == "Runway target is 18 months" and r.metadata["type"] == "goal"
+    q = spark.createDataFrame([(1, "what is the runway target")], "question_id long, question string")
+    assert search_notes(back, q).count() == 1
+    assert read_notes(spark, str(tmp_path / "missing")).count() == 0
