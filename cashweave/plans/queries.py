@@ -496,7 +496,7 @@ SELECT id, seq, CAST(doc_id AS VARCHAR) AS doc_id, source AS type, length(text)
 def q_note_upsert(spark, sf_dir):
     n = document_notes(spark, sf_dir)
     return n.select("id", "seq", F.col("metadata")["doc_id"].alias("doc_id"),
-                    F.col("metadata")["type"].alias("type"), F.length("text").alias("text_len"))
+                    F.col("metadata")["type"].alias("type"), F.length("text").cast("long").alias("text_len"))
 
 
 @register("note_count", f"SELECT count(*) AS notes FROM ({NOTES_SQL}) n")
