@@ -8,9 +8,10 @@ the account's trailing window (the last ``window_days`` days up to the
 account's own latest date, inclusive) or whole ledger, and write the same
 answer texts.
 
-Plan shape: transactions are reduced to small per-account and
-per-(account, category) aggregates (partial aggregation, one shuffle each);
-questions join those aggregates, so no question ever touches raw rows.
+Plan shape: transactions are reduced once to per-(account, day, category)
+facts (partial aggregation, one shuffle); the daily series, trailing-window
+totals and per-category totals all derive from those facts, and questions
+join the small per-account aggregates, so no question touches raw rows.
 
 Citations stay normalised: every answer names a citation set (account,
 scope, category) and its size, and ``citation_sets`` lists each set's
@@ -53,19 +54,32 @@ def trailing_window(txns: DataFrame, days: int = DEFAULT_WINDOW_DAYS) -> DataFra
         .where(F.col("transaction_date") >= F.date_sub("_max_date", days)).drop("_max_date")
 
 
-def window_aggregates(txns: DataFrame, days: int = DEFAULT_WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
-    """(per-account window totals, per-(account, category) window totals).
+def ledger_facts(txns: DataFrame) -> DataFrame:
+    """(account_id, date, category, net, spend, rows, expense_rows).
 
-    Account level: net (G4), expense sum (G5), row and expense-row counts.
-    Category level: expense sum and row count (G6; income rows count too).
+    One partial-aggregated pass over the transactions; every figure the
+    answers need (daily nets, trailing-window totals, per-category totals)
+    derives from this table, whose size is bounded by accounts x days x
+    categories rather than by transaction volume.
     """
-    win = trailing_window(txns, days)
     neg = F.col("amount") < 0
+    return txns.groupBy("account_id", F.col("transaction_date").alias("date"), "category").agg(
+        F.sum("amount").alias("net"),
+        F.sum(F.when(neg, F.col("amount"))).alias("spend"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(neg, F.lit(1))).alias("expense_rows"),
+    )
+
+
+def window_from_facts(facts: DataFrame, days: int = DEFAULT_WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
+    """Trailing-window totals per account and per (account, category)."""
+    latest = facts.groupBy("account_id").agg(F.max("date").alias("_max_date"))
+    win = facts.join(latest, "account_id").where(F.col("date") >= F.date_sub("_max_date", days))
     by_cat = win.groupBy("account_id", "category").agg(
-        F.sum("amount").alias("cat_net"),
-        F.sum(F.when(neg, F.col("amount"))).alias("cat_spend"),
-        F.count(F.lit(1)).alias("cat_rows"),
-        F.count(F.when(neg, F.lit(1))).alias("cat_expense_rows"),
+        F.sum("net").alias("cat_net"),
+        F.sum("spend").alias("cat_spend"),
+        F.sum("rows").alias("cat_rows"),
+        F.sum("expense_rows").alias("cat_expense_rows"),
     )
     acct = by_cat.groupBy("account_id").agg(
         F.sum("cat_net").alias("net_window"),
@@ -76,6 +90,15 @@ def window_aggregates(txns: DataFrame, days: int = DEFAULT_WINDOW_DAYS) -> tuple
     return acct, by_cat.select("account_id", "category", "cat_spend", "cat_rows")
 
 
+def window_aggregates(txns: DataFrame, days: int = DEFAULT_WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
+    """(per-account window totals, per-(account, category) window totals).
+
+    Account level: net (G4), expense sum (G5), row and expense-row counts.
+    Category level: expense sum and row count (G6; income rows count too).
+    """
+    return window_from_facts(ledger_facts(txns), days)
+
+
 def citation_sets(txns: DataFrame, days: int = DEFAULT_WINDOW_DAYS, pos_col: str = "row_ord") -> DataFrame:
     """Transaction ids behind each citable set (O14), in input order.
 
@@ -114,8 +137,10 @@ def answer_questions(questions: DataFrame, txns: DataFrame, notes: DataFrame | N
     today = F.current_date() if as_of is None else (F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of)
     q = parse_questions(questions)
 
-    stats = fc.account_stats(txns)
-    acct_win, cat_win = window_aggregates(txns, window_days)
+    facts = ledger_facts(txns)
+    daily = facts.groupBy("account_id", "date").agg(F.sum("net").alias("net"))
+    stats = fc.stats_from_daily(daily)
+    acct_win, cat_win = window_from_facts(facts, window_days)
 
     hits = None
     top = None

@@ -77,7 +77,11 @@ def account_stats(txns: DataFrame, account_col: str | None = "account_id",
     (account_id, first_date, last_date, n_days, total_net, mean_daily_net,
     mean_daily_burn).
     """
-    daily = daily_net(txns, account_col, date_col, amount_col)
+    return stats_from_daily(daily_net(txns, account_col, date_col, amount_col))
+
+
+def stats_from_daily(daily: DataFrame) -> DataFrame:
+    """``account_stats`` from an (account_id, date, net) daily table."""
     stats = daily.groupBy("account_id").agg(
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),

@@ -27,6 +27,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Whole-stage functions above HotSpot's 8000-bytecode JIT limit run
+        # interpreted; let Spark fall back to per-operator codegen for them
+        # (the keyword categorizer's fused stage is one such function).
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
