@@ -16,6 +16,7 @@ which computes the same scores exactly.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import Iterable, Sequence
 
 import pandas as pd
@@ -70,24 +71,55 @@ def _category_blocks(pairs: Sequence[tuple[str, str]]) -> list[tuple[str, list[t
     return list(by_cat.items())
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@lru_cache(maxsize=32)
+def _score_sql(pairs: tuple[tuple[str, str], ...], text: str) -> tuple[tuple[str, str, str], ...]:
+    """Per category: (score SQL, first-match SQL, category) over column ``text``.
+
+    score = sum of the lengths of the category's keywords found in the text;
+    first = minus the lexicon position of its first found keyword (or null).
+    Written as SQL text so a lexicon of hundreds of keywords is one parse on
+    the driver instead of thousands of small expression objects.
+    """
+    out = []
+    for cat, kws in _category_blocks(pairs):
+        terms = [f"CASE WHEN contains({text}, {_sql_str(kw)}) THEN {float(len(kw))} ELSE 0.0 END" for _, kw in kws]
+        whens = " ".join(f"WHEN contains({text}, {_sql_str(kw)}) THEN {-pos}" for pos, kw in kws)
+        out.append((" + ".join(terms), f"CASE {whens} END", cat))
+    return tuple(out)
+
+
 def _score_columns(text: Column, pairs: Sequence[tuple[str, str]]) -> list[tuple[Column, Column, str]]:
-    """Per category: (score = sum of matched keyword lengths, -position of
-    its first matched keyword or null, category name). Plain arithmetic and
-    ``contains``, so the stage stays in whole-stage codegen."""
+    """Column form of ``_score_sql`` for an arbitrary text column."""
     out = []
     for cat, kws in _category_blocks(pairs):
         score = None
+        for pos, kw in kws:
+            sc = F.when(text.contains(F.lit(kw)), F.lit(float(len(kw)))).otherwise(F.lit(0.0))
+            score = sc if score is None else score + sc
         first = None
         for pos, kw in kws:
             hit = text.contains(F.lit(kw))
-            sc = F.when(hit, F.lit(float(len(kw)))).otherwise(F.lit(0.0))
-            score = sc if score is None else score + sc
-            p = F.when(hit, F.lit(-pos))
-            first = p if first is None else F.coalesce(first, p)
+            first = F.when(hit, F.lit(-pos)) if first is None else first.when(hit, F.lit(-pos))
         out.append((score, first, cat))
     return out
 
 
+def _fusion_barrier(c: Column) -> Column:
+    """Always 0.0, but evaluated by an interpreted (higher-order) function.
+
+    A projection holding such an expression is not fused into a whole-stage
+    method. The keyword scoring is a few hundred expressions; fused with its
+    neighbours it exceeds the JVM's 64 KB method limit, and Spark would retry
+    that failing compile on every query before falling back. Kept apart, it
+    is compiled as an ordinary split projection that the JIT handles well.
+    """
+    return F.size(F.filter(F.array(c), lambda x: F.lit(False))).cast("double")
+
+
 def _finish(best: Column, total: Column, amount: Column) -> Column:
     """Struct(category, confidence, rationale) from the best category struct
     (score, neg_pos, category) and the total score."""
@@ -148,18 +180,19 @@ def categorize(df: DataFrame, lexicon=None, description: str = "description",
         total = F.aggregate("_cat_scores", F.lit(0.0), lambda acc, x: acc + x["score"])
         staged = staged.withColumn("_cat_best", best).withColumn("_cat_total", total)
     else:
-        cols = _score_columns(F.col(t), pairs)
+        cols = _score_sql(tuple(pairs), t)
         names = [f"_cat_s{i}" for i in range(len(cols))]
         firsts = [f"_cat_p{i}" for i in range(len(cols))]
-        staged = staged.select("*", *[sc.alias(n) for (sc, _, _), n in zip(cols, names)],
-                               *[fp.alias(n) for (_, fp, _), n in zip(cols, firsts)])
+        staged = staged.select("*", *[F.expr(sc).alias(n) for (sc, _, _), n in zip(cols, names)],
+                               *[F.expr(fp).alias(n) for (_, fp, _), n in zip(cols, firsts)])
         structs = [F.struct(F.col(n).alias("score"), F.col(p).alias("neg_pos"), F.lit(c).alias("category"))
                    for n, p, (_, _, c) in zip(names, firsts, cols)]
         best = F.greatest(*structs) if len(structs) > 1 else structs[0]
         total = F.col(names[0])
         for n in names[1:]:
             total = total + F.col(n)
-        staged = staged.select(*df.columns, t, best.alias("_cat_best"), total.alias("_cat_total"))
+        staged = staged.select(*df.columns, t, best.alias("_cat_best"),
+                               (total + _fusion_barrier(F.col(names[0]))).alias("_cat_total"))
     staged = staged.withColumn(r, _finish(F.col("_cat_best"), F.col("_cat_total"), F.col(amount)))
     cols = []
     for c in df.columns:
