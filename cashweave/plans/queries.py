@@ -992,3 +992,32 @@ def q_model_rewrite_context(spark, sf_dir):
     from cashweave.operators.model_batches import rewrite_context
     answers, hits = _answers(spark, sf_dir)
     return rewrite_context(answers, hits)
+
+
+@register("transaction_records", f"""
+WITH l AS ({ORDERS_LEDGER_SQL}), {sq.categorize_cte('l')}
+SELECT l.row_ord, strftime(l.transaction_date, '%Y-%m-%d') AS transaction_date,
+       CAST(l.amount AS VARCHAR) AS amount, l.description, 'orders' AS source,
+       {sq.content_hash('l.transaction_date', 'l.amount', 'l.description')} AS raw_hash,
+       c.category, c.confidence AS ai_confidence_score
+FROM l JOIN cat c ON c.k = l.row_ord
+""")
+def q_transaction_records(spark, sf_dir):
+    from cashweave.operators.normalize import transaction_record
+    return transaction_record(categorized_orders(spark, sf_dir), keep=["row_ord"])
+
+
+@register("model_request_rows", f"""
+WITH l AS ({ORDERS_LEDGER_SQL}),
+n AS (SELECT account_id, count(*) AS n FROM l GROUP BY 1),
+b AS (SELECT l.*, CAST(('0x' || substr(md5(CAST(l.row_ord AS VARCHAR)), 1, 8)) AS BIGINT)
+                    % greatest(1, CAST(ceil(n.n / 5) AS BIGINT)) AS batch_id
+      FROM l JOIN n USING (account_id))
+SELECT account_id, batch_id,
+       row_number() OVER (PARTITION BY account_id, batch_id ORDER BY row_ord) - 1 AS "index", row_ord,
+       {sq.pii_mask('description')} AS description_masked, CAST(amount AS DOUBLE) AS amount
+FROM b
+""")
+def q_model_request_rows(spark, sf_dir):
+    rows, _ = _model_rows(spark, sf_dir)
+    return rows
