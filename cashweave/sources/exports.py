@@ -65,11 +65,17 @@ def _provenance(df: DataFrame, entry_ord: int) -> DataFrame:
     )
 
 
-def read_raw(spark: SparkSession, path: str, kind: str, entry_ord: int) -> DataFrame:
-    """All-string raw rows of one source entry, with provenance columns."""
+def read_raw(spark: SparkSession, path: str, kind: str, entry_ord: int,
+             multiline_csv: bool = False) -> DataFrame:
+    """All-string raw rows of one source entry, with provenance columns.
+
+    CSV is read splittable (large exports are parsed by many tasks; row
+    order survives as split start + position). ``multiline_csv`` allows
+    quoted fields with line breaks, at the price of one task per file.
+    """
     if kind == "csv":
         df = spark.read.option("header", True).option("enforceSchema", False) \
-            .option("multiLine", True).option("escape", '"').csv(path)
+            .option("multiLine", multiline_csv).option("escape", '"').csv(path)
         return _provenance(df, entry_ord)
     df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
     if "transactions" in df.columns:
@@ -85,7 +91,7 @@ def read_raw(spark: SparkSession, path: str, kind: str, entry_ord: int) -> DataF
 
 def read_exports(spark: SparkSession, sources: Sequence[str], source: str | None = None,
                  date_formats: Sequence[str] | None = None, on_error: str = "fail",
-                 keep: Iterable[str] = ()) -> DataFrame:
+                 keep: Iterable[str] = (), multiline_csv: bool = False) -> DataFrame:
     """Canonical transactions from bank exports.
 
     ``source`` tags every row (default: the file name without extension).
@@ -99,7 +105,7 @@ def read_exports(spark: SparkSession, sources: Sequence[str], source: str | None
         try:
             if not _fs_exists(spark, path):
                 raise IngestionError(f"File not found: {path}")
-            raw = read_raw(spark, path, _kind(path), i)
+            raw = read_raw(spark, path, _kind(path), i, multiline_csv)
             tag = F.lit(source) if source else F.regexp_replace(F.col("_file"), r"\.[^.]*$", "")
             frames.append(normalize(raw, source=tag, date_formats=date_formats,
                                     keep=("file_ord", "row_ord", *keep)))
