@@ -133,6 +133,20 @@ def _topk_rows(scores: np.ndarray, seqs: np.ndarray, k: int):
     return np.concatenate(out_r), np.concatenate(out_c)
 
 
+class _Inline:
+    """Stand-in for a broadcast variable where the session has none."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def _broadcast(spark, value):
+    try:
+        return spark.sparkContext.broadcast(value)
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
+        return _Inline(value)
+
+
 def _hashed_scorer(block, dim: int, k: int):
     """mapInPandas function scoring (seq, idx, cnt, sumsq) note batches
     against a broadcast question block (qids, counts matrix, norms)."""
@@ -209,7 +223,7 @@ def search_notes(notes: DataFrame, questions: DataFrame, k: int = DEFAULT_K,
         qids = np.array([r["question_id"] for r in rows], dtype=np.int64)
         qmat = _dense_counts([r["qemb"]["idx"] for r in rows], [r["qemb"]["cnt"] for r in rows], dim)
         qnorm = np.sqrt(np.array([r["qemb"]["sumsq"] for r in rows], dtype=np.float64))
-        block = spark.sparkContext.broadcast((qids, qmat.astype(np.float32), qnorm))
+        block = _broadcast(spark, (qids, qmat.astype(np.float32), qnorm))
         parts.append(note_vecs.mapInPandas(_hashed_scorer(block, dim, k), HIT_SCHEMA))
     if not parts:
         return spark.createDataFrame([], "question_id long, rank int, id string, text string, "
@@ -281,7 +295,7 @@ def search_vectors(items: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
         qmat = np.array([np.asarray(r["qvec"], dtype=np.float64) for r in rows])
         qn = np.sqrt((qmat * qmat).sum(axis=1))
         qmat = np.divide(qmat, qn[:, None], out=np.zeros_like(qmat), where=qn[:, None] > 0)
-        block = items.sparkSession.sparkContext.broadcast((qids, qmat))
+        block = _broadcast(items.sparkSession, (qids, qmat))
         parts.append(items.select("seq", F.col("vec")).mapInPandas(_dense_scorer(block, k), HIT_SCHEMA))
     hits = parts[0]
     for p in parts[1:]:

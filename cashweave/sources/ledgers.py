@@ -76,10 +76,12 @@ def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     has cores (a small table stored as one row group), so CPU-heavy narrow
     work (regexes, keyword scoring, embedding) runs on every core. Large
     tables already have many splits and pass through untouched."""
-    want = target or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = target or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect)
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
