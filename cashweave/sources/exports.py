@@ -43,6 +43,25 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _folder_kind(spark: SparkSession, path: str) -> str | None:
+    """Format of a folder entry from its files' suffixes (hidden files and
+    markers skipped); None when ``path`` is not a folder."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(p).isDirectory():
+        return None
+    kinds = set()
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() or name.startswith((".", "_")):
+            continue
+        kinds.add(_kind(name))
+    if len(kinds) != 1:
+        raise IngestionError(f"Folder {path} must hold files of one format, found {sorted(kinds) or 'none'}")
+    return kinds.pop()
+
+
 def _kind(path: str) -> str:
     low = path.lower().rstrip("/")
     if low.endswith(CSV_SUFFIXES):
@@ -105,7 +124,8 @@ def read_exports(spark: SparkSession, sources: Sequence[str], source: str | None
         try:
             if not _fs_exists(spark, path):
                 raise IngestionError(f"File not found: {path}")
-            raw = read_raw(spark, path, _kind(path), i, multiline_csv)
+            kind = None if any(ch in path for ch in "*?[") else _folder_kind(spark, path)
+            raw = read_raw(spark, path, kind or _kind(path), i, multiline_csv)
             tag = F.lit(source) if source else F.regexp_replace(F.col("_file"), r"\.[^.]*$", "")
             frames.append(normalize(raw, source=tag, date_formats=date_formats,
                                     keep=("file_ord", "row_ord", *keep)))

@@ -37,3 +37,35 @@ def test_dedup_idempotent(spark, samples):
     once = deduplicate(union, order_by=["file_ord", "row_ord"])
     twice = deduplicate(once, order_by=["file_ord", "row_ord"])
     assert sorted(r.raw_hash for r in once.collect()) == sorted(r.raw_hash for r in twice.collect())
+
+
+def test_keep_first_across_file_splits(spark, tmp_path):
+    """A file read by several tasks still keeps its earliest copy."""
+    n = 4000
+    lines = ["Date,Description,Amount,Ref"]
+    for i in range(2 * n):
+        j = i % n                      # rows j and j + n carry the same content
+        lines.append(f"03/{1 + j % 28:02d}/2026,MERCHANT {j} LONG DESCRIPTION TEXT,-{j}.25,{i}")
+    p = tmp_path / "big.csv"
+    p.write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        union = read_exports(spark, [str(p)], keep=("Ref",))
+        assert union.rdd.getNumPartitions() > 4
+        kept = deduplicate(union, order_by=["file_ord", "row_ord"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(kept) == n
+    assert all(int(r.Ref) < n for r in kept)
+
+
+def test_directory_entry_and_skip(spark, tmp_path, samples):
+    import shutil
+    d = tmp_path / "cards"
+    d.mkdir()
+    shutil.copy(samples["chase"], d / "a.csv")
+    shutil.copy(samples["chase"], d / "b.csv")
+    rows = read_exports(spark, [str(d), str(tmp_path / "missing.csv")], on_error="skip").collect()
+    assert len(rows) == 14
+    assert {r.source for r in rows} == {"a", "b"}
