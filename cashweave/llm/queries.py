@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashweave.llm import decontaminate, language_id, line_dedup, packing, simhash
-from cashweave.llm.common import table
+from cashweave.llm import decontaminate, html_text, language_id, line_dedup, packing, simhash, token_counts, token_files, topk_search, warc
+from cashweave.llm.common import stored, table
+from cashweave.llm.token_ids import default_tokenizer
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_coded(token_files.write_coded(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_no")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     trees = language_id.fit(docs.filter(~language_id.held_out()))
@@ -29,12 +39,31 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document of the flat files: its number in the order of ``doc_id``,
+    the ids before it and its own; ``doc_id`` from that order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    end = token_files.end_of_document(default_tokenizer())
+    found = token_counts.counts(token_files.write_flat(docs), end, token_files.flat_type(end))
+    return found.join(token_counts.ordinals(docs), "ordinal").select("doc_id", "ordinal", "start", "n_tokens")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
                        F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = stored(topk_search.integer_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), "vectors")
+    return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")) \
+        .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,7 +74,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_language_id, op5_simhash, op7_line_dedup, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_token_files, op3_warc, op4_language_id, op5_simhash, op6_token_counts, op7_line_dedup,
+    op8_topk_search, op9_main_text, op10_packing, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

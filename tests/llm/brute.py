@@ -98,3 +98,32 @@ def drop_lines(docs, min_chars=20, min_docs=3):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def top_k(vectors, k=10):
+    """{query: [(vec_id, score)]} for {vec_id: list of float} and queries 0 mod 100."""
+    import numpy as np
+
+    ids = sorted(vectors)
+    v = np.array([[int(np.floor(1024 * float(x))) for x in vectors[i]] for i in ids], np.int64)
+    out = {}
+    for row, q in zip(v, ids):
+        if q % 100 == 0:
+            scores = (v @ row).tolist()
+            out[q] = sorted(((i, s) for i, s in zip(ids, scores) if i != q), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def warc_rows(pages):
+    """{page_id: (bytes, digest, type, refers_to)} from (page_id, html)."""
+    import base64
+
+    first = {}
+    for page_id, html in sorted(pages):
+        first.setdefault((html or "").encode(), page_id)
+    out = {}
+    for page_id, html in pages:
+        p = (html or "").encode()
+        out[page_id] = (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(),
+                        *(("response", None) if first[p] == page_id else ("revisit", first[p])))
+    return out
