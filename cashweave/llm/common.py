@@ -49,6 +49,13 @@ def ascii_lower(text):
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc`` (the whole row), ``doc_id, text, doc_no, doc_key``: further
+    columns, whatever their names, can't clash with those of an operator."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs["doc_id"], docs["text"]) \
+        .withColumns({"doc_no": doc_no(), "doc_key": doc_key()})
+
+
 def doc_key(doc_id="doc_id", text="text"):
     """With the id, tells rows apart that share an id or have none; equal rows
     share it, so results for them are equal."""

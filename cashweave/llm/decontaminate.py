@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cashweave.llm.common import ascii_lower, doc_key, doc_no, small_side, stored
+from cashweave.llm.common import ascii_lower, doc_key, doc_no, packed, small_side, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -173,6 +173,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
     """The documents that are not contaminated, all their columns."""
-    bad = contamination(docs.select("doc_id", "text"), items, window, share).filter("contaminated") \
-        .select(F.col("doc_no").alias("__no"), F.col("doc_key").alias("__key"))
-    return docs.join(bad, (doc_no() == F.col("__no")) & (doc_key() == F.col("__key")), "left_anti")
+    bad = contamination(docs.select("doc_id", "text"), items, window, share).filter("contaminated").select(*DOC)
+    return packed(docs).join(bad, DOC, "left_anti").select("doc.*")

@@ -37,6 +37,7 @@ from cashweave.llm.common import small_side, stored
 MERGE = 256
 BROADCAST_HOSTS = 20_000
 MAX_PERIOD = 24          # tokens of the longest group looked for as a repetition
+LOOSE = 4                # kind of region of text outside any named one
 MAX_DEPTH = 40           # ancestors kept in a slot's path
 
 # HTML's element kinds.
@@ -222,7 +223,7 @@ def _same_groups(one: list[list], other: list[list]) -> list[list]:
 
 def region_of(path: str) -> int:
     """0 boilerplate; else the kind of region, the lower the better."""
-    kind = 4
+    kind = LOOSE
     inside = False
     for mark in path.split(" "):
         tag, *words = re.split(r"(?=[.@])", mark)
@@ -257,6 +258,17 @@ def slots_of(wrapper: list[list]) -> set[str]:
     return paths
 
 
+def _has_slot(slots: set[str], path: str) -> bool:
+    """Whether a page's slot is one of the wrapper's, optional ancestors left out."""
+    marks = path.split(" ")
+
+    def within(slot: str) -> bool:
+        rest = iter(slot.split(" "))
+        return all(m in rest for m in marks)
+
+    return path in slots or any(within(slot) for slot in slots)
+
+
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
@@ -321,8 +333,8 @@ def wrappers_of(folded: DataFrame) -> DataFrame:
                 slots = slots_of(json.loads(r.value))
                 kinds = {}
                 for p in r.paths if r.paths is not None else []:
-                    kind = region_of(p["value"]) if p["value"] in slots else 0
-                    if kind == 4 and p["links"] > 0.5 * p["chars"]:
+                    kind = region_of(p["value"]) if _has_slot(slots, p["value"]) else 0
+                    if kind == LOOSE and p["links"] > 0.5 * p["chars"]:
                         kind = 0
                     if kind:
                         kinds[p["value"]] = kind
@@ -350,7 +362,8 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                         known.clear()
                     known[slots] = json.loads(slots or "{}")
                 kinds = known[slots]
-                found = [(kinds.get(path, 0), text) for path, text, _ in blocks_of(page)[1]]
+                found = [(kinds.get(path, 0), text) for path, text, linked in blocks_of(page)[1]
+                         if kinds.get(path) != LOOSE or linked <= 0.5 * len(text)]
                 held = {k for k, _ in found if k}
                 want = best if best in held else min(held, default=-1)
                 texts.append("\n\n".join(text for k, text in found if k == want))

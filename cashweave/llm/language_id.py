@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cashweave.llm.common import packed
+
 ORDER = 3
 ROWS_PER_LANGUAGE = 2000
 LANGUAGES = 64
@@ -170,26 +172,25 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languag
 
 
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:
-    """All columns of ``docs`` plus ``__lang`` and ``__score``."""
-    rows = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = rows.drop("__letters").schema.add("__lang", "string").add("__score", "double")
-    at = rows.columns.index("text")
+    """``doc`` (the whole row), ``lang_pred`` and ``score`` of every row."""
+    rows = packed(docs).select("doc", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    schema = rows.select("doc").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         for b in batches:
-            letters = np.array(b.column(b.num_columns - 1).to_pylist(), bool)
+            letters = np.array(b.column(2).to_pylist(), bool)
             lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
             which = np.flatnonzero(letters) if trees.languages else []
             if len(which):
-                texts = [t.encode("utf-8", "surrogatepass") for t in b.column(at).take(pa.array(which)).to_pylist()]
+                texts = [t.encode("utf-8", "surrogatepass") for t in b.column(1).take(pa.array(which)).to_pylist()]
                 bits = trees.bits(texts)
                 best = bits.argmin(1)
                 over = np.minimum(bits - bits.min(1, keepdims=True), 1000)
                 score[which] = 1 / np.exp2(-over).sum(1)
                 for i, k in zip(which, best):
                     lang[i] = trees.languages[k]
-            arrays = [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[:-1], "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             ["doc", "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 

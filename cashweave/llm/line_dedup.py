@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cashweave.llm.common import ascii_lower, doc_key, doc_no, scratch_dir, stored
+from cashweave.llm.common import ascii_lower, doc_key, doc_no, packed, scratch_dir, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -97,8 +97,8 @@ def batches_of(docs: DataFrame, batches: int) -> list[DataFrame]:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES,
                 runs: LineRuns | None = None) -> DataFrame:
-    """All columns of ``docs`` with ``text`` replaced by the lines that stay,
-    plus ``n_lines`` (before) and ``n_dropped``, prefixed ``__`` here."""
+    """``doc`` (the whole row), ``text`` (the lines that stay), ``n_lines``
+    (before) and ``n_dropped`` of every row."""
     runs = runs or LineRuns(docs.sparkSession)
     ids = docs.select("doc_id", "text")
     for batch in batches_of(ids, batches):
@@ -107,16 +107,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lines = keyed_lines(ids, min_chars)
     stay = lines.join(drop, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2"))
                       & ~F.col("doc_id").eqNullSafe(F.col("keeper")), "left_anti")
-    kept = stay.groupBy(*DOC).agg(F.collect_set("pos").alias("__stay")) \
-        .select(F.col("doc_no").alias("__no"), F.col("doc_key").alias("__key"), "__stay")
-    joined = docs.join(kept, (doc_no() == F.col("__no")) & (doc_key() == F.col("__key")), "left")
-    all_lines = lines_of(F.col("text"))
-    numbered = joined.withColumn("__lines", all_lines) \
-        .withColumn("__all", F.sequence(F.lit(0), F.size("__lines") - 1)) \
-        .withColumn("__long", F.filter("__all", lambda i: F.length(line_key(F.get("__lines", i))) >= min_chars))
-    gone = F.array_except("__long", F.coalesce("__stay", F.array().cast("array<int>")))
-    left = numbered.withColumn("__left", F.array_except("__all", gone))
-    text = F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n")
-    return left.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-                       F.size("__lines").cast("long").alias("__n_lines"),
-                       (F.size("__lines") - F.size("__left")).cast("long").alias("__n_dropped"))
+    kept = stay.groupBy(*DOC).agg(F.collect_set("pos").alias("stay"))
+    numbered = packed(docs).join(kept, DOC, "left").withColumn("lines", lines_of(F.col("text"))) \
+        .withColumn("every", F.sequence(F.lit(0), F.size("lines") - 1)) \
+        .withColumn("long", F.filter("every", lambda i: F.length(line_key(F.get("lines", i))) >= min_chars))
+    gone = F.array_except("long", F.coalesce("stay", F.array().cast("array<int>")))
+    left = numbered.withColumn("left", F.array_except("every", gone))
+    return left.select("doc", F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n").alias("text"),
+                       F.size("lines").cast("long").alias("n_lines"),
+                       (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"))

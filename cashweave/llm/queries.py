@@ -30,8 +30,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     trees = language_id.fit(docs.filter(~language_id.held_out()))
     return language_id.predict(docs.select("doc_id", "text"), trees).select(
-        "doc_id", language_id.held_out().alias("held_out"), F.col("__lang").alias("lang_pred"),
-        F.col("__score").alias("score"))
+        "doc.doc_id", language_id.held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +49,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
-                       F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+    return kept.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

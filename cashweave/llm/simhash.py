@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cashweave.llm.common import doc_key, doc_no, stored
+from cashweave.llm.common import doc_key, doc_no, packed, stored
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -176,9 +176,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, seg
     named = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_no").agg(F.min("doc_key").alias("doc_key"))
     nameless = found.filter(F.col("component_id").isNull()).groupBy("fp") \
         .agg(F.min(F.struct("doc_no", "doc_key")).alias("k")).select("k.doc_no", "k.doc_key")
-    winners = named.select("doc_no", "doc_key").union(nameless).distinct() \
-        .select(F.col("doc_no").alias("__no"), F.col("doc_key").alias("__key"))
-    kept = docs.withColumns({"__n": doc_no(), "__k": doc_key()}) \
-        .join(winners, (F.col("__n") == F.col("__no")) & (F.col("__k") == F.col("__key")), "left_semi")
-    one = Window.partitionBy("__n", "__k").orderBy(F.lit(0))
-    return kept.withColumn("__row", F.row_number().over(one)).filter("__row = 1").select(*docs.columns)
+    winners = named.select("doc_no", "doc_key").union(nameless).distinct()
+    one = Window.partitionBy("doc_no", "doc_key").orderBy(F.lit(0))
+    return packed(docs).join(winners, ["doc_no", "doc_key"], "left_semi") \
+        .withColumn("copy", F.row_number().over(one)).filter("copy = 1").select("doc.*")

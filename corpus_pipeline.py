@@ -16,14 +16,15 @@ from cashweave.llm.common import scratch_dir, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identifiable language (null text, no letter) go."""
-    found = language_id.identify(docs)
-    return found.filter(F.col("__lang") != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.identify(docs).filter(F.col("lang_pred") != language_id.UNKNOWN).select("doc.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines held by many documents stay in one; ``n_chars`` follows the text."""
-    kept = line_dedup.dedup_lines(docs).select(*docs.columns)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return line_dedup.dedup_lines(docs).select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
