@@ -80,6 +80,12 @@ def _mark(tag: str, attrs: str) -> str:
     return tag + "".join(dict.fromkeys(found))
 
 
+def _path(marks: list[str]) -> str:
+    """The ancestors of a slot, equal ones in a row once."""
+    near = marks[-MAX_DEPTH:]
+    return " ".join(m for k, m in enumerate(near) if not k or m != near[k - 1])
+
+
 def blocks_of(html: str | None) -> tuple[list[str], list[tuple[str, str, int]]]:
     """Token stream, and the text blocks as (path, text, characters in links)."""
     tokens: list[str] = []
@@ -93,7 +99,7 @@ def blocks_of(html: str | None) -> tuple[list[str], list[tuple[str, str, int]]]:
             whole = " ".join(html_lib.unescape("".join(text)).split())
             text.clear()
             if whole:
-                path = " ".join(m for _, m in stack[-MAX_DEPTH:])
+                path = _path([m for _, m in stack])
                 tokens.append("#")
                 blocks.append((path, whole, min(links[1], len(whole))))
         links[1] = 0
@@ -248,7 +254,7 @@ def slots_of(wrapper: list[list]) -> set[str]:
     paths = set()
     for token in " ".join(t for t, _ in wrapper).replace("(", "").replace(")+", "").split(" "):
         if token == "#":
-            paths.add(" ".join(stack[-MAX_DEPTH:]))
+            paths.add(_path(stack))
         elif token.startswith("<"):
             if token[1:].split(".")[0].split("@")[0] not in VOID:
                 stack.append(token[1:])
