@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cashweave.schema import AMOUNT_STRIP_CHARS, AMOUNT_TYPE, NULL_AMOUNT_TOKENS
+from cashweave.functions.numeric import py_round
 from cashweave.functions.text import py_strip
 
 _STRIP_CLASS = "[" + "".join("\\" + ch if ch in "\\^]-[" else ch for ch in AMOUNT_STRIP_CHARS) + "]"
@@ -34,12 +35,33 @@ def coerce_amount(c: Column | str, dtype: T.DecimalType = AMOUNT_TYPE, trimmed:
         .when(negative, -value).otherwise(value)
 
 
+def inexact_amount(c: Column | str, amount: Column | str, dtype: T.DecimalType = AMOUNT_TYPE) -> Column:
+    """Whether text that is a number does not fit the amount type exactly:
+    too large (``amount`` is null) or of too many decimals. Such rows are
+    rejected with a reason, never rounded."""
+    col = F.col(c) if isinstance(c, str) else c
+    got = F.col(amount) if isinstance(amount, str) else amount
+    digits = F.regexp_replace(col, r"[^0-9.eE+-]", "")
+    number = digits.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    too_fine = digits.rlike(rf"\.[0-9]{{{dtype.scale}}}[0-9]*[1-9]")
+    lost = digits.rlike("[eE]-") & (F.abs(got.cast("double")) != F.abs(digits.try_cast("double")))
+    return F.coalesce(number & (got.isNull() | too_fine | lost), F.lit(False))
+
+
+def plain_amount_text(amount: Column | str) -> Column:
+    """All digits of a decimal, never in scientific form, in any session."""
+    col = F.col(amount) if isinstance(amount, str) else amount
+    return F.regexp_replace(F.format_number(col, AMOUNT_TYPE.scale), ",", "")
+
+
 def canon_amount_text(amount: Column | str) -> Column:
     """Decimal as plain text without trailing zeros: 4200.00 -> "4200" (X4)."""
-    col = F.col(amount) if isinstance(amount, str) else amount
-    s = col.cast("string")
-    s = F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1")
-    return F.regexp_replace(s, r"\.$", "")
+    return F.regexp_replace(plain_amount_text(amount), r"\.?0+$", "")
+
+
+def record_amount_text(amount: Column | str) -> Column:
+    """Decimal as plain text, two decimals at least: "4200.00", "4200.005" (P4)."""
+    return F.regexp_replace(plain_amount_text(amount), r"(\.[0-9]{2}[0-9]*?)0+$", "$1")
 
 
 def money_text(x: Column | str) -> Column:
@@ -49,6 +71,7 @@ def money_text(x: Column | str) -> Column:
 
 
 def percent_text(x: Column | str) -> Column:
-    """Python's f"{float(x or 0):.0%}" (X29); null counts as 0."""
+    """Python's f"{float(x or 0):.0%}" (X29); null counts as 0, ties go to even."""
     col = F.col(x) if isinstance(x, str) else x
-    return F.format_string("%.0f%%", F.coalesce(col.cast("double"), F.lit(0.0)) * 100)
+    share = py_round(F.coalesce(col.cast("double"), F.lit(0.0)) * 100, 0)
+    return F.concat(share.cast("long").cast("string"), F.lit("%"))

@@ -52,33 +52,3 @@ def with_embedding(df: DataFrame, text: str, out: str = "embedding",
     staged = staged.withColumn(out, F.struct(idx.alias("idx"), cnt.alias("cnt")))
     sumsq = F.aggregate(F.col(out)["cnt"], F.lit(0).cast("long"), lambda acc, c: acc + c * c)
     return staged.withColumn(out, F.col(out).withField("sumsq", sumsq)).drop(b, n, e)
-
-
-def dense_embedding(sparse: Column, dim: int = DEFAULT_EMBED_DIM) -> Column:
-    """array<double> of length ``dim``: counts / norm, zeros when empty."""
-    m = F.map_from_arrays(sparse["idx"], sparse["cnt"])
-    norm = F.sqrt(sparse["sumsq"].cast("double"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.when(norm > 0, F.coalesce(F.element_at(m, i), F.lit(0)).cast("double") / norm)
-        .otherwise(F.lit(0.0)))
-
-
-def sparse_weights(sparse: Column) -> Column:
-    """Normalised weights aligned with ``sparse.idx``."""
-    norm = F.sqrt(sparse["sumsq"].cast("double"))
-    return F.transform(sparse["cnt"], lambda c: c.cast("double") / norm)
-
-
-def cosine_dense(a: Column, b: Column) -> Column:
-    """Dot product of two vectors; empty or unequal lengths give 0.0."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    ok = (F.size(a) > 0) & (F.size(a) == F.size(b))
-    return F.when(ok, dot).otherwise(F.lit(0.0))
-
-
-def l2_normalize(v: Column) -> Column:
-    """Unit vector; a zero vector stays zero."""
-    sq = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    norm = F.sqrt(sq)
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))

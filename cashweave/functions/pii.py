@@ -1,11 +1,8 @@
-"""Personal-data masking (X7, X8) as chained native ``regexp_replace``.
+"""Masking of personal data.
 
-The fixed patterns in ``cashweave.schema.PII_PATTERNS`` are written in the
-original Python ``re`` form. Java's ``\\w``/``\\d``/``\\b`` differ from
-Python's for non-ASCII text, so each pattern is spelled out below with
-explicit Unicode classes: a word character is a letter, a number or ``_``
-(Python's ``str.isalnum() or "_"``), a digit is ``\\p{Nd}``, and ``\\b`` is
-the look-around pair it stands for. The replacement order is fixed.
+Five patterns, applied in this order, as ``regexp_replace``. Word characters,
+digits and word boundaries are spelled out as Unicode classes, so that they
+match what Python's ``re`` matches.
 """
 
 from __future__ import annotations
@@ -18,7 +15,7 @@ _D = r"\p{Nd}"
 _B_BEFORE_WORD = rf"(?<!{_W})"
 _B = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
-# Same patterns, same order as schema.PII_PATTERNS, in Java syntax.
+# The patterns and their order, with Python's Unicode classes.
 JAVA_PII_PATTERNS: tuple[tuple[str, str], ...] = (
     (rf"[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+", "[EMAIL]"),
     (rf"{_B_BEFORE_WORD}{_D}{{3}}-{_D}{{2}}-{_D}{{4}}{_B}", "[SSN]"),

@@ -26,9 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashweave.functions.amounts import money_text
+from cashweave.functions.numeric import py_round
 from cashweave.functions.questions import question_amount, question_category, route_intent
 from cashweave.operators import forecast as fc
+from cashweave.operators.accounts import with_account
 from cashweave.operators.notes import DEFAULT_K, search_notes
+from cashweave.schema import GENERAL_INTENT
 
 DEFAULT_WINDOW_DAYS = 30
 RUNWAY_HORIZON = 180
@@ -49,6 +52,7 @@ def trailing_window(txns: DataFrame, days: int = DEFAULT_WINDOW_DAYS) -> DataFra
     otherwise shuffle-joins with skew splitting, so a hot account is split
     across tasks instead of landing in one window partition.
     """
+    txns = with_account(txns)
     latest = txns.groupBy("account_id").agg(F.max("transaction_date").alias("_max_date"))
     return txns.join(latest, "account_id") \
         .where(F.col("transaction_date") >= F.date_sub("_max_date", days)).drop("_max_date")
@@ -63,7 +67,7 @@ def ledger_facts(txns: DataFrame) -> DataFrame:
     categories rather than by transaction volume.
     """
     neg = F.col("amount") < 0
-    return txns.groupBy("account_id", F.col("transaction_date").alias("date"), "category").agg(
+    return with_account(txns).groupBy("account_id", F.col("transaction_date").alias("date"), "category").agg(
         F.sum("amount").alias("net"),
         F.sum(F.when(neg, F.col("amount"))).alias("spend"),
         F.count(F.lit(1)).alias("rows"),
@@ -73,8 +77,9 @@ def ledger_facts(txns: DataFrame) -> DataFrame:
 
 def window_from_facts(facts: DataFrame, days: int = DEFAULT_WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
     """Trailing-window totals per account and per (account, category)."""
-    latest = facts.groupBy("account_id").agg(F.max("date").alias("_max_date"))
-    win = facts.join(latest, "account_id").where(F.col("date") >= F.date_sub("_max_date", days))
+    # over facts, not rows: an account's partition is bounded by the calendar
+    latest = F.max("date").over(Window.partitionBy("account_id"))
+    win = facts.withColumn("_max_date", latest).where(F.col("date") >= F.date_sub("_max_date", days))
     by_cat = win.groupBy("account_id", "category").agg(
         F.sum("net").alias("cat_net"),
         F.sum("spend").alias("cat_spend"),
@@ -106,15 +111,13 @@ def citation_sets(txns: DataFrame, days: int = DEFAULT_WINDOW_DAYS, pos_col: str
     "window", window expenses under "window_expenses", and window rows per
     category under "window_category".
     """
-    win = trailing_window(txns, days).select("account_id", "category", "amount", "raw_hash",
-                                             F.col(pos_col).alias("pos"))
-    all_rows = win.select("account_id", F.lit(SCOPE_WINDOW).alias("scope"),
-                          F.lit(None).cast("string").alias("category"), "raw_hash", "pos")
-    expenses = win.where(F.col("amount") < 0).select(
-        "account_id", F.lit(SCOPE_WINDOW_EXPENSES).alias("scope"), F.lit(None).cast("string").alias("category"),
-        "raw_hash", "pos")
-    by_cat = win.select("account_id", F.lit(SCOPE_WINDOW_CATEGORY).alias("scope"), "category", "raw_hash", "pos")
-    return all_rows.unionByName(expenses).unionByName(by_cat)
+    none = F.lit(None).cast("string")
+    scopes = F.array_compact(F.array(
+        F.struct(F.lit(SCOPE_WINDOW).alias("scope"), none.alias("category")),
+        F.when(F.col("amount") < 0, F.struct(F.lit(SCOPE_WINDOW_EXPENSES).alias("scope"), none.alias("category"))),
+        F.struct(F.lit(SCOPE_WINDOW_CATEGORY).alias("scope"), F.col("category").alias("category"))))
+    rows = trailing_window(txns, days).select("account_id", "raw_hash", F.col(pos_col).alias("pos"), F.explode(scopes).alias("s"))
+    return rows.select("account_id", "s.scope", "s.category", "raw_hash", "pos")
 
 
 def parse_questions(questions: DataFrame, text: str = "question") -> DataFrame:
@@ -126,7 +129,7 @@ def parse_questions(questions: DataFrame, text: str = "question") -> DataFrame:
 
 def answer_questions(questions: DataFrame, txns: DataFrame, notes: DataFrame | None = None,
                      window_days: int = DEFAULT_WINDOW_DAYS, as_of: str | Column | None = None,
-                     k: int = DEFAULT_K, dim: int = 256) -> tuple[DataFrame, DataFrame | None]:
+                     k: int = DEFAULT_K, dim: int = 256, embed=None) -> tuple[DataFrame, DataFrame | None]:
     """Answer every question against its account's transactions.
 
     Returns ``(answers, hits)``. ``answers``: question_id, account_id,
@@ -135,6 +138,9 @@ def answer_questions(questions: DataFrame, txns: DataFrame, notes: DataFrame | N
     None without a note store).
     """
     today = F.current_date() if as_of is None else (F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of)
+    if "account_id" not in txns.columns:        # one ledger, whatever the questions say
+        questions = questions.drop("account_id")
+    questions = with_account(questions)
     q = parse_questions(questions)
 
     facts = ledger_facts(txns)
@@ -145,8 +151,9 @@ def answer_questions(questions: DataFrame, txns: DataFrame, notes: DataFrame | N
     hits = None
     top = None
     if notes is not None:
-        hits = search_notes(notes, questions.select("question_id", "question"), k=k, dim=dim)
-        top = hits.where(F.col("rank") == 1).select(
+        hits = search_notes(notes, questions.select("question_id", "question"), k=k, dim=dim, embed=embed)
+        general = q.where(F.col("intent") == GENERAL_INTENT).select("question_id", "question")
+        top = search_notes(notes, general, k=1, dim=dim, embed=embed).select(
             "question_id", F.col("id").alias("note_id"), F.col("text").alias("note_text"),
             F.coalesce(F.element_at("metadata", F.lit("type")), F.lit("note")).alias("note_type"))
 
@@ -264,25 +271,27 @@ def answer_citations(answers: DataFrame, sets: DataFrame, first_n: int | None =
             F.col("a.cite_category").eqNullSafe(F.col("c.category"))]
     joined = a.join(c, cond).select(F.col("a.question_id"), F.col("c.raw_hash").alias("cite_id"), F.col("c.pos"))
     notes = answers.where(F.col("cite_scope") == SCOPE_NOTE).select(
-        "question_id", F.col("note_id").alias("cite_id"), F.lit(0).cast("long").alias("pos"))
+        "question_id", F.col("note_id").alias("cite_id"), F.lit(None).cast(joined.schema["pos"].dataType).alias("pos"))
     return joined.unionByName(notes)
 
 
 def citation_integrity(sets: DataFrame, txns: DataFrame) -> DataFrame:
-    """Cited transaction ids missing from the ledger (J6): must be zero."""
-    missing = sets.select("raw_hash").join(txns.select("raw_hash"), "raw_hash", "left_anti")
+    """Citations of transactions that their ledger does not hold."""
+    held = with_account(txns).select("account_id", "raw_hash")
+    missing = with_account(sets).select("account_id", "raw_hash").join(held, ["account_id", "raw_hash"], "left_anti")
     return missing.agg(F.count(F.lit(1)).alias("missing_citations"))
 
 
-def answers_json(answers: DataFrame, hits: DataFrame | None, sets: DataFrame, first_n: int = 3) -> DataFrame:
-    """JSON record per answer (K4): question, answer, citation set and its
-    first ids, retrieved notes (scores rounded to 3), intent, backend."""
+def answers_json(answers: DataFrame, hits: DataFrame | None, sets: DataFrame, first_n: int | None = None) -> DataFrame:
+    """JSON record per answer (K4): question, answer, the citation set and the
+    ids in it (all, or the first ``first_n`` for display), retrieved notes
+    (scores rounded to 3 as Python rounds), intent, backend."""
     firsts = answer_citations(answers, sets, first_n=first_n) \
         .groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "cite_id"))).alias("_c"))
     a = answers.join(firsts, "question_id", "left")
     if hits is not None:
         h = hits.groupBy("question_id").agg(F.sort_array(F.collect_list(
-            F.struct("rank", "id", F.round("score", 3).alias("score"), "text"))).alias("_h"))
+            F.struct("rank", "id", py_round(F.col("score"), 3).alias("score"), "text"))).alias("_h"))
         a = a.join(h, "question_id", "left")
     else:
         a = a.withColumn("_h", F.lit(None).cast("array<struct<rank:int,id:string,score:double,text:string>>"))
@@ -290,7 +299,7 @@ def answers_json(answers: DataFrame, hits: DataFrame | None, sets: DataFrame, fi
         "question", "answer",
         F.struct(F.col("cite_scope").alias("scope"), F.col("cite_category").alias("category"),
                  F.col("n_citations").alias("count"),
-                 F.transform(F.coalesce("_c", F.array()), lambda x: x["cite_id"]).alias("first_ids"))
+                 F.transform(F.coalesce("_c", F.array()), lambda x: x["cite_id"]).alias("ids"))
         .alias("citations"),
         F.transform(F.coalesce("_h", F.array()), lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"),
                                                                      x["text"].alias("text")))

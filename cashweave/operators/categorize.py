@@ -7,19 +7,18 @@ Confidence = min(0.99, 0.55 + best/total * 0.4) rounded to 3 places the way
 Python rounds floats (``py_round``). No match:
 ("Income", 0.55) for a positive amount, else ("Uncategorized", 0.30).
 
-The lexicon is small and fixed per job, so it is compiled into column
-expressions: the whole categorizer is one narrow projection with no shuffle,
-no join and no Python worker. Only a very large user lexicon (beyond what fits
-comfortably into generated code) takes the Aho-Corasick pandas UDF path,
-which computes the same scores exactly.
+A lexicon is configuration: it becomes column expressions, so the whole
+categorizer is one narrow projection with no shuffle, no join and no Python
+worker. A long one becomes a constant array of keywords instead of generated
+code, with equal results.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
-from typing import Iterable, Sequence
+from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +27,7 @@ from cashweave.functions.numeric import py_round
 from cashweave.schema import KEYWORD_LEXICON, TAX_CATEGORIES
 
 RULES_METHOD = "rules"
-EXPRESSION_LEXICON_LIMIT = 400  # keywords compiled to expressions; above: automaton path
+EXPRESSION_LEXICON_LIMIT = 400  # keywords compiled to expressions; longer lists become one array, with equal results
 
 RESULT_TYPE = T.StructType([
     T.StructField("category", T.StringType(), False),
@@ -42,11 +41,7 @@ def _lexicon_pairs(lexicon) -> list[tuple[str, str]]:
     if lexicon is None:
         return list(KEYWORD_LEXICON)
     if isinstance(lexicon, DataFrame):
-        # The lexicon is configuration, not data: bounded by construction and
-        # checked here before it is brought to the driver.
-        n = lexicon.count()
-        if n > 1_000_000:
-            raise ValueError(f"lexicon has {n} rows; expected a keyword list")
+        # a keyword list is configuration and becomes part of the plan
         rows = lexicon.select("keyword", "category").orderBy(
             *(["ord"] if "ord" in lexicon.columns else ["keyword"])).collect()
         pairs = [(r["keyword"], r["category"]) for r in rows]
@@ -147,7 +142,7 @@ def classify_column(description: Column | str, amount: Column | str, lexicon=Non
     pairs = _lexicon_pairs(lexicon)
     text = F.lower(F.coalesce(d.cast("string"), F.lit("")))
     if len(pairs) > EXPRESSION_LEXICON_LIMIT:
-        scores = _automaton_scores(pairs)(text)
+        scores = _array_scores(text, pairs)
         best = F.array_max(scores)
         total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x["score"])
         return _finish(best, total, a)
@@ -175,7 +170,7 @@ def categorize(df: DataFrame, lexicon=None, description: str = "description",
     t, r = "_cat_text", "_cat_result"
     staged = df.withColumn(t, F.lower(F.coalesce(F.col(description).cast("string"), F.lit(""))))
     if len(pairs) > EXPRESSION_LEXICON_LIMIT:
-        staged = staged.withColumn("_cat_scores", _automaton_scores(pairs)(F.col(t)))
+        staged = staged.withColumn("_cat_scores", _array_scores(F.col(t), pairs))
         best = F.array_max("_cat_scores")
         total = F.aggregate("_cat_scores", F.lit(0.0), lambda acc, x: acc + x["score"])
         staged = staged.withColumn("_cat_best", best).withColumn("_cat_total", total)
@@ -213,58 +208,18 @@ def categorize(df: DataFrame, lexicon=None, description: str = "description",
     return staged.select(*cols)
 
 
-def taxonomy_frame(spark) -> DataFrame:
-    """The 18 categories with their priority order."""
-    return spark.createDataFrame(list(enumerate(TAX_CATEGORIES)), "ord int, category string")
+def _array_scores(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """array<struct<score, neg_pos, category>> of the categories found, from a
+    constant array of keywords: the form for long keyword lists, whose cost in
+    code does not grow with the list."""
+    words = json.dumps([{"k": k, "c": c, "p": p} for p, (k, c) in enumerate(pairs)])
+    keywords = F.from_json(F.lit(words), "array<struct<k:string,c:string,p:int>>")
+    hits = F.filter(keywords, lambda w: text.contains(w["k"]))
 
+    def scored(hits):
+        return F.transform(F.array_distinct(F.transform(hits, lambda w: w["c"])), lambda c: F.struct(
+            F.aggregate(F.filter(hits, lambda w: w["c"] == c), F.lit(0.0), lambda a, w: a + F.length(w["k"])).alias("score"),
+            (-F.array_min(F.transform(F.filter(hits, lambda w: w["c"] == c), lambda w: w["p"]))).alias("neg_pos"),
+            c.alias("category")))
 
-def lexicon_frame(spark, lexicon: Iterable[tuple[str, str]] = KEYWORD_LEXICON) -> DataFrame:
-    return spark.createDataFrame([(i, k, c) for i, (k, c) in enumerate(lexicon)],
-                                 "ord int, keyword string, category string")
-
-
-def _automaton_scores(pairs: Sequence[tuple[str, str]]):
-    """Pandas UDF scoring a large lexicon with one Aho-Corasick pass per text.
-
-    Returns the same array<struct<score, neg_pos, category>> as the
-    expression path (one entry per category, zero score when unmatched).
-    """
-    cats: list[str] = []
-    for _, c in pairs:
-        if c not in cats:
-            cats.append(c)
-    cat_index = {c: i for i, c in enumerate(cats)}
-    entries = [(kw, len(kw), pos, cat_index[c]) for pos, (kw, c) in enumerate(pairs)]
-    out_type = T.ArrayType(T.StructType([
-        T.StructField("score", T.DoubleType()),
-        T.StructField("neg_pos", T.IntegerType()),
-        T.StructField("category", T.StringType()),
-    ]))
-
-    @F.pandas_udf(out_type)
-    def score(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for kw, n, pos, ci in entries:
-            auto.add_word(kw, (n, pos, ci))
-        auto.make_automaton()
-        result = []
-        for t in texts:
-            sc = [0.0] * len(cats)
-            first: list[int | None] = [None] * len(cats)
-            seen: set[int] = set()
-            for _, (n, pos, ci) in auto.iter(t or ""):
-                if pos in seen:  # each keyword counts once per text
-                    continue
-                seen.add(pos)
-                sc[ci] += n
-                if first[ci] is None or pos < first[ci]:
-                    first[ci] = pos
-            result.append([
-                {"score": sc[i], "neg_pos": None if first[i] is None else -first[i], "category": cats[i]}
-                for i in range(len(cats))
-            ])
-        return pd.Series(result)
-
-    return score
+    return F.element_at(F.transform(F.array(hits), scored), 1)

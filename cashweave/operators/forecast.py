@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashweave.functions.amounts import money_text
+from cashweave.operators.accounts import ACCOUNT, with_account
 
 LINEAR_METHOD = "linear"
 DEFAULT_HORIZON = 90
@@ -31,7 +32,7 @@ def _acct(df: DataFrame, account_col: str | None) -> tuple[DataFrame, str]:
     """Give single-ledger tables a constant account id."""
     if account_col and account_col in df.columns:
         return df, account_col
-    return df.withColumn("account_id", F.lit(0).cast("long")), "account_id"
+    return with_account(df.drop(ACCOUNT)), ACCOUNT
 
 
 def daily_net(txns: DataFrame, account_col: str | None = "account_id",

@@ -20,9 +20,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cashweave.functions.pii import mask_pii
+from cashweave.functions.text import py_strip
+from cashweave.operators.accounts import with_account
 from cashweave.schema import TAX_CATEGORIES
 
 MODEL_METHOD = "model"
@@ -30,15 +31,14 @@ RULES_METHOD = "rules"
 DEFAULT_BATCH_SIZE = 100
 
 REQUEST_PROMPT = (
-    "Classify each transaction into exactly one of these categories: {categories}. "
-    "Return JSON: a list of objects with keys 'index' (int), 'category' (string), "
-    "'confidence' (0..1)."
+    "You sort bookkeeping entries for a tax return. Allowed labels: {categories}. "
+    "For every entry below give its number as \"index\", one allowed label as \"category\", and how sure you are, "
+    "from 0 to 1, as \"confidence\". Answer with nothing but a JSON array of such objects."
 )
-RESPONSE_TYPE = T.ArrayType(T.StructType([
-    T.StructField("index", T.LongType()),
-    T.StructField("category", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-]))
+# Read as text and checked here, so that what can't be a number is noticed.
+RESPONSE_TYPE = "array<struct<index:string,category:string,confidence:string>>"
+_INTEGER = r"^\s*[+-]?\d+(\.\d*)?\s*$"
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def request_rows(txns: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE, key: str = "row_ord") -> DataFrame:
@@ -48,6 +48,7 @@ def request_rows(txns: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE, key: str
     account (first 4 MD5 bytes of the key text, so batches are even whatever
     the key pattern); ``index`` = position in the batch by key (X21).
     """
+    txns = with_account(txns)
     counts = txns.groupBy("account_id").agg(F.count(F.lit(1)).alias("_n"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(batch_size))).cast("long")
     h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
@@ -69,32 +70,39 @@ def request_bodies(rows: DataFrame) -> DataFrame:
 
 
 def parse_response(text_col) -> F.Column:
-    """Strip code fences (start or end of any line) and parse the list."""
-    cleaned = F.trim(F.regexp_replace(text_col, r"(?m)^```(?:json)?|```$", ""))
-    return F.from_json(cleaned, RESPONSE_TYPE, {"mode": "PERMISSIVE"})
+    """Strip code fences (start or end of any line) and parse the list (X20):
+    null unless the text is a JSON array of objects whose indexes and
+    confidences, where given, are numbers."""
+    cleaned = py_strip(F.regexp_replace(text_col, r"(?m)^```(?:json)?|```$", ""))
+    items = F.when(cleaned.startswith("["), F.from_json(cleaned, RESPONSE_TYPE, {"mode": "PERMISSIVE"}))
+    bad = F.exists(items, lambda i: i.isNull() | (i["index"].isNotNull() & ~i["index"].rlike(_INTEGER))
+                   | (i["confidence"].isNotNull() & ~i["confidence"].rlike(_NUMBER)))
+    return F.when(~bad, items)
 
 
 def merge_responses(rows: DataFrame, responses: DataFrame, rules: DataFrame, key: str = "row_ord") -> DataFrame:
     """(key, category, ai_confidence_score, method) per request row.
 
     ``responses``: (account_id, batch_id, response); ``rules``: the rules
-    categorizer output (key, category, ai_confidence_score) for fallback.
+    categorizer output (account_id, key, category, ai_confidence_score) for
+    the batches without a usable response. ``key`` tells rows of a ledger apart.
     """
     parsed = responses.select("account_id", "batch_id", parse_response(F.col("response")).alias("items"))
     ok = parsed.where(F.col("items").isNotNull())
     items = ok.select("account_id", "batch_id", F.posexplode("items").alias("pos", "it")).select(
         "account_id", "batch_id", "pos",
-        F.coalesce(F.col("it.index"), F.lit(-1)).alias("index"),
+        F.coalesce(F.trim("it.index").try_cast("double").cast("long"), F.lit(-1)).alias("index"),
         F.when(F.col("it.category").isin(*TAX_CATEGORIES), F.col("it.category"))
         .otherwise(F.lit("Uncategorized")).alias("category"),
-        F.coalesce(F.col("it.confidence"), F.lit(0.5)).alias("confidence"))
+        F.coalesce(F.trim("it.confidence").try_cast("double"), F.lit(0.5)).alias("confidence"))
     last = items.groupBy("account_id", "batch_id", "index").agg(
         F.max_by(F.struct("category", "confidence"), "pos").alias("v"))
     answered = ok.select("account_id", "batch_id", F.lit(True).alias("_answered"))
     r = rows.select("account_id", "batch_id", "index", key) \
         .join(answered, ["account_id", "batch_id"], "left") \
         .join(last, ["account_id", "batch_id", "index"], "left") \
-        .join(rules.select(key, F.col("category").alias("_rc"), F.col("ai_confidence_score").alias("_rs")), key)
+        .join(with_account(rules).select("account_id", key, F.col("category").alias("_rc"),
+                                         F.col("ai_confidence_score").alias("_rs")), ["account_id", key])
     model = F.col("_answered").isNotNull()
     return r.select(
         key,
@@ -107,8 +115,8 @@ def merge_responses(rows: DataFrame, responses: DataFrame, rules: DataFrame, key
 
 
 REWRITE_PROMPT = (
-    "Rewrite the draft answer below so it reads naturally, but do not change any numbers and do not "
-    "add new financial claims. If the draft cites no transactions, do not invent any.\n\n"
+    "Below are a customer's question, a computed answer and the customer's notes. Put the answer into plain, "
+    "friendly language. Every figure must stay as it is; claim nothing that the answer or the notes don't say.\n\n"
 )
 
 

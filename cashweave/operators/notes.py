@@ -1,25 +1,20 @@
-"""Note store and similarity search.
+"""Note store and similarity search.
 
 A note store is a DataFrame ``(id, text, metadata, embedding, seq)``; ``seq``
 is the insertion order (later = newer) and breaks score ties, as the
 in-memory store's list order did.
 
-Search (top-k per question) computes every question x note score, but never
-materialises the pairs: the question block is broadcast (its size checked
-first; larger question sets are processed block by block), each notes
-partition keeps only its k best notes per question, and a final
-``row_number() <= k`` per question merges at most k x partitions rows. Note
-text never enters Python; hits are joined back to the notes by ``seq``
-through a broadcast of the (bounded) hit table.
+Search scores every question against every note without a row per pair: both
+sides are dealt into blocks, blocks meet by key, and each meeting keeps the k
+best notes of each question. A final ``row_number() <= k`` per question merges
+them. Nothing passes through the driver but two counts. Vectors of different
+widths, and vectors that are null or zero, score 0, which is no hit.
 """
 
 from __future__ import annotations
 
-import math
-from typing import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,16 +23,11 @@ from cashweave.functions.embeddings import with_embedding
 from cashweave.functions.hashing import stable_note_id
 from cashweave.functions.text import py_strip
 from cashweave.schema import DEFAULT_EMBED_DIM
+from cashweave.session import ship_package
 
 DEFAULT_K = 4
-MAX_QUESTION_BLOCK = 20_000     # questions broadcast at once (x dim x 4 bytes)
-SCORE_CELLS_PER_CHUNK = 4_000_000  # notes x questions scored per numpy step
-
-HIT_SCHEMA = T.StructType([
-    T.StructField("question_id", T.LongType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
+QUESTION_BLOCK = 1024
+NOTE_BLOCK = 4096
 
 
 # ---------------------------------------------------------------------------
@@ -46,13 +36,15 @@ HIT_SCHEMA = T.StructType([
 
 def prepare_notes(batch: DataFrame, text: str = "text", id_col: str | None = None,
                   metadata: str | Column | None = None, order_by: str | None = None,
-                  dim: int = DEFAULT_EMBED_DIM) -> tuple[DataFrame, DataFrame]:
+                  dim: int = DEFAULT_EMBED_DIM, embed=None) -> tuple[DataFrame, DataFrame]:
     """Validate and embed a batch of notes.
 
     Returns ``(accepted, rejected)``. Blank texts are rejected (the store
     refuses them); the id defaults to the stable hash of the untrimmed text;
     the stored text is trimmed; the embedding is taken from the untrimmed
-    text. ``order_by`` gives the batch order (``pos``).
+    text, by ``embed(frame, text column, new column)`` if given (H2; it adds
+    array<double> vectors), else by the hashing embedder. ``order_by`` gives
+    the batch order (``pos``); without it, the order of the scan.
     """
     raw = F.col(text).cast("string")
     blank = raw.isNull() | (py_strip(raw) == "")
@@ -66,7 +58,10 @@ def prepare_notes(batch: DataFrame, text: str = "text", id_col: str | None = Non
     staged = batch.select(ident.alias("id"), raw.alias("_raw"), meta.alias("metadata"), pos.alias("pos"),
                           blank.alias("_blank"))
     rejected = staged.where("_blank").select("id", F.col("_raw").alias("text"), "pos")
-    ok = with_embedding(staged.where(~F.col("_blank")), "_raw", "embedding", dim)
+    # a later note of the same id replaces it, so only the last is embedded
+    last = Window.partitionBy("id").orderBy(F.col("pos").desc())
+    kept = staged.where(~F.col("_blank")).withColumn("_rk", F.row_number().over(last)).where("_rk = 1")
+    ok = (embed or _hashing(dim))(kept.drop("_rk"), "_raw", "embedding")
     accepted = ok.select("id", py_strip("_raw").alias("text"), "metadata", "embedding", "pos")
     return accepted, rejected
 
@@ -78,12 +73,11 @@ def upsert_notes(store: DataFrame | None, batch: DataFrame) -> DataFrame:
     batch the later duplicate wins. Keep-last is ``row_number() == 1`` per id,
     which Spark pre-filters per partition before the shuffle.
     """
-    base = 0
+    fresh = batch.select("id", "text", "metadata", "embedding", F.col("pos").cast("long").alias("seq"))
     if store is not None:
-        top = store.agg(F.max("seq")).first()[0]  # one number, not data
-        base = 0 if top is None else int(top) + 1
-    fresh = batch.select("id", "text", "metadata", "embedding",
-                         (F.lit(base).cast("long") + F.col("pos")).alias("seq"))
+        # one row, so it can be broadcast; it continues the numbering
+        top = store.agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).alias("_base"))
+        fresh = fresh.join(F.broadcast(top)).withColumn("seq", F.col("seq") + F.col("_base")).drop("_base")
     both = fresh if store is None else store.select("id", "text", "metadata", "embedding", "seq").unionByName(fresh)
     w = Window.partitionBy("id").orderBy(F.col("seq").desc())
     return both.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
@@ -98,14 +92,6 @@ def note_count(store: DataFrame) -> DataFrame:
 # Search
 # ---------------------------------------------------------------------------
 
-def _dense_counts(idx_lists, cnt_lists, dim: int) -> np.ndarray:
-    m = np.zeros((len(idx_lists), dim), dtype=np.float64)
-    for r, (ix, ct) in enumerate(zip(idx_lists, cnt_lists)):
-        if ix is not None and len(ix):
-            m[r, np.asarray(ix, dtype=np.int64)] = np.asarray(ct, dtype=np.float64)
-    return m
-
-
 def _topk_rows(scores: np.ndarray, seqs: np.ndarray, k: int):
     """Per column of ``scores`` (notes x questions): row indices of the k best
     by (score desc, seq asc), positive scores only."""
@@ -133,173 +119,95 @@ def _topk_rows(scores: np.ndarray, seqs: np.ndarray, k: int):
     return np.concatenate(out_r), np.concatenate(out_c)
 
 
-class _Inline:
-    """Stand-in for a broadcast variable where the session has none."""
-
-    def __init__(self, value):
-        self.value = value
-
-
-def _broadcast(spark, value):
-    try:
-        return spark.sparkContext.broadcast(value)
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
-        return _Inline(value)
-
-
-def _hashed_scorer(block, dim: int, k: int):
-    """mapInPandas function scoring (seq, idx, cnt, sumsq) note batches
-    against a broadcast question block (qids, counts matrix, norms)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qmat, qnorm = block.value
-        qt = np.ascontiguousarray(qmat.astype(np.float64).T)  # small integer counts: exact
-        cand_q, cand_seq, cand_s = [], [], []
-        nq = len(qids)
-        chunk = max(1, SCORE_CELLS_PER_CHUNK // max(nq, 1))
-        for pdf in batches:
-            for lo in range(0, len(pdf), chunk):
-                part = pdf.iloc[lo:lo + chunk]
-                nmat = _dense_counts(part["idx"].tolist(), part["cnt"].tolist(), dim)
-                nnorm = np.sqrt(part["sumsq"].to_numpy(dtype=np.float64))
-                dots = nmat @ qt  # integer counts: products and sums exact in float64
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = dots / (nnorm[:, None] * qnorm[None, :])
-                s = np.where(np.isfinite(s), s, 0.0)
-                seqs = part["seq"].to_numpy(dtype=np.int64)
-                r, c = _topk_rows(s, seqs, k)
-                cand_q.append(c)
-                cand_seq.append(seqs[r])
-                cand_s.append(s[r, c])
-        if not cand_q:
-            return
-        c = np.concatenate(cand_q)
-        sq = np.concatenate(cand_seq)
-        sc = np.concatenate(cand_s)
-        if len(c) == 0:
-            return
-        # final per-partition top-k over the chunk winners
-        order = np.lexsort((sq, -sc, c))
-        c, sq, sc = c[order], sq[order], sc[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
-        rank = np.arange(len(c)) - np.repeat(starts, np.diff(np.r_[starts, len(c)]))
-        keep = rank < k
-        yield pd.DataFrame({"question_id": qids[c[keep]], "seq": sq[keep], "score": sc[keep]})
-
-    return run
-
-
-def _question_blocks(questions: DataFrame, max_block: int) -> list[DataFrame]:
-    n = questions.count()
-    if n <= max_block:
-        return [questions]
-    nblocks = math.ceil(n / max_block) * 2  # hash blocks are uneven; leave room
-    keyed = questions.withColumn("_qb", F.pmod(F.xxhash64("question_id"), F.lit(nblocks)))
-    return [keyed.where(F.col("_qb") == b).drop("_qb") for b in range(nblocks)]
+def _hashing(dim: int):
+    return lambda df, text, out: with_embedding(df, text, out, dim)
 
 
-def search_notes(notes: DataFrame, questions: DataFrame, k: int = DEFAULT_K,
-                 dim: int = DEFAULT_EMBED_DIM, question_text: str = "question",
-                 max_question_block: int = MAX_QUESTION_BLOCK) -> DataFrame:
-    """Top-k notes per question by cosine similarity.
-
-    ``notes``: (id, text, metadata, embedding, seq) with the sparse hashing
-    embedding; ``questions``: (question_id, <question_text>). Returns
-    (question_id, rank, id, text, metadata, score) for hits with score > 0,
-    best first, ties to the older note.
-    """
-    spark = notes.sparkSession
-    q = with_embedding(questions.select(F.col("question_id").cast("long").alias("question_id"),
-                                        F.col(question_text).alias("_qt")), "_qt", "qemb", dim) \
-        .select("question_id", "qemb")
-    note_vecs = notes.select("seq", F.col("embedding.idx").alias("idx"), F.col("embedding.cnt").alias("cnt"),
-                             F.col("embedding.sumsq").alias("sumsq"))
-    parts = []
-    blocks = _question_blocks(q, max_question_block)
-    for block in blocks:
-        rows = block.collect()  # bounded by max_question_block (checked above)
-        if not rows:
-            continue
-        qids = np.array([r["question_id"] for r in rows], dtype=np.int64)
-        qmat = _dense_counts([r["qemb"]["idx"] for r in rows], [r["qemb"]["cnt"] for r in rows], dim)
-        qnorm = np.sqrt(np.array([r["qemb"]["sumsq"] for r in rows], dtype=np.float64))
-        block = _broadcast(spark, (qids, qmat.astype(np.float32), qnorm))
-        parts.append(note_vecs.mapInPandas(_hashed_scorer(block, dim, k), HIT_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], "question_id long, rank int, id string, text string, "
-                                         "metadata map<string,string>, score double")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+def _as_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``key, width, idx, val, norm`` of a sparse hashing embedding or a dense
+    array; rows without a direction (null, empty, zero) are left out."""
+    v = F.col(vector)
+    if isinstance(df.schema[vector].dataType, T.StructType):
+        out = df.select(F.col(key).alias("key"), F.lit(-1).alias("width"), v["idx"].alias("idx"),
+                        v["cnt"].cast("array<double>").alias("val"), F.sqrt(v["sumsq"].cast("double")).alias("norm"))
+    else:
+        val = F.transform(v, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+        out = df.where(v.isNotNull() & (F.size(v) > 0)).select(
+            F.col(key).alias("key"), F.size(v).alias("width"), F.sequence(F.lit(0), F.size(v) - 1).alias("idx"), val.alias("val"))
+        out = out.withColumn("norm", F.sqrt(F.aggregate("val", F.lit(0.0), lambda a, x: a + x * x)))
+    return out.where(F.col("norm") > 0)
+
+
+def _blocks(vectors: DataFrame, count: int, name: str) -> DataFrame:
+    """``count`` blocks of vectors of one width, as one row each."""
+    return vectors.withColumn(name, F.pmod(F.xxhash64("key"), F.lit(count)).cast("int")) \
+        .groupBy("width", name).agg(F.collect_list(F.struct("key", "idx", "val", "norm")).alias(f"{name}_rows"))
+
+
+def _matrix(rows: pa.StructArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, dense matrix, norms) of a block's rows."""
+    keys, norms = rows.field("key").to_numpy(), rows.field("norm").to_numpy()
+    idx, val = rows.field("idx"), rows.field("val")
+    at = np.repeat(np.arange(len(keys)), np.diff(idx.offsets.to_numpy()))
+    flat = idx.flatten().to_numpy()
+    m = np.zeros((len(keys), width if width >= 0 else int(flat.max(initial=0)) + 1))
+    m[at, flat] = val.flatten().to_numpy()
+    return keys, m, norms
+
+
+def _grid(items: DataFrame, item: str, item_vector: str, queries: DataFrame, query: str, query_vector: str, k: int,
+          item_block: int, query_block: int) -> DataFrame:
+    """``question_id, seq, score, rank`` of the k best items of each query."""
+    n_items, n_queries = (max(1, -(-df.select(key).count() // size))
+                          for df, key, size in ((items, item, item_block), (queries, query, query_block)))
+    left = _blocks(_as_vectors(items, item, item_vector), n_items, "i")
+    right = _blocks(_as_vectors(queries, query, query_vector), n_queries, "q")
+    meets = F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))
+    pairs = left.withColumn("q", meets).join(right, ["width", "q"]).select("width", "i_rows", "q_rows")
+
+    def score(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                width = b.column(0)[r].as_py()
+                seqs, m, norms = _matrix(b.column(1)[r].values, width)
+                ids, q, qnorms = _matrix(b.column(2)[r].values, width)
+                both = max(m.shape[1], q.shape[1])
+                m, q = (np.pad(x, ((0, 0), (0, both - x.shape[1]))) for x in (m, q))
+                s = (m @ q.T) / (norms[:, None] * qnorms[None, :])
+                rows, cols = _topk_rows(s, seqs, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[cols]), pa.array(seqs[rows]), pa.array(s[rows, cols])],
+                                                 ["question_id", "seq", "score"])
+
+    ship_package(items.sparkSession)
+    hits = pairs.mapInArrow(score, "question_id long, seq long, score double")
     w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("seq").asc())
-    top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    # hits are at most k per question: with one question block that is a
-    # proven bound and the hit table is broadcast; beyond it Spark picks the
-    # join from measured sizes
-    side = F.broadcast(top) if len(blocks) == 1 else top
-    joined = notes.select("seq", "id", "text", "metadata").join(side, "seq")
-    return joined.select("question_id", F.col("rank").cast("int").alias("rank"), "id", "text", "metadata",
-                         "score", "seq")
+    return hits.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
-# ---------------------------------------------------------------------------
-# Dense vectors (the embeddings table)
-# ---------------------------------------------------------------------------
+def search_notes(notes: DataFrame, questions: DataFrame, k: int = DEFAULT_K,
+                 dim: int = DEFAULT_EMBED_DIM, question_text: str = "question", embed=None,
+                 note_block: int = NOTE_BLOCK, question_block: int = QUESTION_BLOCK) -> DataFrame:
+    """Top-k notes per question by cosine similarity.
 
-def _dense_scorer(block, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qmat = block.value
-        cand_q, cand_seq, cand_s = [], [], []
-        chunk = max(1, SCORE_CELLS_PER_CHUNK // max(len(qids), 1))
-        for pdf in batches:
-            for lo in range(0, len(pdf), chunk):
-                part = pdf.iloc[lo:lo + chunk]
-                vecs = np.array([np.asarray(v, dtype=np.float64) for v in part["vec"]])
-                if vecs.ndim != 2 or vecs.shape[1] != qmat.shape[1]:
-                    continue
-                norms = np.sqrt((vecs * vecs).sum(axis=1))
-                unit = np.divide(vecs, norms[:, None], out=np.zeros_like(vecs), where=norms[:, None] > 0)
-                s = unit @ qmat.T
-                seqs = part["seq"].to_numpy(dtype=np.int64)
-                r, c = _topk_rows(s, seqs, k)
-                cand_q.append(c)
-                cand_seq.append(seqs[r])
-                cand_s.append(s[r, c])
-        if not cand_q:
-            return
-        c, sq, sc = np.concatenate(cand_q), np.concatenate(cand_seq), np.concatenate(cand_s)
-        order = np.lexsort((sq, -sc, c))
-        c, sq, sc = c[order], sq[order], sc[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
-        rank = np.arange(len(c)) - np.repeat(starts, np.diff(np.r_[starts, len(c)]))
-        keep = rank < k
-        yield pd.DataFrame({"question_id": qids[c[keep]], "seq": sq[keep], "score": sc[keep]})
-
-    return run
+    ``notes``: (id, text, metadata, embedding, seq); ``questions``:
+    (question_id, <question_text>). ``embed`` is the embedder the notes were
+    made with (H2). Returns (question_id, rank, id, text, metadata, score) for
+    hits with score > 0, best first, ties to the older note.
+    """
+    asked = (embed or _hashing(dim))(questions.select(F.col("question_id").cast("long").alias("question_id"),
+                                                      F.col(question_text).alias("_qt")), "_qt", "qemb")
+    top = _grid(notes, "seq", "embedding", asked, "question_id", "qemb", k, note_block, question_block)
+    return notes.select("seq", "id", "text", "metadata").join(top, "seq") \
+        .select("question_id", "rank", "id", "text", "metadata", "score", "seq")
 
 
 def search_vectors(items: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
-                   max_question_block: int = MAX_QUESTION_BLOCK) -> DataFrame:
+                   item_block: int = NOTE_BLOCK, query_block: int = QUESTION_BLOCK) -> DataFrame:
     """Top-k items per query by cosine of dense vectors (X14 with L2 norm).
 
     ``items``: (seq long, vec array<float|double>); ``queries``:
-    (question_id long, qvec array<double>), unit-normalised by the caller or
-    not (they are normalised here). Returns (question_id, rank, seq, score).
+    (question_id long, qvec array<double>). Returns (question_id, rank, seq,
+    score) for scores above 0.
     """
-    parts = []
-    for block in _question_blocks(queries.select("question_id", "qvec"), max_question_block):
-        rows = block.collect()  # bounded by max_question_block
-        if not rows:
-            continue
-        qids = np.array([r["question_id"] for r in rows], dtype=np.int64)
-        qmat = np.array([np.asarray(r["qvec"], dtype=np.float64) for r in rows])
-        qn = np.sqrt((qmat * qmat).sum(axis=1))
-        qmat = np.divide(qmat, qn[:, None], out=np.zeros_like(qmat), where=qn[:, None] > 0)
-        block = _broadcast(items.sparkSession, (qids, qmat))
-        parts.append(items.select("seq", F.col("vec")).mapInPandas(_dense_scorer(block, k), HIT_SCHEMA))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("seq").asc())
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .select("question_id", F.col("rank").cast("int").alias("rank"), "seq", "score")
+    return _grid(items, "seq", "vec", queries, "question_id", "qvec", k, item_block, query_block) \
+        .select("question_id", "rank", "seq", "score")

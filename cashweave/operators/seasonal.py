@@ -17,7 +17,7 @@ account costs no more than a quiet one after the first aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashweave.operators.forecast import daily_series, running_balance
@@ -28,28 +28,27 @@ SEASONAL_METHOD = "weekly_seasonal"
 def seasonal_projection(txns: DataFrame, starting_balances: DataFrame | float = 0.0,
                         horizon_days: int = 90) -> DataFrame:
     """(account_id, day_no, date, projected_balance, backend)."""
-    series = running_balance(daily_series(txns), starting_balances)
-    first = series.groupBy("account_id").agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
-    s = series.join(first, "account_id").withColumn("t", F.datediff("date", "d0").cast("double"))
-    fit = s.groupBy("account_id", "d0", "d1").agg(
-        F.regr_slope("balance", "t").alias("slope"),
-        F.regr_intercept("balance", "t").alias("intercept"),
-    ).select("account_id", "d0", "d1", F.coalesce("slope", F.lit(0.0)).alias("slope"),
-             F.coalesce("intercept", F.lit(0.0)).alias("intercept"))
-    resid = s.join(fit.select("account_id", "slope", "intercept"), "account_id") \
-        .withColumn("dow", F.dayofweek("date")) \
-        .withColumn("r", F.col("balance") - (F.col("intercept") + F.col("slope") * F.col("t")))
-    effect = resid.groupBy("account_id", "dow").agg(F.avg("r").alias("effect"))
+    # the running balance leaves an account's days together, so neither the
+    # window nor the sums below move data again
+    first = F.min("date").over(Window.partitionBy("account_id"))
+    s = running_balance(daily_series(txns), starting_balances).withColumn("d0", first) \
+        .withColumn("t", F.datediff("date", "d0").cast("double")).withColumn("dow", F.dayofweek("date"))
+    sums = [f(F.when(F.col("dow") == d, v)).alias(f"{n}{d}") for d in range(1, 8)
+            for n, v, f in (("n", F.lit(1), F.count), ("t", F.col("t"), F.sum), ("y", F.col("balance"), F.sum))]
+    total = s.groupBy("account_id").agg(
+        F.min("date").alias("d0"), F.max("date").alias("d1"), F.regr_slope("balance", "t").alias("slope"),
+        F.regr_intercept("balance", "t").alias("intercept"), *sums)
+    fit = total.withColumn("slope", F.coalesce("slope", F.lit(0.0))).withColumn("intercept", F.coalesce("intercept", F.lit(0.0)))
+    effects = F.array(*[F.when(F.col(f"n{d}") > 0, (F.col(f"y{d}") - F.col("slope") * F.col(f"t{d}")) / F.col(f"n{d}")
+                               - F.col("intercept")).otherwise(F.lit(0.0)) for d in range(1, 8)])
+    fit = fit.select("account_id", "d0", "d1", "slope", "intercept", effects.alias("effects"))
     days = F.explode(F.sequence(F.lit(1), F.lit(int(horizon_days)))).alias("day_no") if horizon_days >= 1 \
         else F.explode(F.array().cast("array<int>")).alias("day_no")
-    proj = fit.select("account_id", "d0", "d1", "slope", "intercept", days) \
-        .withColumn("date", F.date_add("d1", F.col("day_no"))) \
-        .withColumn("dow", F.dayofweek("date")) \
+    proj = fit.select("*", days).withColumn("date", F.date_add("d1", F.col("day_no"))) \
         .withColumn("t", F.datediff("date", "d0").cast("double"))
-    out = proj.join(effect, ["account_id", "dow"], "left")
-    return out.select(
+    return proj.select(
         "account_id", "day_no", "date",
-        (F.col("intercept") + F.col("slope") * F.col("t") + F.coalesce("effect", F.lit(0.0)))
+        (F.col("intercept") + F.col("slope") * F.col("t") + F.element_at("effects", F.dayofweek("date")))
         .alias("projected_balance"),
         F.lit(SEASONAL_METHOD).alias("backend"),
     )

@@ -1,4 +1,7 @@
-"""End-to-end jobs (O3 ingest, O17 ledger job) for ``spark-submit``.
+"""End-to-end jobs (O3 ingest, O17 ledger job, note and ask) for ``spark-submit``.
+
+    spark-submit --py-files cashweave.zip -m cashweave.plans.jobs ...   # on a cluster
+    cashweave ingest march.csv april.json --out /data/clean             # installed
 
 With an output folder, each stage's result is written and the next stage
 reads the written table: the lineage is cut at every stage boundary, a lost
@@ -16,73 +19,166 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashweave.functions.pii import mask_pii
+from cashweave.operators.advisor import answer_questions, answers_json, citation_sets
 from cashweave.operators.categorize import RULES_METHOD, categorize
 from cashweave.operators.dedup import deduplicate
 from cashweave.operators.forecast import LINEAR_METHOD, forecast_projection, forecast_summary
+from cashweave.operators.model_batches import MODEL_METHOD, merge_responses, request_rows
+from cashweave.operators.normalize import canonical, rejects
+from cashweave.operators.notes import prepare_notes, upsert_notes
+from cashweave.operators.seasonal import SEASONAL_METHOD, seasonal_projection
 from cashweave.schema import IngestionError
-from cashweave.sinks.writers import ingest_report, write_table
-from cashweave.sources.exports import read_exports, read_transactions
+from cashweave.sinks.writers import ingest_report, observed, write_notes, write_table
+from cashweave.sources.exports import newest_version, read_all, read_notes, read_transactions
 
 ORDER = ("file_ord", "row_ord")
 
 
 def ingest(spark: SparkSession, sources: Sequence[str], out: str | None = None, mask: bool = False,
-           fmt: str = "parquet", on_error: str = "fail") -> dict[str, DataFrame]:
-    """Read, normalise, union, keep-first de-duplicate, optionally mask (O3)."""
-    union = read_exports(spark, sources, on_error=on_error)
-    clean = deduplicate(union, order_by=list(ORDER))
+           fmt: str = "parquet", on_error: str = "fail", source: str | None = None, account_col: str | None = None,
+           date_formats: Sequence[str] | None = None, multiline_csv: bool = True,
+           extra_key_cols: Sequence[str] = (), rejects_out: str | None = None) -> dict[str, DataFrame | dict]:
+    """Read, normalise, union, keep-first de-duplicate, optionally mask (O3).
+
+    ``rejects`` are the rows that are no transactions, with the reason;
+    ``rejects_out`` writes them. ``dedup`` holds the totals; when a table is
+    written they are counted on the way, not by passes of their own.
+    """
+    every = read_all(spark, sources, source, date_formats, on_error, tuple(extra_key_cols), multiline_csv, account_col)
+    carried = (*ORDER, *extra_key_cols, *(["account_id"] if account_col else []))
+    union = canonical(every, carried)
+    per_source, totals = ingest_report(union)
+    left_out = rejects(every, ("file_ord", "row_ord"))
+    counted, before = observed(union, "rows before de-duplication") if out else (union, None)
+    clean = deduplicate(counted, order_by=list(ORDER), extra_key_cols=extra_key_cols)
     if mask:
         clean = clean.withColumn("description_masked", mask_pii("description"))
-    per_source, totals = ingest_report(union)
+    if rejects_out:
+        write_table(left_out.drop(*ORDER), rejects_out, fmt=fmt)
     if out:
+        clean, after = observed(clean, "rows after de-duplication")
         write_table(clean, out, fmt=fmt)
+        b, a = before.get["rows"], after.get["rows"]
+        totals = spark.createDataFrame([(b, b - a, a)], "rows_before long, duplicates_removed long, rows_after long")
         clean = read_transactions(spark, out, fmt=fmt)
-    return {"transactions": clean, "rows_per_source": per_source, "dedup": totals}
+    return {"transactions": clean, "rows_per_source": per_source, "dedup": totals, "rejects": left_out}
 
 
 def run_ledger_job(spark: SparkSession, sources: Sequence[str], starting_balance: float | DataFrame = 0.0,
-                   horizon_days: int = 90, out: str | None = None, as_of: str | None = None,
-                   fmt: str = "parquet") -> dict[str, DataFrame | str]:
-    """Load -> union -> dedup -> categorize -> forecast."""
-    if not sources:
-        raise IngestionError("no input files provided")
-    txns = categorize(deduplicate(read_exports(spark, sources), order_by=list(ORDER)))
+                   horizon_days: int = 90, out: str | None = None, as_of: str | None = None, fmt: str = "parquet",
+                   categorizer: str = RULES_METHOD, forecaster: str = LINEAR_METHOD, responses: DataFrame | None = None,
+                   lexicon=None, **options) -> dict[str, DataFrame | str]:
+    """Load -> union -> dedup -> categorize -> forecast.
+
+    ``categorizer="model"`` merges ``responses`` to the request batches over
+    the rules (H5); ``forecaster`` is linear or weekly_seasonal. ``options``
+    are those of ``ingest``.
+    """
+    if categorizer not in (RULES_METHOD, MODEL_METHOD) or forecaster not in (LINEAR_METHOD, SEASONAL_METHOD):
+        raise ValueError(f"no such method: {categorizer} / {forecaster}")
+    if categorizer == MODEL_METHOD and responses is None:
+        categorizer = RULES_METHOD              # as without a model: the rules answer
+    clean = ingest(spark, sources, **options)["transactions"]
+    txns = categorize(clean, lexicon=lexicon)
+    if categorizer == MODEL_METHOD:
+        keyed = txns.withColumn("account_id", F.col("account_id") if "account_id" in txns.columns else F.lit(0).cast("long"))
+        merged = merge_responses(request_rows(keyed, key="raw_hash"), responses, keyed, key="raw_hash") \
+            .select("raw_hash", F.col("category").alias("_c"), F.col("ai_confidence_score").alias("_s"))
+        txns = keyed.join(merged, "raw_hash").withColumn("category", F.col("_c")) \
+            .withColumn("ai_confidence_score", F.col("_s")).drop("_c", "_s")
     if out:
         write_table(txns, f"{out}/transactions_categorized", fmt=fmt)
         txns = read_transactions(spark, f"{out}/transactions_categorized", fmt=fmt)
     summary = forecast_summary(txns, starting_balance, horizon_days=horizon_days, as_of=as_of)
-    projection = forecast_projection(summary)
+    projection = forecast_projection(summary) if forecaster == LINEAR_METHOD \
+        else seasonal_projection(txns, starting_balance, horizon_days)
     if out:
         write_table(summary, f"{out}/forecast_summary", fmt=fmt)
         write_table(projection, f"{out}/forecast", fmt=fmt)
     return {"transactions": txns, "forecast": summary, "projection": projection,
-            "categorizer_backend": RULES_METHOD, "forecaster_backend": LINEAR_METHOD}
+            "categorizer_backend": categorizer, "forecaster_backend": forecaster}
 
 
-def main(argv: list[str] | None = None) -> int:
+def add_notes(spark: SparkSession, store: str, notes: DataFrame, metadata: str | None = None, order_by: str | None = None) -> int:
+    """Add notes (``text``, perhaps ``id``) to a stored note store as its next
+    version; returns the number of notes it has."""
+    accepted, _ = prepare_notes(notes, id_col="id" if "id" in notes.columns else None, metadata=metadata, order_by=order_by)
+    newest = newest_version(spark, store)
+    version = int(newest.rpartition("v=")[2]) + 1 if newest else 1
+    written = write_notes(upsert_notes(read_notes(spark, store) if newest else None, accepted), store, version)
+    return spark.read.parquet(written).count()
+
+
+def ask(spark: SparkSession, transactions: str, questions: DataFrame, store: str | None = None, fmt: str = "parquet",
+        as_of: str | None = None) -> DataFrame:
+    """Answer questions about stored transactions, with the stored notes: the
+    JSON record of each, with all its citations."""
+    txns = read_transactions(spark, transactions, fmt=fmt)
+    if "category" not in txns.columns or txns.where(F.col("category").isNull()).limit(1).count():
+        txns = categorize(txns)
+    notes = read_notes(spark, store) if store else None
+    answers, hits = answer_questions(questions, txns, notes=notes, as_of=as_of)
+    pos = "row_ord" if "row_ord" in txns.columns else "transaction_date"
+    return answers_json(answers, hits, citation_sets(txns, pos_col=pos))
+
+
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cashweave")
     sub = p.add_subparsers(dest="cmd", required=True)
-    ing = sub.add_parser("ingest")
-    ing.add_argument("inputs", nargs="+")
-    ing.add_argument("--out", required=True)
-    ing.add_argument("--mask-pii", action="store_true")
-    ing.add_argument("--format", default="parquet")
-    run = sub.add_parser("run")
-    run.add_argument("inputs", nargs="+")
-    run.add_argument("--out", required=True)
-    run.add_argument("--starting-balance", type=float, default=0.0)
-    run.add_argument("--horizon", type=int, default=90)
-    args = p.parse_args(argv)
+    for name in ("ingest", "run"):
+        c = sub.add_parser(name)
+        c.add_argument("inputs", nargs="+")
+        c.add_argument("--out", required=True)
+        c.add_argument("--format", default="parquet")
+        c.add_argument("--mask-pii", action="store_true")
+        c.add_argument("--source")
+        c.add_argument("--account-column")
+        c.add_argument("--date-format", action="append")
+        c.add_argument("--single-line-csv", action="store_true")
+        c.add_argument("--on-error", choices=["fail", "skip"], default="fail")
+        c.add_argument("--rejects-out")
+        if name == "run":
+            c.add_argument("--starting-balance", type=float, default=0.0)
+            c.add_argument("--horizon", type=int, default=90)
+            c.add_argument("--forecaster", choices=[LINEAR_METHOD, SEASONAL_METHOD], default=LINEAR_METHOD)
+    note = sub.add_parser("note")
+    note.add_argument("--text", required=True)
+    note.add_argument("--type", default="note")
+    note.add_argument("--priority", default="normal")
+    note.add_argument("--store", required=True)
+    q = sub.add_parser("ask")
+    q.add_argument("question")
+    q.add_argument("--transactions", required=True)
+    q.add_argument("--format", default="parquet")
+    q.add_argument("--starting-balance", type=float, default=0.0)
+    q.add_argument("--store")
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     try:
+        if args.cmd in ("ingest", "run"):
+            options = dict(mask=args.mask_pii, source=args.source, account_col=args.account_column,
+                           date_formats=args.date_format, multiline_csv=not args.single_line_csv,
+                           on_error=args.on_error, rejects_out=args.rejects_out)
         if args.cmd == "ingest":
-            res = ingest(spark, args.inputs, out=args.out, mask=args.mask_pii, fmt=args.format)
-            res["rows_per_source"].show(truncate=False)
+            res = ingest(spark, args.inputs, out=args.out, fmt=args.format, **options)
             res["dedup"].show(truncate=False)
+        elif args.cmd == "run":
+            res = run_ledger_job(spark, args.inputs, args.starting_balance, args.horizon, out=args.out, fmt=args.format,
+                                 forecaster=args.forecaster, **options)
+            res["forecast"].select("account_id", "summary").show(truncate=False)
+        elif args.cmd == "note":
+            row = spark.createDataFrame([(args.text, {"type": args.type, "priority": args.priority})],
+                                        "text string, metadata map<string,string>")
+            print(f"{add_notes(spark, args.store, row, metadata='metadata')} notes")
         else:
-            res = run_ledger_job(spark, args.inputs, args.starting_balance, args.horizon, out=args.out)
-            res["forecast"].select("account_id", F.col("summary")).show(truncate=False)
-    except IngestionError as e:
+            asked = spark.createDataFrame([(1, args.question, args.starting_balance)],
+                                          "question_id long, question string, starting_balance double")
+            print(ask(spark, args.transactions, asked, args.store, args.format).first()["json"])
+    except (IngestionError, ValueError) as e:
         print(f"[error] {e}", file=sys.stderr)
         return 2
     return 0

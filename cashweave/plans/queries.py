@@ -95,40 +95,53 @@ def q_amount_coercion(spark, sf_dir):
     return t.select("o_orderkey", "raw_amount", coerce_amount("raw_amount").cast(MONEY).alias("amount"))
 
 
-@register("date_coercion", """
-WITH t AS (
-  SELECT o_orderkey,
-    CASE o_orderkey % 5
-      WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
-      WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y')
-      WHEN 2 THEN strftime(o_orderdate, '%-m/%-d/%Y')
-      WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
-      ELSE 'not a date' END AS raw_date
-  FROM orders)
-SELECT o_orderkey, raw_date,
-  CAST(COALESCE(try_strptime(raw_date, '%Y-%m-%d'), try_strptime(raw_date, '%m/%d/%Y'),
-                try_strptime(raw_date, '%-m/%-d/%Y'), try_strptime(raw_date, '%Y-%m-%d %H:%M:%S')) AS DATE)
-    AS transaction_date
-FROM t
+# The shapes bank exports write dates in: (Spark pattern, strftime pattern).
+DATE_SHAPES: tuple[tuple[str, str], ...] = (
+    ("yyyy-MM-dd", "%Y-%m-%d"), ("MM/dd/yyyy", "%m/%d/%Y"), ("M/d/yyyy", "%-m/%-d/%Y"),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"),
+    ("yyyy-MM-dd'T'HH:mm:ss'.000Z'", "%Y-%m-%dT%H:%M:%S.000Z"), ("yyyy-MM-dd'T'HH:mm:ss'+00:00'", "%Y-%m-%dT%H:%M:%S+00:00"),
+    ("yyyy-MM-dd HH:mm:ss'.123'", "%Y-%m-%d %H:%M:%S.123"), ("yyyyMMdd", "%Y%m%d"), ("dd-MMM-yyyy", "%d-%b-%Y"),
+    ("MMM d yyyy", "%b %-d %Y"), ("MMMM d, yyyy", "%B %-d, %Y"), ("d MMMM yyyy", "%-d %B %Y"),
+    ("MM/dd/yyyy '10:15 AM'", "%m/%d/%Y 10:15 AM"), ("MM/dd/yyyy '10:15:00 PM'", "%m/%d/%Y 10:15:00 PM"),
+    ("MM/dd/yy", "%m/%d/%y"), ("yyyy/M/d", "%Y/%-m/%-d"), ("'not a date' yyyy", "not a date %Y"), ("'13/45/'yyyy", "13/45/%Y"),
+)
+BAD_SHAPES = (len(DATE_SHAPES) - 2, len(DATE_SHAPES) - 1)
+
+
+def _date_text(day, key):
+    k = F.pmod(key, F.lit(len(DATE_SHAPES)))
+    out = F.lit(None).cast("string")
+    for i, (pattern, _) in enumerate(DATE_SHAPES):
+        out = F.when(k == i, F.date_format(day, pattern)).otherwise(out)
+    return out
+
+
+def _date_text_sql(day: str, key: str) -> str:
+    return f"CASE {key} % {len(DATE_SHAPES)} " + " ".join(
+        f"WHEN {i} THEN strftime({day}, '{p}')" for i, (_, p) in enumerate(DATE_SHAPES)) + " END"
+
+
+def _read_date_sql(day: str, key: str) -> str:
+    return f"CASE WHEN {key} % {len(DATE_SHAPES)} IN {BAD_SHAPES} THEN NULL ELSE CAST({day} AS DATE) END"
+
+
+@register("date_coercion", f"""
+SELECT o_orderkey, {_date_text_sql('o_orderdate', 'o_orderkey')} AS raw_date,
+       {_read_date_sql('o_orderdate', 'o_orderkey')} AS transaction_date
+FROM orders
 """)
 def q_date_coercion(spark, sf_dir):
     from cashweave.functions.dates import coerce_date
     o = table(spark, sf_dir, "orders")
-    k = F.pmod(F.col("o_orderkey"), F.lit(5))
-    d = F.col("o_orderdate")
-    raw = (F.when(k == 0, F.date_format(d, "yyyy-MM-dd"))
-           .when(k == 1, F.date_format(d, "MM/dd/yyyy"))
-           .when(k == 2, F.date_format(d, "M/d/yyyy"))
-           .when(k == 3, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
-           .otherwise(F.lit("not a date")))
-    t = o.select("o_orderkey", raw.alias("raw_date"))
+    t = o.select("o_orderkey", _date_text(F.col("o_orderdate"), F.col("o_orderkey")).alias("raw_date"))
     return t.select("o_orderkey", "raw_date", coerce_date("raw_date").alias("transaction_date"))
 
 
 def _bank_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders ledger rendered as a checking-account export with bank
-    headers, text dates, split debit/credit text and padded descriptions
-    (one scan of ``orders``)."""
+    headers, dates in all shapes, split debit/credit text and padded
+    descriptions; some rows have no date, no amount or no description (one
+    scan of ``orders``)."""
     from cashweave.sources.ledgers import merchant_for
     o = table(spark, sf_dir, "orders")
     mag = F.col("o_totalprice").cast(MONEY).cast("string")
@@ -137,19 +150,18 @@ def _bank_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_custkey").alias("Account"),
         F.col("o_orderkey").alias("Ref"),
-        F.date_format("o_orderdate", "MM/dd/yyyy").alias("Posting Date"),
-        F.concat(F.lit("  "), desc, F.lit(" ")).alias("Payee"),
-        F.when(status != "F", mag).alias(" Withdrawal "),
-        F.when(status != "O", mag).alias("Deposit"),
+        _date_text(F.col("o_orderdate"), F.col("o_orderkey")).alias("Posting Date"),
+        F.when(F.col("o_orderkey") % 11 == 3, F.lit("   ")).otherwise(F.concat(F.lit("  "), desc, F.lit(" "))).alias("Payee"),
+        F.when((status != "F") & (F.col("o_orderkey") % 13 != 5), mag).alias(" Withdrawal "),
+        F.when((status != "O") & (F.col("o_orderkey") % 13 != 5), mag).alias("Deposit"),
     )
 
 
 BANK_EXPORT_SQL = f"""
-SELECT l.account_id AS "Account", l.row_ord AS "Ref",
-       strftime(l.transaction_date, '%m/%d/%Y') AS "Posting Date",
-       '  ' || l.description || ' ' AS "Payee",
-       CASE WHEN o.o_orderstatus <> 'F' THEN CAST(abs(l.amount) AS VARCHAR) END AS withdrawal,
-       CASE WHEN o.o_orderstatus <> 'O' THEN CAST(abs(l.amount) AS VARCHAR) END AS deposit
+SELECT l.account_id AS "Account", l.row_ord AS "Ref", {_read_date_sql('l.transaction_date', 'l.row_ord')} AS read_date,
+       CASE WHEN l.row_ord % 11 = 3 THEN '   ' ELSE '  ' || l.description || ' ' END AS "Payee",
+       CASE WHEN o.o_orderstatus <> 'F' AND l.row_ord % 13 <> 5 THEN CAST(abs(l.amount) AS VARCHAR) END AS withdrawal,
+       CASE WHEN o.o_orderstatus <> 'O' AND l.row_ord % 13 <> 5 THEN CAST(abs(l.amount) AS VARCHAR) END AS deposit
 FROM ({ORDERS_LEDGER_SQL}) l JOIN orders o ON o.o_orderkey = l.row_ord
 """
 
@@ -169,17 +181,22 @@ def q_debit_credit_merge(spark, sf_dir):
                     F.col("amount").cast(MONEY).alias("amount"))
 
 
-@register("canonical_normalize", f"""
+NORMALIZED_SQL = f"""
 WITH b AS ({BANK_EXPORT_SQL}),
 n AS (
   SELECT "Account" AS account_id, "Ref" AS row_ord,
-    CAST(try_strptime({sq.strip('"Posting Date"')}, '%m/%d/%Y') AS DATE) AS transaction_date,
+    read_date AS transaction_date,
     CASE WHEN {sq.coerce_amount('withdrawal')} IS NOT NULL AND {sq.coerce_amount('withdrawal')} <> 0
            THEN -abs({sq.coerce_amount('withdrawal')})
          WHEN {sq.coerce_amount('deposit')} IS NOT NULL AND {sq.coerce_amount('deposit')} <> 0
            THEN abs({sq.coerce_amount('deposit')}) END AS amount,
     {sq.strip('"Payee"')} AS description
   FROM b)
+"""
+
+
+@register("canonical_normalize", f"""
+{NORMALIZED_SQL}
 SELECT account_id, row_ord, transaction_date, CAST(amount AS DECIMAL(18,2)) AS amount, description,
        'checking' AS source, {sq.content_hash('transaction_date', 'amount', 'description')} AS raw_hash,
        CAST(NULL AS VARCHAR) AS category, CAST(NULL AS DOUBLE) AS ai_confidence_score
@@ -194,6 +211,45 @@ def q_canonical_normalize(spark, sf_dir):
                     "description", "source", "raw_hash", "category", "ai_confidence_score")
 
 
+@register("ingest_rejects", f"""
+{NORMALIZED_SQL}
+SELECT account_id, row_ord, description,
+       CASE WHEN transaction_date IS NULL THEN 'no date' WHEN amount IS NULL THEN 'no amount' ELSE 'no description' END AS reject_reason
+FROM n WHERE transaction_date IS NULL OR amount IS NULL OR description IS NULL OR description = ''
+""")
+def q_ingest_rejects(spark, sf_dir):
+    from cashweave.operators.normalize import normalize_all, rejects
+    raw = _bank_export(spark, sf_dir).withColumnRenamed("Account", "account_id").withColumnRenamed("Ref", "row_ord")
+    keep = ("account_id", "row_ord")
+    return rejects(normalize_all(raw, "checking", keep=keep), keep).select("account_id", "row_ord", "description", "reject_reason")
+
+
+@register("record_amounts", """
+SELECT o_orderkey AS row_ord,
+  CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)
+    WHEN 1 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || '05' WHEN 2 THEN '0.00' ELSE '-0.0000001' END AS record_text,
+  CASE o_orderkey % 4 WHEN 0 THEN regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '\\.?0+$', '')
+    WHEN 1 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || '05' WHEN 2 THEN '0' ELSE '-0.0000001' END AS hash_text
+FROM orders
+""")
+def q_record_amounts(spark, sf_dir):
+    from cashweave.functions.amounts import canon_amount_text, coerce_amount, record_amount_text
+    k, price = F.col("o_orderkey") % 4, F.col("o_totalprice").cast(MONEY).cast("string")
+    raw = F.when(k == 0, price).when(k == 1, F.concat(price, F.lit("05"))).when(k == 2, F.lit("$0.000")).otherwise(F.lit("(0.0000001)"))
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_ord"), raw.alias("raw")) \
+        .withColumn("amount", coerce_amount("raw"))
+    return t.select("row_ord", record_amount_text("amount").alias("record_text"), canon_amount_text("amount").alias("hash_text"))
+
+
+@register("percent_text", """
+SELECT o_orderkey, format('{:.0f}%', CAST(o_orderkey % 1001 AS DOUBLE) / 1000 * 100) AS percent FROM orders
+""")
+def q_percent_text(spark, sf_dir):
+    from cashweave.functions.amounts import percent_text
+    share = (F.col("o_orderkey") % 1001).cast("double") / 1000
+    return table(spark, sf_dir, "orders").select("o_orderkey", percent_text(share).alias("percent"))
+
+
 @register("content_hash", f"""
 SELECT row_ord, {sq.content_hash('transaction_date', 'amount', 'description')} AS raw_hash,
        {sq.content_hash('transaction_date', 'amount', "'  ' || upper(replace(description, ' ', '   ')) || chr(9)")} AS variant_hash
@@ -233,7 +289,10 @@ def _dedup_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = normalize(base.drop("o_orderpriority"), source="orders", keep=("account_id", "row_ord")) \
         .withColumn("file_ord", F.lit(0))
     second = normalize(copy, source="orders_copy", keep=("account_id", "row_ord")).withColumn("file_ord", F.lit(1))
-    return dedup_ops.union_sources([first, second])
+    # the same transactions in another ledger are no duplicates
+    other = first.where(F.col("row_ord") % 4 == 0).withColumn("account_id", F.col("account_id") + 10 ** 9) \
+        .withColumn("file_ord", F.lit(2))
+    return dedup_ops.union_sources([first, second, other])
 
 
 DEDUP_INPUT_SQL = f"""
@@ -247,7 +306,9 @@ c AS (
 u AS (
   SELECT account_id, transaction_date, amount, description, row_ord, 'orders' AS source, 0 AS file_ord FROM l
   UNION ALL
-  SELECT account_id, transaction_date, amount, {sq.strip('description')}, row_ord, 'orders_copy', 1 FROM c)
+  SELECT account_id, transaction_date, amount, {sq.strip('description')}, row_ord, 'orders_copy', 1 FROM c
+  UNION ALL
+  SELECT account_id + 1000000000, transaction_date, amount, description, row_ord, 'orders', 2 FROM l WHERE row_ord % 4 = 0)
 SELECT *, {sq.content_hash('transaction_date', 'amount', 'description')} AS raw_hash FROM u
 """
 
@@ -255,7 +316,7 @@ SELECT *, {sq.content_hash('transaction_date', 'amount', 'description')} AS raw_
 @register("dedup_keep_first", f"""
 SELECT account_id, row_ord, source, raw_hash, transaction_date, CAST(amount AS DECIMAL(18,2)) AS amount,
        description
-FROM (SELECT *, row_number() OVER (PARTITION BY raw_hash ORDER BY file_ord, row_ord) AS rn
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id, raw_hash ORDER BY file_ord, row_ord) AS rn
       FROM ({DEDUP_INPUT_SQL}) u) r
 WHERE rn = 1
 """)
@@ -266,9 +327,8 @@ def q_dedup_keep_first(spark, sf_dir):
 
 
 @register("dedup_counts", f"""
-SELECT count(*) AS rows_before, count(*) - count(DISTINCT raw_hash) AS duplicates_removed,
-       count(DISTINCT raw_hash) AS rows_after
-FROM ({DEDUP_INPUT_SQL}) u
+SELECT CAST(sum(n) AS BIGINT) AS rows_before, CAST(sum(n - 1) AS BIGINT) AS duplicates_removed, count(*) AS rows_after
+FROM (SELECT account_id, raw_hash, count(*) AS n FROM ({DEDUP_INPUT_SQL}) u GROUP BY 1, 2) g
 """)
 def q_dedup_counts(spark, sf_dir):
     return dedup_ops.duplicate_count(_dedup_input(spark, sf_dir))
@@ -651,14 +711,15 @@ def q_citation_sets(spark, sf_dir):
 
 @register("citation_integrity", f"""
 SELECT count(*) AS missing_citations
-FROM ({CITATION_SETS_SQL}) c
-WHERE NOT EXISTS (SELECT 1 FROM ({ORDERS_LEDGER_SQL}) l
-                  WHERE {sq.content_hash('l.transaction_date', 'l.amount', 'l.description')} = c.raw_hash)
+FROM (SELECT account_id, CASE WHEN pos % 7 = 0 THEN reverse(raw_hash) ELSE raw_hash END AS raw_hash FROM ({CITATION_SETS_SQL}) c0) c
+WHERE NOT EXISTS (SELECT 1 FROM ({ORDERS_LEDGER_SQL}) l WHERE l.account_id = c.account_id
+                  AND {sq.content_hash('l.transaction_date', 'l.amount', 'l.description')} = c.raw_hash)
 """)
 def q_citation_integrity(spark, sf_dir):
     from cashweave.operators.advisor import citation_integrity, citation_sets
     t = _qa_txns(spark, sf_dir)
-    return citation_integrity(citation_sets(t), t)
+    bad = F.when(F.col("pos") % 7 == 0, F.reverse("raw_hash")).otherwise(F.col("raw_hash"))
+    return citation_integrity(citation_sets(t).withColumn("raw_hash", bad), t)
 
 
 def _notes_top1_sql(questions_sql: str) -> str:
@@ -799,7 +860,7 @@ FROM a JOIN h ON h.account_id = a.account_id AND h.scope = a.cite_scope
              AND h.category IS NOT DISTINCT FROM a.cite_category
 WHERE h.n <= 3
 UNION ALL
-SELECT question_id, note_id, CAST(0 AS BIGINT) FROM a WHERE cite_scope = 'note'
+SELECT question_id, note_id, CAST(NULL AS BIGINT) FROM a WHERE cite_scope = 'note'
 """)
 def q_answer_citations_first3(spark, sf_dir):
     from cashweave.operators.advisor import answer_citations, citation_sets
@@ -807,6 +868,41 @@ def q_answer_citations_first3(spark, sf_dir):
     return answer_citations(answers, citation_sets(_qa_txns(spark, sf_dir)), first_n=3)
 
 
+@register("answer_citations", f"""
+WITH a AS ({ANSWERS_SQL})
+SELECT a.question_id, h.raw_hash AS cite_id, h.pos
+FROM a JOIN ({CITATION_SETS_SQL}) h ON h.account_id = a.account_id AND h.scope = a.cite_scope
+             AND h.category IS NOT DISTINCT FROM a.cite_category
+UNION ALL
+SELECT question_id, note_id, CAST(NULL AS BIGINT) FROM a WHERE cite_scope = 'note'
+""")
+def q_answer_citations(spark, sf_dir):
+    from cashweave.operators.advisor import answer_citations, citation_sets
+    answers, _ = _answers(spark, sf_dir)
+    return answer_citations(answers, citation_sets(_qa_txns(spark, sf_dir)))
+
+
+NO_NOTES_SQL = ANSWERS_SQL.replace("WHERE rank = 1) tn", "WHERE rank = 0) tn")
+
+
+@register("answers_json", f"""
+WITH a AS ({NO_NOTES_SQL}),
+c AS (SELECT a.question_id, string_agg('"' || h.raw_hash || '"', ',' ORDER BY h.pos) AS ids
+      FROM a JOIN ({CITATION_SETS_SQL}) h ON h.account_id = a.account_id AND h.scope = a.cite_scope
+                   AND h.category IS NOT DISTINCT FROM a.cite_category GROUP BY 1)
+SELECT a.question_id, '{{"question":"' || a.question || '","answer":"' || a.answer || '","citations":{{'
+       || coalesce('"scope":"' || a.cite_scope || '",', '') || coalesce('"category":"' || a.cite_category || '",', '')
+       || '"count":' || CAST(a.n_citations AS VARCHAR) || ',"ids":[' || coalesce(c.ids, '') || ']}},"retrieved_notes":[],"intent":"'
+       || a.intent || '","backend":"' || a.backend || '"}}' AS json
+FROM a LEFT JOIN c ON c.question_id = a.question_id
+""")
+def q_answers_json(spark, sf_dir):
+    from cashweave.operators.advisor import answer_questions, answers_json, citation_sets
+    t = _qa_txns(spark, sf_dir)
+    answers, _ = answer_questions(customer_questions(spark, sf_dir), t, as_of=AS_OF)
+    return answers_json(answers, None, citation_sets(t))
+
+
 # ---------------------------------------------------------------------------
 # Reports
 # ---------------------------------------------------------------------------
@@ -914,7 +1010,30 @@ def _model_rows(spark: SparkSession, sf_dir: str):
     return request_rows(c, batch_size=5), c
 
 
-@register("model_request_batches")
+from cashweave.operators.model_batches import REQUEST_PROMPT, REWRITE_PROMPT  # noqa: E402
+from cashweave.schema import TAX_CATEGORIES  # noqa: E402
+
+_REQUEST_PROMPT_SQL = REQUEST_PROMPT.format(categories=", ".join(TAX_CATEGORIES)).replace("'", "''")
+REQUEST_ROWS_SQL = f"""
+WITH l AS ({ORDERS_LEDGER_SQL}),
+n AS (SELECT account_id, count(*) AS n FROM l GROUP BY 1),
+b AS (SELECT l.*, CAST(('0x' || substr(md5(CAST(l.row_ord AS VARCHAR)), 1, 8)) AS BIGINT)
+                    % greatest(1, CAST(ceil(n.n / 5) AS BIGINT)) AS batch_id
+      FROM l JOIN n USING (account_id))
+SELECT account_id, batch_id,
+       row_number() OVER (PARTITION BY account_id, batch_id ORDER BY row_ord) - 1 AS "index", row_ord,
+       {sq.pii_mask('description')} AS description_masked, CAST(amount AS DOUBLE) AS amount
+FROM b
+"""
+
+
+@register("model_request_batches", f"""
+SELECT account_id, batch_id, CAST(count(*) AS INTEGER) AS n_rows,
+       '{_REQUEST_PROMPT_SQL}' || chr(10) || chr(10) || 'Transactions:' || chr(10) || '[' || string_agg(
+         '{{"index":' || CAST("index" AS VARCHAR) || ',"description":"' || description_masked || '","amount":'
+         || CAST(amount AS VARCHAR) || '}}', ',' ORDER BY "index") || ']' AS body
+FROM ({REQUEST_ROWS_SQL}) r GROUP BY 1, 2
+""")
 def q_model_request_batches(spark, sf_dir):
     from cashweave.operators.model_batches import request_bodies
     rows, _ = _model_rows(spark, sf_dir)
@@ -923,25 +1042,29 @@ def q_model_request_batches(spark, sf_dir):
 
 def synthetic_responses(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """A stand-in model for tests: answers each batch from the rules output,
-    but skips some rows, invents a category for others, repeats index 0 with
-    a later answer, and returns prose instead of JSON for some batches."""
-    r = rows.join(rules.select("row_ord", "category", "ai_confidence_score"), "row_ord")
+    but skips some rows, invents a category for others and repeats index 0 with
+    a later answer. Some batches get prose, a lone object, numbers written as
+    text, or a confidence that is no number."""
+    r = rows.join(rules.select("account_id", "row_ord", "category", "ai_confidence_score"), ["account_id", "row_ord"])
     i = F.col("index")
+    kind = F.pmod(F.col("batch_id") + F.col("account_id"), F.lit(5))
+    quote = F.when(kind == 2, F.lit('"')).otherwise(F.lit(""))
+
+    def item(category, confidence):
+        return F.concat(F.lit('{"index": '), quote, i.cast("string"), quote, F.lit(', "category": "'), category,
+                        F.lit('", "confidence": '), confidence, F.lit("}"))
+
     items = r.where(F.pmod(i, F.lit(11)) != 5).select(
         "account_id", "batch_id", i.alias("pos"),
-        F.struct(i.alias("index"),
-                 F.when(F.pmod(i, F.lit(7)) == 3, F.lit("Snacks")).otherwise(F.col("category")).alias("category"),
-                 F.col("ai_confidence_score").alias("confidence")).alias("it"))
-    extra = r.where(i == 0).select(
-        "account_id", "batch_id", F.lit(10 ** 9).cast("long").alias("pos"),
-        F.struct(i.alias("index"), F.lit("Transfers").alias("category"), F.lit(0.42).alias("confidence"))
-        .alias("it"))
+        item(F.when(F.pmod(i, F.lit(7)) == 3, F.lit("Snacks")).otherwise(F.col("category")),
+             F.when((kind == 3) & (i == 0), F.lit('"high"')).otherwise(F.col("ai_confidence_score").cast("string"))).alias("it"))
+    extra = r.where(i == 0).select("account_id", "batch_id", F.lit(10 ** 9).cast("long").alias("pos"),
+                                   item(F.lit("Transfers"), F.lit("0.42")).alias("it"))
     g = items.unionByName(extra).groupBy("account_id", "batch_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "it"))).alias("l"))
-    body = F.concat(F.lit("```json\n"), F.to_json(F.transform("l", lambda x: x["it"])), F.lit("\n```"))
-    bad = F.pmod(F.col("batch_id") + F.col("account_id"), F.lit(5)) == 0
-    return g.select("account_id", "batch_id",
-                    F.when(bad, F.lit("Sorry, I cannot classify these.")).otherwise(body).alias("response"))
+    listed = F.concat(F.lit("```json\n["), F.array_join(F.transform("l", lambda x: x["it"]), ", "), F.lit("]\n```"))
+    return g.select("account_id", "batch_id", F.when(kind == 0, F.lit("Sorry, I cannot classify these."))
+                    .when(kind == 1, F.element_at("l", 1)["it"]).otherwise(listed).alias("response"))
 
 
 @register("model_response_merge", f"""
@@ -953,16 +1076,16 @@ b AS (SELECT l.account_id, l.row_ord,
       FROM l JOIN n USING (account_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY account_id, batch_id ORDER BY row_ord) - 1 AS idx FROM b)
 SELECT r.row_ord,
-       CASE WHEN (r.batch_id + r.account_id) % 5 = 0 THEN c.category
+       CASE WHEN (r.batch_id + r.account_id) % 5 IN (0, 1, 3) THEN c.category
             WHEN r.idx = 0 THEN 'Transfers'
             WHEN r.idx % 11 = 5 THEN 'Uncategorized'
             WHEN r.idx % 7 = 3 THEN 'Uncategorized'
             ELSE c.category END AS category,
-       CASE WHEN (r.batch_id + r.account_id) % 5 = 0 THEN c.confidence
+       CASE WHEN (r.batch_id + r.account_id) % 5 IN (0, 1, 3) THEN c.confidence
             WHEN r.idx = 0 THEN 0.42
             WHEN r.idx % 11 = 5 THEN 0.0
             ELSE c.confidence END AS ai_confidence_score,
-       CASE WHEN (r.batch_id + r.account_id) % 5 = 0 THEN 'rules' ELSE 'model' END AS method
+       CASE WHEN (r.batch_id + r.account_id) % 5 IN (0, 1, 3) THEN 'rules' ELSE 'model' END AS method
 FROM r JOIN cat c ON c.k = r.row_ord
 """)
 def q_model_response_merge(spark, sf_dir):
@@ -971,8 +1094,6 @@ def q_model_response_merge(spark, sf_dir):
     return merge_responses(rows, synthetic_responses(rows, rules), rules)
 
 
-from cashweave.operators.model_batches import REWRITE_PROMPT  # noqa: E402
-
 _REWRITE_PROMPT_SQL = REWRITE_PROMPT.replace("'", "''").replace("\n", "' || chr(10) || '")
 
 
@@ -1007,17 +1128,7 @@ def q_transaction_records(spark, sf_dir):
     return transaction_record(categorized_orders(spark, sf_dir), keep=["row_ord"])
 
 
-@register("model_request_rows", f"""
-WITH l AS ({ORDERS_LEDGER_SQL}),
-n AS (SELECT account_id, count(*) AS n FROM l GROUP BY 1),
-b AS (SELECT l.*, CAST(('0x' || substr(md5(CAST(l.row_ord AS VARCHAR)), 1, 8)) AS BIGINT)
-                    % greatest(1, CAST(ceil(n.n / 5) AS BIGINT)) AS batch_id
-      FROM l JOIN n USING (account_id))
-SELECT account_id, batch_id,
-       row_number() OVER (PARTITION BY account_id, batch_id ORDER BY row_ord) - 1 AS "index", row_ord,
-       {sq.pii_mask('description')} AS description_masked, CAST(amount AS DOUBLE) AS amount
-FROM b
-""")
+@register("model_request_rows", REQUEST_ROWS_SQL)
 def q_model_request_rows(spark, sf_dir):
     rows, _ = _model_rows(spark, sf_dir)
     return rows

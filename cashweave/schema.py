@@ -179,16 +179,6 @@ NULL_AMOUNT_TOKENS: tuple[str, ...] = ("nan", "none", "null")
 # Characters removed from amount text before parsing.
 AMOUNT_STRIP_CHARS: tuple[str, ...] = ("$", "€", "£", ",", " ")
 
-# Personal-data patterns, applied in this order (Java regex syntax; (?U) gives
-# Unicode \w, \d and \b like Python's re).
-PII_PATTERNS: tuple[tuple[str, str], ...] = (
-    (r"(?iU)[\w.+-]+@[\w-]+\.[\w.-]+", "[EMAIL]"),
-    (r"(?U)\b\d{3}-\d{2}-\d{4}\b", "[SSN]"),
-    (r"(?U)\b(?:\d[ -]?){13,19}\b", "[CARD]"),
-    (r"(?U)(?:(?:\+?\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4})", "[PHONE]"),
-    (r"(?U)\b\d{8,}\b", "[ACCT]"),
-)
-
 # Question routing, checked in this order; word-bounded, case-insensitive.
 INTENT_PATTERNS: tuple[tuple[str, str], ...] = (
     ("runway", r"(?i)\b(runway|cash out|death date|go broke|out of cash)\b"),
@@ -225,8 +215,7 @@ DEFAULT_EMBED_DIM = 256
 # Spark types
 # ---------------------------------------------------------------------------
 
-AMOUNT_TYPE = T.DecimalType(38, 10)
-REPORT_AMOUNT_TYPE = T.DecimalType(18, 2)
+AMOUNT_TYPE = T.DecimalType(38, 18)
 
 CANONICAL_SCHEMA = T.StructType([
     T.StructField("transaction_date", T.DateType(), False),

@@ -57,11 +57,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if existing:
         return existing
     path = tempfile.mkdtemp(prefix="cashweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def shared_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder, which on a cluster must be named; nothing is made up."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return ensure_checkpoint_dir(spark)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per application: operators with
     Python functions then run wherever the workers were started."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cashweave.operators.dedup import duplicate_count
 
@@ -18,12 +19,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     columns are dropped for CSV output."""
     out = df
     if fmt == "csv":
-        out = out.drop(*[c for c in PROVENANCE if c in out.columns])
+        out = out.drop(*[c for c in PROVENANCE if c in out.columns and not isinstance(out.schema[c].dataType, T.LongType)])
     w = out.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         w.json(path)
     else:
@@ -44,6 +45,12 @@ def write_answers_json(records: DataFrame, path: str) -> None:
 
 
 def ingest_report(union_before_dedup: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows per source, dedup totals) for an ingest run."""
+    """(rows per source, dedup totals) of rows before de-duplication."""
     per_source = union_before_dedup.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
     return per_source, duplicate_count(union_before_dedup)
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """Count the rows of ``df`` while it is written, without a pass of its own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -6,28 +6,31 @@ export format); a plain file list, as the command line passes it, is simply
 one layout per file. Each entry becomes one all-string scan (no type
 inference: values are coerced explicitly by the normaliser) and the entries
 are unioned, so the number of plans grows with the number of layouts, not of
-files. Headers are checked against every file of an entry at scan time
+files. CSV headers are checked against every file of an entry at scan time
 (``enforceSchema=false``), so a stray layout fails loudly instead of being
 mis-mapped.
 
 Every row carries its provenance and position, taken at the scan before any
-shuffle: ``file_ord`` (entry position, then file path) and ``row_ord``
-(split start within the file, then the row's position in its split), which
-the keep-first de-duplication orders by.
+shuffle: ``file_ord`` (entry position, then file path) and ``row_ord``, which
+adds the place in the file, is unique over all sources, and is what the
+keep-first de-duplication orders by.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cashweave.operators.normalize import empty_canonical, normalize
+from cashweave.operators.normalize import canonical, normalize_all
 from cashweave.schema import CANONICAL_SCHEMA, NOTE_SCHEMA, IngestionError
 
 CSV_SUFFIXES = (".csv",)
-JSON_SUFFIXES = (".json",)
+LINE_SUFFIXES = (".jsonl", ".ndjson")
+JSON_SUFFIXES = (".json", *LINE_SUFFIXES)
 EXCEL_SUFFIXES = (".xlsx", ".xls")
 
 
@@ -69,111 +72,179 @@ def _kind(path: str) -> str:
     if low.endswith(JSON_SUFFIXES):
         return "json"
     if low.endswith(EXCEL_SUFFIXES):
-        raise IngestionError(f"Unsupported file type: {low[low.rfind('.'):]} (convert spreadsheets to CSV)")
-    raise IngestionError(f"Unsupported file type: {low[low.rfind('.'):] if '.' in low else low}")
+        raise IngestionError(f"This type of file can't be read: {low[low.rfind('.'):]} (spreadsheets: save as CSV first)")
+    raise IngestionError(f"This type of file can't be read: {low[low.rfind('.'):] if '.' in low else low}")
 
 
-def _provenance(df: DataFrame, entry_ord: int) -> DataFrame:
-    """Add _file (name), file_ord and row_ord from the scan's metadata."""
+def _provenance(df: DataFrame, entry_ord: int, row=None) -> DataFrame:
+    """Add ``_file`` (name), ``file_ord`` and ``row_ord`` from the scan's metadata.
+
+    ``row_ord`` is unique over all sources and compares in reading order:
+    entry, file, split start, position in the split.
+    """
+    path = F.col("_metadata.file_path")
     return df.select(
         "*",
         F.col("_metadata.file_name").alias("_file"),
-        F.struct(F.lit(entry_ord).alias("entry"), F.col("_metadata.file_path").alias("path")).alias("file_ord"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"),
-                 F.monotonically_increasing_id().alias("row")).alias("row_ord"),
+        F.struct(F.lit(entry_ord).alias("entry"), path.alias("path")).alias("file_ord"),
+        F.struct(F.lit(entry_ord).alias("entry"), path.alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("row"), F.lit(0).cast("long").alias("item")).alias("row_ord"),
     )
 
 
-def read_raw(spark: SparkSession, path: str, kind: str, entry_ord: int,
-             multiline_csv: bool = False) -> DataFrame:
-    """All-string raw rows of one source entry, with provenance columns.
+def _header(spark: SparkSession, path: str, multiline_csv: bool) -> list[str]:
+    """Header texts of a CSV entry, as written in its first file."""
+    first = spark.read.option("header", False).option("multiLine", multiline_csv).option("escape", '"').csv(path).first()
+    return [] if first is None else [c or "" for c in first]
 
-    CSV is read splittable (large exports are parsed by many tasks; row
-    order survives as split start + position). ``multiline_csv`` allows
-    quoted fields with line breaks, at the price of one task per file.
-    """
-    if kind == "csv":
-        df = spark.read.option("header", True).option("enforceSchema", False) \
-            .option("multiLine", multiline_csv).option("escape", '"').csv(path)
-        return _provenance(df, entry_ord)
-    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    if "transactions" in df.columns:
-        # {"transactions": [...]}: one row per array element, position kept
-        base = _provenance(df.select("transactions"), entry_ord)
-        ex = base.select("_file", "file_ord", F.col("row_ord.block").alias("_blk"),
-                         F.posexplode("transactions").alias("_pos", "_t"))
-        return ex.select("_t.*", "_file", "file_ord",
-                         F.struct(F.col("_blk").alias("block"), F.col("_pos").cast("long").alias("row"))
-                         .alias("row_ord"))
-    return _provenance(df, entry_ord)
 
+def read_csv(spark: SparkSession, path: str, entry_ord: int, multiline_csv: bool = True) -> DataFrame:
+    """All-string rows of a CSV entry. Of equal headers the first keeps its
+    name and the others get a number, so that they can't be mixed up.
 
-def read_exports(spark: SparkSession, sources: Sequence[str], source: str | None = None,
-                 date_formats: Sequence[str] | None = None, on_error: str = "fail",
-                 keep: Iterable[str] = (), multiline_csv: bool = False) -> DataFrame:
-    """Canonical transactions from bank exports.
-
-    ``source`` tags every row (default: the file name without extension).
-    ``on_error="fail"`` raises ``IngestionError`` on the first bad entry;
-    ``"skip"`` leaves bad entries out.
+    Quoted fields may hold line breaks; ``multiline_csv=False`` says that
+    they don't, and lets many tasks read one large file.
+    """
+    names = _header(spark, path, multiline_csv)
+    seen: dict[str, int] = {}
+    unique = []
+    for name in names:
+        seen[name.lower()] = seen.get(name.lower(), 0) + 1
+        unique.append(name if seen[name.lower()] == 1 else f"{name} ({seen[name.lower()]})")
+    schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(unique)])
+    return _provenance(spark.read.schema(schema).option("header", True).option("enforceSchema", unique != names)
+                       .option("multiLine", multiline_csv).option("escape", '"').csv(path), entry_ord)
+
+
+def read_json(spark: SparkSession, path: str, entry_ord: int) -> DataFrame:
+    """All-string rows of a JSON entry: objects, lists of objects, and objects
+    whose ``transactions`` are such a list, mixed as they come. Files named
+    ``.jsonl`` hold one object a line and are read by many tasks."""
+    by_line = path.lower().rstrip("/").endswith(LINE_SUFFIXES)
+    df = spark.read.option("multiLine", not by_line).option("primitivesAsString", True).json(path)
+    plain = [c for c in df.columns if c != "transactions"]
+    if "transactions" not in df.columns:
+        return _provenance(df, entry_ord)
+    kind = df.schema["transactions"].dataType
+    inner = kind.elementType.fieldNames() if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else []
+    fields = list(dict.fromkeys([*inner, *plain]))
+    wrapped = F.transform("transactions", lambda t: F.struct(*[
+        (t[c] if c in inner else F.lit(None)).cast("string").alias(c) for c in fields]))
+    alone = F.array(F.struct(*[(F.col(f"`{c}`") if c in plain else F.lit(None)).cast("string").alias(c) for c in fields]))
+    empty = F.transform(F.array().cast("array<string>"), lambda _: F.struct(*[F.lit(None).cast("string").alias(c) for c in fields]))
+    rows = F.when(F.col("transactions").isNull(), alone).otherwise(wrapped if inner else empty) if fields else F.array()
+    if not fields:
+        return spark.createDataFrame([], PROVENANCE_SCHEMA)
+    base = _provenance(df, entry_ord)
+    split = base.select("_file", "file_ord", F.col("row_ord").alias("_at"), F.posexplode(rows).alias("_pos", "_t"))
+    return split.select("_t.*", "_file", "file_ord", F.struct(
+        *[F.col("_at")[c].alias(c) for c in ("entry", "path", "block", "row")], F.col("_pos").cast("long").alias("item")).alias("row_ord"))
+
+
+PROVENANCE_SCHEMA = ("_file string, file_ord struct<entry:int,path:string>, "
+                     "row_ord struct<entry:int,path:string,block:bigint,row:bigint,item:bigint>")
+
+
+def read_raw(spark: SparkSession, path: str, kind: str, entry_ord: int, multiline_csv: bool = True) -> DataFrame:
+    """All-string raw rows of one source entry, with provenance columns."""
+    return read_csv(spark, path, entry_ord, multiline_csv) if kind == "csv" else read_json(spark, path, entry_ord)
+
+
+def read_all(spark: SparkSession, sources: Sequence[str], source: str | None = None, date_formats: Sequence[str] | None = None,
+             on_error: str = "fail", keep: Iterable[str] = (), multiline_csv: bool = True,
+             account_col: str | None = None) -> DataFrame:
+    """Every row of the exports, good and rejected (see ``normalize_all``).
+
+    ``account_col`` names the column with the ledger's id; without it, a
+    source is part of one ledger. ``on_error="skip"`` turns an entry that
+    can't be read into one rejected row with the reason.
     """
     if not sources:
-        raise IngestionError("no input files provided")
+        raise IngestionError("There is nothing to ingest")
+    keep = ("file_ord", "row_ord", *keep)
     frames = []
     for i, path in enumerate(sources):
         try:
             if not _fs_exists(spark, path):
-                raise IngestionError(f"File not found: {path}")
+                raise IngestionError(f"There is no file {path}")
             kind = None if any(ch in path for ch in "*?[") else _folder_kind(spark, path)
             raw = read_raw(spark, path, kind or _kind(path), i, multiline_csv)
             tag = F.lit(source) if source else F.regexp_replace(F.col("_file"), r"\.[^.]*$", "")
-            frames.append(normalize(raw, source=tag, date_formats=date_formats,
-                                    keep=("file_ord", "row_ord", *keep)))
-        except IngestionError:
-            if on_error == "skip":
-                continue
-            raise
-    if not frames:
-        return empty_canonical(spark)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+            if account_col:
+                if account_col not in raw.columns:
+                    raise IngestionError(f"{path} has no column {account_col} for the ledger")
+                raw = raw.withColumn("account_id", F.col(f"`{account_col}`"))
+            frames.append(normalize_all(raw, tag, date_formats, (*keep, *(["account_id"] if account_col else []))))
+        except IngestionError as e:
+            if on_error != "skip":
+                raise
+            frames.append(spark.range(1).select(
+                F.lit(path).alias("source"), F.lit(f"entry not read: {e}").alias("reject_reason"),
+                F.struct(F.lit(i).alias("entry"), F.lit(path).alias("path")).alias("file_ord")))
+    if all("amount" not in f.columns for f in frames):
+        frames.append(normalize_all(spark.createDataFrame([], "amount string, " + PROVENANCE_SCHEMA), keep=keep))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def read_exports(spark: SparkSession, sources: Sequence[str], source: str | None = None,
+                 date_formats: Sequence[str] | None = None, on_error: str = "fail",
+                 keep: Iterable[str] = (), multiline_csv: bool = True, account_col: str | None = None) -> DataFrame:
+    """Canonical transactions from bank exports.
+
+    ``source`` tags every row (default: the file name without extension).
+    ``on_error="fail"`` raises ``IngestionError`` on the first bad entry;
+    ``"skip"`` goes on, and ``read_all`` tells which entries and rows were
+    left out.
+    """
+    rows = read_all(spark, sources, source, date_formats, on_error, keep, multiline_csv, account_col)
+    return canonical(rows, ("file_ord", "row_ord", *keep, *(["account_id"] if account_col else [])))
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Re-read a written canonical table (S5) with its schema, no inference."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     df = reader.csv(path)
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in CANONICAL_SCHEMA.fields if f.name in df.columns]
     extra = [F.col(c) for c in df.columns if c not in CANONICAL_SCHEMA.fieldNames()]
     return df.select(*typed, *extra)
 
 
-def read_notes(spark: SparkSession, path: str, fmt: str = "parquet", dim: int = 256) -> DataFrame:
-    """Load a note store (S6). A missing or unreadable store is an empty store.
+def newest_version(spark: SparkSession, base_path: str) -> str | None:
+    """The newest complete ``v=...`` folder of a note store, if there is one."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(base_path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    done = [st.getPath() for st in fs.listStatus(p) if st.isDirectory() and st.getPath().getName().startswith("v=")
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    return max((d.toString() for d in done), default=None)
 
-    Embeddings are derived data: they are recomputed from the text with the
-    current embedder width, so a store written with another width still
-    scores (Q22).
+
+def read_notes(spark: SparkSession, path: str, fmt: str = "parquet", dim: int = 256, embed=None) -> DataFrame:
+    """Load a note store (S6), the newest version of it if it has versions.
+
+    A missing store is an empty one, and so is the part of a JSON store that
+    is no JSON; errors of the storage itself are raised. Embeddings are
+    derived data: they are recomputed from the text with the current embedder,
+    so a store written with another width still scores (Q22).
     """
     from cashweave.functions.embeddings import with_embedding
+    embed = embed or (lambda df, text, out: with_embedding(df, text, out, dim))
     empty = spark.createDataFrame([], NOTE_SCHEMA).drop("embedding")
     if not _fs_exists(spark, path):
-        return with_embedding(empty, "text", "embedding", dim)
-    try:
-        if fmt == "parquet":
-            df = spark.read.parquet(path)
-        else:
-            schema = "id string, text string, metadata map<string,string>, seq long, _corrupt_record string"
-            df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path) \
-                .where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    except Exception:  # noqa: BLE001 - unreadable store behaves as empty
-        return with_embedding(empty, "text", "embedding", dim)
+        return embed(empty, "text", "embedding")
+    path = newest_version(spark, path) or path
+    if fmt == "parquet":
+        df = spark.read.parquet(path)
+    else:
+        schema = "id string, text string, metadata map<string,string>, seq long, _corrupt_record string"
+        df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path) \
+            .where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     if "seq" not in df.columns:
         df = df.withColumn("seq", F.monotonically_increasing_id())
     base = df.select("id", "text", F.coalesce("metadata", F.create_map().cast("map<string,string>"))
                      .alias("metadata"), "seq")
-    return with_embedding(base, "text", "embedding", dim).select("id", "text", "metadata", "embedding", "seq")
+    return embed(base, "text", "embedding").select("id", "text", "metadata", "embedding", "seq")

@@ -22,70 +22,57 @@ from pyspark.sql import functions as F
 
 # Merchant texts used to describe derived transactions (our own test data).
 MERCHANTS: tuple[str, ...] = (
-    "PAYROLL DEPOSIT ACME INC",
-    "STRIPE PAYOUT",
-    "ADP PAYROLL FEES",
-    "GUSTO PAYROLL",
-    "RENT PAYMENT APT 4B",
-    "WEWORK MEMBERSHIP",
-    "COMCAST XFINITY INTERNET",
-    "PG&E ELECTRIC BILL",
-    "STAPLES OFFICE DEPOT",
-    "GITHUB INC",
-    "AWS CLOUD SERVICES",
-    "NETFLIX.COM",
-    "UBER TRIP",
-    "UBER EATS ORDER",
-    "DELTA AIR LINES",
-    "MARRIOTT HOTEL",
-    "STARBUCKS STORE #8842",
-    "CHIPOTLE ONLINE",
-    "GOOGLE ADS",
-    "FACEBOOK ADS MANAGER",
-    "LEGALZOOM",
-    "CONSULTING SERVICES LLC",
-    "GEICO INSURANCE",
-    "IRS TAX PAYMENT",
-    "MONTHLY SERVICE FEE",
-    "OVERDRAFT FEE",
-    "WHOLE FOODS MARKET #123",
-    "TRADER JOE S",
-    "COSTCO WHOLESALE",
-    "AMC THEATRES",
-    "TICKETMASTER",
-    "AMAZON.COM AMZN.COM/BILL",
-    "WALMART SUPERCENTER",
-    "TARGET STORE",
-    "VENMO TRANSFER TO J SMITH",
-    "ZELLE PAYMENT",
-    "FIRST NATIONAL CURRENT ACCOUNT",
-    "COFFEE AND WATER CO",
-    "SLACK ZOOM NOTION",
-    "HOTEL CAFE",
-    "LYFT CAFE",
-    "XJ91 BLAH BLAH",
-    "MISC PURCHASE",
-    "CHECK 1042",
-    "ATM WITHDRAWAL 555123456789",
-    "PAYMENT TO JOHN.DOE@EXAMPLE.COM",
+    "PAYROLL MONTHLY RUN",
+    "STRIPE PAYOUT 77",
+    "ADP PAYROLL SERVICE",
+    "GUSTO RUN",
+    "RENT UNIT NINE",
+    "WEWORK DESK",
+    "XFINITY BY COMCAST",
+    "ELECTRIC BILL PG&E WEST",
+    "STAPLES AND PAPER",
+    "GITHUB TEAM PLAN",
+    "AWS EU REGION",
+    "NETFLIX PLAN",
+    "UBER 6AM RIDE",
+    "UBER EATS DINNER",
+    "DELTA AIR TICKET",
+    "HILTON HOTEL NIGHT",
+    "STARBUCKS CORNER",
+    "CHIPOTLE BOWL",
+    "GOOGLE ADS SPRING",
+    "FACEBOOK ADS REACH",
+    "LEGALZOOM FILING",
+    "CONSULTING BY THE HOUR",
+    "STATE FARM INSURANCE",
+    "IRS QUARTERLY TAX PAYMENT",
+    "CARD SERVICE FEE",
+    "OVERDRAFT CHARGE",
+    "WHOLE FOODS BASKET",
+    "TRADER JOE BASKET",
+    "COSTCO BULK",
+    "AMC THEATRES EVENING",
+    "TICKETMASTER SEAT",
+    "AMZN MARKET AMAZON",
+    "WALMART AISLE",
+    "TARGET AISLE",
+    "TRANSFER TO SAVINGS VIA ZELLE",
+    "CASH APP FRIEND",
+    "CURRENT SERVICE LEASED",
+    "COFFEE WATER AND TEA",
+    "ZOOM SLACK FIGMA",
+    "CAFE IN THE HOTEL",
+    "CAFE RIDE LYFT",
+    "QQ17 UNKNOWN VENDOR",
+    "ODDS AND ENDS",
+    "CHECK 20881",
+    "CASH MACHINE 900800700600",
+    "PAID MARY.MAJOR@MAIL.TEST",
 )
 
 
-def spread(df: DataFrame, target: int | None = None) -> DataFrame:
-    """Round-robin a scan that arrives in fewer partitions than the cluster
-    has cores (a small table stored as one row group), so CPU-heavy narrow
-    work (regexes, keyword scoring, embedding) runs on every core. Large
-    tables already have many splits and pass through untouched."""
-    try:
-        want = target or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect)
-        return df
-    return df if have >= want else df.repartition(want)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def merchant_for(key: Column) -> Column:
@@ -161,16 +148,16 @@ SELECT c_custkey AS account_id, CAST(c_acctbal AS DOUBLE) AS starting_balance FR
 # Question templates for the per-customer question table (our own test data).
 # {amount} and {category} are filled from the customer key.
 QUESTION_TEMPLATES: tuple[str, ...] = (
-    "What's my runway?",
-    "How long until we go broke?",
-    "Can I afford a ${amount} laptop?",
-    "Should I buy new equipment?",
-    "How much did I spend on {category} in the last 30 days?",
-    "How much did I spend on coffee?",
-    "How much did I spend recently?",
-    "What did the last order cost?",
-    "What are our Q3 marketing plans?",
-    "Summarize my business",
+    "How long is the runway now?",
+    "Do we go broke this year?",
+    "Can I afford a new machine at ${amount}?",
+    "Should I get a second van?",
+    "What have we spent on {category} this month?",
+    "Is our coffee spending high?",
+    "How high was spending lately?",
+    "What did the repairs cost?",
+    "Which marketing goals do we have?",
+    "Give me an overview",
 )
 
 

@@ -25,28 +25,28 @@ def test_amount_coercion(spark):
 
 
 def test_card_export(spark, samples):
-    df = read_exports(spark, [samples["chase"]])
+    df = read_exports(spark, [samples["card"]])
     assert df.columns[:7] == list(CANONICAL_COLUMNS)
     rows = df.collect()
     assert len(rows) == 7
-    assert sum(r.amount for r in rows) == Decimal("2180.33")
+    assert sum(r.amount for r in rows) == Decimal("1570.21")
     assert len({r.raw_hash for r in rows}) == 7
-    assert {r.source for r in rows} == {"chase_sample"}
+    assert {r.source for r in rows} == {"card_may"}
     assert all(r.category is None and r.ai_confidence_score is None for r in rows)
 
 
 def test_checking_export_debit_credit(spark, samples):
-    rows = read_exports(spark, [samples["bofa"]]).collect()
+    rows = read_exports(spark, [samples["checking"]]).collect()
     assert len(rows) == 5
     credits = [r for r in rows if r.amount > 0]
-    assert len(credits) == 1 and credits[0].amount == Decimal("4200.00")
+    assert len(credits) == 1 and credits[0].amount == Decimal("3100.00")
     assert len([r for r in rows if r.amount < 0]) == 4
 
 
 def test_json_export(spark, samples):
-    rows = read_exports(spark, [samples["generic"]]).collect()
+    rows = read_exports(spark, [samples["app"]]).collect()
     assert len(rows) == 3
-    assert sum(r.amount for r in rows) == Decimal("4152.07")
+    assert sum(r.amount for r in rows) == Decimal("3064.75")
 
 
 def test_missing_columns_raise(spark):
@@ -78,3 +78,84 @@ def test_header_aliases_first_wins(spark):
                                ["  DATE ", "Amt", "Memo", "Description"])
     out = normalize(df).collect()
     assert out[0].description == "A"
+
+
+DATES = ["2026-03-01T10:00:00Z", "2026-03-01T10:00:00.000Z", "2026-03-01T10:00:00+00:00", "2026-03-01 10:00:00.123", "20260301",
+         "01-Mar-2026", "Mar 1 2026", "03/01/2026 10:15 AM", "03/01/2026 10:15:00 PM", "Sun, 1 March 2026", "3/1/26", "2026/3/1",
+         "1st March 2026", "March 1, 2026"]
+
+
+def test_dates_of_bank_exports(spark):
+    import datetime as dt
+
+    from cashweave.functions.dates import coerce_date
+    bad = ["soon", "2026-13-45", "2026-02-30", "", "99999999", None, "12", "1/2"]
+    df = spark.createDataFrame([(d,) for d in [*DATES, "13/01/2026", *bad]], "s string")
+    got = [r.d for r in df.select(coerce_date("s").alias("d")).collect()]
+    assert got[:len(DATES)] == [dt.date(2026, 3, 1)] * len(DATES)
+    assert got[len(DATES)] == dt.date(2026, 1, 13) and got[len(DATES) + 1:] == [None] * len(bad)
+    day_first = df.limit(0).union(spark.createDataFrame([("02/01/2026",)], "s string"))
+    assert day_first.select(coerce_date("s", ["dd/MM/yyyy"]).alias("d")).first().d == dt.date(2026, 1, 2)
+    frame = spark.createDataFrame([(d, "-1", "x") for d in DATES], "Date string, Amount string, Memo string")
+    assert {r.transaction_date for r in normalize(frame).collect()} == {dt.date(2026, 3, 1)}
+
+
+def test_a_memo_of_two_lines_stays_one_row(spark, tmp_path):
+    p = tmp_path / "memo.csv"
+    p.write_text('Date,Memo,Amount\n2026-03-01,"two\nlines, ""quoted""",-5\n2026-03-02,plain,-6\n')
+    rows = read_exports(spark, [str(p)]).orderBy("row_ord").collect()
+    assert [(r.description, r.amount) for r in rows] == [('two\nlines, "quoted"', Decimal(-5)), ("plain", Decimal(-6))]
+
+
+def test_of_equal_headers_the_first_counts(spark, tmp_path):
+    p = tmp_path / "twice.csv"
+    p.write_text("Date,Amount,Memo,amount,Amount\n2026-03-01,-5,a,-6,-7\n")
+    assert [r.amount for r in read_exports(spark, [str(p)]).collect()] == [Decimal(-5)]
+
+
+def test_json_in_all_its_forms(spark, tmp_path):
+    row = '{"date": "2026-03-0%d", "amount": %s, "memo": "m"}'
+    (tmp_path / "a.json").write_text('{"transactions": [' + row % (1, "-1.5") + "]}")
+    (tmp_path / "b.json").write_text("[" + row % (2, "-2") + ", " + row % (3, '"$3.00"') + "]")
+    (tmp_path / "c.json").write_text('{"transactions": []}')
+    got = read_exports(spark, [str(tmp_path)]).collect()
+    assert sorted(r.amount for r in got) == [Decimal("-2"), Decimal("-1.5"), Decimal("3")]
+    assert len({str(r.row_ord) for r in got}) == 3
+    assert read_exports(spark, [str(tmp_path / "c.json")]).count() == 0
+    lines = tmp_path / "d.jsonl"
+    lines.write_text(row % (4, "1") + "\n" + row % (5, "2") + "\n")
+    assert read_exports(spark, [str(lines)]).count() == 2
+
+
+def test_rejected_rows_are_listed_with_reasons(spark, tmp_path):
+    from cashweave.operators.normalize import rejects
+    from cashweave.sources.exports import read_all
+    p = tmp_path / "bad.csv"
+    p.write_text("Date,Memo,Amount\nsoon,a,1\n2026-03-01,b,\n2026-03-01,,1\n2026-03-01,c,1e29\n2026-03-01,d,0.1234567890123456789\n"
+                 "2026-03-01,e,0.123456789012345678\n2026-03-01,f,n/a\n2026-03-01,g,1e-30\n")
+    every = read_all(spark, [str(p), str(tmp_path / "missing.csv")], on_error="skip")
+    got = {r.description: r.reject_reason for r in rejects(every).where("source = 'bad'").collect()}
+    assert got == {"a": "no date", "b": "no amount", None: "no description", "c": "amount not exact", "d": "amount not exact",
+                   "f": "no amount", "g": "amount not exact"}
+    assert rejects(every).where("reject_reason like 'entry not read%'").count() == 1
+    assert [r.amount for r in read_exports(spark, [str(p)]).collect()] == [Decimal("0.123456789012345678")]
+
+
+def test_hash_and_record_text_do_not_depend_on_the_session(spark):
+    from cashweave.functions.amounts import canon_amount_text, record_amount_text
+    df = spark.createDataFrame([("0",), ("0.00",), ("-0.0000001",), ("4200.005",), ("4200.00",), ("10",)], "s string")
+    seen = []
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        a = coerce_amount("s")
+        seen.append([tuple(r) for r in df.select(canon_amount_text(a), record_amount_text(a)).collect()])
+    spark.conf.unset("spark.sql.ansi.enabled")
+    assert seen[0] == seen[1] == [("0", "0.00"), ("0", "0.00"), ("-0.0000001", "-0.0000001"), ("4200.005", "4200.005"),
+                                  ("4200", "4200.00"), ("10", "10.00")]
+
+
+def test_percent_ties_go_to_even(spark):
+    from cashweave.functions.amounts import percent_text
+    xs = [0.745, 0.625, 0.125, 0.585, 0.705, 0.825, 0.005, 0.015, 1.0, 0.0, None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(percent_text("x")).collect()]
+    assert got == [f"{x or 0:.0%}" for x in xs]

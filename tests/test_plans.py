@@ -31,10 +31,52 @@ def test_search_has_no_cartesian_join(spark):
     q = spark.createDataFrame([(1, "cash note")], "question_id long, question string")
     plan = _plan(search_notes(store, q))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "MapInPandas" in plan
+    assert "MapInArrow" in plan
 
 
 def test_scans_prune_columns(spark):
     from cashweave.operators.reports import kpis
     plan = _plan(kpis(canonical_orders(spark, SF_SMALL)))
     assert "o_orderpriority" not in plan and "o_comment" not in plan
+
+
+def _scans(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_window_totals_scan_the_ledger_once(spark):
+    from cashweave.plans.queries import QUERIES
+    assert _scans(QUERIES["window_30d_net"](spark, SF_SMALL)) == 1
+    assert _scans(QUERIES["category_spend_30d"](spark, SF_SMALL)) == 1
+
+
+def test_citation_sets_have_no_union(spark):
+    """One read of the rows; the account's latest date needs two columns more."""
+    from cashweave.plans.queries import QUERIES
+    df = QUERIES["citation_sets"](spark, SF_SMALL)
+    assert _scans(df) <= 2 and "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ingest_compiles_and_coerces_once(spark):
+    from cashweave.plans.queries import QUERIES
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        df = QUERIES["canonical_normalize"](spark, SF_SMALL)
+        assert df.count() > 0
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("try_to_date") == 1
+
+
+def test_seasonal_fit_is_one_aggregation_over_one_scan(spark):
+    from cashweave.operators.seasonal import seasonal_projection
+    plan = seasonal_projection(canonical_orders(spark, SF_SMALL), 0.0, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regr_slope") >= 1 and _scans(seasonal_projection(canonical_orders(spark, SF_SMALL), 0.0, 5)) <= 2
+
+
+def test_search_collects_nothing():
+    import inspect
+
+    from cashweave.operators import notes
+    assert ".collect()" not in inspect.getsource(notes)

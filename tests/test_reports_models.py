@@ -10,36 +10,36 @@ from cashweave.operators.seasonal import seasonal_projection
 from cashweave.sources.exports import read_exports
 
 
-def _chase(spark, samples):
-    t = read_exports(spark, [samples["chase"], samples["bofa"]]).withColumn("account_id", F.lit(1).cast("long"))
-    return categorize(t).withColumn("key", F.col("row_ord.row") + F.col("file_ord.entry") * 1000)
+def _card(spark, samples):
+    t = read_exports(spark, [samples["card"], samples["checking"]]).withColumn("account_id", F.lit(1).cast("long"))
+    return categorize(t)
 
 
 def test_kpis_and_spend(spark, samples):
-    t = _chase(spark, samples)
+    t = _card(spark, samples)
     k = kpis(t).first()
-    assert k.transactions == 12 and k.total_income == Decimal("8400.00")
+    assert k.transactions == 12 and k.total_income == Decimal("6200.00")
     assert k.net_cashflow == k.total_income - k.total_expenses
     s = spend_by_category(t).collect()
     amounts = [r.amount for r in s]
     assert amounts == sorted(amounts, reverse=True)
     assert sum(amounts) == k.total_expenses          # sum by category = total
     assert daily_cashflow(t).count() == 8
-    d = transaction_detail(t).where("Description like 'STARBUCKS STORE%'").first()
-    assert d.Amount == "$-5.75" and d.Confidence == "95%"
+    d = transaction_detail(t).where("Description like 'STARBUCKS HARBOUR%'").first()
+    assert d.Amount == "$-4.20" and d.Confidence == "95%"
 
 
 def test_model_batches(spark, samples):
-    t = _chase(spark, samples)
-    rows = request_rows(t, batch_size=5, key="key")
+    t = _card(spark, samples)
+    rows = request_rows(t, batch_size=5, key="row_ord")
     bodies = request_bodies(rows).collect()
     assert sum(b.n_rows for b in bodies) == 12
-    assert all("[PHONE]" in b.body or "555123456789" not in b.body for b in bodies)
+    assert all("[PHONE]" in b.body or "700800900100" not in b.body for b in bodies)
     first = rows.select("account_id", "batch_id").distinct().collect()
     resp = [(r.account_id, r.batch_id, '```json\n[{"index": 0, "category": "Snacks"}, {"index": 99}]\n```')
             for r in first[:1]] + [(r.account_id, r.batch_id, "no json here") for r in first[1:]]
     responses = spark.createDataFrame(resp, "account_id long, batch_id long, response string")
-    merged = merge_responses(rows, responses, t.select("key", "category", "ai_confidence_score"), key="key")
+    merged = merge_responses(rows, responses, t, key="row_ord")
     out = merged.collect()
     assert len(out) == 12
     model_rows = [r for r in out if r.method == "model"]
@@ -53,3 +53,13 @@ def test_seasonal_projection_shape(spark):
     df = spark.createDataFrame(rows, "account_id long, transaction_date date, amount decimal(18,2)")
     p = seasonal_projection(df, 100.0, horizon_days=14).orderBy("day_no").collect()
     assert len(p) == 14 and p[0].date == dt.date(2026, 1, 29)
+
+
+def test_responses_are_read_strictly(spark):
+    from cashweave.operators.model_batches import parse_response
+    texts = {'[{"index": 1, "category": "Travel", "confidence": 0.5}]': 1, '{"index": 1}': None, '[{"index": "1"}]': 1,
+             '[{"index": 0, "confidence": "high"}]': None, '[{"index": "one"}]': None, "[]": 0, "no": None, "[1, 2]": None,
+             '```json\n[{"category": "Meals"}]\n```': 1, None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.n for r in df.select("t", F.when(parse_response(F.col("t")).isNotNull(), F.size(parse_response(F.col("t")))).alias("n")).collect()}
+    assert got == texts
