@@ -23,19 +23,21 @@ the alphabetically first language wins.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashweave.llm.common import packed
+from cashweave.llm.common import packed, scratch_dir, shared_fs
 
 ORDER = 3
 ROWS_PER_LANGUAGE = 2000
 LANGUAGES = 64
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 16 << 20
 GRAMS = 1 << 20            # counted byte sequences, the most frequent ones, that the trees are built of
-CHUNK = 1 << 20            # bytes scored at a time
+CHUNK = 1 << 18            # bytes scored at a time
 UNKNOWN = "und"
 
 
@@ -66,15 +68,14 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 class Trees:
     """The frozen trees of all languages as one table of code lengths."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], table_bytes: int = TABLE_BYTES):
-        self.languages = sorted({lang for lang, _, _ in counts})
+    def __init__(self, languages: list[str], lang, gram, n, table_bytes: int = TABLE_BYTES):
+        """From counted byte sequences: arrays of the language's place in
+        ``languages``, the sequence and its count."""
+        self.languages = list(languages) if len(gram) else []
         L = len(self.languages)
         if not L:
             return
-        at = {lang: i for i, lang in enumerate(self.languages)}
-        lang = np.array([at[c[0]] for c in counts])
-        gram = np.array([c[1] for c in counts], np.uint32)
-        n = np.array([c[2] for c in counts], np.float64)
+        lang, gram, n = np.asarray(lang), np.asarray(gram).astype(np.uint32), np.asarray(n, np.float32)
         seen = np.unique(np.concatenate([gram >> s & 255 for s in (0, 8, 16, 24)]))
         self.symbol = np.zeros(256, np.int32)          # 0: a byte never seen
         self.symbol[seen] = np.arange(1, len(seen) + 1)
@@ -82,7 +83,7 @@ class Trees:
         s = [self.symbol[gram >> shift & 255].astype(np.int64) for shift in (0, 8, 16, 24)]
         context = [np.zeros(len(gram), np.int64), s[1], s[1] + A * s[2], s[1] + A * s[2] + A * A * s[3]]
         rows_left = max(A * A, table_bytes // (A * L * 4))
-        costs = [np.full((1, A, L), 8.0)]              # a byte never seen, in no context
+        costs = [np.full((1, A, L), 8.0, np.float32)]            # a byte never seen, in no context
         self.row_of = np.zeros(1, np.int64)
         base, parent_rows = 1, None
         for order in range(ORDER + 1):
@@ -96,7 +97,7 @@ class Trees:
                 ids, where = ids[best], new[where[keep]]
             else:
                 keep = np.ones(len(gram), bool)
-            c = np.zeros((len(ids), A, L))
+            c = np.zeros((len(ids), A, L), np.float32)
             np.add.at(c, (where, s[0][keep], lang[keep]), n[keep])
             if order:
                 below = costs_all[parent_rows_of(ids, order, A, self.row_of)]
@@ -113,7 +114,20 @@ class Trees:
             costs.append(cost)
             base += len(ids)
             costs_all = np.concatenate(costs)
-        self.table = costs_all.astype(np.float32)
+        self.table = costs_all
+
+    @classmethod
+    def of_rows(cls, rows: list[tuple[str, int, int]]) -> Trees:
+        languages = sorted({r[0] for r in rows})
+        return cls(languages, [languages.index(r[0]) for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+
+    def save(self, folder: str) -> str:
+        """Write the frozen trees to the shared folder; returns the place."""
+        system, path = shared_fs(folder)
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/trees.pickle") as out:
+            pickle.dump(self, out, protocol=5)
+        return f"{folder}/trees.pickle"
 
     def _deeper(self, order: int, A: int) -> np.ndarray:
         """Row of each context one byte longer: that of the shorter one, for now."""
@@ -161,23 +175,27 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languag
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
              .orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
-        return Trees([])
+        return Trees([], [], [], [])
+    languages = sorted(sizes)
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows_per_language / n))).otherwise(share)
     picked = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20))
     counts = gram_counts(picked)
-    kept = counts.orderBy(F.desc("n"), "lang", "gram").limit(GRAMS).toPandas()
-    return Trees(list(kept.itertuples(index=False, name=None)))
+    place = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
+    kept = counts.orderBy(F.desc("n"), "lang", "gram").limit(GRAMS).select(place.alias("lang"), "gram", "n").toPandas()
+    return Trees(languages, kept["lang"], kept["gram"], kept["n"])
 
 
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:
     """``doc`` (the whole row), ``lang_pred`` and ``score`` of every row."""
     rows = packed(docs).select("doc", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     schema = rows.select("doc").schema.add("lang_pred", "string").add("score", "double")
+    saved = trees.save(scratch_dir(docs.sparkSession, "trees"))
 
     def run(batches):
         for b in batches:
+            trees = load(saved)
             letters = np.array(b.column(2).to_pylist(), bool)
             lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
             which = np.flatnonzero(letters) if trees.languages else []
@@ -195,6 +213,19 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+_LOADED: dict[str, Trees] = {}
+
+
+def load(place: str) -> Trees:
+    """The process's copy of saved trees (workers are reused)."""
+    if place not in _LOADED:
+        _LOADED.clear()
+        system, path = shared_fs(place)
+        with system.open_input_stream(path) as f:
+            _LOADED[place] = pickle.loads(f.read())
+    return _LOADED[place]
+
+
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
