@@ -39,12 +39,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document of the flat files: its number in the order of ``doc_id``,
-    the ids before it and its own; ``doc_id`` from that order."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Per document of the flat files: its number over all files, the ids
+    before it, its own."""
+    files = token_files.write_flat(table(spark, sf_dir, "documents").select("doc_id", "text"))
     end = token_files.end_of_document(default_tokenizer())
-    found = token_counts.counts(token_files.write_flat(docs), end, token_files.flat_type(end))
-    return found.join(token_counts.ordinals(docs), "ordinal").select("doc_id", "ordinal", "start", "n_tokens")
+    found = token_counts.counts(files, end, token_files.flat_type(end))
+    return token_counts.named(found, files).select("doc_id", "ordinal", "start", "n_tokens")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

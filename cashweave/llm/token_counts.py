@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashweave.llm.common import shared_fs, stored
-from cashweave.llm.token_files import in_order
 
 BLOCK_IDS = 1 << 20
 
@@ -53,8 +52,9 @@ def scan(blocks: DataFrame, end_id: int, dtype: np.dtype) -> DataFrame:
 
 
 def counts(files: DataFrame, end_id: int, dtype: np.dtype, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """``ordinal, start, n_tokens`` of every document of the files: its number
-    over all files, the ids before it without separators, and its own."""
+    """``part, number, ordinal, start, n_tokens`` of every document: its number
+    in its file and over all files, the ids before it without separators, and
+    its own."""
     found = scan(block_list(files, block_ids), end_id, dtype)
     order = Window.partitionBy("part").orderBy("block")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -71,20 +71,15 @@ def counts(files: DataFrame, end_id: int, dtype: np.dtype, block_ids: int = BLOC
     bases = per_file.select("part", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("file_docs"),
                             F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("file_ids"))
     docs = closed.join(bases, "part").select(
-        "file_docs", "file_ids", "docs_before", "carry", "first", "stops", F.posexplode("stops").alias("i", "stop"))
+        "part", "file_docs", "file_ids", "docs_before", "carry", "first", "stops", F.posexplode("stops").alias("i", "stop"))
     previous = F.get("stops", F.col("i") - 1)
     ordinal = F.col("docs_before") + F.col("i")
     length = F.when(F.col("i") == 0, F.col("carry") + F.col("stop")).otherwise(F.col("stop") - previous - 1)
     end = F.col("file_ids") + F.col("first") + F.col("stop") - ordinal              # ids up to the stop, less separators
-    return docs.select((F.col("file_docs") + ordinal).alias("ordinal"), (end - length).alias("start"), length.alias("n_tokens"))
+    return docs.select("part", ordinal.alias("number"), (F.col("file_docs") + ordinal).alias("ordinal"), (end - length).alias("start"), length.alias("n_tokens"))
 
 
-def ordinals(docs: DataFrame) -> DataFrame:
-    """``ordinal, doc_id``: the number of every row in the order of the files."""
-    ordered = in_order(docs).select("doc_id", F.monotonically_increasing_id().alias("at"))
-    numbered = stored(ordered.select("doc_id", F.shiftright("at", 33).alias("part"),
-                                     F.col("at").bitwiseAND((1 << 33) - 1).alias("i")), "ordinals")
-    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # one row a partition
-    bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return numbered.join(bases, "part").select((F.col("base") + F.col("i")).alias("ordinal"), "doc_id")
+def named(counted: DataFrame, files: DataFrame) -> DataFrame:
+    """Add the ``doc_id`` that the files' writer has noted for each document."""
+    ids = files.select("part", F.posexplode("doc_ids").alias("number", "doc_id"))
+    return counted.join(ids, ["part", "number"])

@@ -4,10 +4,10 @@
 of coded blocks, and a footer with each document's id and number of ids.
 ``read_coded`` reads them back, group of blocks by group of blocks.
 ``write_flat`` writes nothing but the ids, fixed width, each document followed
-by an end-of-document id.
+by an end-of-document id, in the order of the input.
 
-Documents are dealt to files by ranges of ``doc_id`` (rows without an id come
-first, rows of one id by a hash of their text), one file a task. A file is
+For coded files, documents are dealt by ranges of ``doc_id`` (rows without an id
+come first, rows of one id by a hash of their text). One task writes one file. A file is
 written under a name of its own and then renamed, so a task that is run again
 replaces what a lost one left. Null and empty texts are documents without
 ids but the end id; repeated rows are documents each; an empty table gives no
@@ -35,6 +35,7 @@ TAIL = "<QQI"                       # footer's place, its length, vocabulary
 DOCUMENT = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("n", "<u8")])
 GROUP = rc.LANES * rc.BLOCK
 FILES_SCHEMA = "part int, file string, n_docs long, n_ids long"
+FLAT_SCHEMA = FILES_SCHEMA + ", doc_ids array<long>"
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -168,24 +169,29 @@ def end_of_document(path: str) -> int:
 
 def write_flat(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
     """Write flat files of 16-bit ids (32-bit for larger vocabularies), without
-    any index; one row per file. The end id is ``end_of_document``."""
+    any index, one per input split and in its order, so no text moves. One row
+    per file, with the ``doc_ids`` it was written from; the end id is
+    ``end_of_document``."""
     path, where = tokenizer or default_tokenizer(), folder or scratch_dir(docs.sparkSession, "flat-ids")
 
     def task(batches):
-        out, n_docs, n_ids = None, 0, 0
+        out, doc_ids, n_ids = None, [], 0
         for b in batches:
             enc, end = encoder(path), end_of_document(path)
             kind = flat_type(end)
             if out is None:
                 out = _File(where, f"part-{TaskContext.get().partitionId():05d}.flat")
+            doc_ids += b.column(0).to_pylist()
             for text in b.column(1).to_pylist():
                 ids = np.append(enc.encode(text), end).astype(kind)
                 out.stream.write(ids.tobytes())
-                n_docs, n_ids = n_docs + 1, n_ids + len(ids)
+                n_ids += len(ids)
         if out is not None:
-            yield _file_row(TaskContext.get().partitionId(), out.done(), n_docs, n_ids)
+            row = _file_row(TaskContext.get().partitionId(), out.done(), len(doc_ids), n_ids)
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([doc_ids], pa.list_(pa.int64()))], [*row.schema.names, "doc_ids"])
 
-    return _write(docs, where, task)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stored(rows.mapInArrow(task, FLAT_SCHEMA), "files")
 
 
 def flat_type(end: int) -> np.dtype:

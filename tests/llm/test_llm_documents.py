@@ -191,7 +191,7 @@ def test_code_lengths_are_exact():
     for lang, text in texts.items():
         gram, n = np.unique(language_id._grams(np.frombuffer(text.encode(), np.uint8)), return_counts=True)
         counts[lang] = dict(zip(gram.tolist(), n.tolist()))
-    trees = language_id.Trees([(lang, g, n) for lang, c in counts.items() for g, n in c.items()])
+    trees = language_id.Trees.of_rows([(lang, g, n) for lang, c in counts.items() for g, n in c.items()])
 
     def bits(text, lang):
         tree = {}
@@ -379,10 +379,14 @@ def test_token_counts_of_documents(spark, corpus):
     rows = corpus[0] + [(None, "no id", None), (700, "twice", None), (700, "twice", None)]
     docs = frame(spark, rows)
     end = token_files.end_of_document(default_tokenizer())
-    got = token_counts.counts(token_files.write_flat(docs), end, token_files.flat_type(end), 1000) \
-        .join(token_counts.ordinals(docs), "ordinal").orderBy("ordinal").collect()
-    want = [(i, len(_ids(t, 0)) - 1) for i, t in sorted(((i, t) for i, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0))]
-    assert [(r.doc_id, r.n_tokens) for r in got] == want
+    files = token_files.write_flat(docs)
+    got = token_counts.named(token_counts.counts(files, end, token_files.flat_type(end), 1000), files) \
+        .collect()
+    got.sort(key=lambda r: r.ordinal)
+    want = [(i, len(_ids(t, 0)) - 1) for i, t, _ in rows]
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(want, key=str)
+    assert [r.ordinal for r in got] == list(range(len(rows)))
+    want = [(r.doc_id, r.n_tokens) for r in got]
     assert [r.start for r in got] == [0, *np.cumsum([n for _, n in want])[:-1]]
     assert token_counts.counts(token_files.write_flat(frame(spark, [])), end, token_files.flat_type(end)).count() == 0
 
