@@ -28,6 +28,7 @@ from cashweave.llm.common import ascii_lower, doc_key, doc_no, packed, small_sid
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
+ONE_IN = 20
 END = ""                       # the term of a document's last posting
 PROBES = 3                     # rarest terms that are intersected one by one
 BROADCAST_ROWS = 200_000       # rows of benchmark-sized tables up to which they are broadcast
@@ -150,10 +151,10 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, vocabulary: DataFram
     return complete.select(*DOC, "phrase_id", "pos").union(alone.select(*DOC, "phrase_id", "pos"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) -> DataFrame:
     """One row per document: ``doc_id, doc_no, doc_key, n_words, n_hit,
-    item_ids`` (sorted) and ``contaminated``: at least ``share`` of the words
-    lie in matches."""
+    item_ids`` (sorted) and ``contaminated``: at least one word in ``one_in``
+    lies in a match."""
     phrases = phrases_of(items)
     vocabulary = vocabulary_of(phrases)
     index = build_index(docs, vocabulary)
@@ -168,10 +169,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     return documents_of(index).join(hits, DOC, "left").select(
         "doc_id", *DOC, "n_words", n_hit.alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        ((n_hit > 0) & (n_hit >= F.lit(share) * F.col("n_words"))).alias("contaminated"))
+        ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) -> DataFrame:
     """The documents that are not contaminated, all their columns."""
-    bad = contamination(docs.select("doc_id", "text"), items, window, share).filter("contaminated").select(*DOC)
+    bad = contamination(docs.select("doc_id", "text"), items, window, one_in).filter("contaminated").select(*DOC)
     return packed(docs).join(bad, DOC, "left_anti").select("doc.*")

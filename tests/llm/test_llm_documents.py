@@ -73,6 +73,14 @@ def test_contamination_of_rows_without_id_and_repeated_rows(spark, corpus):
     assert kept.columns == frame(spark, rows).columns
 
 
+def test_one_word_in_twenty_is_counted_exactly(spark):
+    item = "b0 b1 b2 b3 b4 b5 b6"
+    docs = [(n, item + " " + " ".join(f"w{i}" for i in range(n - 7))) for n in (139, 140, 141)]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                                      spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id: r.contaminated for r in got.collect()} == {139: True, 140: True, 141: False}
+
+
 def test_contamination_without_items_or_documents(spark, corpus):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.contamination(frame(spark, corpus[0][:5]), none).collect()
