@@ -118,8 +118,7 @@ def test_near_duplicates_match_brute_force(spark, corpus):
     assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(prints)
 
 
-@pytest.mark.parametrize("bits", [1, 2])
-@pytest.mark.parametrize("limit", [1, 2, 64])
+@pytest.mark.parametrize("bits,limit", [(1, 2), (2, 1), (2, 64)])
 def test_links_connect_what_brute_force_connects(spark, bits, limit):
     rng = random.Random(bits * 10 + limit)
     fps = set()
