@@ -125,7 +125,9 @@ def _hashing(dim: int):
 
 def _as_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``key, width, idx, val, norm`` of a sparse hashing embedding or a dense
-    array; rows without a direction (null, empty, zero) are left out."""
+    array; null and empty arrays are left out. (Zero vectors are told later: a
+    filter on the norm would be pushed below the embedding's steps and have
+    them computed again and again.)"""
     v = F.col(vector)
     if isinstance(df.schema[vector].dataType, T.StructType):
         out = df.select(F.col(key).alias("key"), F.lit(-1).alias("width"), v["idx"].alias("idx"),
@@ -135,7 +137,7 @@ def _as_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
         out = df.where(v.isNotNull() & (F.size(v) > 0)).select(
             F.col(key).alias("key"), F.size(v).alias("width"), F.sequence(F.lit(0), F.size(v) - 1).alias("idx"), val.alias("val"))
         out = out.withColumn("norm", F.sqrt(F.aggregate("val", F.lit(0.0), lambda a, x: a + x * x)))
-    return out.where(F.col("norm") > 0)
+    return out
 
 
 def _blocks(vectors: DataFrame, count: int, name: str) -> DataFrame:
@@ -173,7 +175,8 @@ def _grid(items: DataFrame, item: str, item_vector: str, queries: DataFrame, que
                 ids, q, qnorms = _matrix(b.column(2)[r].values, width)
                 both = max(m.shape[1], q.shape[1])
                 m, q = (np.pad(x, ((0, 0), (0, both - x.shape[1]))) for x in (m, q))
-                s = (m @ q.T) / (norms[:, None] * qnorms[None, :])
+                scale = norms[:, None] * qnorms[None, :]
+                s = np.divide(m @ q.T, scale, out=np.zeros(scale.shape), where=scale > 0)
                 rows, cols = _topk_rows(s, seqs, k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[cols]), pa.array(seqs[rows]), pa.array(s[rows, cols])],
                                                  ["question_id", "seq", "score"])
