@@ -31,7 +31,7 @@ WINDOW = 13
 ONE_IN = 20
 END = ""                       # the term of a document's last posting
 PROBES = 3                     # rarest terms that are intersected one by one
-BROADCAST_ROWS = 200_000       # rows of benchmark-sized tables up to which they are broadcast
+BROADCAST_ROWS = 200_000       # counted rows up to which a table of the benchmark or of bad documents is broadcast
 
 DOC = ["doc_no", "doc_key"]
 
@@ -174,5 +174,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_i
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_in: int = ONE_IN) -> DataFrame:
     """The documents that are not contaminated, all their columns."""
-    bad = contamination(docs.select("doc_id", "text"), items, window, one_in).filter("contaminated").select(*DOC)
-    return packed(docs).join(bad, DOC, "left_anti").select("doc.*")
+    bad = stored(contamination(docs.select("doc_id", "text"), items, window, one_in).filter("contaminated").select(*DOC), "contaminated")
+    return packed(docs).join(small_side(bad, BROADCAST_ROWS), DOC, "left_anti").select("doc.*")
