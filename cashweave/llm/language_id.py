@@ -35,8 +35,8 @@ from cashweave.llm.common import packed, scratch_dir, shared_fs
 ORDER = 3
 ROWS_PER_LANGUAGE = 2000
 LANGUAGES = 64
-TABLE_BYTES = 16 << 20
-GRAMS = 1 << 20            # counted byte sequences, the most frequent ones, that the trees are built of
+TABLE_BYTES = 8 << 20
+GRAMS = 1 << 18            # counted byte sequences, the most frequent ones, that the trees are built of
 CHUNK = 1 << 18            # bytes scored at a time
 UNKNOWN = "und"
 
