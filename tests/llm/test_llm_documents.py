@@ -256,6 +256,30 @@ def test_language_id_of_nulls_and_nothing(spark):
     assert language_id.identify(frame(spark, [])).count() == 0
 
 
+def test_language_id_keeps_every_sequence_of_small_languages(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    big = "".join(rng.choice(letters) for _ in range(400_000))        # more pairs, all twice, than a cap over all languages kept
+    small = "zebra quilt oxbow " * 3
+    rows = [(k, big, "aa") for k in (1, 2)] + [(3, small, "zz")]
+    trees = language_id.fit(frame(spark, rows))
+    assert trees.languages == ["aa", "zz"]
+    want = language_id.Trees.of_rows([(lang, int(g), int(n)) for lang, text, copies in (("aa", big, 2), ("zz", small, 1))
+                                      for g, n in zip(*np.unique(language_id._grams(np.frombuffer(text.encode(), np.uint8)), return_counts=True))
+                                      for n in [n * copies]])
+    probes = [small.encode(), big[:5000].encode(), b"quilt zebra"]
+    assert np.allclose(trees.bits(probes), want.bits(probes), rtol=1e-5)
+    got = language_id.predict(frame(spark, [(1, big[:3000], None), (2, "oxbow zebra quilt", None)]), trees).orderBy("doc.doc_id").collect()
+    assert [r.lang_pred for r in got] == ["aa", "zz"]
+
+
+def test_language_id_learns_every_label(spark):
+    rows = [(k, f"{chr(0x4e00 + k)}{chr(0x5e00 + k)} " * 5, f"l{k:03d}") for k in range(80)]
+    trees = language_id.fit(frame(spark, rows))
+    assert [r.lang_pred for r in language_id.predict(frame(spark, rows), trees).orderBy("doc.doc_id").collect()] == [r[2] for r in rows]
+    assert language_id.fit(frame(spark, rows), languages=3).languages == ["l000", "l001", "l002"]
+
+
 def test_encoder_is_the_library(corpus):
     enc = Encoder(default_tokenizer())
     rng = random.Random(11)
