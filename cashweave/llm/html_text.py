@@ -26,6 +26,7 @@ import html as html_lib
 import json
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -38,13 +39,15 @@ MERGE = 256
 BROADCAST_HOSTS = 20_000
 MAX_PERIOD = 24          # tokens of the longest group looked for as a repetition
 LOOSE = 4                # kind of region of text outside any named one
-MAX_DEPTH = 40           # ancestors kept in a slot's path
+MAX_DEPTH = 40           # ancestors that tell slots of one region apart
 
 # HTML's element kinds.
 BLOCK = frozenset("html body head header footer main article section nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd menu "
                   "table thead tbody tfoot tr td th caption form fieldset figure figcaption blockquote pre address details "
                   "summary hr dialog center hgroup search button select option label textarea".split())
-RAW = frozenset("script style title textarea noscript iframe xmp noframes template svg math object canvas audio video".split())
+RAW = frozenset("script style title textarea iframe xmp noframes".split())
+CODE = frozenset("script style".split())
+FOREIGN = frozenset("svg object canvas audio video template noscript".split())
 VOID = frozenset("hr".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
           "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -67,6 +70,7 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _WORD = re.compile(r"[a-z]+")
 
 
+@lru_cache(1 << 14)
 def _mark(tag: str, attrs: str) -> str:
     """Tag with the words of its class, id, role and itemprop, digits left out."""
     if "=" not in attrs:
@@ -76,21 +80,57 @@ def _mark(tag: str, attrs: str) -> str:
         name = name.lower()
         if name in ("class", "id", "role", "itemprop"):
             value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-            found += [("@" if name == "role" else ".") + w for w in _WORD.findall(value)[:6]]
+            found += [("@" if name == "role" else ".") + w for w in _WORD.findall(value)]
     return tag + "".join(dict.fromkeys(found))
 
 
+@lru_cache(1 << 14)
+def _region(kind: int, mark: str) -> int:
+    """Region of an element in a region: 0 boilerplate; else the kind, the lower the better."""
+    if not kind:
+        return 0
+    tag, *words = re.split(r"(?=[.@])", mark)
+    names = {w[1:] for w in words if w[0] == "."}
+    roles = {w[1:] for w in words if w[0] == "@"}
+    if tag in BOILER_TAGS or roles & BOILER_ROLES or (tag == "header" and kind > 1):
+        return 0
+    if tag not in ("html", "body", "main", "article") and names & BOILER_WORDS or names & {"comment", "comments"}:
+        return 0
+    if tag == "article" or "article" in roles or "articlebody" in names or {"article", "body"} <= names:
+        return 1
+    if tag == "main" or "main" in roles:
+        return min(kind, 2)
+    if tag in ("div", "section", "td") and names & CONTENT_WORDS:
+        return min(kind, 3)
+    return kind
+
+
 def _path(marks: list[str]) -> str:
-    """The ancestors of a slot, equal ones in a row once."""
+    """The nearest ancestors of a slot, equal ones in a row once."""
     near = marks[-MAX_DEPTH:]
     return " ".join(m for k, m in enumerate(near) if not k or m != near[k - 1])
 
 
-def blocks_of(html: str | None) -> tuple[list[str], list[tuple[str, str, int]]]:
-    """Token stream, and the text blocks as (path, text, characters in links)."""
+def _spans(page: str, tag: str) -> dict[int, int]:
+    """End of each closed element of a kind by the end of its start tag; nested
+    ones are paired, self-closed and unclosed ones are not there."""
+    spans, opened = {}, []
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.I).finditer(page):
+        if not m[1]:
+            if not m[2].endswith("/"):
+                opened.append(m.end())
+        elif opened:
+            spans[opened.pop()] = m.end()
+    return spans
+
+
+def blocks_of(html: str | None) -> tuple[list[str], list[tuple[str, str, int, int]]]:
+    """Token stream, and the text blocks as (path, text, characters in links,
+    kind of region); the region is that of all ancestors."""
     tokens: list[str] = []
-    blocks: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
+    blocks: list[tuple[str, str, int, int]] = []
+    stack: list[tuple[str, str, int]] = []
+    spans: dict[str, dict[int, int]] = {}
     text: list[str] = []
     links = [0, 0]                                  # open anchors, characters within
 
@@ -99,9 +139,9 @@ def blocks_of(html: str | None) -> tuple[list[str], list[tuple[str, str, int]]]:
             whole = " ".join(html_lib.unescape("".join(text)).split())
             text.clear()
             if whole:
-                path = _path([m for _, m in stack])
+                path = _path([m for _, m, _ in stack[-MAX_DEPTH:]])
                 tokens.append("#")
-                blocks.append((path, whole, min(links[1], len(whole))))
+                blocks.append((path, whole, min(links[1], len(whole)), stack[-1][2] if stack else LOOSE))
         links[1] = 0
 
     def close(until: int):
@@ -125,9 +165,19 @@ def blocks_of(html: str | None) -> tuple[list[str], list[tuple[str, str, int]]]:
         if not tag:
             continue
         ends = bool(m[1] or m[4])
+        if tag in FOREIGN and not ends:
+            if tag not in spans:
+                spans[tag] = _spans(page, tag)
+            at = spans[tag].get(at, at)
+            continue
         if tag in RAW and not ends:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            if tag in spans or (m[3] or "").endswith("/") and tag not in CODE:
+                continue                            # self-closed, or none of its kind is closed from here on
+            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if stop or tag in CODE:
+                at = stop.end() if stop else len(page)
+            else:
+                spans[tag] = {}
             continue
         if tag not in BLOCK:
             if tag == "a":
@@ -161,7 +211,7 @@ def blocks_of(html: str | None) -> tuple[list[str], list[tuple[str, str, int]]]:
         mark = _mark(tag, m[3] or m[6] or "")
         tokens.append("<" + mark)
         if tag not in VOID:
-            stack.append((tag, mark))
+            stack.append((tag, mark, _region(stack[-1][2] if stack else LOOSE, mark)))
     close(0)
     return tokens, blocks
 
@@ -227,27 +277,6 @@ def _same_groups(one: list[list], other: list[list]) -> list[list]:
     return one
 
 
-def region_of(path: str) -> int:
-    """0 boilerplate; else the kind of region, the lower the better."""
-    kind = LOOSE
-    inside = False
-    for mark in path.split(" "):
-        tag, *words = re.split(r"(?=[.@])", mark)
-        names = {w[1:] for w in words if w[0] == "."}
-        roles = {w[1:] for w in words if w[0] == "@"}
-        if tag in BOILER_TAGS or roles & BOILER_ROLES or (tag == "header" and not inside):
-            return 0
-        if tag not in ("html", "body", "main", "article") and names & BOILER_WORDS or names & {"comment", "comments"}:
-            return 0
-        if tag == "article" or "article" in roles or "articlebody" in names or {"article", "body"} <= names:
-            kind, inside = 1, True
-        elif tag == "main" or "main" in roles:
-            kind = min(kind, 2)
-        elif tag in ("div", "section", "td") and names & CONTENT_WORDS:
-            kind = min(kind, 3)
-    return kind
-
-
 def slots_of(wrapper: list[list]) -> set[str]:
     """Paths of the text slots of an expression."""
     stack: list[str] = []
@@ -275,6 +304,10 @@ def _has_slot(slots: set[str], path: str) -> bool:
     return path in slots or any(within(slot) for slot in slots)
 
 
+def _slot(region: int, path: str) -> str:
+    return f"{region} {path}"
+
+
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
@@ -290,8 +323,8 @@ def folded_pages(pages: DataFrame) -> DataFrame:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens, blocks = blocks_of(page)
                 by: dict[str, list] = {}
-                for path, text, linked in blocks:
-                    p = by.setdefault(path, [0, 0])
+                for path, text, linked, region in blocks:
+                    p = by.setdefault(_slot(region, path), [0, 0])
                     p[0], p[1] = p[0] + len(text), p[1] + linked
                 rows = [((host, "expression", json.dumps([[t, False] for t in folder.fold(tokens)])), (0, 0))]
                 rows += [((host, "path", path), v) for path, v in by.items()]
@@ -339,7 +372,8 @@ def wrappers_of(folded: DataFrame) -> DataFrame:
                 slots = slots_of(json.loads(r.value))
                 kinds = {}
                 for p in r.paths if r.paths is not None else []:
-                    kind = region_of(p["value"]) if _has_slot(slots, p["value"]) else 0
+                    region, path = p["value"].split(" ", 1)
+                    kind = int(region) if _has_slot(slots, path) else 0
                     if kind == LOOSE and p["links"] > 0.5 * p["chars"]:
                         kind = 0
                     if kind:
@@ -368,8 +402,8 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                         known.clear()
                     known[slots] = json.loads(slots or "{}")
                 kinds = known[slots]
-                found = [(kinds.get(path, 0), text) for path, text, linked in blocks_of(page)[1]
-                         if kinds.get(path) != LOOSE or linked <= 0.5 * len(text)]
+                found = [(kinds.get(_slot(region, path), 0), text) for path, text, linked, region in blocks_of(page)[1]
+                         if region != LOOSE or linked <= 0.5 * len(text)]
                 held = {k for k, _ in found if k}
                 want = best if best in held else min(held, default=-1)
                 texts.append("\n\n".join(text for k, text in found if k == want))

@@ -54,6 +54,23 @@ def test_main_text_of_nulls_repeats_broken_and_long_pages(spark):
     assert html_text.main_text(pages(spark, rows)).count() == len(rows)
 
 
+def _texts(html):
+    return [(text, kind) for _, text, _, kind in html_text.blocks_of(html)[1]]
+
+
+def test_all_words_and_ancestors_count():
+    assert _texts("<body><div class='col xs col md hidden print sidebar'>side</div><div class='a b c d e f g content'><p>text</div>") == [("side", 0), ("text", 3)]
+    deep = "".join(f"<div class=c{chr(97 + k % 26)}>" for k in range(60))
+    assert _texts(f"<article>{deep}in</article>") == [("in", 1)] and _texts(f"<nav>{deep}menu</nav>") == [("menu", 0)]
+
+
+def test_foreign_elements_swallow_no_text():
+    page = ("<article><p>one <svg viewBox='0'/> two <svg><g><svg><text>no</text></svg></g><text>no</text></svg> three</p>"
+            "<p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math></p><object data=x><p>four</p><video src=y><p>five</p><iframe src=z /><p>six</p></article>")
+    assert [t for t, _ in _texts(page)] == ["one two three", "sum x+1", "four", "five", "six"]
+    assert [t for t, _ in _texts("<p>a<object>no<object>no</object>no</object>b<p>c<script>no")] == ["ab", "c"]
+
+
 def test_folding_and_alignment():
     fold = html_text.Folder().fold
     assert fold("<ul <li # >li <li # >li <li # >li >ul".split()) == ["<ul", "(<li # >li)+", ">ul"]
