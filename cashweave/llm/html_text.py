@@ -7,17 +7,18 @@ expressions of a host's pages are aligned one after the other: tokens that
 only one side has become optional, text stays a slot. The result, a
 union-free regular expression, is the host's wrapper. Its slots are judged
 once per host: those inside menus, headers, footers, sidebars, notices,
-adverts, forms and comments are boilerplate; of the others the slots of the
-best kind of region that the host has (article, main, named content, else
-varying text with few links) hold the main text. Extraction keeps, in page
-order, the text of the chosen slots.
+adverts, forms and comments are boilerplate, within a content region (article,
+main, named content) only menus, forms, adverts and comment lists. Of the
+others a page's text in content regions is main text, nested or side by side,
+and so is text outside of them, with few links, on pages that have more of it.
+Extraction keeps, in page order, the text of the chosen slots.
 
 Pages fold in parallel and only distinct expressions of a host meet, in groups
 of ``MERGE`` at most, so a host with a third of all pages is no hot group.
 
 Nulls and ties: a null html is empty, and so is its text; pages without a host
-form one host; repeated rows get equal text; a page that lacks its host's best
-region is read by the best it has.
+form one host; repeated rows get equal text; as much text outside of content
+regions as in them is left out.
 """
 
 from __future__ import annotations
@@ -62,6 +63,13 @@ BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                          "cookies consent gdpr notice notices alert popup modal overlay share sharing social follow subscribe "
                          "subscription newsletter signup login search comment comments reply replies disqus discussion respond "
                          "related recommended recommendations popular trending pagination pager tags widget copyright".split())
+# In a content region only these are boilerplate: adverts, comment lists, menus.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond".split())
+INNER_WORDS = COMMENT_WORDS | frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar nav navbar navigation "
+                                        "menu breadcrumb breadcrumbs pagination pager share sharing newsletter cookie cookies consent gdpr".split())
+SHAPE_WORDS = frozenset("box boxes wrap wrapper container area section block blocks list bar left right top bottom inner outer page site "
+                        "global panel unit slot widget widgets col column links item items row module thread form small large".split())
+CONTAINERS = frozenset("div section ul ol dl table tbody thead tr td details figure center header".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 CONTENT_WORDS = frozenset("content article post entry story body text maintext articlebody".split())
 
@@ -85,16 +93,38 @@ def _mark(tag: str, attrs: str) -> str:
 
 
 @lru_cache(1 << 14)
-def _region(kind: int, mark: str) -> int:
+def _names(attrs: str) -> tuple[list[list[str]], list[list[str]]]:
+    """The words of each class, and of the id."""
+    found: dict[str, list[list[str]]] = {"class": [], "id": []}
+    for name, value in _ATTR.findall(attrs):
+        if name.lower() in found:
+            value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().strip("\"'")
+            found[name.lower()] += [words for words in map(_WORD.findall, value.split()) if words]
+    return found["class"], found["id"]
+
+
+def _all_of(name: list[str], words: frozenset) -> bool:
+    """Whether a class or id says nothing but one of these words, and what shape it has."""
+    return any(w in words for w in name) and all(w in words or w in SHAPE_WORDS for w in name)
+
+
+@lru_cache(1 << 14)
+def _region(kind: int, tag: str, mark: str, attrs: str = "") -> int:
     """Region of an element in a region: 0 boilerplate; else the kind, the lower the better."""
     if not kind:
         return 0
-    tag, *words = re.split(r"(?=[.@])", mark)
+    words = re.split(r"(?=[.@])", mark)[1:]
     names = {w[1:] for w in words if w[0] == "."}
     roles = {w[1:] for w in words if w[0] == "@"}
-    if tag in BOILER_TAGS or roles & BOILER_ROLES or (tag == "header" and kind > 1):
+    if tag in BOILER_TAGS or roles & BOILER_ROLES or (tag == "header" and kind == LOOSE):
         return 0
-    if tag not in ("html", "body", "main", "article") and names & BOILER_WORDS or names & {"comment", "comments"}:
+    if tag in CONTAINERS:
+        classes, ids = _names(attrs)
+        if any(_all_of(n, INNER_WORDS) for n in classes) or any(_all_of(n, COMMENT_WORDS) for n in ids):
+            return 0
+        if kind == LOOSE and any(_all_of(n, BOILER_WORDS) for n in classes + (ids if tag != "section" else [])):
+            return 0
+    elif kind == LOOSE and tag == "p" and any(_all_of(n, BOILER_WORDS) for n in _names(attrs)[0]):
         return 0
     if tag == "article" or "article" in roles or "articlebody" in names or {"article", "body"} <= names:
         return 1
@@ -208,10 +238,11 @@ def blocks_of(html: str | None) -> tuple[list[str], list[tuple[str, str, int, in
                 if stack[k][0] in HOLDERS.get(tag, ()) or tag == "p":
                     break
         flush()
-        mark = _mark(tag, m[3] or m[6] or "")
+        attrs = m[3] or m[6] or ""
+        mark = _mark(tag, attrs)
         tokens.append("<" + mark)
         if tag not in VOID:
-            stack.append((tag, mark, _region(stack[-1][2] if stack else LOOSE, mark)))
+            stack.append((tag, mark, _region(stack[-1][2] if stack else LOOSE, tag, mark, attrs if "=" in attrs else "")))
     close(0)
     return tokens, blocks
 
@@ -343,8 +374,8 @@ def folded_pages(pages: DataFrame) -> DataFrame:
 
 
 def wrappers_of(folded: DataFrame) -> DataFrame:
-    """``host, wrapper, slots, kind``: each host's wrapper, the paths of the
-    slots that hold main text, and the kind of region they are in."""
+    """``host, wrapper, slots``: each host's wrapper, and the slots that can
+    hold main text with the kind of region they are in."""
     expressions = folded.filter("kind = 'expression'").select("host", "value", "pages")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -378,25 +409,31 @@ def wrappers_of(folded: DataFrame) -> DataFrame:
                         kind = 0
                     if kind:
                         kinds[p["value"]] = kind
-                best = min(kinds.values(), default=0)
-                rows.append((r.host, r.value, json.dumps(kinds), best))
-            yield pd.DataFrame(rows, columns=["host", "wrapper", "slots", "kind"])
+                rows.append((r.host, r.value, json.dumps(kinds)))
+            yield pd.DataFrame(rows, columns=["host", "wrapper", "slots"])
 
     return stored(expressions.join(paths, "host", "left").select("host", "value", "paths")
-                  .mapInPandas(judge, "host string, wrapper string, slots string, kind int"), "judged")
+                  .mapInPandas(judge, "host string, wrapper string, slots string"), "judged")
+
+
+def chosen(found: list[tuple[int, str]]) -> list[str]:
+    """Texts of a page's content regions (article, main, named, nested or side
+    by side), with the loose ones if those hold more of the page's text."""
+    named, loose = (sum(len(t) for k, t in found if k and (k == LOOSE) == is_loose) for is_loose in (False, True))
+    return [t for k, t in found if k and (k != LOOSE or loose > named)]
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every page."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    joined = rows.join(small_side(wrappers.select("host", "slots", "kind"), BROADCAST_HOSTS), "host", "left") \
-        .select("page_id", "url", "html", "slots", "kind")
+    joined = rows.join(small_side(wrappers.select("host", "slots"), BROADCAST_HOSTS), "host", "left") \
+        .select("page_id", "url", "html", "slots")
 
     def run(batches):
         known: dict[str, dict] = {}
         for b in batches:
             texts = []
-            for page, slots, best in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+            for page, slots in zip(*(b.column(i).to_pylist() for i in (2, 3))):
                 if slots not in known:
                     if len(known) > 1000:
                         known.clear()
@@ -404,9 +441,7 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 kinds = known[slots]
                 found = [(kinds.get(_slot(region, path), 0), text) for path, text, linked, region in blocks_of(page)[1]
                          if region != LOOSE or linked <= 0.5 * len(text)]
-                held = {k for k, _ in found if k}
-                want = best if best in held else min(held, default=-1)
-                texts.append("\n\n".join(text for k, text in found if k == want))
+                texts.append("\n\n".join(chosen(found)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     schema = rows.select("page_id", "url").schema.add("text", "string")

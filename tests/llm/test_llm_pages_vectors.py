@@ -71,6 +71,20 @@ def test_foreign_elements_swallow_no_text():
     assert [t for t, _ in _texts("<p>a<object>no<object>no</object>no</object>b<p>c<script>no")] == ["ab", "c"]
 
 
+def test_boilerplate_words_lose_no_article_text(spark):
+    page = ("<body><nav>menu</nav><article><div class='post-header'><h1>Title</h1></div><h2 id='popular-culture'>Culture</h2><p class=share>p</p>"
+            "<section id='related-work'><p>work</section><section id='discussion'><p>talk</section><div id='side-effects'>effects</div>"
+            "<h2 id='Copyright_law'>law</h2><div class='ad-box'>Buy</div><ul class='comment-list'><li>me too</ul><aside>x</aside></article></body>")
+    assert [t for t, kind in _texts(page) if kind] == ["Title", "Culture", "p", "work", "talk", "effects", "law"]
+    loose = "<body><div class='cookie-notice'>c</div><div id=site-header>h</div><div id='side-effects'>e</div><section id=discussion>d</section></body>"
+    assert [t for t, kind in _texts(loose) if kind] == ["e", "d"]
+    rows = [(1, "http://a/", "<main><p>The whole long story.</p><article>teaser</article></main><p>loose"),
+            (2, "http://b/", "<article>one</article><article>two</article><div class=content>three</div>"),
+            (3, "http://c/", "<article>teaser</article><p>The whole long story is outside.</p>")]
+    got = {r.page_id: r.text for r in html_text.main_text(pages(spark, rows)).collect()}
+    assert got == {1: "The whole long story.\n\nteaser", 2: "one\n\ntwo\n\nthree", 3: "teaser\n\nThe whole long story is outside."}
+
+
 def test_folding_and_alignment():
     fold = html_text.Folder().fold
     assert fold("<ul <li # >li <li # >li <li # >li >ul".split()) == ["<ul", "(<li # >li)+", ">ul"]
