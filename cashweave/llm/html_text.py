@@ -5,7 +5,13 @@ group of tokens fold into one repeated group, so a page becomes a short
 expression such as ``<body <nav (<li # >li)+ >nav <article # (<p # >p)+``. The
 expressions of a host's pages are aligned one after the other: tokens that
 only one side has become optional, text stays a slot. The result, a
-union-free regular expression, is the host's wrapper. Its slots are judged
+union-free regular expression, is the host's wrapper.
+
+Text that is the same at a place (region and path) on most of the host's pages
+that have the place, at least ``TEMPLATE_PAGES`` of differing text, is template
+and a token of its own in the expressions; only other text is a slot. This is
+counted over whole hosts before pages fold. An ``<article>`` says itself that
+it holds content, so its texts are always slots. Slots are judged
 once per host: those inside menus, headers, footers, sidebars, notices,
 adverts, forms and comments are boilerplate, within a content region (article,
 main, named content) only menus, forms, adverts and comment lists. Of the
@@ -18,11 +24,12 @@ of ``MERGE`` at most, so a host with a third of all pages is no hot group.
 
 Nulls and ties: a null html is empty, and so is its text; pages without a host
 form one host; repeated rows get equal text; as much text outside of content
-regions as in them is left out.
+regions as in them is left out; a page of template text alone keeps it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -39,6 +46,7 @@ from cashweave.llm.common import small_side, stored
 MERGE = 256
 BROADCAST_HOSTS = 20_000
 MAX_PERIOD = 24          # tokens of the longest group looked for as a repetition
+TEMPLATE_PAGES = 3       # pages of differing text from which on equal text can be template
 LOOSE = 4                # kind of region of text outside any named one
 MAX_DEPTH = 40           # ancestors that tell slots of one region apart
 
@@ -324,6 +332,11 @@ def slots_of(wrapper: list[list]) -> set[str]:
     return paths
 
 
+def template_of(wrapper: list[list]) -> list[str]:
+    """Keys of the template texts of an expression."""
+    return sorted({t[1:] for t in " ".join(t for t, _ in wrapper).replace("(", "").replace(")+", "").split(" ") if t.startswith("=")})
+
+
 def _has_slot(slots: set[str], path: str) -> bool:
     """Whether a page's slot is one of the wrapper's, optional ancestors left out."""
     marks = path.split(" ")
@@ -343,19 +356,67 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
 
-def folded_pages(pages: DataFrame) -> DataFrame:
+def _key(*parts: str) -> str:
+    return hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _can_be_template(region: int) -> bool:
+    return region > 1
+
+
+def template_texts(pages: DataFrame) -> DataFrame:
+    """``host, template``: keys of the texts that are the same on most pages,
+    stored. Pages of equal text count once; of each place the pages are counted
+    (rows without a text) and of each text there."""
+
+    def run(batches):
+        for b in batches:
+            rows = set()
+            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                blocks = [(_slot(region, path), text, region) for path, text, _, region in blocks_of(page)[1]]
+                places = [(slot, text) for slot, text, region in blocks if _can_be_template(region)]
+                if places:
+                    whole = _key(*[part for slot, text, _ in blocks for part in (slot, text)])
+                    for slot, text in places:
+                        place = _key(slot)
+                        rows.add((host, place, None, whole))
+                        rows.add((host, place, _key(slot, text), whole))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["host", "place", "text", "page"])
+
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    counts = stored(rows.mapInArrow(run, "host string, place string, text string, page string").distinct()
+                    .groupBy("host", "place", "text").agg(F.count(F.lit(1)).alias("pages"))
+                    .filter(F.col("pages") >= TEMPLATE_PAGES), "texts")
+    places = counts.filter("text IS NULL").select("host", "place", F.col("pages").alias("of"))
+    same = counts.filter("text IS NOT NULL").join(places, ["host", "place"]).filter("2 * pages > of")
+    return stored(same.groupBy("host").agg(F.concat_ws(" ", F.sort_array(F.collect_list("text"))).alias("template")), "template")
+
+
+def folded_pages(pages: DataFrame, template: DataFrame | None = None) -> DataFrame:
     """Distinct expressions and slot paths by host, with counts, stored:
     ``host, kind, value, pages, chars, links``."""
 
     def run(batches):
         folder = Folder()
+        known: dict[str, frozenset] = {}
         for b in batches:
             sums: dict[tuple, list] = {}
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for host, page, same in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if same not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[same] = frozenset((same or "").split())
                 tokens, blocks = blocks_of(page)
-                by: dict[str, list] = {}
-                for path, text, linked, region in blocks:
-                    p = by.setdefault(_slot(region, path), [0, 0])
+                texts, by = iter(blocks), {}
+                for k, token in enumerate(tokens):
+                    if token != "#":
+                        continue
+                    path, text, linked, region = next(texts)
+                    slot = _slot(region, path)
+                    if known[same] and _can_be_template(region) and (key := _key(slot, text)) in known[same]:
+                        tokens[k] = "=" + key
+                        continue
+                    p = by.setdefault(slot, [0, 0])
                     p[0], p[1] = p[0] + len(text), p[1] + linked
                 rows = [((host, "expression", json.dumps([[t, False] for t in folder.fold(tokens)])), (0, 0))]
                 rows += [((host, "path", path), v) for path, v in by.items()]
@@ -369,13 +430,18 @@ def folded_pages(pages: DataFrame) -> DataFrame:
                 ["host", "kind", "value", "pages", "chars", "links"])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    if template is None:
+        rows = rows.withColumn("template", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(small_side(template, BROADCAST_HOSTS), "host", "left").select("host", "html", "template")
     return stored(rows.mapInArrow(run, "host string, kind string, value string, pages long, chars long, links long")
                   .groupBy("host", "kind", "value").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")]), "folded")
 
 
 def wrappers_of(folded: DataFrame) -> DataFrame:
-    """``host, wrapper, slots``: each host's wrapper, and the slots that can
-    hold main text with the kind of region they are in."""
+    """``host, wrapper, slots``: each host's wrapper, and as JSON the slots
+    that can hold main text with the kind of region they are in, and the keys
+    of the wrapper's template texts."""
     expressions = folded.filter("kind = 'expression'").select("host", "value", "pages")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -400,7 +466,8 @@ def wrappers_of(folded: DataFrame) -> DataFrame:
         for pdf in frames:
             rows = []
             for r in pdf.itertuples():
-                slots = slots_of(json.loads(r.value))
+                wrapper = json.loads(r.value)
+                slots = slots_of(wrapper)
                 kinds = {}
                 for p in r.paths if r.paths is not None else []:
                     region, path = p["value"].split(" ", 1)
@@ -409,7 +476,7 @@ def wrappers_of(folded: DataFrame) -> DataFrame:
                         kind = 0
                     if kind:
                         kinds[p["value"]] = kind
-                rows.append((r.host, r.value, json.dumps(kinds)))
+                rows.append((r.host, r.value, json.dumps([kinds, template_of(wrapper)])))
             yield pd.DataFrame(rows, columns=["host", "wrapper", "slots"])
 
     return stored(expressions.join(paths, "host", "left").select("host", "value", "paths")
@@ -430,18 +497,26 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
         .select("page_id", "url", "html", "slots")
 
     def run(batches):
-        known: dict[str, dict] = {}
+        known: dict[str, tuple] = {}
         for b in batches:
             texts = []
             for page, slots in zip(*(b.column(i).to_pylist() for i in (2, 3))):
                 if slots not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[slots] = json.loads(slots or "{}")
-                kinds = known[slots]
-                found = [(kinds.get(_slot(region, path), 0), text) for path, text, linked, region in blocks_of(page)[1]
-                         if region != LOOSE or linked <= 0.5 * len(text)]
-                texts.append("\n\n".join(chosen(found)))
+                    kinds, same = json.loads(slots or "[{}, []]")
+                    known[slots] = kinds, frozenset(same)
+                kinds, same = known[slots]
+                found, template = [], []
+                for path, text, linked, region in blocks_of(page)[1]:
+                    if region == LOOSE and linked > 0.5 * len(text):
+                        continue
+                    slot = _slot(region, path)
+                    if same and _can_be_template(region) and _key(slot, text) in same:
+                        template.append((region, text))
+                    else:
+                        found.append((kinds.get(slot, 0), text))
+                texts.append("\n\n".join(chosen(found) or chosen(template)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     schema = rows.select("page_id", "url").schema.add("text", "string")
@@ -449,4 +524,4 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    return extract(pages, wrappers_of(folded_pages(pages)))
+    return extract(pages, wrappers_of(folded_pages(pages, template_texts(pages))))

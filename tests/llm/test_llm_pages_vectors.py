@@ -85,6 +85,22 @@ def test_boilerplate_words_lose_no_article_text(spark):
     assert got == {1: "The whole long story.\n\nteaser", 2: "one\n\ntwo\n\nthree", 3: "teaser\n\nThe whole long story is outside."}
 
 
+def test_equal_text_is_template_and_varying_text_a_slot(spark):
+    page = "<body><p>We use biscuits.</p><div><p>Story {k} is long enough.</p></div><p>Note {k}.</p><div>Imprint of the site</div></body>"
+    rows = [(k, "http://a/", page.replace("{k}", str(k))) for k in range(6)]
+    rows += [(6, "http://a/", "<body><p>We use biscuits.</p></body>")]
+    rows += [(10 + k, "http://copies/", page.replace("{k}", "x")) for k in range(5)]                     # one page five times
+    rows += [(20 + k, "http://main/", f"<main><div>Join us today</div><p>Text {k}</p></main>") for k in range(4)]
+    frame = pages(spark, rows)
+    got = {r.page_id: r.text for r in html_text.main_text(frame).collect()}
+    assert [got[k] for k in range(6)] == [f"Story {k} is long enough.\n\nNote {k}." for k in range(6)]
+    assert got[6] == "We use biscuits."
+    assert {got[10 + k] for k in range(5)} == {"We use biscuits.\n\nStory x is long enough.\n\nNote x.\n\nImprint of the site"}
+    assert [got[20 + k] for k in range(4)] == [f"Text {k}" for k in range(4)]
+    wrapper = {r.host: r.wrapper for r in html_text.wrappers_of(html_text.folded_pages(frame, html_text.template_texts(frame))).collect()}
+    assert wrapper["a"].count('"=') == 2 and '"=' not in wrapper["copies"]
+
+
 def test_folding_and_alignment():
     fold = html_text.Folder().fold
     assert fold("<ul <li # >li <li # >li <li # >li >ul".split()) == ["<ul", "(<li # >li)+", ">ul"]
