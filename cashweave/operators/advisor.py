@@ -282,13 +282,41 @@ def citation_integrity(sets: DataFrame, txns: DataFrame) -> DataFrame:
     return missing.agg(F.count(F.lit(1)).alias("missing_citations"))
 
 
+CHUNK_IDS = 10_000
+
+
+def citation_chunks(sets: DataFrame, size: int = CHUNK_IDS) -> DataFrame:
+    """Each citation set once, in numbered chunks of about ``size`` ids:
+    account_id, scope, category, chunk, ids (``pos``, ``id``, in input order).
+    Rows are dealt to a set's chunks by hash, so a busy account is no one row."""
+    key = ["account_id", "scope", "category"]
+    n = sets.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).alias("_chunks")).select(*[F.col(c).alias(f"_{c}") for c in key], "_chunks")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    dealt = sets.join(n, same).withColumn("chunk", F.pmod(F.xxhash64("raw_hash", "pos"), F.col("_chunks")))
+    return dealt.groupBy(*key, "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("raw_hash").alias("id")))).alias("ids"))
+
+
+def answer_records(answers: DataFrame, hits: DataFrame | None) -> DataFrame:
+    """JSON record per answer, of bounded size: as ``answers_json``, but the
+    citations are named by their set (account, scope, category, to be found in
+    ``citation_sets`` or ``citation_chunks``) or note, and counted."""
+    citations = F.struct("account_id", F.col("cite_scope").alias("scope"), F.col("cite_category").alias("category"),
+                         "note_id", F.col("n_citations").alias("count"))
+    return _records(answers, hits, citations)
+
+
 def answers_json(answers: DataFrame, hits: DataFrame | None, sets: DataFrame, first_n: int | None = None) -> DataFrame:
     """JSON record per answer (K4): question, answer, the citation set and the
     ids in it (all, or the first ``first_n`` for display), retrieved notes
     (scores rounded to 3 as Python rounds), intent, backend."""
     firsts = answer_citations(answers, sets, first_n=first_n) \
         .groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "cite_id"))).alias("_c"))
-    a = answers.join(firsts, "question_id", "left")
+    citations = F.struct(F.col("cite_scope").alias("scope"), F.col("cite_category").alias("category"), F.col("n_citations").alias("count"),
+                         F.transform(F.coalesce("_c", F.array()), lambda x: x["cite_id"]).alias("ids"))
+    return _records(answers.join(firsts, "question_id", "left"), hits, citations)
+
+
+def _records(a: DataFrame, hits: DataFrame | None, citations: Column) -> DataFrame:
     if hits is not None:
         h = hits.groupBy("question_id").agg(F.sort_array(F.collect_list(
             F.struct("rank", "id", py_round(F.col("score"), 3).alias("score"), "text"))).alias("_h"))
@@ -297,10 +325,7 @@ def answers_json(answers: DataFrame, hits: DataFrame | None, sets: DataFrame, fi
         a = a.withColumn("_h", F.lit(None).cast("array<struct<rank:int,id:string,score:double,text:string>>"))
     rec = F.struct(
         "question", "answer",
-        F.struct(F.col("cite_scope").alias("scope"), F.col("cite_category").alias("category"),
-                 F.col("n_citations").alias("count"),
-                 F.transform(F.coalesce("_c", F.array()), lambda x: x["cite_id"]).alias("ids"))
-        .alias("citations"),
+        citations.alias("citations"),
         F.transform(F.coalesce("_h", F.array()), lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"),
                                                                      x["text"].alias("text")))
         .alias("retrieved_notes"),

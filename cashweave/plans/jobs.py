@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashweave.functions.pii import mask_pii
-from cashweave.operators.advisor import answer_questions, answers_json, citation_sets
+from cashweave.operators.advisor import answer_questions, answer_records, answers_json, citation_chunks, citation_sets
 from cashweave.operators.categorize import RULES_METHOD, categorize
 from cashweave.operators.dedup import deduplicate
 from cashweave.operators.forecast import LINEAR_METHOD, forecast_projection, forecast_summary
@@ -110,16 +110,21 @@ def add_notes(spark: SparkSession, store: str, notes: DataFrame, metadata: str |
 
 
 def ask(spark: SparkSession, transactions: str, questions: DataFrame, store: str | None = None, fmt: str = "parquet",
-        as_of: str | None = None) -> DataFrame:
+        as_of: str | None = None, citations: str | None = None) -> DataFrame:
     """Answer questions about stored transactions, with the stored notes: the
-    JSON record of each, with all its citations."""
+    JSON record of each, with all its citations. With a folder ``citations``
+    each citation set is written there once, in chunks, and records refer to it."""
     txns = read_transactions(spark, transactions, fmt=fmt)
     if "category" not in txns.columns or txns.where(F.col("category").isNull()).limit(1).count():
         txns = categorize(txns)
     notes = read_notes(spark, store) if store else None
     answers, hits = answer_questions(questions, txns, notes=notes, as_of=as_of)
     pos = "row_ord" if "row_ord" in txns.columns else "transaction_date"
-    return answers_json(answers, hits, citation_sets(txns, pos_col=pos))
+    sets = citation_sets(txns, pos_col=pos)
+    if citations is not None:
+        write_table(citation_chunks(sets), citations, fmt="parquet")
+        return answer_records(answers, hits)
+    return answers_json(answers, hits, sets)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -152,6 +157,7 @@ def _parser() -> argparse.ArgumentParser:
     q.add_argument("--format", default="parquet")
     q.add_argument("--starting-balance", type=float, default=0.0)
     q.add_argument("--store")
+    q.add_argument("--citations")
     return p
 
 
@@ -177,7 +183,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             asked = spark.createDataFrame([(1, args.question, args.starting_balance)],
                                           "question_id long, question string, starting_balance double")
-            print(ask(spark, args.transactions, asked, args.store, args.format).first()["json"])
+            print(ask(spark, args.transactions, asked, args.store, args.format, citations=args.citations).first()["json"])
     except (IngestionError, ValueError) as e:
         print(f"[error] {e}", file=sys.stderr)
         return 2
