@@ -15,8 +15,10 @@ from cashweave.llm.common import scratch_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language (null text, no letter) go."""
-    return language_id.identify(docs).filter(F.col("lang_pred") != language_id.UNKNOWN).select("doc.*")
+    """Documents that are in no language (null text, no letter) go. Others stay,
+    also if there are no labelled rows to learn languages from."""
+    letters = F.coalesce(F.col("doc.text").rlike(r"\p{L}"), F.lit(False))
+    return language_id.identify(docs).filter((F.col("lang_pred") != language_id.UNKNOWN) | letters).select("doc.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

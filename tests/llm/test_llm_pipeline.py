@@ -45,6 +45,12 @@ def test_stages_of_empty_and_null_tables(spark, rows):
         stage(spark, docs, SF).collect()
 
 
+def test_documents_stay_if_no_language_can_be_learned(spark):
+    rows = [(1, "plain words", None, "s", 11), (2, "123 !?", None, "s", 6), (3, None, None, "s", 0), (4, "слова", None, "s", 5)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()} == {1, 4}
+
+
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
     assert set(ORACLES) <= set(QUERIES)
