@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashweave.llm import decontaminate, html_text, language_id, line_dedup, packing, simhash, token_counts, token_files, topk_search, warc
+from cashweave.llm import alignment, bpe_words, decontaminate, html_text, importance, language_id, line_dedup, packing, simhash
+from cashweave.llm import token_counts, token_files, topk_search, warc
 from cashweave.llm.common import stored, table
 from cashweave.llm.token_ids import default_tokenizer
 
@@ -66,6 +67,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")) \
+        .select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_words.decode(bpe_words.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_token_files, op3_warc, op4_language_id, op5_simhash, op6_token_counts, op7_line_dedup,
-    op8_topk_search, op9_main_text, op10_packing, pipeline)}
+    op8_topk_search, op9_main_text, op10_packing, op11_importance, op12_bpe, op13_alignment, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
