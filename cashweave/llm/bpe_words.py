@@ -25,6 +25,7 @@ read.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 import unicodedata
@@ -293,3 +294,21 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def digests(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256`` of rows ``doc_id, ids, text``, the
+    digest of the decimal ids joined by commas, and ``decoded_sha256``."""
+    size = len(pieces(path or default_bpe()))
+
+    def run(batches):
+        decimal = [str(k).encode() for k in range(size)]
+        for b in batches:
+            n = b.column(1).value_lengths().fill_null(0).to_numpy()
+            ends, flat = np.cumsum(n).tolist(), b.column(1).flatten().to_numpy(zero_copy_only=False)
+            ids = [hashlib.sha256(b",".join([decimal[k] for k in flat[e - m:e].tolist()])).hexdigest() for e, m in zip(ends, n.tolist())]
+            texts = [hashlib.sha256(t.as_buffer() or b"").hexdigest() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)],
+                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return coded.select("doc_id", "ids", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

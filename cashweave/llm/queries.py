@@ -73,10 +73,7 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_words.decode(bpe_words.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+    return bpe_words.digests(bpe_words.decode(bpe_words.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
