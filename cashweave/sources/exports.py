@@ -1,14 +1,11 @@
-"""Bank-export sources.
+"""Bank-export sources.
 
 ``read_exports`` takes a list of sources in priority order. Each entry is a
-file, a directory or a glob whose files share one header layout (one bank
-export format); a plain file list, as the command line passes it, is simply
-one layout per file. Each entry becomes one all-string scan (no type
-inference: values are coerced explicitly by the normaliser) and the entries
-are unioned, so the number of plans grows with the number of layouts, not of
-files. CSV headers are checked against every file of an entry at scan time
-(``enforceSchema=false``), so a stray layout fails loudly instead of being
-mis-mapped.
+file, a folder (with its subfolders) or a glob. Every CSV file is read by its
+own header: files with equal headers share one all-string scan (no type
+inference: values are coerced explicitly by the normaliser), JSON documents
+are read as VARIANTs without inference, and the scans are unioned, so the
+number of plans grows with the number of layouts, not of files (``layouts``).
 
 Every row carries its provenance and position, taken at the scan before any
 shuffle: ``file_ord`` (entry position, then file path) and ``row_ord``, which
@@ -21,18 +18,15 @@ from __future__ import annotations
 from functools import reduce
 from typing import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cashweave.operators.normalize import canonical, normalize_all
 from cashweave.schema import CANONICAL_SCHEMA, NOTE_SCHEMA, IngestionError
-
-CSV_SUFFIXES = (".csv",)
-LINE_SUFFIXES = (".jsonl", ".ndjson")
-JSON_SUFFIXES = (".json", *LINE_SUFFIXES)
-EXCEL_SUFFIXES = (".xlsx", ".xls")
-
+from cashweave.sources.layouts import (
+    VARIANT_BYTES, ExportFile, by_layout, catalogue, objects_of, problem, scan_csv, scan_json,
+)
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
     """Existence through the Hadoop file system, so cluster paths work."""
@@ -46,82 +40,28 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _folder_kind(spark: SparkSession, path: str) -> str | None:
-    """Format of a folder entry from its files' suffixes (hidden files and
-    markers skipped); None when ``path`` is not a folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.getFileStatus(p).isDirectory():
-        return None
-    kinds = set()
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() or name.startswith((".", "_")):
-            continue
-        kinds.add(_kind(name))
-    if len(kinds) != 1:
-        raise IngestionError(f"Folder {path} must hold files of one format, found {sorted(kinds) or 'none'}")
-    return kinds.pop()
-
-
-def _kind(path: str) -> str:
-    low = path.lower().rstrip("/")
-    if low.endswith(CSV_SUFFIXES):
-        return "csv"
-    if low.endswith(JSON_SUFFIXES):
-        return "json"
-    if low.endswith(EXCEL_SUFFIXES):
-        raise IngestionError(f"This type of file can't be read: {low[low.rfind('.'):]} (spreadsheets: save as CSV first)")
-    raise IngestionError(f"This type of file can't be read: {low[low.rfind('.'):] if '.' in low else low}")
-
-
-def _provenance(df: DataFrame, entry_ord: int, row=None) -> DataFrame:
+def _provenance(df: DataFrame, entry_ord: int, item: Column | None = None) -> DataFrame:
     """Add ``_file`` (name), ``file_ord`` and ``row_ord`` from the scan's metadata.
 
     ``row_ord`` is unique over all sources and compares in reading order:
-    entry, file, split start, position in the split.
+    entry, file, split start, position in the split, item of a JSON document.
     """
     path = F.col("_metadata.file_path")
     return df.select(
-        "*",
+        *[F.col(f"`{c}`") for c in df.columns if c != "_metadata"],
         F.col("_metadata.file_name").alias("_file"),
         F.struct(F.lit(entry_ord).alias("entry"), path.alias("path")).alias("file_ord"),
         F.struct(F.lit(entry_ord).alias("entry"), path.alias("path"), F.col("_metadata.file_block_start").alias("block"),
-                 F.monotonically_increasing_id().alias("row"), F.lit(0).cast("long").alias("item")).alias("row_ord"),
+                 F.monotonically_increasing_id().alias("row"),
+                 (F.lit(0) if item is None else item).cast("long").alias("item")).alias("row_ord"),
     )
 
 
-def _header(spark: SparkSession, path: str, multiline_csv: bool) -> list[str]:
-    """Header texts of a CSV entry, as written in its first file."""
-    first = spark.read.option("header", False).option("multiLine", multiline_csv).option("escape", '"').csv(path).first()
-    return [] if first is None else [c or "" for c in first]
-
-
-def read_csv(spark: SparkSession, path: str, entry_ord: int, multiline_csv: bool = True) -> DataFrame:
-    """All-string rows of a CSV entry. Of equal headers the first keeps its
-    name and the others get a number, so that they can't be mixed up.
-
-    Quoted fields may hold line breaks; ``multiline_csv=False`` says that
-    they don't, and lets many tasks read one large file.
-    """
-    names = _header(spark, path, multiline_csv)
-    seen: dict[str, int] = {}
-    unique = []
-    for name in names:
-        seen[name.lower()] = seen.get(name.lower(), 0) + 1
-        unique.append(name if seen[name.lower()] == 1 else f"{name} ({seen[name.lower()]})")
-    schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(unique)])
-    return _provenance(spark.read.schema(schema).option("header", True).option("enforceSchema", unique != names)
-                       .option("multiLine", multiline_csv).option("escape", '"').csv(path), entry_ord)
-
-
-def read_json(spark: SparkSession, path: str, entry_ord: int) -> DataFrame:
-    """All-string rows of a JSON entry: objects, lists of objects, and objects
-    whose ``transactions`` are such a list, mixed as they come. Files named
-    ``.jsonl`` hold one object a line and are read by many tasks."""
-    by_line = path.lower().rstrip("/").endswith(LINE_SUFFIXES)
-    df = spark.read.option("multiLine", not by_line).option("primitivesAsString", True).json(path)
+def read_large_json(spark: SparkSession, path: str, entry_ord: int) -> DataFrame:
+    """All-string rows of a JSON document that is too large for a VARIANT: its
+    columns are inferred. An object, a list of objects, or an object whose
+    ``transactions`` are such a list."""
+    df = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
     plain = [c for c in df.columns if c != "transactions"]
     if "transactions" not in df.columns:
         return _provenance(df, entry_ord)
@@ -145,9 +85,19 @@ PROVENANCE_SCHEMA = ("_file string, file_ord struct<entry:int,path:string>, "
                      "row_ord struct<entry:int,path:string,block:bigint,row:bigint,item:bigint>")
 
 
-def read_raw(spark: SparkSession, path: str, kind: str, entry_ord: int, multiline_csv: bool = True) -> DataFrame:
-    """All-string raw rows of one source entry, with provenance columns."""
-    return read_csv(spark, path, entry_ord, multiline_csv) if kind == "csv" else read_json(spark, path, entry_ord)
+def _scans(spark: SparkSession, files: list[ExportFile], entry_ord: int, multiline_csv: bool, others: Sequence[str],
+           strict: bool) -> Iterable[tuple[list[ExportFile], DataFrame]]:
+    """(files, raw rows with provenance) of each layout of an entry."""
+    for header, alike in by_layout(files).items():
+        yield alike, _provenance(scan_csv(spark, header, alike, multiline_csv), entry_ord)
+    for kind in ("json", "lines"):
+        small = [f for f in files if f.kind == kind and (kind == "lines" or f.length <= VARIANT_BYTES)]
+        if small:
+            docs = scan_json(spark, small)
+            yield small, _provenance(objects_of(docs, others, check=strict, whole_files=kind == "json"), entry_ord, F.col("_pos")).drop("_pos")
+    for f in files:
+        if f.kind == "json" and f.length > VARIANT_BYTES:
+            yield [f], read_large_json(spark, f.path, entry_ord)
 
 
 def read_all(spark: SparkSession, sources: Sequence[str], source: str | None = None, date_formats: Sequence[str] | None = None,
@@ -156,33 +106,51 @@ def read_all(spark: SparkSession, sources: Sequence[str], source: str | None = N
     """Every row of the exports, good and rejected (see ``normalize_all``).
 
     ``account_col`` names the column with the ledger's id; without it, a
-    source is part of one ledger. ``on_error="skip"`` turns an entry that
-    can't be read into one rejected row with the reason.
+    source is part of one ledger. Columns of ``keep`` that a layout has not
+    are null there. ``on_error="skip"`` turns an entry, or a file, that can't
+    be read into one rejected row with the reason; objects of a JSON document
+    without a date, amount or description are rejected one by one.
+    Quoted fields may hold line breaks; ``multiline_csv=False`` says that
+    they don't, and lets many tasks read one large CSV file.
     """
     if not sources:
         raise IngestionError("There is nothing to ingest")
+    others = (*keep, *([account_col] if account_col else []))
     keep = ("file_ord", "row_ord", *keep)
+    strict = on_error != "skip"
     frames = []
+
+    def not_read(entry: int, path: str, reason) -> None:
+        if strict:
+            raise reason if isinstance(reason, IngestionError) else IngestionError(str(reason))
+        frames.append(spark.range(1).select(
+            F.lit(path).alias("source"), F.lit(f"entry not read: {reason}").alias("reject_reason"),
+            F.struct(F.lit(entry).alias("entry"), F.lit(path).alias("path")).alias("file_ord")))
+
     for i, path in enumerate(sources):
-        try:
-            if not _fs_exists(spark, path):
-                raise IngestionError(f"There is no file {path}")
-            kind = None if any(ch in path for ch in "*?[") else _folder_kind(spark, path)
-            raw = read_raw(spark, path, kind or _kind(path), i, multiline_csv)
-            tag = F.lit(source) if source else F.regexp_replace(F.col("_file"), r"\.[^.]*$", "")
-            if account_col:
-                if account_col not in raw.columns:
-                    raise IngestionError(f"{path} has no column {account_col} for the ledger")
-                raw = raw.withColumn("account_id", F.col(f"`{account_col}`"))
-            frames.append(normalize_all(raw, tag, date_formats, (*keep, *(["account_id"] if account_col else []))))
-        except IngestionError as e:
-            if on_error != "skip":
-                raise
-            frames.append(spark.range(1).select(
-                F.lit(path).alias("source"), F.lit(f"entry not read: {e}").alias("reject_reason"),
-                F.struct(F.lit(i).alias("entry"), F.lit(path).alias("path")).alias("file_ord")))
+        if not _fs_exists(spark, path):
+            not_read(i, path, f"There is no file {path}")
+            continue
+        files = catalogue(spark, path)
+        if not files:
+            not_read(i, path, f"There are no files in {path}")
+        for f in files:
+            if problem(f):
+                not_read(i, f.path, problem(f))
+        for alike, raw in _scans(spark, [f for f in files if not problem(f)], i, multiline_csv, others, strict):
+            try:
+                tag = F.lit(source) if source else F.regexp_replace(F.col("_file"), r"\.[^.]*$", "")
+                if account_col:
+                    if account_col not in raw.columns:
+                        raise IngestionError(f"{alike[0].path} has no column {account_col} for the ledger")
+                    raw = raw.withColumn("account_id", F.col(f"`{account_col}`"))
+                raw = raw.withColumns({c: F.lit(None).cast("string") for c in keep if c not in raw.columns})
+                frames.append(normalize_all(raw, tag, date_formats, (*keep, *(["account_id"] if account_col else []))))
+            except IngestionError as e:
+                for f in alike:
+                    not_read(i, f.path, e)
     if all("amount" not in f.columns for f in frames):
-        frames.append(normalize_all(spark.createDataFrame([], "amount string, " + PROVENANCE_SCHEMA), keep=keep))
+        frames.append(normalize_all(spark.createDataFrame([], "amount string, " + PROVENANCE_SCHEMA), keep=("file_ord", "row_ord")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

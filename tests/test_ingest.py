@@ -159,3 +159,71 @@ def test_percent_ties_go_to_even(spark):
     xs = [0.745, 0.625, 0.125, 0.585, 0.705, 0.825, 0.005, 0.015, 1.0, 0.0, None]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(percent_text("x")).collect()]
     assert got == [f"{x or 0:.0%}" for x in xs]
+
+
+def _write(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    _write(tmp_path / "a/1.csv", "Date,Debit,Credit,Note,Note\n2026-03-01,1.00,,x,y\n")
+    _write(tmp_path / "a/2.csv", "Date,Credit,Debit,Note,Note\n2026-03-02,,2.00,x,y\n")
+    _write(tmp_path / "b/3.csv", "Date,Amount,Memo\n2026-03-03,3.00,third\n")
+    _write(tmp_path / "b/deep/4.csv", "Amount,Memo,Date\n4.00,fourth,2026-03-04\n")
+    _write(tmp_path / "b/deep/5.json", '[{"memo": "fifth", "amount": -5, "date": "2026-03-05"}]')
+    _write(tmp_path / "b/_hidden.csv", "foo,bar\n1,2\n")
+    rows = read_exports(spark, [str(tmp_path / "b")]).collect()
+    assert sorted((r.transaction_date.day, r.amount, r.source) for r in rows) == [
+        (3, Decimal(3), "3"), (4, Decimal(4), "4"), (5, Decimal(-5), "5")]
+    with pytest.raises(IngestionError):            # "Note" is no description
+        read_exports(spark, [str(tmp_path / "a")])
+    for name, text in (("1", "Date,Debit,Credit,Memo,Memo\n2026-03-01,1.00,,x,y\n"), ("2", "Date,Credit,Debit,Memo,Memo\n2026-03-02,,2.00,x,y\n"),
+                       ("6", '\ufeff"Date","Me\nmo",Memo,Debit,Credit\n2026-03-06,z,x,,6.00\n'), ("7", "")):
+        _write(tmp_path / f"a/{name}.csv", text)
+    got = {r.source: (r.amount, r.description) for r in read_exports(spark, [str(tmp_path / "a")]).collect()}
+    assert got == {"1": (Decimal(-1), "x"), "2": (Decimal(-2), "x"), "6": (Decimal(6), "x")}
+
+
+def test_a_folder_with_broken_files_and_skip(spark, tmp_path):
+    import gzip
+
+    from cashweave.operators.normalize import rejects
+    from cashweave.sources.exports import read_all
+    _write(tmp_path / "good [1].csv", "Date,Amount,Memo\n2026-03-03,3.00,third\n")
+    _write(tmp_path / "no date.csv", "Amount,Memo\n3.00,third\n")
+    _write(tmp_path / "sheet.xlsx", "not read")
+    _write(tmp_path / "no.json", "{ this is no JSON")
+    (tmp_path / "cut.csv.gz").write_bytes(gzip.compress(b"Date,Amount,Memo\n" * 5000)[:60])
+    every = read_all(spark, [str(tmp_path)], on_error="skip")
+    listed = {r.source.rpartition("/")[2]: r.reject_reason for r in rejects(every).collect()}
+    assert set(listed) == {"no date.csv", "sheet.xlsx", "cut.csv.gz"} and "transaction_date" in listed["no date.csv"]
+    assert [r.description for r in read_exports(spark, [str(tmp_path)], on_error="skip").collect()] == ["third"]
+    with pytest.raises(IngestionError):
+        read_exports(spark, [str(tmp_path)])
+    with pytest.raises(Exception, match="no JSON"):
+        read_exports(spark, [str(tmp_path / "no.json")]).collect()
+
+
+def test_json_documents_keep_their_own_columns(spark, tmp_path):
+    _write(tmp_path / "a.json", '{"transactions": [{"Posting Date": "2026-03-01", "Withdrawal": "1.50", "payee": "a", "Ref": 7},'
+                                ' {"Posting Date": "2026-03-02", "Deposit": 2, "payee": "b", "amount": 99}]}')
+    _write(tmp_path / "b.json", '[{" DATE ": "2026-03-03", "Amt": -3.10, "memo": "c"}, {"date": "2026-03-04", "amount": 1e2, "desc": "d", "Ref": "x"}, 5]')
+    _write(tmp_path / "c.jsonl", '{"date": "2026-03-05", "amount": "$5.00", "memo": "e"}\n\n{"date": "2026-03-06", "memo": "no amount"}\n')
+    rows = read_exports(spark, [str(tmp_path)], keep=("Ref",)).collect()
+    assert {(r.description, r.amount, r.Ref) for r in rows} == {
+        ("a", Decimal("-1.50"), "7"), ("b", Decimal(2), None), ("c", Decimal("-3.10"), None), ("d", Decimal(100), "x"), ("e", Decimal(5), None)}
+    assert len({str(r.row_ord) for r in rows}) == 5
+    _write(tmp_path / "d.json", '[{"date": "2026-03-01", "memo": "no amounts at all"}]')
+    with pytest.raises(Exception, match="no column for: amount"):
+        read_exports(spark, [str(tmp_path / "d.json")]).collect()
+
+
+def test_one_scan_for_each_layout_and_none_for_inference(spark, tmp_path):
+    for k in range(6):
+        _write(tmp_path / f"{k}.csv", ("Date,Amount,Memo\n2026-03-0%d,1,x%d\n" if k % 2 else "Amount,Date,Memo\n1,2026-03-0%d,x%d\n") % (k + 1, k))
+        _write(tmp_path / f"{k}.json", '[{"date": "2026-03-01", "amount": %d, "memo": "j"}]' % k)
+    df = read_exports(spark, [str(tmp_path)])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2 and plan.count("FileScan text") == 1 and "FileScan json" not in plan
+    assert df.count() == 12
