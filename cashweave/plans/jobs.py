@@ -23,7 +23,7 @@ from cashweave.operators.advisor import answer_questions, answer_records, answer
 from cashweave.operators.categorize import RULES_METHOD, categorize
 from cashweave.operators.dedup import deduplicate
 from cashweave.operators.forecast import LINEAR_METHOD, forecast_projection, forecast_summary
-from cashweave.operators.model_batches import MODEL_METHOD, merge_responses, request_rows
+from cashweave.operators.model_batches import MODEL_METHOD, with_responses
 from cashweave.operators.normalize import canonical, rejects
 from cashweave.operators.notes import prepare_notes, upsert_notes
 from cashweave.operators.seasonal import SEASONAL_METHOD, seasonal_projection
@@ -81,11 +81,7 @@ def run_ledger_job(spark: SparkSession, sources: Sequence[str], starting_balance
     clean = ingest(spark, sources, **options)["transactions"]
     txns = categorize(clean, lexicon=lexicon)
     if categorizer == MODEL_METHOD:
-        keyed = txns.withColumn("account_id", F.col("account_id") if "account_id" in txns.columns else F.lit(0).cast("long"))
-        merged = merge_responses(request_rows(keyed, key="raw_hash"), responses, keyed, key="raw_hash") \
-            .select("raw_hash", F.col("category").alias("_c"), F.col("ai_confidence_score").alias("_s"))
-        txns = keyed.join(merged, "raw_hash").withColumn("category", F.col("_c")) \
-            .withColumn("ai_confidence_score", F.col("_s")).drop("_c", "_s")
+        txns = with_responses(txns, responses, ("raw_hash", *options.get("extra_key_cols", ())))
     if out:
         write_table(txns, f"{out}/transactions_categorized", fmt=fmt)
         txns = read_transactions(spark, f"{out}/transactions_categorized", fmt=fmt)

@@ -99,3 +99,13 @@ def test_the_job_runs_as_a_process_from_another_folder(samples, tmp_path):
     record = json.loads(asked.stdout.strip().splitlines()[-1])
     assert record["intent"] == "general" and record["retrieved_notes"][0]["text"] == "Marketing gets more money in autumn"
     assert job("ingest", "nothing.csv", "--out", out).returncode == 2
+
+
+def test_the_model_method_keeps_rows_of_several_ledgers(spark, tmp_path):
+    from cashweave.plans.jobs import run_ledger_job
+    p = tmp_path / "two.csv"
+    p.write_text("Date,Amount,Memo,Ledger\n2026-03-01,-5,uber,1\n2026-03-01,-5,uber,2\n2026-03-02,-6,rent,2\n")
+    replies = spark.createDataFrame([("1", 0, '[{"index": 0, "category": "Meals", "confidence": 1}]')],
+                                    "account_id string, batch_id long, response string")
+    rows = run_ledger_job(spark, [str(p)], categorizer="model", responses=replies, account_col="Ledger")["transactions"].collect()
+    assert sorted((r.account_id, r.amount, r.category) for r in rows) == [("1", -5, "Meals"), ("2", -6, "Rent"), ("2", -5, "Travel")]

@@ -63,3 +63,29 @@ def test_responses_are_read_strictly(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r.t: r.n for r in df.select("t", F.when(parse_response(F.col("t")).isNotNull(), F.size(parse_response(F.col("t")))).alias("n")).collect()}
     assert got == texts
+
+
+def test_only_one_whole_json_list_is_a_reply(spark):
+    from pyspark.sql import functions as F
+
+    from cashweave.operators.model_batches import parse_response
+    good = ['[{"index": 1, "category": "Meals", "confidence": 0.5}]', '```json\n[{"index": "1"}]\n```', "[]", '[{"index": 1.7}]',
+            '[{"index": true, "confidence": " 0.5 "}]', '[{"category": ["x"]}]']
+    bad = ['[{"index": 1}] trailing', '[{"index": 1}], []', '[{"index": 1}] []', '{"index": 1}', '[{"index": "1.7"}]', '[{"index": null}]', "[1]",
+           '[{"index": 1, "confidence": "high"}]', '[{"index": [1]}]', "", None, "prose", '[{"index": 1}']
+    df = spark.createDataFrame([(t,) for t in [*good, *bad]], "t string").select(parse_response(F.col("t")).isNotNull().alias("ok"))
+    assert [bool(r.ok) for r in df.collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_equal_rows_of_several_ledgers_stay_apart(spark):
+    from cashweave.operators.categorize import categorize
+    from cashweave.operators.model_batches import request_rows, with_responses
+    rows = [(1, "h1", None, "uber", -1.0), (2, "h1", None, "uber", -1.0), (2, "h1", "r2", "uber", -1.0), (2, "h3", "r3", "salary", 5.0)]
+    t = categorize(spark.createDataFrame(rows, "account_id long, raw_hash string, ref string, description string, amount double"))
+    asked = {(r.account_id, r.batch_id) for r in request_rows(t, key=("raw_hash", "ref")).collect()}
+    replies = spark.createDataFrame([(a, b, '[{"index": 0, "category": "Rent", "confidence": 1}]') for a, b in asked if a == 2] * 2,
+                                    "account_id long, batch_id long, response string")
+    got = with_responses(t, replies, ("raw_hash", "ref")).collect()
+    assert len(got) == 4 and got[0].__fields__ == t.columns
+    assert sorted((r.account_id, r.raw_hash, r.ref or "", r.category) for r in got) == [
+        (1, "h1", "", "Travel"), (2, "h1", "", "Rent"), (2, "h1", "r2", "Uncategorized"), (2, "h3", "r3", "Uncategorized")]
