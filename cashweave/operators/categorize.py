@@ -7,10 +7,10 @@ Confidence = min(0.99, 0.55 + best/total * 0.4) rounded to 3 places the way
 Python rounds floats (``py_round``). No match:
 ("Income", 0.55) for a positive amount, else ("Uncategorized", 0.30).
 
-A lexicon is configuration: it becomes column expressions, so the whole
-categorizer is one narrow projection with no shuffle, no join and no Python
-worker. A long one becomes a constant array of keywords instead of generated
-code, with equal results.
+A lexicon given as a list is configuration: it becomes column expressions, so
+the whole categorizer is one narrow projection with no shuffle, no join and no
+Python worker. A lexicon given as a table, or a list too long for generated
+code, is joined through a q-gram index (``lexicon_index``), with equal results.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cashweave.functions.numeric import py_round
+from cashweave.operators.lexicon_index import with_scores
 from cashweave.schema import KEYWORD_LEXICON, TAX_CATEGORIES
 
 RULES_METHOD = "rules"
-EXPRESSION_LEXICON_LIMIT = 400  # keywords compiled to expressions; longer lists become one array, with equal results
+EXPRESSION_LEXICON_LIMIT = 400  # keywords compiled to expressions; longer lists become a table, with equal results
 
 RESULT_TYPE = T.StructType([
     T.StructField("category", T.StringType(), False),
@@ -37,18 +38,12 @@ RESULT_TYPE = T.StructType([
 
 
 def _lexicon_pairs(lexicon) -> list[tuple[str, str]]:
-    """Normalise a user lexicon (dict, pairs, or DataFrame(keyword, category))."""
+    """Normalise a user lexicon (dict or pairs)."""
     if lexicon is None:
         return list(KEYWORD_LEXICON)
     if isinstance(lexicon, DataFrame):
-        # a keyword list is configuration and becomes part of the plan
-        rows = lexicon.select("keyword", "category").orderBy(
-            *(["ord"] if "ord" in lexicon.columns else ["keyword"])).collect()
-        pairs = [(r["keyword"], r["category"]) for r in rows]
-    elif isinstance(lexicon, dict):
-        pairs = list(lexicon.items())
-    else:
-        pairs = list(lexicon)
+        raise TypeError("a lexicon table is joined: use categorize()")
+    pairs = list(lexicon.items()) if isinstance(lexicon, dict) else list(lexicon)
     if not pairs:  # an empty lexicon falls back to the default one
         return list(KEYWORD_LEXICON)
     # A dict keeps one category per keyword (the last assignment) at the
@@ -164,17 +159,20 @@ def categorize(df: DataFrame, lexicon=None, description: str = "description",
     Row count and order are unchanged. Staged as three projections (the
     lower-cased text; per-category scores; the result struct) so every
     intermediate is computed once per row and the default lexicon path stays
-    inside whole-stage codegen.
+    inside whole-stage codegen. A lexicon table (``keyword, category`` and
+    perhaps ``ord``) is never collected; an empty one is the default lexicon.
     """
-    pairs = _lexicon_pairs(lexicon)
-    t, r = "_cat_text", "_cat_result"
-    staged = df.withColumn(t, F.lower(F.coalesce(F.col(description).cast("string"), F.lit(""))))
+    if isinstance(lexicon, DataFrame) and lexicon.isEmpty():
+        lexicon = None
+    pairs = [] if isinstance(lexicon, DataFrame) else _lexicon_pairs(lexicon)
     if len(pairs) > EXPRESSION_LEXICON_LIMIT:
-        staged = staged.withColumn("_cat_scores", _array_scores(F.col(t), pairs))
-        best = F.array_max("_cat_scores")
-        total = F.aggregate("_cat_scores", F.lit(0.0), lambda acc, x: acc + x["score"])
-        staged = staged.withColumn("_cat_best", best).withColumn("_cat_total", total)
+        lexicon = df.sparkSession.createDataFrame([(i, k, c) for i, (k, c) in enumerate(pairs)], "ord int, keyword string, category string")
+    t, r = "_cat_text", "_cat_result"
+    text = F.lower(F.coalesce(F.col(description).cast("string"), F.lit("")))
+    if isinstance(lexicon, DataFrame):
+        staged = with_scores(df, text, lexicon)
     else:
+        staged = df.withColumn(t, text)
         cols = _score_sql(tuple(pairs), t)
         names = [f"_cat_s{i}" for i in range(len(cols))]
         firsts = [f"_cat_p{i}" for i in range(len(cols))]

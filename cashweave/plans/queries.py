@@ -17,6 +17,7 @@ from cashweave.operators import dedup as dedup_ops
 from cashweave.operators import forecast as fc_ops
 from cashweave.operators.normalize import normalize
 from cashweave.plans import sqlparts as sq
+from cashweave.schema import TAX_CATEGORIES
 from cashweave.sources.ledgers import (
     CUSTOMER_BALANCES_SQL, EVENTS_LEDGER_SQL, ORDERS_LEDGER_SQL, customer_balances,
     events_ledger, orders_ledger, table,
@@ -211,6 +212,44 @@ def q_canonical_normalize(spark, sf_dir):
                     "description", "source", "raw_hash", "category", "ai_confidence_score")
 
 
+EXPORT_KINDS = 5
+
+
+def write_export_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The orders ledger as files of one folder, as banks would export it: CSV
+    with debit and credit in either order and a repeated header, CSV with date
+    and amount in either order, and JSON documents."""
+    import uuid
+
+    from cashweave.session import ensure_checkpoint_dir
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports-{uuid.uuid4().hex}"
+    rows = orders_ledger(spark, sf_dir).withColumn("kind", F.pmod("row_ord", F.lit(EXPORT_KINDS)))
+    money, account = F.abs("amount").cast(MONEY).cast("string"), F.col("account_id").alias("Account")
+    day, note = F.date_format("transaction_date", "MM/dd/yyyy").alias("Date"), F.col("description").alias("Memo")
+    debit, credit = F.when(F.col("amount") < 0, money).alias("Debit"), F.when(F.col("amount") >= 0, money).alias("Credit")
+    signed, again = F.col("amount").cast(MONEY).cast("string").alias("Amount"), F.lit("repeated").alias(" Memo ")
+    layouts = [[day, debit, credit, note, again, account], [day, credit, debit, note, again, account],
+               [day, signed, note, account], [signed, account, day, note]]
+    for kind, layout in enumerate(layouts):
+        rows.where(F.col("kind") == kind).select(*layout).write.option("header", True).csv(f"{folder}/{kind}")
+    item = F.struct(day.alias("Posting Date"), F.col("amount").cast(MONEY).alias("amt"), note.alias("payee"), account)
+    rows.where(F.col("kind") == len(layouts)).groupBy(F.floor(F.col("row_ord") / 20_000).alias("part")) \
+        .agg(F.collect_list(item).alias("transactions")).write.partitionBy("part").json(f"{folder}/json")
+    return folder
+
+
+@register("export_folder", f"""
+SELECT CAST(account_id AS VARCHAR) AS account_id, CAST(transaction_date AS DATE) AS transaction_date, CAST(amount AS DECIMAL(18,2)) AS amount, description,
+       {sq.content_hash('transaction_date', 'amount', 'description')} AS raw_hash
+FROM ({ORDERS_LEDGER_SQL}) l
+""")
+def q_export_folder(spark, sf_dir):
+    """Files of five layouts, written and read back, each by its own header."""
+    from cashweave.sources.exports import read_exports
+    rows = read_exports(spark, [write_export_folder(spark, sf_dir)], source="bank", account_col="Account")
+    return rows.select("account_id", "transaction_date", F.col("amount").cast(MONEY).alias("amount"), "description", "raw_hash")
+
+
 @register("ingest_rejects", f"""
 {NORMALIZED_SQL}
 SELECT account_id, row_ord, description,
@@ -348,6 +387,35 @@ def q_categorize(spark, sf_dir):
     return c.select("account_id", "row_ord", "category", "ai_confidence_score", "rationale")
 
 
+def _exact_rounding(sql: str) -> str:
+    """Rounds confidences by their exact binary value, as the operator does."""
+    return sql.replace("round(least(", "CAST(format('{:.3f}', least(").replace("CAST(0.4 AS DOUBLE)), 3)", "CAST(0.4 AS DOUBLE))) AS DOUBLE)")
+
+
+_CATEGORY_LIST = ", ".join(f"'{c}'" for c in TAX_CATEGORIES)
+
+
+@register("categorize_lexicon_table", f"""
+WITH l AS ({ORDERS_LEDGER_SQL}),
+lexicon AS (SELECT * FROM {sq.lexicon_values()}
+  UNION ALL SELECT 1000 + c_custkey, '#' || c_custkey, list_extract([{_CATEGORY_LIST}], c_nationkey % {len(TAX_CATEGORIES)} + 1) FROM customer),
+{_exact_rounding(sq.categorize_cte('l').replace(sq.lexicon_values(), 'lexicon x'))}
+SELECT l.account_id, l.row_ord, c.category, c.confidence AS ai_confidence_score, c.rationale
+FROM l JOIN cat c ON c.k = l.row_ord
+""")
+def q_categorize_lexicon_table(spark, sf_dir):
+    """The default keywords and one for each customer, as a table; most
+    keywords of the table hold others ("#12" holds "#1")."""
+    from cashweave.schema import KEYWORD_LEXICON
+    names = F.array(*[F.lit(c) for c in TAX_CATEGORIES])
+    own = table(spark, sf_dir, "customer").select(
+        (F.lit(1000) + F.col("c_custkey")).alias("ord"), F.concat(F.lit("#"), F.col("c_custkey").cast("string")).alias("keyword"),
+        F.element_at(names, F.pmod(F.col("c_nationkey"), F.lit(len(TAX_CATEGORIES))).cast("int") + 1).alias("category"))
+    default = spark.createDataFrame([(i, k, c) for i, (k, c) in enumerate(KEYWORD_LEXICON)], "ord long, keyword string, category string")
+    c = cat_ops.categorize(canonical_orders(spark, sf_dir), lexicon=default.unionByName(own), with_rationale=True)
+    return c.select("account_id", "row_ord", "category", "ai_confidence_score", "rationale")
+
+
 @register("category_counts", f"""
 WITH l AS ({ORDERS_LEDGER_SQL}), {sq.categorize_cte('l')}
 SELECT category, count(*) AS n_transactions, CAST(sum(l.amount) AS DECIMAL(18,2)) AS total_amount
@@ -1011,7 +1079,6 @@ def _model_rows(spark: SparkSession, sf_dir: str):
 
 
 from cashweave.operators.model_batches import REQUEST_PROMPT, REWRITE_PROMPT  # noqa: E402
-from cashweave.schema import TAX_CATEGORIES  # noqa: E402
 
 _REQUEST_PROMPT_SQL = REQUEST_PROMPT.format(categories=", ".join(TAX_CATEGORIES)).replace("'", "''")
 REQUEST_ROWS_SQL = f"""
@@ -1040,18 +1107,20 @@ def q_model_request_batches(spark, sf_dir):
     return request_bodies(rows)
 
 
-def synthetic_responses(rows: DataFrame, rules: DataFrame) -> DataFrame:
+def synthetic_responses(rows: DataFrame, rules: DataFrame, key: str = "row_ord") -> DataFrame:
     """A stand-in model for tests: answers each batch from the rules output,
     but skips some rows, invents a category for others and repeats index 0 with
     a later answer. Some batches get prose, a lone object, numbers written as
-    text, or a confidence that is no number."""
-    r = rows.join(rules.select("account_id", "row_ord", "category", "ai_confidence_score"), ["account_id", "row_ord"])
+    text, a confidence that is no number, text behind the list, or an index
+    that is a text of no whole number."""
+    r = rows.join(rules.select("account_id", key, "category", "ai_confidence_score"), ["account_id", key])
     i = F.col("index")
-    kind = F.pmod(F.col("batch_id") + F.col("account_id"), F.lit(5))
+    kind = F.pmod(F.col("batch_id") + F.col("account_id"), F.lit(7))
     quote = F.when(kind == 2, F.lit('"')).otherwise(F.lit(""))
 
     def item(category, confidence):
-        return F.concat(F.lit('{"index": '), quote, i.cast("string"), quote, F.lit(', "category": "'), category,
+        broken = F.when(kind == 6, F.lit('"1.7"')).otherwise(F.concat(quote, i.cast("string"), quote))
+        return F.concat(F.lit('{"index": '), broken, F.lit(', "category": "'), category,
                         F.lit('", "confidence": '), confidence, F.lit("}"))
 
     items = r.where(F.pmod(i, F.lit(11)) != 5).select(
@@ -1064,34 +1133,46 @@ def synthetic_responses(rows: DataFrame, rules: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", "it"))).alias("l"))
     listed = F.concat(F.lit("```json\n["), F.array_join(F.transform("l", lambda x: x["it"]), ", "), F.lit("]\n```"))
     return g.select("account_id", "batch_id", F.when(kind == 0, F.lit("Sorry, I cannot classify these."))
-                    .when(kind == 1, F.element_at("l", 1)["it"]).otherwise(listed).alias("response"))
+                    .when(kind == 1, F.element_at("l", 1)["it"]).when(kind == 5, F.concat(listed, F.lit("\nHope this helps")))
+                    .otherwise(listed).alias("response"))
+
+
+OTHER_LEDGER = 1_000_000_000
 
 
 @register("model_response_merge", f"""
-WITH l AS ({ORDERS_LEDGER_SQL}), {sq.categorize_cte('l')},
+WITH o AS ({ORDERS_LEDGER_SQL}),
+l0 AS (SELECT *, {sq.content_hash('transaction_date', 'amount', 'description')} AS raw_hash FROM o),
+l AS (SELECT * FROM l0 UNION ALL
+      SELECT * REPLACE (account_id + {OTHER_LEDGER} AS account_id, row_ord + {OTHER_LEDGER} AS row_ord) FROM l0 WHERE row_ord % 3 = 0),
+{sq.categorize_cte('l')},
 n AS (SELECT account_id, count(*) AS n FROM l GROUP BY 1),
-b AS (SELECT l.account_id, l.row_ord,
-             CAST(('0x' || substr(md5(CAST(l.row_ord AS VARCHAR)), 1, 8)) AS BIGINT)
+b AS (SELECT l.account_id, l.row_ord, l.raw_hash,
+             CAST(('0x' || substr(md5(l.raw_hash), 1, 8)) AS BIGINT)
                % greatest(1, CAST(ceil(n.n / 5) AS BIGINT)) AS batch_id
       FROM l JOIN n USING (account_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY account_id, batch_id ORDER BY row_ord) - 1 AS idx FROM b)
-SELECT r.row_ord,
-       CASE WHEN (r.batch_id + r.account_id) % 5 IN (0, 1, 3) THEN c.category
+r AS (SELECT *, row_number() OVER (PARTITION BY account_id, batch_id ORDER BY raw_hash) - 1 AS idx FROM b)
+SELECT r.account_id, r.raw_hash,
+       CASE WHEN (r.batch_id + r.account_id) % 7 IN (0, 1, 3, 5, 6) THEN c.category
             WHEN r.idx = 0 THEN 'Transfers'
             WHEN r.idx % 11 = 5 THEN 'Uncategorized'
             WHEN r.idx % 7 = 3 THEN 'Uncategorized'
             ELSE c.category END AS category,
-       CASE WHEN (r.batch_id + r.account_id) % 5 IN (0, 1, 3) THEN c.confidence
+       CASE WHEN (r.batch_id + r.account_id) % 7 IN (0, 1, 3, 5, 6) THEN c.confidence
             WHEN r.idx = 0 THEN 0.42
             WHEN r.idx % 11 = 5 THEN 0.0
             ELSE c.confidence END AS ai_confidence_score,
-       CASE WHEN (r.batch_id + r.account_id) % 5 IN (0, 1, 3) THEN 'rules' ELSE 'model' END AS method
+       CASE WHEN (r.batch_id + r.account_id) % 7 IN (0, 1, 3, 5, 6) THEN 'rules' ELSE 'model' END AS method
 FROM r JOIN cat c ON c.k = r.row_ord
 """)
 def q_model_response_merge(spark, sf_dir):
-    from cashweave.operators.model_batches import merge_responses
-    rows, rules = _model_rows(spark, sf_dir)
-    return merge_responses(rows, synthetic_responses(rows, rules), rules)
+    """Keyed by content hash; a third of the rows are in two ledgers alike."""
+    from cashweave.operators.model_batches import merge_responses, request_rows
+    c = categorized_orders(spark, sf_dir).drop("row_ord")
+    other = c.where(F.substring_index("description", "#", -1).cast("long") % 3 == 0).withColumn("account_id", F.col("account_id") + OTHER_LEDGER)
+    both = c.unionByName(other)
+    rows = request_rows(both, batch_size=5, key="raw_hash")
+    return merge_responses(rows, synthetic_responses(rows, both, "raw_hash"), both, key="raw_hash")
 
 
 _REWRITE_PROMPT_SQL = REWRITE_PROMPT.replace("'", "''").replace("\n", "' || chr(10) || '")
