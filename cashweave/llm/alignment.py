@@ -14,9 +14,9 @@ for each token there is at most one pair per suffix of it and spelling of that
 suffix, and the table of pairs is bounded by the two vocabularies' bytes
 (``pair_bound``), whatever the corpus. It is sent to all tasks.
 
-Encoding remembers chunks: the text is cut before single spaces between two
-ASCII or Latin-1 signs, where no token of either side can cross (checked for
-the model when it is loaded; side A splits there by its pattern).
+Side B encodes whole texts. Side A remembers words: ASCII and Latin-1 text is
+split by the byte-level pattern, which no token crosses; other text is cut
+before single spaces between two such signs, and the library encodes the rest.
 
 Null and empty texts, and texts that either side does not give back byte by
 byte, have no tokens: all counts are 0 and the digest is empty. Repeated rows
@@ -39,9 +39,14 @@ from pyspark.sql import functions as F
 from cashweave.llm.common import stored
 
 BATCH_CHARS = 500_000      # characters of text per frame; a longer text is a frame of its own
-CACHE_CHUNKS = 150_000     # entries of each of the cache's two generations; the older one goes when the newer is full
-CACHE_CHUNK_CHARS = 40     # longer chunks are encoded without being remembered
-
+CACHE_WORDS = 150_000      # entries of each of the cache's two generations; the older one goes when the newer is full
+CACHE_WORD_CHARS = 40      # longer words are encoded without being remembered
+
+# The split of byte-level BPE on ASCII and Latin-1 letters.
+_LETTERS, _SPACES = "A-Za-zÀ-ÖØ-öø-ÿ", r"\t-\r "
+_KNOWN = re.compile(f"[\\x00-\\x7e{_LETTERS}]+")
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_SPACES}{_LETTERS}0-9]+"
+                    f"|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 _SIGN = "[!-~À-ÖØ-öø-ÿ]"
 _CUT = re.compile(f"(?<={_SIGN})(?= {_SIGN})")
 
@@ -81,43 +86,54 @@ class Sides:
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
-        self.by_chunk = (
-            not any("▁" in p.lstrip("▁") for p in pieces)      # no piece holds a space behind another sign
-            and b"identity" in self.b.serialized_model_proto()[-4096:]    # no normalisation
-            and not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex")
-            and not split.get("add_prefix_space"))
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def _encode(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids of both sides for a text with its leading space; None if either differs in bytes."""
-        want = text.encode("utf-8", "surrogatepass")
-        a = self.a.encode(text, add_special_tokens=False).ids
-        b = self.b.encode(text[1:], num_threads=1)
-        if b"".join([self.bytes_a[k] for k in a]) != want or b"".join([self.bytes_b[k] for k in b]) != want:
-            return None
-        return np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()
-
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes] | None:
-        ids = self.older[chunk] if chunk in self.older else self._encode(chunk)
-        if len(chunk) <= CACHE_CHUNK_CHARS:
-            if len(self.known) >= CACHE_CHUNKS:
+        self.by_word = (not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex")
+                        and not split.get("add_prefix_space"))
+        self.model = self.a.model
+        signs = {b: c for c, b in alphabet.items()}
+        self.spelt = {c: "".join(signs[b] for b in chr(c).encode()) for c in range(256)}
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def _library_a(self, text: str) -> bytes | None:
+        """Ids of side A, None if their bytes are not the text's."""
+        return self._checked(self.a.encode(text, add_special_tokens=False).ids, text)
+
+    def _checked(self, ids: list[int], text: str) -> bytes | None:
+        same = b"".join([self.bytes_a[k] for k in ids]) == text.encode("utf-8", "surrogatepass")
+        return np.array(ids, "<i4").tobytes() if same else None
+
+    def _word(self, word: str) -> bytes | None:
+        if word in self.older:
+            ids = self.older[word]
+        elif _KNOWN.fullmatch(word):      # one word of the pattern: no further split
+            ids = self._checked([t.id for t in self.model.tokenize(word.translate(self.spelt))], word)
+        else:
+            ids = self._library_a(word)
+        if len(word) <= CACHE_WORD_CHARS:
+            if len(self.known) >= CACHE_WORDS:
                 self.known, self.older = {}, self.known
-            self.known[chunk] = ids
+            self.known[word] = ids
         return ids
 
+    def _side_a(self, text: str) -> bytes | None:
+        if not self.by_word:
+            return self._library_a(text)
+        words = _WORDS.findall(text) if _KNOWN.fullmatch(text) else [
+            w for c in _CUT.split(text) for w in (_WORDS.findall(c) if _KNOWN.fullmatch(c) else [c])]
+        known = self.known.get
+        got = [known(w) or self._word(w) for w in words]
+        return None if None in got else b"".join(got)
+
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of both sides as little-endian 32-bit integers, or none."""
+        """Ids of both sides as little-endian 32-bit integers; none if either
+        side's bytes differ from space + text."""
         if not text:
             return b"", b""
-        text = " " + text
-        if self.by_chunk:
-            known, chunks = self.known, _CUT.split(text)
-            got = [known[c] if c in known else self._chunk(c) for c in chunks]
-            if None not in got:
-                a, b = zip(*got)
-                return b"".join(a), b"".join(b)
-        return self._encode(text) or (b"", b"")
+        b = self.b.encode(text, num_threads=1)
+        if b"".join([self.bytes_b[k] for k in b]) != (" " + text).encode("utf-8", "surrogatepass"):
+            return b"", b""
+        a = self._side_a(" " + text)
+        return (a, np.array(b, "<i4").tobytes()) if a else (b"", b"")
 
 
 _SIDES: dict[tuple[str, str], Sides] = {}

@@ -227,9 +227,12 @@ def test_overlapping_tokens(spark, texts):
 def test_frames_of_any_size_and_a_small_cache_give_equal_results(spark, texts, monkeypatch):
     pair = alignment.Sides(BYTE_BPE, PIECE_BPE)
     some = [t for _, t in texts if len(t or "") < 3_000]
-    whole = [(pair._encode(" " + t) or (b"", b"")) if t else (b"", b"") for t in some]
-    monkeypatch.setattr(alignment, "CACHE_CHUNKS", 7)
-    assert [pair.encode(t) for t in some] == whole and len(pair.known) <= 7
+    got = [pair.encode(t) for t in some]
+    pair.by_word = False
+    assert [pair.encode(t) for t in some] == got
+    monkeypatch.setattr(alignment, "CACHE_WORDS", 7)
+    pair = alignment.Sides(BYTE_BPE, PIECE_BPE)
+    assert pair.by_word and [pair.encode(t) for t in some] == got and len(pair.known) <= 7
     monkeypatch.setattr(alignment, "BATCH_CHARS", 50)
     assert [k for f, e in alignment._frames(some) for k in range(f, e)] == list(range(len(some)))
 
