@@ -115,8 +115,9 @@ _ROW_BITS = 33
 
 def positions(rows: DataFrame, added: list[str]) -> DataFrame:
     """One row per word, in order; documents without words have one of null."""
-    return rows.select("doc_id", "row", F.xxhash64("text").alias("check"), F.posexplode_outer(words_of(F.col("text"), added))) \
-        .withColumnRenamed("col", "word")
+    # The hash is taken once a document, below the generator, not once a word.
+    split = rows.select("doc_id", "row", F.xxhash64("text").alias("check"), words_of(F.col("text"), added).alias("words"))
+    return split.select("doc_id", "row", "check", F.posexplode_outer("words").alias("pos", "word"))
 
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
@@ -272,43 +273,50 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
+def _decoder(table: list[bytes]):
+    """A function from a list array of ids to their texts."""
+    joined = pa.array([*table, b""], pa.binary())
+
+    def texts(ids: pa.ListArray) -> list[str]:
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        found = joined.take(pa.array(np.where((flat >= 0) & (flat < len(table)), flat, len(table))))
+        data = memoryview(found.buffers()[2] or b"")
+        place = np.frombuffer(found.buffers()[1], np.int32)[found.offset:found.offset + len(found) + 1]
+        ends = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())))
+        cuts = place[ends].tolist() if len(place) else [0] * len(ends)
+        return [str(data[x:y], "utf-8", "replace") for x, y in zip(cuts, cuts[1:])]
+
+    return texts
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids, text`` of rows ``doc_id, ids``: what ``decode(ids,
     skip_special_tokens=False)`` gives; bytes that are no UTF-8 become U+FFFD.
     Each batch's ids are joined with the pieces by id; ids outside of the
     vocabulary are skipped, null lists are empty."""
     table = pieces(path or default_bpe())
-    joined = pa.array([*table, b""], pa.binary())
 
     def run(batches):
+        texts = _decoder(table)
         for b in batches:
-            ids = b.column(1)
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            known = np.where((flat >= 0) & (flat < len(table)), flat, len(table))
-            found = joined.take(pa.array(known))
-            data = memoryview(found.buffers()[2] or b"")
-            place = np.frombuffer(found.buffers()[1], np.int32)[found.offset:found.offset + len(found) + 1]
-            ends = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())))
-            cuts = place[ends].tolist() if len(place) else [0] * len(ends)
-            texts = [str(data[x:y], "utf-8", "replace") for x, y in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts(b.column(1)), pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digests(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256`` of rows ``doc_id, ids, text``, the
-    digest of the decimal ids joined by commas, and ``decoded_sha256``."""
-    size = len(pieces(path or default_bpe()))
+def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows ``doc_id, ids``:
+    digests of the decimal ids joined by commas and of the decoded text."""
+    table = pieces(path or default_bpe())
 
     def run(batches):
-        decimal = [str(k).encode() for k in range(size)]
+        texts, decimal = _decoder(table), [str(k).encode() for k in range(len(table))]
         for b in batches:
             n = b.column(1).value_lengths().fill_null(0).to_numpy()
             ends, flat = np.cumsum(n).tolist(), b.column(1).flatten().to_numpy(zero_copy_only=False)
             ids = [hashlib.sha256(b",".join([decimal[k] for k in flat[e - m:e].tolist()])).hexdigest() for e, m in zip(ends, n.tolist())]
-            texts = [hashlib.sha256(t.as_buffer() or b"").hexdigest() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)],
+            decoded = [hashlib.sha256(t.encode()).hexdigest() for t in texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return coded.select("doc_id", "ids", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
