@@ -129,13 +129,14 @@ def parse_questions(questions: DataFrame, text: str = "question") -> DataFrame:
 
 def answer_questions(questions: DataFrame, txns: DataFrame, notes: DataFrame | None = None,
                      window_days: int = DEFAULT_WINDOW_DAYS, as_of: str | Column | None = None,
-                     k: int = DEFAULT_K, dim: int = 256, embed=None) -> tuple[DataFrame, DataFrame | None]:
+                     k: int = DEFAULT_K, dim: int = 256, embed=None, retrieve: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Answer every question against its account's transactions.
 
     Returns ``(answers, hits)``. ``answers``: question_id, account_id,
     question, intent, answer, cite_scope, cite_category, n_citations,
     note_id, backend. ``hits``: the top-k retrieved notes per question (or
-    None without a note store).
+    None without a note store). The notes are searched once for both; with
+    ``retrieve=False`` only for the general questions' answers, without hits.
     """
     today = F.current_date() if as_of is None else (F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of)
     if "account_id" not in txns.columns:        # one ledger, whatever the questions say
@@ -151,11 +152,14 @@ def answer_questions(questions: DataFrame, txns: DataFrame, notes: DataFrame | N
     hits = None
     top = None
     if notes is not None:
-        hits = search_notes(notes, questions.select("question_id", "question"), k=k, dim=dim, embed=embed)
-        general = q.where(F.col("intent") == GENERAL_INTENT).select("question_id", "question")
-        top = search_notes(notes, general, k=1, dim=dim, embed=embed).select(
-            "question_id", F.col("id").alias("note_id"), F.col("text").alias("note_text"),
-            F.coalesce(F.element_at("metadata", F.lit("type")), F.lit("note")).alias("note_type"))
+        asked = questions if retrieve else q.where(F.col("intent") == GENERAL_INTENT)
+        found = search_notes(notes, asked.select("question_id", "question"), k=k if retrieve else 1, dim=dim, embed=embed)
+        hits = found if retrieve else None
+        # min_by, as a filter on the rank would make another search of it
+        best = F.min_by(F.struct("id", "text", "metadata"), "rank")
+        top = found.groupBy("question_id").agg(best.alias("n")).select(
+            "question_id", F.col("n.id").alias("note_id"), F.col("n.text").alias("note_text"),
+            F.coalesce(F.element_at("n.metadata", F.lit("type")), F.lit("note")).alias("note_type"))
 
     j = q.join(stats, "account_id", "left").join(acct_win, "account_id", "left") \
         .join(cat_win.withColumnRenamed("category", "asked_category"), ["account_id", "asked_category"], "left")

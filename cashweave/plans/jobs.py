@@ -23,12 +23,14 @@ from cashweave.operators.advisor import answer_questions, answer_records, answer
 from cashweave.operators.categorize import RULES_METHOD, categorize
 from cashweave.operators.dedup import deduplicate
 from cashweave.operators.forecast import LINEAR_METHOD, forecast_projection, forecast_summary
+from cashweave.operators.ledger_store import LedgerStore
 from cashweave.operators.model_batches import MODEL_METHOD, with_responses
 from cashweave.operators.normalize import canonical, rejects
-from cashweave.operators.notes import prepare_notes, upsert_notes
+from cashweave.operators.note_store import NoteStore
+from cashweave.operators.notes import prepare_notes
 from cashweave.operators.seasonal import SEASONAL_METHOD, seasonal_projection
 from cashweave.schema import IngestionError
-from cashweave.sinks.writers import ingest_report, observed, write_notes, write_table
+from cashweave.sinks.writers import ingest_report, observed, write_table
 from cashweave.sources.exports import newest_version, read_all, read_notes, read_transactions
 
 ORDER = ("file_ord", "row_ord")
@@ -97,12 +99,32 @@ def run_ledger_job(spark: SparkSession, sources: Sequence[str], starting_balance
 
 def add_notes(spark: SparkSession, store: str, notes: DataFrame, metadata: str | None = None, order_by: str | None = None) -> int:
     """Add notes (``text``, perhaps ``id``) to a stored note store as its next
-    version; returns the number of notes it has."""
+    run; returns the number of notes it has. A store of whole versions
+    (``write_notes``) becomes the first run."""
+    runs = NoteStore(spark, store)
+    if not runs.runs() and newest_version(spark, store):
+        runs.add(read_notes(spark, store).withColumnRenamed("seq", "pos"))
     accepted, _ = prepare_notes(notes, id_col="id" if "id" in notes.columns else None, metadata=metadata, order_by=order_by)
-    newest = newest_version(spark, store)
-    version = int(newest.rpartition("v=")[2]) + 1 if newest else 1
-    written = write_notes(upsert_notes(read_notes(spark, store) if newest else None, accepted), store, version)
-    return spark.read.parquet(written).count()
+    runs.add(accepted)
+    return runs.rows().count()
+
+
+def add_exports(spark: SparkSession, sources: Sequence[str], store: str, extra_key_cols: Sequence[str] = (), mask: bool = False,
+                rejects_out: str | None = None, **options) -> dict[str, DataFrame | int]:
+    """Ingest exports into a stored table that keeps each transaction once over
+    all ingests; ``added`` counts the rows that were new. ``options`` are those
+    of ``read_all``."""
+    every = read_all(spark, sources, keep=tuple(extra_key_cols), **options)
+    rows = canonical(every, (*ORDER, *extra_key_cols, *(["account_id"] if options.get("account_col") else [])))
+    if mask:
+        rows = rows.withColumn("description_masked", mask_pii("description"))
+    left_out = rejects(every, ORDER)
+    if rejects_out:
+        write_table(left_out.drop(*ORDER), rejects_out)
+    table = LedgerStore(spark, store, extra_key_cols=extra_key_cols)
+    number = table.append(rows, list(ORDER))
+    stored = table.read()
+    return {"transactions": stored, "batch": number, "added": stored.where(F.col("batch") == number).count(), "rejects": left_out}
 
 
 def ask(spark: SparkSession, transactions: str, questions: DataFrame, store: str | None = None, fmt: str = "parquet",
@@ -138,6 +160,8 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--single-line-csv", action="store_true")
         c.add_argument("--on-error", choices=["fail", "skip"], default="fail")
         c.add_argument("--rejects-out")
+        if name == "ingest":
+            c.add_argument("--append", action="store_true", help="keep what --out holds and add what is new")
         if name == "run":
             c.add_argument("--starting-balance", type=float, default=0.0)
             c.add_argument("--horizon", type=int, default=90)
@@ -165,7 +189,11 @@ def main(argv: list[str] | None = None) -> int:
             options = dict(mask=args.mask_pii, source=args.source, account_col=args.account_column,
                            date_formats=args.date_format, multiline_csv=not args.single_line_csv,
                            on_error=args.on_error, rejects_out=args.rejects_out)
-        if args.cmd == "ingest":
+        if args.cmd == "ingest" and args.append:
+            if args.format != "parquet":
+                raise ValueError("--append needs parquet")
+            print(f"{add_exports(spark, args.inputs, args.out, **options)['added']} rows added")
+        elif args.cmd == "ingest":
             res = ingest(spark, args.inputs, out=args.out, fmt=args.format, **options)
             res["dedup"].show(truncate=False)
         elif args.cmd == "run":

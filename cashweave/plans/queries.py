@@ -373,6 +373,34 @@ def q_dedup_counts(spark, sf_dir):
     return dedup_ops.duplicate_count(_dedup_input(spark, sf_dir))
 
 
+STORED_BATCHES = 3
+
+
+@register("dedup_against_stored", f"""
+WITH l AS (SELECT account_id, row_ord, {sq.content_hash('transaction_date', 'amount', "'part ' || CAST(row_ord // 4 AS VARCHAR)")} AS raw_hash,
+                  unnest(CASE WHEN row_ord % 4 = 0 THEN [0, 1, 2] WHEN row_ord % 4 = 1 THEN [1, 2] ELSE [row_ord % 4 - 2, 2] END) AS batch
+           FROM ({ORDERS_LEDGER_SQL}) o),
+f AS (SELECT *, row_number() OVER (PARTITION BY account_id, raw_hash ORDER BY batch, row_ord) AS rn FROM l)
+SELECT CAST(account_id AS VARCHAR) AS account_id, raw_hash, row_ord, CAST(batch AS BIGINT) AS batch FROM f WHERE rn = 1
+""")
+def q_dedup_against_stored(spark, sf_dir):
+    """Overlapping batches of the orders ledger appended one after another to a
+    stored table; each row is kept in the first batch that has it."""
+    import uuid
+
+    from cashweave.operators.ledger_store import LedgerStore
+    from cashweave.session import ensure_checkpoint_dir
+    store = LedgerStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}", buckets=8)
+    raw = orders_ledger(spark, sf_dir).withColumn("description", F.concat(F.lit("part "), F.floor(F.col("row_ord") / 4).cast("string")))
+    rows = normalize(raw, source="orders", keep=("account_id", "row_ord"))
+    kind, third = F.pmod("row_ord", F.lit(4)), F.lit(STORED_BATCHES - 1)
+    batches = F.when(kind == 0, F.array(F.lit(0), F.lit(1), third)).when(kind == 1, F.array(F.lit(1), third)) \
+        .otherwise(F.array((kind - 2).cast("int"), third))
+    for b in range(STORED_BATCHES):
+        store.append(rows.where(F.array_contains(batches, b)), ["row_ord"])
+    return store.read().select(F.col("account_id").cast("string").alias("account_id"), "raw_hash", "row_ord", "batch")
+
+
 # ---------------------------------------------------------------------------
 # Categorizer
 # ---------------------------------------------------------------------------
@@ -627,6 +655,40 @@ def q_note_upsert(spark, sf_dir):
                     F.col("metadata")["type"].alias("type"), F.length("text").cast("long").alias("text_len"))
 
 
+NOTE_BATCHES = 5
+
+
+@register("note_store_replace", f"""
+WITH d AS (SELECT 'note-' || CAST(doc_id // 7 AS VARCHAR) AS id, doc_id % {NOTE_BATCHES} AS batch, doc_id, source, text,
+                  row_number() OVER (PARTITION BY doc_id // 7 ORDER BY doc_id % {NOTE_BATCHES} DESC, doc_id DESC) AS rn
+           FROM documents WHERE text IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
+w AS (SELECT * FROM d WHERE rn = 1),
+c AS ({sq.token_counts('w', 'doc_id', 'text')}),
+n AS (SELECT k, CAST(sum(cnt * cnt) AS BIGINT) AS sumsq, CAST(count(*) AS INTEGER) AS buckets FROM c GROUP BY 1)
+SELECT w.id, CAST(w.doc_id AS VARCHAR) AS doc_id, w.source AS type, length(regexp_replace(w.text, '^\\s+|\\s+$', '', 'g')) AS text_len,
+       coalesce(n.sumsq, 0) AS sumsq, coalesce(n.buckets, 0) AS buckets
+FROM w LEFT JOIN n ON n.k = w.doc_id
+""")
+def q_note_store_replace(spark, sf_dir):
+    """All documents in batches that replace notes of one another, written as
+    runs, merged in pairs and read back with their stored vectors."""
+    import uuid
+
+    from cashweave.operators.note_store import NoteStore
+    from cashweave.operators.notes import prepare_notes
+    from cashweave.session import ensure_checkpoint_dir
+    store = NoteStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/notes-{uuid.uuid4().hex}", fanout=2)
+    d = table(spark, sf_dir, "documents")
+    ident = F.concat(F.lit("note-"), F.floor(F.col("doc_id") / 7).cast("string"))
+    meta = F.create_map(F.lit("type"), F.col("source"), F.lit("doc_id"), F.col("doc_id").cast("string"))
+    for b in range(NOTE_BATCHES):
+        batch = d.where(F.pmod("doc_id", F.lit(NOTE_BATCHES)) == b).withColumn("id", ident)
+        store.add(prepare_notes(batch, id_col="id", metadata=meta, order_by="doc_id")[0])
+    m = F.col("metadata")
+    return store.read().select("id", m["doc_id"].alias("doc_id"), m["type"].alias("type"), F.length("text").cast("long").alias("text_len"),
+                               F.col("embedding.sumsq").alias("sumsq"), F.size("embedding.idx").alias("buckets"))
+
+
 @register("note_count", f"SELECT count(*) AS notes FROM ({NOTES_SQL}) n")
 def q_note_count(spark, sf_dir):
     from cashweave.operators.notes import note_count
@@ -898,15 +960,15 @@ FROM b
 """
 
 
-def _answers(spark: SparkSession, sf_dir: str):
+def _answers(spark: SparkSession, sf_dir: str, retrieve: bool = True):
     from cashweave.operators.advisor import answer_questions
     return answer_questions(customer_questions(spark, sf_dir), _qa_txns(spark, sf_dir),
-                            notes=document_notes(spark, sf_dir), as_of=AS_OF)
+                            notes=document_notes(spark, sf_dir), as_of=AS_OF, retrieve=retrieve)
 
 
 @register("answers", ANSWERS_SQL)
 def q_answers(spark, sf_dir):
-    answers, _ = _answers(spark, sf_dir)
+    answers, _ = _answers(spark, sf_dir, retrieve=False)
     return answers
 
 
@@ -932,7 +994,7 @@ SELECT question_id, note_id, CAST(NULL AS BIGINT) FROM a WHERE cite_scope = 'not
 """)
 def q_answer_citations_first3(spark, sf_dir):
     from cashweave.operators.advisor import answer_citations, citation_sets
-    answers, _ = _answers(spark, sf_dir)
+    answers, _ = _answers(spark, sf_dir, retrieve=False)
     return answer_citations(answers, citation_sets(_qa_txns(spark, sf_dir)), first_n=3)
 
 
@@ -946,7 +1008,7 @@ SELECT question_id, note_id, CAST(NULL AS BIGINT) FROM a WHERE cite_scope = 'not
 """)
 def q_answer_citations(spark, sf_dir):
     from cashweave.operators.advisor import answer_citations, citation_sets
-    answers, _ = _answers(spark, sf_dir)
+    answers, _ = _answers(spark, sf_dir, retrieve=False)
     return answer_citations(answers, citation_sets(_qa_txns(spark, sf_dir)))
 
 

@@ -192,14 +192,19 @@ def newest_version(spark: SparkSession, base_path: str) -> str | None:
 
 
 def read_notes(spark: SparkSession, path: str, fmt: str = "parquet", dim: int = 256, embed=None) -> DataFrame:
-    """Load a note store (S6), the newest version of it if it has versions.
+    """Load a note store (S6): its runs (``NoteStore``), else the newest version
+    of it if it has versions, else the one table.
 
     A missing store is an empty one, and so is the part of a JSON store that
     is no JSON; errors of the storage itself are raised. Embeddings are
-    derived data: they are recomputed from the text with the current embedder,
-    so a store written with another width still scores (Q22).
+    derived data: without stored vectors of this embedder they are recomputed
+    from the text, so a store written with another width still scores (Q22).
     """
     from cashweave.functions.embeddings import with_embedding
+    from cashweave.operators.note_store import NoteStore
+    runs = NoteStore(spark, path, dim=dim, embed=embed)
+    if runs.runs():
+        return runs.read()
     embed = embed or (lambda df, text, out: with_embedding(df, text, out, dim))
     empty = spark.createDataFrame([], NOTE_SCHEMA).drop("embedding")
     if not _fs_exists(spark, path):
