@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cashweave.llm.common import stored
+from cashweave.llm.common import arrow_records, stored
 
+ARROW_ROWS = 500           # documents handed to Python at a time, with some 8 bytes of links for each token
 BATCH_CHARS = 500_000      # characters of text per frame; a longer text is a frame of its own
 CACHE_WORDS = 150_000      # entries of each of the cache's two generations; the older one goes when the newer is full
 CACHE_WORD_CHARS = 40      # longer words are encoded without being remembered
@@ -317,6 +318,7 @@ def alignment(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
 
     path_a = path_a or public_tokenizers.path("byte_bpe_50k.json")
     path_b = path_b or public_tokenizers.path("piece_bpe_32k.model")
-    aligned = stored(align(docs, path_a, path_b), "aligned")
-    pairs = stored(pair_counts(aligned, len(sides(path_a, path_b).bytes_b)), "pairs")
-    return link_statistics(aligned, pairs, pair_bound(path_a, path_b))
+    with arrow_records(docs.sparkSession, ARROW_ROWS):
+        aligned = stored(align(docs, path_a, path_b), "aligned")
+        pairs = stored(pair_counts(aligned, len(sides(path_a, path_b).bytes_b)), "pairs")
+        return stored(link_statistics(aligned, pairs, pair_bound(path_a, path_b)), "alignment")
