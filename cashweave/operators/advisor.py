@@ -127,9 +127,10 @@ def parse_questions(questions: DataFrame, text: str = "question") -> DataFrame:
         .withColumn("asked_category", question_category(text))
 
 
-def answer_questions(questions: DataFrame, txns: DataFrame, notes: DataFrame | None = None,
+def answer_questions(questions: DataFrame, txns: DataFrame | None, notes: DataFrame | None = None,
                      window_days: int = DEFAULT_WINDOW_DAYS, as_of: str | Column | None = None,
-                     k: int = DEFAULT_K, dim: int = 256, embed=None, retrieve: bool = True) -> tuple[DataFrame, DataFrame | None]:
+                     k: int = DEFAULT_K, dim: int = 256, embed=None, retrieve: bool = True,
+                     facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Answer every question against its account's transactions.
 
     Returns ``(answers, hits)``. ``answers``: question_id, account_id,
@@ -137,14 +138,16 @@ def answer_questions(questions: DataFrame, txns: DataFrame, notes: DataFrame | N
     note_id, backend. ``hits``: the top-k retrieved notes per question (or
     None without a note store). The notes are searched once for both; with
     ``retrieve=False`` only for the general questions' answers, without hits.
+    ``facts`` are the ``ledger_facts`` of the transactions, if they are kept
+    (``FactStore``); then no transactions are read.
     """
     today = F.current_date() if as_of is None else (F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of)
-    if "account_id" not in txns.columns:        # one ledger, whatever the questions say
+    if "account_id" not in (txns if facts is None else facts).columns:        # one ledger, whatever the questions say
         questions = questions.drop("account_id")
     questions = with_account(questions)
     q = parse_questions(questions)
 
-    facts = ledger_facts(txns)
+    facts = ledger_facts(txns) if facts is None else with_account(facts)
     daily = facts.groupBy("account_id", "date").agg(F.sum("net").alias("net"))
     stats = fc.stats_from_daily(daily)
     acct_win, cat_win = window_from_facts(facts, window_days)

@@ -22,6 +22,7 @@ from cashweave.functions.pii import mask_pii
 from cashweave.operators.advisor import answer_questions, answer_records, answers_json, citation_chunks, citation_sets
 from cashweave.operators.categorize import RULES_METHOD, categorize
 from cashweave.operators.dedup import deduplicate
+from cashweave.operators.fact_store import FactStore
 from cashweave.operators.forecast import LINEAR_METHOD, forecast_projection, forecast_summary
 from cashweave.operators.ledger_store import LedgerStore
 from cashweave.operators.model_batches import MODEL_METHOD, with_responses
@@ -127,6 +128,17 @@ def add_exports(spark: SparkSession, sources: Sequence[str], store: str, extra_k
     return {"transactions": stored, "batch": number, "added": stored.where(F.col("batch") == number).count(), "rejects": left_out}
 
 
+def keep_facts(spark: SparkSession, store: str, facts: str, lexicon=None) -> DataFrame:
+    """Bring the daily facts in ``facts`` up to what ``add_exports`` added to
+    ``store``; only months with new transactions are categorized and summed."""
+    kept = FactStore(spark, facts)
+    ledger = LedgerStore(spark, store).read()
+    if ledger is None:
+        raise IngestionError(f"There is no table in {store}")
+    kept.update(ledger, lambda rows: categorize(rows, lexicon=lexicon))
+    return kept.read()
+
+
 def ask(spark: SparkSession, transactions: str, questions: DataFrame, store: str | None = None, fmt: str = "parquet",
         as_of: str | None = None, citations: str | None = None) -> DataFrame:
     """Answer questions about stored transactions, with the stored notes: the

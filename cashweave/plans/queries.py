@@ -1015,6 +1015,24 @@ def q_answer_citations(spark, sf_dir):
 NO_NOTES_SQL = ANSWERS_SQL.replace("WHERE rank = 1) tn", "WHERE rank = 0) tn")
 
 
+@register("answers_from_facts", NO_NOTES_SQL)
+def q_answers_from_facts(spark, sf_dir):
+    """The questions answered from facts that were kept up to date while the
+    orders ledger grew by thirds of its days."""
+    import uuid
+
+    from cashweave.operators.advisor import answer_questions
+    from cashweave.operators.fact_store import FactStore
+    from cashweave.session import ensure_checkpoint_dir
+    store = FactStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/facts-{uuid.uuid4().hex}")
+    third = F.pmod(F.dayofyear("transaction_date"), F.lit(3)).cast("long")
+    ledger = canonical_orders(spark, sf_dir).withColumn("batch", third)
+    for b in range(3):
+        store.update(ledger.where(F.col("batch") <= b), cat_ops.categorize)
+    answers, _ = answer_questions(customer_questions(spark, sf_dir), None, as_of=AS_OF, facts=store.read())
+    return answers
+
+
 @register("answers_json", f"""
 WITH a AS ({NO_NOTES_SQL}),
 c AS (SELECT a.question_id, string_agg('"' || h.raw_hash || '"', ',' ORDER BY h.pos) AS ids

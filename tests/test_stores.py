@@ -6,10 +6,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cashweave.operators.advisor import ledger_facts
+from cashweave.operators.categorize import categorize
+from cashweave.operators.fact_store import FactStore
 from cashweave.operators.ledger_store import LedgerStore
 from cashweave.operators.note_store import NoteStore, Run, complete_runs, live_runs
 from cashweave.operators.notes import prepare_notes, search_notes, upsert_notes
-from cashweave.plans.jobs import add_exports, add_notes
+from cashweave.plans.jobs import add_exports, add_notes, keep_facts
 from cashweave.schema import IngestionError
 from cashweave.sinks.writers import write_notes
 from cashweave.sources.exports import read_notes
@@ -156,3 +159,28 @@ def test_the_stored_side_is_not_shuffled(spark, tmp_path):
     assert "SelectedBucketsCount: 4 out of 4" in right and re.search(r"ReadSchema: struct<row_key:string>", right)
     # one exchange for keep-first, one by key; none above the table's scan
     assert plan.count("Exchange") == 2
+
+
+def _facts(df):
+    return sorted((r.account_id, str(r.date), r.category, r.net, r.rows) for r in df.collect())
+
+
+def test_facts_follow_the_ledger_month_by_month(spark, tmp_path):
+    one = _csv(tmp_path, "one.csv", ["2031-04-30,-1,uber", "2031-05-01,-2,uber", "2031-07-01,5,salary"])
+    two = _csv(tmp_path, "two.csv", ["2031-05-01,-2,uber", "2031-05-31,-3,rent", "2031-05-01,-4,uber"])
+    store, path = str(tmp_path / "store"), str(tmp_path / "facts")
+    add_exports(spark, [one], store)
+    keep_facts(spark, store, path)
+    files = lambda: {p.parent.name: p.name for p in (tmp_path / "facts" / "facts").glob("month=*/*.parquet")}
+    before = files()
+    assert set(before) == {"month=203104", "month=203105", "month=203107"}
+    add_exports(spark, [two], store)
+    kept = keep_facts(spark, store, path)
+    after = files()
+    assert {m for m in after if after[m] != before[m]} == {"month=203105"}
+    held = _facts(kept)
+    assert held == _facts(ledger_facts(categorize(LedgerStore(spark, store).read())))
+    assert _facts(keep_facts(spark, store, path)) == held and files() == after
+    # the number of the batch is written last: without it the update is repeated
+    FactStore(spark, path).update(LedgerStore(spark, store).read(), categorize, everything=True)
+    assert _facts(FactStore(spark, path).read()) == held
