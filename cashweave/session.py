@@ -45,8 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator of the cluster sets it to a shared folder and we
-    only read it. Only when it is unset (local tests) do we point it at a
-    fresh scratch folder.
+    only read it; without it we refuse to go on, since the driver's own disk
+    is not seen by executors. Only under a local master (tests) do we point it
+    at a fresh scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -56,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="cashweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     return path
