@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from cashweave.functions.pii import mask_pii
 from cashweave.operators.advisor import answer_questions, answer_records, answers_json, citation_chunks, citation_sets
 from cashweave.operators.categorize import RULES_METHOD, categorize
+from cashweave.operators.change_points import CHANGING_METHOD, changing_trend_projection
 from cashweave.operators.dedup import deduplicate
 from cashweave.operators.fact_store import FactStore
 from cashweave.operators.forecast import LINEAR_METHOD, forecast_projection, forecast_summary
@@ -35,6 +36,7 @@ from cashweave.sinks.writers import ingest_report, observed, write_table
 from cashweave.sources.exports import newest_version, read_all, read_notes, read_transactions
 
 ORDER = ("file_ord", "row_ord")
+FORECASTERS = (LINEAR_METHOD, SEASONAL_METHOD, CHANGING_METHOD)
 
 
 def ingest(spark: SparkSession, sources: Sequence[str], out: str | None = None, mask: bool = False,
@@ -74,10 +76,10 @@ def run_ledger_job(spark: SparkSession, sources: Sequence[str], starting_balance
     """Load -> union -> dedup -> categorize -> forecast.
 
     ``categorizer="model"`` merges ``responses`` to the request batches over
-    the rules (H5); ``forecaster`` is linear or weekly_seasonal. ``options``
-    are those of ``ingest``.
+    the rules (H5); ``forecaster`` is linear, weekly_seasonal or
+    changing_trend. ``options`` are those of ``ingest``.
     """
-    if categorizer not in (RULES_METHOD, MODEL_METHOD) or forecaster not in (LINEAR_METHOD, SEASONAL_METHOD):
+    if categorizer not in (RULES_METHOD, MODEL_METHOD) or forecaster not in FORECASTERS:
         raise ValueError(f"no such method: {categorizer} / {forecaster}")
     if categorizer == MODEL_METHOD and responses is None:
         categorizer = RULES_METHOD              # as without a model: the rules answer
@@ -89,8 +91,11 @@ def run_ledger_job(spark: SparkSession, sources: Sequence[str], starting_balance
         write_table(txns, f"{out}/transactions_categorized", fmt=fmt)
         txns = read_transactions(spark, f"{out}/transactions_categorized", fmt=fmt)
     summary = forecast_summary(txns, starting_balance, horizon_days=horizon_days, as_of=as_of)
-    projection = forecast_projection(summary) if forecaster == LINEAR_METHOD \
-        else seasonal_projection(txns, starting_balance, horizon_days)
+    if forecaster == LINEAR_METHOD:
+        projection = forecast_projection(summary)
+    else:
+        fitted = seasonal_projection if forecaster == SEASONAL_METHOD else changing_trend_projection
+        projection = fitted(txns, starting_balance, horizon_days)
     if out:
         write_table(summary, f"{out}/forecast_summary", fmt=fmt)
         write_table(projection, f"{out}/forecast", fmt=fmt)
@@ -140,10 +145,12 @@ def keep_facts(spark: SparkSession, store: str, facts: str, lexicon=None) -> Dat
 
 
 def ask(spark: SparkSession, transactions: str, questions: DataFrame, store: str | None = None, fmt: str = "parquet",
-        as_of: str | None = None, citations: str | None = None) -> DataFrame:
+        as_of: str | None = None, citations: str | None = None, list_ids: bool = False) -> DataFrame:
     """Answer questions about stored transactions, with the stored notes: the
-    JSON record of each, with all its citations. With a folder ``citations``
-    each citation set is written there once, in chunks, and records refer to it."""
+    JSON record of each, of bounded size, which names its citation set and the
+    number of ids in it. With a folder ``citations`` each set is written there
+    once, in chunks. ``list_ids`` lists all ids in the record instead, which for
+    a busy account is one large row."""
     txns = read_transactions(spark, transactions, fmt=fmt)
     if "category" not in txns.columns or txns.where(F.col("category").isNull()).limit(1).count():
         txns = categorize(txns)
@@ -153,8 +160,14 @@ def ask(spark: SparkSession, transactions: str, questions: DataFrame, store: str
     sets = citation_sets(txns, pos_col=pos)
     if citations is not None:
         write_table(citation_chunks(sets), citations, fmt="parquet")
-        return answer_records(answers, hits)
-    return answers_json(answers, hits, sets)
+    return answers_json(answers, hits, sets) if list_ids else answer_records(answers, hits)
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Replies to the request batches: JSON lines of ``batch_id``, ``response``
+    and, where there are several ledgers, ``account_id``."""
+    replies = spark.read.schema("account_id string, batch_id long, response string").json(path)
+    return replies.withColumn("account_id", F.coalesce("account_id", F.lit("0")))
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -177,7 +190,9 @@ def _parser() -> argparse.ArgumentParser:
         if name == "run":
             c.add_argument("--starting-balance", type=float, default=0.0)
             c.add_argument("--horizon", type=int, default=90)
-            c.add_argument("--forecaster", choices=[LINEAR_METHOD, SEASONAL_METHOD], default=LINEAR_METHOD)
+            c.add_argument("--forecaster", choices=FORECASTERS, default=LINEAR_METHOD)
+            c.add_argument("--categorizer", choices=[RULES_METHOD, MODEL_METHOD], default=RULES_METHOD)
+            c.add_argument("--responses", help="folder of the model's replies, JSON lines")
     note = sub.add_parser("note")
     note.add_argument("--text", required=True)
     note.add_argument("--type", default="note")
@@ -190,6 +205,7 @@ def _parser() -> argparse.ArgumentParser:
     q.add_argument("--starting-balance", type=float, default=0.0)
     q.add_argument("--store")
     q.add_argument("--citations")
+    q.add_argument("--list-ids", action="store_true")
     return p
 
 
@@ -210,7 +226,8 @@ def main(argv: list[str] | None = None) -> int:
             res["dedup"].show(truncate=False)
         elif args.cmd == "run":
             res = run_ledger_job(spark, args.inputs, args.starting_balance, args.horizon, out=args.out, fmt=args.format,
-                                 forecaster=args.forecaster, **options)
+                                 forecaster=args.forecaster, categorizer=args.categorizer,
+                                 responses=read_responses(spark, args.responses) if args.responses else None, **options)
             res["forecast"].select("account_id", "summary").show(truncate=False)
         elif args.cmd == "note":
             row = spark.createDataFrame([(args.text, {"type": args.type, "priority": args.priority})],
@@ -219,7 +236,8 @@ def main(argv: list[str] | None = None) -> int:
         else:
             asked = spark.createDataFrame([(1, args.question, args.starting_balance)],
                                           "question_id long, question string, starting_balance double")
-            print(ask(spark, args.transactions, asked, args.store, args.format, citations=args.citations).first()["json"])
+            print(ask(spark, args.transactions, asked, args.store, args.format, citations=args.citations,
+                      list_ids=args.list_ids).first()["json"])
     except (IngestionError, ValueError) as e:
         print(f"[error] {e}", file=sys.stderr)
         return 2

@@ -1051,6 +1051,24 @@ def q_answers_json(spark, sf_dir):
     return answers_json(answers, None, citation_sets(t))
 
 
+@register("answer_records", f"""
+WITH a AS ({ANSWERS_SQL}),
+h AS (WITH {_notes_top1_sql(QUESTIONS_SQL)}
+      SELECT question_id, string_agg('{{"id":"' || note_id || '","score":' || CAST(round(score, 3) AS VARCHAR)
+             || ',"text":' || CAST(to_json(note_text) AS VARCHAR) || '}}', ',' ORDER BY rank) AS found FROM topn GROUP BY 1)
+SELECT a.question_id, '{{"question":' || CAST(to_json(a.question) AS VARCHAR) || ',"answer":' || CAST(to_json(a.answer) AS VARCHAR)
+       || ',"citations":{{"account_id":' || CAST(a.account_id AS VARCHAR) || coalesce(',"scope":"' || a.cite_scope || '"', '')
+       || coalesce(',"category":"' || a.cite_category || '"', '') || coalesce(',"note_id":"' || a.note_id || '"', '')
+       || ',"count":' || CAST(a.n_citations AS VARCHAR) || '}},"retrieved_notes":[' || coalesce(h.found, '') || '],"intent":"'
+       || a.intent || '","backend":"' || a.backend || '"}}' AS json
+FROM a LEFT JOIN h ON h.question_id = a.question_id
+""")
+def q_answer_records(spark, sf_dir):
+    """The record of every question with its notes; citations by their set."""
+    from cashweave.operators.advisor import answer_records
+    return answer_records(*_answers(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # Reports
 # ---------------------------------------------------------------------------
@@ -1293,3 +1311,75 @@ def q_transaction_records(spark, sf_dir):
 def q_model_request_rows(spark, sf_dir):
     rows, _ = _model_rows(spark, sf_dir)
     return rows
+
+
+# ---------------------------------------------------------------------------
+# Trend with change points
+# ---------------------------------------------------------------------------
+
+CUT_DAYS, CUT_MOST, CUT_PENALTY = 7, 4, 3.0
+# short lines through cents often end in a 5 at the fifth decimal, where the last bit would decide
+OFF_TIES = 0.0000123
+
+
+def _cuts_sql() -> str:
+    """CTEs up to ``seg``: the days of the events ledger with the number and
+    the line of their segment. Layer k holds the best k segments of each prefix."""
+    layers = "".join(f""",
+p{k} AS (SELECT p.account_id, c.j, p.err + c.err AS err, list_append(p.cuts, c.i) AS cuts,
+                row_number() OVER (PARTITION BY p.account_id, c.j ORDER BY p.err + c.err, c.i) AS rn
+         FROM l{k - 1} p JOIN c ON c.account_id = p.account_id AND c.i = p.j),
+l{k} AS (SELECT account_id, j, err, cuts FROM p{k} WHERE rn = 1)""" for k in range(2, CUT_MOST + 1))
+    ends = " UNION ALL ".join(
+        f"SELECT {k} AS k, l{k}.*, n.n FROM l{k} JOIN n ON n.account_id = l{k}.account_id AND n.n = l{k}.j" for k in range(1, CUT_MOST + 1))
+    return f"""
+f AS ({DAILY_FILLED_SQL}), sb AS ({CUSTOMER_BALANCES_SQL}),
+b AS (SELECT f.account_id, f.date, row_number() OVER (PARTITION BY f.account_id ORDER BY f.date) - 1 AS t,
+             coalesce(sb.starting_balance, 0) + sum(CAST(f.net AS DOUBLE)) OVER
+               (PARTITION BY f.account_id ORDER BY f.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance
+      FROM f LEFT JOIN sb ON sb.account_id = f.account_id),
+n AS (SELECT account_id, count(*) AS n FROM b GROUP BY 1),
+edge AS (SELECT account_id, t AS i, n FROM b JOIN n USING (account_id) WHERE t = 0 OR t >= {CUT_DAYS}),
+span AS (SELECT a.account_id, a.i, z.t + 1 AS j FROM edge a JOIN b z ON z.account_id = a.account_id
+         WHERE z.t + 1 - a.i >= {CUT_DAYS} OR (a.i = 0 AND z.t + 1 = a.n)),
+c AS (SELECT s.account_id, s.i, s.j,
+             greatest(coalesce(regr_syy(b.balance, b.t) - CASE WHEN regr_sxx(b.balance, b.t) > 0
+                      THEN pow(regr_sxy(b.balance, b.t), 2) / regr_sxx(b.balance, b.t) ELSE 0 END, 0), 0) AS err
+      FROM span s JOIN b ON b.account_id = s.account_id AND b.t >= s.i AND b.t < s.j GROUP BY 1, 2, 3),
+l1 AS (SELECT account_id, j, err, [i] AS cuts FROM c WHERE i = 0){layers},
+choice AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY
+                    n * ln(err / n + 0.0001) + {CUT_PENALTY} * k * ln(n), k) AS rn FROM ({ends}) e),
+num AS (SELECT b.*, len(list_filter(choice.cuts, lambda x: x <= b.t)) AS segment
+        FROM b JOIN choice ON choice.account_id = b.account_id AND choice.rn = 1),
+line AS (SELECT account_id, segment, coalesce(regr_slope(balance, t), 0) AS slope,
+                coalesce(regr_intercept(balance, t), avg(balance)) AS intercept FROM num GROUP BY 1, 2),
+seg AS (SELECT num.*, slope, intercept, balance - intercept - slope * t AS off FROM num JOIN line USING (account_id, segment))"""
+
+
+@register("trend_segments", f"""
+WITH {_cuts_sql()}
+SELECT account_id, CAST(segment AS BIGINT) AS segment, min(date) AS first_date, max(date) AS last_date, count(*) AS n_days,
+       round(any_value(slope), 4) AS slope, round(any_value(intercept), 4) AS intercept, round(sum(off * off), 2) AS error
+FROM seg GROUP BY 1, 2
+""")
+def q_trend_segments(spark, sf_dir):
+    from cashweave.operators.change_points import trend_segments
+    s = trend_segments(events_ledger(spark, sf_dir), customer_balances(spark, sf_dir), CUT_MOST, CUT_DAYS, CUT_PENALTY)
+    return s.select("account_id", "segment", "first_date", "last_date", "n_days", F.round("slope", 4).alias("slope"),
+                    F.round("intercept", 4).alias("intercept"), F.round("error", 2).alias("error"))
+
+
+@register("changing_trend_projection", f"""
+WITH {_cuts_sql()},
+last AS (SELECT account_id, max(date) AS d1, max(t) AS t1, arg_max(slope, t) AS slope, arg_max(intercept, t) AS intercept FROM seg GROUP BY 1),
+eff AS (SELECT account_id, dayofweek(date) AS dow, avg(off) AS effect FROM seg GROUP BY 1, 2),
+p AS (SELECT last.*, g.i AS day_no, CAST(d1 + CAST(g.i AS INTEGER) AS DATE) AS date
+      FROM last, (SELECT unnest(generate_series(1, 30)) AS i) g)
+SELECT p.account_id, p.day_no, p.date, round(p.intercept + p.slope * (p.t1 + p.day_no) + coalesce(eff.effect, 0) + {OFF_TIES}, 4) AS projected_balance
+FROM p LEFT JOIN eff ON eff.account_id = p.account_id AND eff.dow = dayofweek(p.date)
+""")
+def q_changing_trend_projection(spark, sf_dir):
+    from cashweave.operators.change_points import changing_trend_projection
+    p = changing_trend_projection(events_ledger(spark, sf_dir), customer_balances(spark, sf_dir), 30, CUT_MOST, CUT_DAYS, CUT_PENALTY)
+    return p.select("account_id", F.col("day_no").cast("long").alias("day_no"), "date",
+                    F.round(F.col("projected_balance") + OFF_TIES, 4).alias("projected_balance"))

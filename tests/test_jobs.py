@@ -69,6 +69,8 @@ def test_methods_can_be_chosen(spark, samples):
     got = res["transactions"].collect()
     assert res["categorizer_backend"] == "model" and len(got) == 7 and sum(r.category == "Travel" for r in got) == 1
     assert run_ledger_job(spark, [samples["card"]], categorizer="model")["categorizer_backend"] == "rules"
+    res = run_ledger_job(spark, [samples["card"]], horizon_days=7, forecaster="changing_trend")
+    assert res["forecaster_backend"] == "changing_trend" and res["projection"].count() == 7
     with pytest.raises(ValueError):
         run_ledger_job(spark, [samples["card"]], forecaster="guess")
 
@@ -99,6 +101,19 @@ def test_the_job_runs_as_a_process_from_another_folder(samples, tmp_path):
     record = json.loads(asked.stdout.strip().splitlines()[-1])
     assert record["intent"] == "general" and record["retrieved_notes"][0]["text"] == "Marketing gets more money in autumn"
     assert job("ingest", "nothing.csv", "--out", out).returncode == 2
+    asked = job("ask", "How long is my runway?", "--transactions", out)
+    cited = json.loads(asked.stdout.strip().splitlines()[-1])["citations"]
+    assert "ids" not in cited and cited["scope"] == "window" and cited["count"] == 12
+    listed = job("ask", "How long is my runway?", "--transactions", out, "--list-ids")
+    assert len(json.loads(listed.stdout.strip().splitlines()[-1])["citations"]["ids"]) == 12
+    replies = tmp_path / "replies.json"
+    replies.write_text(json.dumps({"batch_id": 0, "response": '[{"index": 0, "category": "Travel", "confidence": 1}]'}) + "\n")
+    done = job("run", samples["card"], "--out", str(tmp_path / "run"), "--categorizer", "model", "--responses", str(replies), "--format", "csv",
+               "--forecaster", "changing_trend")
+    assert done.returncode == 0, done.stderr[-2000:]
+    import pandas as pd
+    rows = pd.concat(pd.read_csv(p) for p in (tmp_path / "run" / "transactions_categorized").glob("*.csv"))
+    assert sorted(rows.category) == ["Travel"] + ["Uncategorized"] * 6
 
 
 def test_the_model_method_keeps_rows_of_several_ledgers(spark, tmp_path):
