@@ -7,18 +7,30 @@ input. See the operators for nulls, ties, repeated rows and empty tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashweave.llm import decontaminate, language_id, line_dedup, packing, simhash
 from cashweave.llm.common import scratch_dir, table
 
+LEAST_SCORE = 0.5
+
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are in no language (null text, no letter) go. Others stay,
-    also if there are no labelled rows to learn languages from."""
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: Sequence[str] | None = None,
+                      least_score: float = LEAST_SCORE) -> DataFrame:
+    """Documents in a language stay: those whose predicted language has a score
+    of ``least_score`` or more, so is likelier than all others together, and is
+    one of ``languages``, if they are given. Null texts and texts without a
+    letter are in none. Where no language could be learned (no labelled rows),
+    every text with a letter stays. Repeated rows are judged alike."""
     letters = F.coalesce(F.col("doc.text").rlike(r"\p{L}"), F.lit(False))
-    return language_id.identify(docs).filter((F.col("lang_pred") != language_id.UNKNOWN) | letters).select("doc.*")
+    lang = F.col("lang_pred")
+    wanted = F.lit(True) if languages is None else lang.isin(*languages)
+    # a text with letters is unknown only if there are no languages
+    stays = F.when(lang == language_id.UNKNOWN, letters).otherwise((F.col("score") >= least_score) & wanted)
+    return language_id.identify(docs).filter(stays).select("doc.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
