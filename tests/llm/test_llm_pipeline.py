@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cashweave.llm import language_id
 from cashweave.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +21,8 @@ def test_stages_match_brute_force(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
         if name == "language_id":
-            want = {i: t for i, t in rows.items() if t and any(c.isalpha() for c in t)}
+            scores = {r.doc.doc_id: r.score for r in language_id.identify(docs).collect()}
+            want = {i: t for i, t in rows.items() if t and any(c.isalpha() for c in t) and scores[i] >= 0.5}
         elif name == "line_dedup":
             want = {i: v[2] for i, v in brute.drop_lines(rows.items()).items()}
         elif name == "simhash_near_dedup":
@@ -51,8 +54,25 @@ def test_documents_stay_if_no_language_can_be_learned(spark):
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()} == {1, 4}
 
 
+def test_the_prediction_decides_which_documents_stay(spark, monkeypatch):
+    """Three labels of one text leave it a third each, which is no language."""
+    texts = {"en": "the plain words of a page", "fr": "où est la bibliothèque", **dict.fromkeys(("xx", "yy", "zz"), "dddd eeee dddd")}
+    rows = [(10 * k + i, t, lang, "s", len(t)) for k, (lang, t) in enumerate(texts.items()) for i in range(10)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    keep = corpus_pipeline.identify_language
+
+    def kept(**options):
+        return {r.doc_id for r in keep(spark, docs, SF, **options).collect()}
+
+    assert kept() == set(range(20)) and kept(languages=["fr"]) == set(range(10, 20)) and kept(languages=[]) == set()
+    assert kept(least_score=0.3) == set(range(50))
+    identify = language_id.identify
+    monkeypatch.setattr(language_id, "identify", lambda d: identify(d).withColumn("lang_pred", F.lit("und")))
+    assert kept() != set(range(20))
+
+
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{n}" for n in range(1, 14)), "pipeline"]
     assert set(ORACLES) <= set(QUERIES)
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == [
         "identify_language", "drop_lines", "drop_near_duplicates", "drop_contaminated", "pack_sequences"]
