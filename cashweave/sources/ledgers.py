@@ -71,8 +71,17 @@ MERCHANTS: tuple[str, ...] = (
 )
 
 
+MIN_PARTITIONS = "spark.cashweave.tables.minPartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table. These are single row groups, so one task reads each; where
+    the session sets ``spark.cashweave.tables.minPartitions`` (the benchmark
+    does), rows are dealt to that many tasks. Large tables have many splits and
+    need no such setting; it is unset by default."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    least = int(spark.conf.get(MIN_PARTITIONS, "0"))
+    return rows.repartition(least) if least > 1 else rows
 
 
 def merchant_for(key: Column) -> Column:
