@@ -5,14 +5,20 @@ is the insertion order (later = newer) and breaks score ties, as the
 in-memory store's list order did.
 
 Search scores every question against every note without a row per pair: both
-sides are dealt into blocks, blocks meet by key, and each meeting keeps the k
-best notes of each question. A final ``row_number() <= k`` per question merges
-them. Nothing passes through the driver but two counts. Vectors of different
-widths, and vectors that are null or zero, score 0, which is no hit.
+sides are dealt into blocks, and every pair of blocks meets in one run of rows,
+the notes first and the questions after them. A task holds the notes of one
+meeting and a batch of questions, however many there are of either, and keeps
+the k best notes of each question. A final ``row_number() <= k`` per question
+merges them. Questions of equal vectors have equal hits and are scored once.
+Nothing passes through the driver but two counts. Vectors of different widths,
+and vectors that are null, zero or not finite, score 0, which is no hit; notes
+without a ``seq`` take no part.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +32,10 @@ from cashweave.schema import DEFAULT_EMBED_DIM
 from cashweave.session import ship_package
 
 DEFAULT_K = 4
-QUESTION_BLOCK = 1024
-NOTE_BLOCK = 4096
+QUESTION_BLOCK = 65_536
+NOTE_BLOCK = 16_384
+TILE = 1 << 19          # numbers in a dense tile
+MOST_TASKS = 10_000
 
 
 # ---------------------------------------------------------------------------
@@ -92,31 +100,13 @@ def note_count(store: DataFrame) -> DataFrame:
 # Search
 # ---------------------------------------------------------------------------
 
-def _topk_rows(scores: np.ndarray, seqs: np.ndarray, k: int):
-    """Per column of ``scores`` (notes x questions): row indices of the k best
-    by (score desc, seq asc), positive scores only."""
-    out_r, out_c = [], []
-    n_rows = scores.shape[0]
-    if n_rows == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    if n_rows > k:
-        kth = -np.partition(-scores, k - 1, axis=0)[k - 1]
-        mask = scores >= kth[None, :]
-    else:
-        mask = np.ones_like(scores, dtype=bool)
-    mask &= scores > 0
-    r, c = np.nonzero(mask)
-    if len(r) == 0:
-        return r, c
-    order = np.lexsort((seqs[r], -scores[r, c], c))
-    r, c = r[order], c[order]
-    # rank within each column
-    starts = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
+def _keep_best(cols: np.ndarray, scores: np.ndarray, seqs: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best by (score desc, seq asc) of each column, by column."""
+    order = np.lexsort((seqs, -scores, cols))
+    c = cols[order]
+    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
     rank = np.arange(len(c)) - np.repeat(starts, np.diff(np.r_[starts, len(c)]))
-    keep = rank < k
-    out_r.append(r[keep])
-    out_c.append(c[keep])
-    return np.concatenate(out_r), np.concatenate(out_c)
+    return order[rank < k]
 
 
 def _hashing(dim: int):
@@ -140,51 +130,146 @@ def _as_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return out
 
 
-def _blocks(vectors: DataFrame, count: int, name: str) -> DataFrame:
-    """``count`` blocks of vectors of one width, as one row each."""
-    return vectors.withColumn(name, F.pmod(F.xxhash64("key"), F.lit(count)).cast("int")) \
-        .groupBy("width", name).agg(F.collect_list(F.struct("key", "idx", "val", "norm")).alias(f"{name}_rows"))
-
-
-def _matrix(rows: pa.StructArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, dense matrix, norms) of a block's rows."""
-    keys, norms = rows.field("key").to_numpy(), rows.field("norm").to_numpy()
-    idx, val = rows.field("idx"), rows.field("val")
-    at = np.repeat(np.arange(len(keys)), np.diff(idx.offsets.to_numpy()))
-    flat = idx.flatten().to_numpy()
-    m = np.zeros((len(keys), width if width >= 0 else int(flat.max(initial=0)) + 1))
-    m[at, flat] = val.flatten().to_numpy()
-    return keys, m, norms
+class _Rows(NamedTuple):
+    """Sparse vectors in parallel arrays; ``keys`` is an Arrow array."""
+    keys: pa.Array
+    lens: np.ndarray
+    idx: np.ndarray
+    val: np.ndarray
+    norms: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, key: str) -> "_Rows":
+        idx, val = batch.column("idx"), batch.column("val")
+        return _Rows(batch.column(key), np.diff(idx.offsets.to_numpy()), idx.flatten().to_numpy(), val.flatten().to_numpy(),
+                     batch.column("norm").to_numpy(zero_copy_only=False))
+
+    def dense(self, a: int, z: int, at: np.ndarray, width: int) -> np.ndarray:
+        """Vectors a to z; ``at`` is where each vector starts."""
+        m = np.zeros((z - a, width))
+        part = slice(at[a], at[z])
+        m[np.repeat(np.arange(z - a), self.lens[a:z]), self.idx[part]] = self.val[part]
+        return m
+
+    def least(self) -> float:
+        """Smallest positive share of a vector's length, or -1 if any is negative."""
+        share = self.val / np.repeat(np.where(self.norms > 0, self.norms, 1.0), self.lens)
+        return -1.0 if share.min(initial=0.0) < 0 else float(share[share > 0].min(initial=1.0))
+
+
+def _join_rows(parts: list[_Rows]) -> _Rows:
+    return _Rows(pa.concat_arrays([p.keys for p in parts]), *[np.concatenate([getattr(p, f) for p in parts]) for f in _Rows._fields[1:]])
+
+
+def _drop_unscored(rows: _Rows) -> _Rows:
+    """Without the vectors that score 0 with everything: zero or not finite."""
+    ok = np.isfinite(rows.norms) & (rows.norms > 0)
+    if ok.all():
+        return rows
+    held = np.repeat(ok, rows.lens)
+    return _Rows(rows.keys.filter(pa.array(ok)), rows.lens[ok], rows.idx[held], rows.val[held], rows.norms[ok])
+
+
+def _best_notes(notes: _Rows, asked: _Rows, k: int):
+    """(question places, note places, scores) of the k best notes of each question.
+
+    Tile by tile, products of single precision sort out what cannot be among
+    the k best (they are off by less than ``slack``); the rest is scored in
+    double precision. Notes begin with a small tile, for a bound at once."""
+    if not len(notes.lens) or not len(asked.lens):
+        return
+    width = 1 + int(max(notes.idx.max(initial=0), asked.idx.max(initial=0)))
+    real = np.float32 if width <= 4096 else np.float64
+    slack = 2 * (width + 8) * float(np.finfo(real).eps)
+    small = (notes.least(), asked.least())
+    floor = 0.0 if min(small) > 0 and small[0] * small[1] > 1e-30 else -slack
+    tile = max(16, min(1024, TILE // width))
+    seqs = notes.keys.to_numpy()
+    n_at, q_at = np.r_[0, np.cumsum(notes.lens)], np.r_[0, np.cumsum(asked.lens)]
+    for a in range(0, len(asked.lens), tile):
+        z = min(a + tile, len(asked.lens))
+        q, qnorms = asked.dense(a, z, q_at, width), asked.norms[a:z]
+        unit = (q / qnorms[:, None]).astype(real)
+        col, row, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        bound = np.full(z - a, floor)
+        start, size = 0, 64
+        while start < len(notes.lens):
+            end = min(start + size, len(notes.lens))
+            m = notes.dense(start, end, n_at, width)
+            near = (m / notes.norms[start:end, None]).astype(real) @ unit.T
+            r, c = np.nonzero(near > bound[None, :].astype(real))
+            if len(r):
+                dots = np.concatenate([np.einsum("ij,ij->i", m[r[i:i + step]], q[c[i:i + step]])
+                                       for step in [max(1, 4 * TILE // width)] for i in range(0, len(r), step)])
+                scale = notes.norms[start + r] * qnorms[c]
+                s = np.divide(dots, scale, out=np.zeros(len(r)), where=scale > 0)
+                hit = s > 0
+                col, row, score = np.r_[col, c[hit]], np.r_[row, start + r[hit]], np.r_[score, s[hit]]
+                best = _keep_best(col, score, seqs[row], k)
+                col, row, score = col[best], row[best], score[best]
+                last = np.flatnonzero(np.r_[col[1:] != col[:-1], True][:len(col)])
+                full = last[np.bincount(col, minlength=z - a)[col[last]] == k]
+                # a little lower than the bound in either precision
+                bound[col[full]] = np.maximum(score[full] - slack, floor)
+            start, size = end, min(2 * size, tile)
+        yield col + a, row, score
+
+
+def _meet(k: int):
+    """Scores streams of rows in order of meeting; a meeting's notes come
+    before its questions, so only its notes are held and questions pass by."""
+    def score(batches):
+        meeting, parts, notes = None, [], None
+        for b in batches:
+            of = np.stack([b.column(c).to_numpy() for c in ("width", "i", "q", "asks")])
+            cuts = np.flatnonzero(np.r_[True, (of[:, 1:] != of[:, :-1]).any(axis=0)]) if b.num_rows else np.empty(0, int)
+            for a, z in zip(cuts, np.r_[cuts[1:], b.num_rows]):
+                if meeting != tuple(of[:3, a]):
+                    meeting, parts, notes = tuple(of[:3, a]), [], None
+                run = b.slice(a, z - a)
+                if not of[3, a]:
+                    parts.append(_drop_unscored(_Rows.of(run, "seq")))
+                elif parts:
+                    notes = notes or _join_rows(parts)
+                    asked = _drop_unscored(_Rows.of(run, "vec"))
+                    for col, row, s in _best_notes(notes, asked, k):
+                        yield pa.RecordBatch.from_arrays([asked.keys.take(pa.array(col)), notes.keys.take(pa.array(row)), pa.array(s)],
+                                                         ["vec", "seq", "score"])
+    return score
 
 
 def _grid(items: DataFrame, item: str, item_vector: str, queries: DataFrame, query: str, query_vector: str, k: int,
           item_block: int, query_block: int) -> DataFrame:
     """``question_id, seq, score, rank`` of the k best items of each query."""
-    n_items, n_queries = (max(1, -(-df.select(key).count() // size))
-                          for df, key, size in ((items, item, item_block), (queries, query, query_block)))
-    left = _blocks(_as_vectors(items, item, item_vector), n_items, "i")
-    right = _blocks(_as_vectors(queries, query, query_vector), n_queries, "q")
-    meets = F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))
-    pairs = left.withColumn("q", meets).join(right, ["width", "q"]).select("width", "i_rows", "q_rows")
-
-    def score(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                width = b.column(0)[r].as_py()
-                seqs, m, norms = _matrix(b.column(1)[r].values, width)
-                ids, q, qnorms = _matrix(b.column(2)[r].values, width)
-                both = max(m.shape[1], q.shape[1])
-                m, q = (np.pad(x, ((0, 0), (0, both - x.shape[1]))) for x in (m, q))
-                scale = norms[:, None] * qnorms[None, :]
-                s = np.divide(m @ q.T, scale, out=np.zeros(scale.shape), where=scale > 0)
-                rows, cols = _topk_rows(s, seqs, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[cols]), pa.array(seqs[rows]), pa.array(s[rows, cols])],
-                                                 ["question_id", "seq", "score"])
-
+    left = _as_vectors(items, item, item_vector).where(F.col("key").isNotNull())
+    vec = F.unhex(F.md5(F.to_json(F.struct("width", "idx", "val"))))
+    asked = _as_vectors(queries, query, query_vector).withColumn("vec", vec)
+    right = asked.select("vec", "width", "idx", "val", "norm").dropDuplicates(["vec"])
+    n_items, n_queries = (max(1, -(-rows // size)) for rows, size in
+                          ((items.select(item).count(), item_block), (asked.select("vec").distinct().count(), query_block)))
+
+    def others(count):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    common = ["width", "i", "q", "asks", "seq", "vec", "idx", "val", "norm"]
+    notes = left.withColumn("i", F.pmod(F.xxhash64("key", "idx"), F.lit(n_items)).cast("int")).withColumn("q", others(n_queries)) \
+        .select("width", "i", "q", F.lit(0).alias("asks"), F.col("key").cast("long").alias("seq"), F.lit(None).cast("binary").alias("vec"), "idx", "val", "norm")
+    asks = right.withColumn("q", F.pmod(F.xxhash64("vec"), F.lit(n_queries)).cast("int")).withColumn("i", others(n_items)) \
+        .withColumn("asks", F.lit(1)).withColumn("seq", F.lit(None).cast("long")).select(*common)
+    tasks = min(4 * n_items * n_queries, MOST_TASKS)        # more than meetings, as they are dealt by hash
+    met = notes.unionByName(asks).repartition(tasks, "width", "i", "q") \
+        .sortWithinPartitions("width", "i", "q", "asks")
     ship_package(items.sparkSession)
-    hits = pairs.mapInArrow(score, "question_id long, seq long, score double")
-    w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("seq").asc())
-    return hits.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    found = met.mapInArrow(_meet(k), "vec binary, seq long, score double")
+    best_first = [F.col("score").desc(), F.col("seq").asc()]
+    of_vector = Window.partitionBy("vec").orderBy(*best_first)
+    top = found.withColumn("rank", F.row_number().over(of_vector)).where(F.col("rank") <= k).drop("rank")
+    # Null-safe, as a test for null would be pushed below the embedding and have it computed again.
+    # Ids may repeat, with other texts.
+    hits = asked.select(F.col("key").alias("question_id"), F.col("vec").alias("_vec")) \
+        .join(top, F.col("_vec").eqNullSafe(F.col("vec"))).drop("vec", "_vec")
+    of_question = Window.partitionBy("question_id").orderBy(*best_first)
+    return hits.withColumn("rank", F.row_number().over(of_question).cast("int")).where(F.col("rank") <= k)
 
 
 def search_notes(notes: DataFrame, questions: DataFrame, k: int = DEFAULT_K,

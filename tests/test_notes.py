@@ -117,3 +117,39 @@ def test_dense_search_of_ragged_null_and_empty_vectors(spark):
     got = sorted((r.question_id, r.rank, r.seq, round(r.score, 6)) for r in search_vectors(items, queries).collect())
     assert got == [(1, 1, 1, 1.0), (1, 2, 6, 0.707107), (2, 1, 2, 1.0)]
     assert search_vectors(items, queries.limit(0)).count() == 0
+
+
+def test_search_holds_no_block_of_vectors_in_a_row(spark):
+    b = spark.createDataFrame([(f"note {i} about cash", i) for i in range(20)], "text string, o int")
+    store = upsert_notes(None, prepare_notes(b, order_by="o")[0])
+    q = spark.createDataFrame([(i, "cash note") for i in range(50)], "question_id long, question string")
+    hits = search_notes(store, q, k=2)
+    assert "collect_list" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.count() == 100                      # equal questions have equal hits
+
+
+def test_tiles_keep_the_best_of_any_vectors():
+    import numpy as np
+    import pyarrow as pa
+
+    from cashweave.operators.notes import _best_notes, _drop_unscored, _Rows
+
+    def rows(m, keys):
+        lens = np.full(len(m), m.shape[1])
+        return _Rows(pa.array(keys), lens, np.tile(np.arange(m.shape[1]), len(m)), m.ravel(), np.sqrt((m * m).sum(axis=1)))
+
+    r = np.random.default_rng(5)
+    for low in (-3, 0):                             # few values, so many scores are equal
+        notes, asked = (r.integers(low, 4, (n, 6)).astype(float) for n in (3000, 1100))
+        notes[7], asked[3] = np.nan, 0.0
+        held, qs = _drop_unscored(rows(notes, np.arange(3000)[::-1].copy())), _drop_unscored(rows(asked, np.arange(1100)))
+        got = {}
+        for col, row, score in _best_notes(held, qs, 4):
+            for c, s, v in zip(qs.keys.take(pa.array(col)).to_pylist(), held.keys.take(pa.array(row)).to_pylist(), score):
+                got.setdefault(c, []).append((s, v))
+        m = notes[::-1]                             # by key
+        dots, scale = m @ asked.T, np.sqrt((m * m).sum(axis=1))[:, None] * np.sqrt((asked * asked).sum(axis=1))[None, :]
+        scores = np.divide(dots, scale, out=np.zeros(dots.shape), where=scale > 0)
+        for c in range(0, 1100, 7):
+            best = [(int(s), scores[s, c]) for s in np.lexsort((np.arange(3000), -scores[:, c])) if scores[s, c] > 0][:4]
+            assert got.get(c, []) == best, c
