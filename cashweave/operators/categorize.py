@@ -176,8 +176,15 @@ def categorize(df: DataFrame, lexicon=None, description: str = "description",
         cols = _score_sql(tuple(pairs), t)
         names = [f"_cat_s{i}" for i in range(len(cols))]
         firsts = [f"_cat_p{i}" for i in range(len(cols))]
-        staged = staged.select("*", *[F.expr(sc).alias(n) for (sc, _, _), n in zip(cols, names)],
-                               *[F.expr(fp).alias(n) for (_, fp, _), n in zip(cols, firsts)])
+        # Both apart from their neighbours: fused with them, the keywords are one
+        # method too long for the JIT. Only categories found are asked for their
+        # first keyword, as only the best score's ties need it.
+        first_score = F.expr(cols[0][0])
+        staged = staged.select("*", (first_score + _fusion_barrier(F.length(t))).alias(names[0]),
+                               *[F.expr(sc).alias(n) for (sc, _, _), n in zip(cols[1:], names[1:])])
+        found = [F.when(F.col(n) > 0, F.expr(fp)) for (_, fp, _), n in zip(cols, names)]
+        staged = staged.select("*", *[f.alias(n) for f, n in zip(found, firsts)],
+                               _fusion_barrier(F.length(t)).alias("_cat_apart"))
         structs = [F.struct(F.col(n).alias("score"), F.col(p).alias("neg_pos"), F.lit(c).alias("category"))
                    for n, p, (_, _, c) in zip(names, firsts, cols)]
         best = F.greatest(*structs) if len(structs) > 1 else structs[0]
@@ -185,7 +192,7 @@ def categorize(df: DataFrame, lexicon=None, description: str = "description",
         for n in names[1:]:
             total = total + F.col(n)
         staged = staged.select(*df.columns, t, best.alias("_cat_best"),
-                               (total + _fusion_barrier(F.col(names[0]))).alias("_cat_total"))
+                               (total + F.col("_cat_apart")).alias("_cat_total"))
     staged = staged.withColumn(r, _finish(F.col("_cat_best"), F.col("_cat_total"), F.col(amount)))
     cols = []
     for c in df.columns:
