@@ -11,7 +11,7 @@ occur where its rarest one does:
 4. scores are added up per description and category, and the best category
    goes back to all rows with the description.
 
-Nothing is collected and nothing depends on the lexicon's size; hot grams and
+Nothing is collected or broadcast and nothing depends on the lexicon's size; hot grams and
 hot descriptions are ordinary skewed joins, which AQE splits. Results equal
 those of the expression form: a keyword given twice has the later category at
 the earlier place, ties go to the category whose first found keyword comes
@@ -26,6 +26,12 @@ from pyspark.sql import functions as F
 Q = 3
 
 
+def _keep_apart(side: DataFrame) -> DataFrame:
+    """Joined by shuffle. Exploded grams are many times the size of the file
+    that Spark takes them for, and would be broadcast from the driver."""
+    return side.hint("merge")
+
+
 def grams(text: Column, q: int) -> Column:
     """Distinct substrings of q code points; none of a shorter text."""
     places = F.sequence(F.lit(1), F.length(text) - (q - 1))
@@ -52,7 +58,7 @@ def index_keywords(keywords: DataFrame, texts: DataFrame, q: int = Q) -> DataFra
     own = F.when(F.length("keyword") < q, F.array("keyword")).otherwise(grams(F.col("keyword"), q))
     of_keyword = keywords.select("*", F.explode(own).alias("gram"))
     seen = texts.select(F.explode(all_grams(F.col("_cat_text"), q)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    counted = of_keyword.join(seen, "gram", "left")
+    counted = _keep_apart(of_keyword).join(_keep_apart(seen), "gram", "left")
     # A gram that no description has: the keyword occurs nowhere.
     return counted.groupBy("keyword", "category", "place").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")) \
         .where(F.col("rarest.n") > 0).select(F.col("rarest.gram").alias("gram"), "keyword", "category", "place")
@@ -61,7 +67,7 @@ def index_keywords(keywords: DataFrame, texts: DataFrame, q: int = Q) -> DataFra
 def meetings(texts: DataFrame, index: DataFrame, q: int = Q) -> DataFrame:
     """Every (description, keyword it holds) once."""
     keyed = texts.select("_cat_text", F.explode(all_grams(F.col("_cat_text"), q)).alias("gram"))
-    return keyed.join(index, "gram").where(F.contains("_cat_text", "keyword"))
+    return _keep_apart(keyed).join(_keep_apart(index), "gram").where(F.contains("_cat_text", "keyword"))
 
 
 def with_scores(df: DataFrame, text: Column, lexicon: DataFrame, q: int = Q) -> DataFrame:
@@ -74,4 +80,4 @@ def with_scores(df: DataFrame, text: Column, lexicon: DataFrame, q: int = Q) ->
     best = scored.groupBy("_cat_text").agg(
         F.min_by(F.struct("score", "category"), F.struct((-F.col("score")).alias("s"), "place")).alias("_cat_best"),
         F.sum("score").alias("_cat_total"))
-    return rows.join(best, "_cat_text", "left")
+    return rows.join(_keep_apart(best), "_cat_text", "left")
