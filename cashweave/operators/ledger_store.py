@@ -31,6 +31,7 @@ from cashweave.schema import IngestionError
 
 KEY, BATCH = "row_key", "batch"
 BUCKETS = 64
+ROWS_PER_BUCKET = 250_000
 
 
 def key_digest(rows: DataFrame, key: str = "raw_hash", extra_key_cols: Sequence[str] = ()) -> Column:
@@ -40,8 +41,10 @@ def key_digest(rows: DataFrame, key: str = "raw_hash", extra_key_cols: Sequence[
 
 
 class LedgerStore:
-    """A table of transactions in ``path``. ``buckets`` is fixed when the table
-    is made (take about one for 100 MB of it); later the folder's name tells."""
+    """A table of transactions in ``path``. The number of buckets is fixed when
+    the table is made: ``buckets``, or one for ``ROWS_PER_BUCKET`` rows of the
+    first batch if that is more, so that the task of a bucket does not grow
+    with the ledger. Later the folder's name tells."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, extra_key_cols: Sequence[str] = ()):
         self.spark, self.path, self.extra = spark, path.rstrip("/"), tuple(extra_key_cols)
@@ -87,6 +90,8 @@ class LedgerStore:
         stored = self.read()
         rows = rows.drop(KEY, BATCH)
         if stored is None:
+            self.buckets = max(self.buckets, -(-rows.count() // ROWS_PER_BUCKET))
+            self.folder = f"{self.path}/buckets={self.buckets}"
             out = self.fresh(rows, order_by).withColumn(BATCH, F.lit(0).cast("long"))
             # a broken first write left no _SUCCESS, so nothing of it counts
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name}")

@@ -184,3 +184,13 @@ def test_facts_follow_the_ledger_month_by_month(spark, tmp_path):
     # the number of the batch is written last: without it the update is repeated
     FactStore(spark, path).update(LedgerStore(spark, store).read(), categorize, everything=True)
     assert _facts(FactStore(spark, path).read()) == held
+
+
+def test_buckets_grow_with_the_first_batch(spark, tmp_path, monkeypatch):
+    from cashweave.operators import ledger_store
+    monkeypatch.setattr(ledger_store, "ROWS_PER_BUCKET", 30)
+    store = LedgerStore(spark, str(tmp_path / "s"), buckets=4)
+    store.append(spark.range(200).selectExpr("cast(id as string) raw_hash", "id row_ord"), ["row_ord"])
+    store.append(spark.range(300).selectExpr("cast(id as string) raw_hash", "id row_ord"), ["row_ord"])
+    again = LedgerStore(spark, str(tmp_path / "s"))
+    assert again.buckets == 7 and again.read().count() == 300
