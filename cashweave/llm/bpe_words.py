@@ -221,7 +221,7 @@ def gathered(batches, values_of):
         yield last_id, np.concatenate(held)
 
 
-def _batched(pairs, kind: pa.DataType, names: list[str], rows: int = 2000, values: int = 4_000_000):
+def _batched(pairs, kind: pa.DataType, names: list[str], rows: int = 500, values: int = 500_000):
     """Record batches of (id, array) pairs."""
     ids, arrays, n = [], [], 0
 
@@ -244,6 +244,12 @@ def _batched(pairs, kind: pa.DataType, names: list[str], rows: int = 2000, value
 def encode(docs: DataFrame, path: str | None = None, max_bytes: int = FREQUENT_BYTES) -> DataFrame:
     """``doc_id, ids`` of every document: what ``encode(text,
     add_special_tokens=False)`` gives."""
+    return _encoded(docs, path, max_bytes, lambda batches: batches, "doc_id long, ids array<int>")
+
+
+def _encoded(docs: DataFrame, path: str | None, max_bytes: int, finish, schema: str) -> DataFrame:
+    """``finish`` of the batches ``doc_id, ids`` of every document, in the task
+    that makes them."""
     path = path or default_bpe()
     rows, added = _rows(docs), added_tokens(path)
     table = word_table(docs, path)
@@ -255,11 +261,11 @@ def encode(docs: DataFrame, path: str | None = None, max_bytes: int = FREQUENT_B
 
     def run(batches):
         split = _Split(folder)
-        yield from _batched(gathered(batches, split.fill), pa.int32(), ["doc_id", "ids"])
+        yield from finish(_batched(gathered(batches, split.fill), pa.int32(), ["doc_id", "ids"]))
 
     placed = positions(rows, added).join(F.broadcast(frequent.select("word", "ids")), "word", "left")
     return placed.select("doc_id", "row", "pos", "check", F.col("word").isNotNull().alias("word_here"), "ids") \
-        .mapInArrow(run, "doc_id long, ids array<int>")
+        .mapInArrow(run, schema)
 
 
 def pieces(path: str) -> list[bytes]:
@@ -304,11 +310,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows ``doc_id, ids``:
-    digests of the decimal ids joined by commas and of the decoded text."""
-    table = pieces(path or default_bpe())
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
 
+def _digests(table: list[bytes]):
+    """Digests of batches ``doc_id, ids``, whose pieces are ``table``."""
     def run(batches):
         texts, decimal = _decoder(table), [str(k).encode() for k in range(len(table))]
         for b in batches:
@@ -319,4 +325,16 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return run
+
+
+def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of rows ``doc_id, ids``:
+    digests of the decimal ids joined by commas and of the decoded text."""
+    return encoded.select("doc_id", "ids").mapInArrow(_digests(pieces(path or default_bpe())), DIGESTS)
+
+
+def encoded_digests(docs: DataFrame, path: str | None = None, max_bytes: int = FREQUENT_BYTES) -> DataFrame:
+    """``digests`` of what ``encode`` gives, a few hundred documents at a time
+    in the task that encodes them: their ids are not handed to the JVM and back."""
+    return _encoded(docs, path, max_bytes, _digests(pieces(path or default_bpe())), DIGESTS)

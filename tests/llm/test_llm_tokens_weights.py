@@ -239,3 +239,10 @@ def test_frames_of_any_size_and_a_small_cache_give_equal_results(spark, texts, m
 
 def test_alignment_of_an_empty_table(spark):
     assert alignment.alignment(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_digests_are_made_where_ids_are_made(spark):
+    docs = spark.createDataFrame(list(enumerate(["first text of words", "", None, "first words 123"] * 3)), "doc_id long, text string")
+    got = bpe_words.encoded_digests(docs, max_bytes=200)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(got.collect()) == sorted(bpe_words.digests(bpe_words.encode(docs)).collect())
