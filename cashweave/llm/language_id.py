@@ -37,6 +37,7 @@ from cashweave.llm.common import list_files, packed, scratch_dir, shared_fs
 ORDER = 3
 ROWS_PER_LANGUAGE = 2000
 CHUNK = 1 << 18            # bytes scored at a time
+BATCH_ROWS = 500           # rows whose texts a task holds decoded; 10,000 of them are hundreds of megabytes
 UNKNOWN = "und"
 
 
@@ -232,30 +233,38 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languag
 
 def predict(docs: DataFrame, trees: Trees) -> DataFrame:
     """``doc`` (the whole row), ``lang_pred`` and ``score`` of every row."""
-    rows = packed(docs).select("doc", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = packed(docs).select("doc", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     schema = rows.select("doc").schema.add("lang_pred", "string").add("score", "double")
     languages, files = trees.languages, trees.saved(scratch_dir(docs.sparkSession, "trees"))
+    text_at = [c.lower() for c in docs.columns].index("text")     # texts travel once, in their rows
 
     def run(batches):
         for b in batches:
-            trees = load(languages, files)
-            letters = np.array(b.column(2).to_pylist(), bool)
-            lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-            which = np.flatnonzero(letters) if trees.languages else []
-            if len(which):
-                texts = [t.encode("utf-8", "surrogatepass") for t in b.column(1).take(pa.array(which)).to_pylist()]
-                bits = trees.bits(texts)
-                best = bits.argmin(1)
-                over = np.minimum(bits - bits.min(1, keepdims=True), 1000)
-                score[which] = 1 / np.exp2(-over).sum(1)
-                for i, k in zip(which, best):
-                    lang[i] = trees.languages[k]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             ["doc", "lang_pred", "score"])
+            yield from _scored(b, text_at, load(languages, files))
 
     return rows.mapInArrow(run, schema)
 
 
+def _scored(b: pa.RecordBatch, text_at: int, trees: Trees):
+    """Batches ``doc, lang_pred, score`` of a batch ``doc, letters``, of which
+    only ``BATCH_ROWS`` rows at a time are held as Python's texts."""
+    for first in range(0, b.num_rows, BATCH_ROWS):
+        part = b.slice(first, BATCH_ROWS)
+        letters = np.array(part.column(1).to_pylist(), bool)
+        lang, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+        which = np.flatnonzero(letters) if trees.languages else []
+        if len(which):
+            texts = [t.encode("utf-8", "surrogatepass") for t in part.column(0).field(text_at).take(pa.array(which)).to_pylist()]
+            bits = trees.bits(texts)
+            best = bits.argmin(1)
+            over = np.minimum(bits - bits.min(1, keepdims=True), 1000)
+            score[which] = 1 / np.exp2(-over).sum(1)
+            for i, k in zip(which, best):
+                lang[i] = trees.languages[k]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                         ["doc", "lang_pred", "score"])
+
+
 _LOADED: dict[tuple, Trees] = {}
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cashweave.llm.common import stored
+from cashweave.llm.common import arrow_records, stored
 from cashweave.llm.token_ids import default_tokenizer, encoder
 
 CAPACITY = 4096
@@ -40,6 +40,7 @@ END_ID = 1
 GROUPS = 48              # groups of equal cardinality among the large lengths
 LARGE_SHARE = 0.2        # a length above this share of the capacity is large
 SLACK = 0.001            # share of a sequence that a substituted configuration may leave free
+ARROW_ROWS = 500         # documents that a task is handed at a time
 RANK_BLOCK = 512         # pieces of one length that one rank block holds, about
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -298,4 +299,6 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) ->
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
          with_ids: bool = False) -> DataFrame:
     """Tokenise and pack ``docs`` (``doc_id, text``): one row per piece."""
-    return assign(stored(token_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces"), capacity)
+    with arrow_records(docs.sparkSession, ARROW_ROWS):
+        pieces = stored(token_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
+    return assign(pieces, capacity)

@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cashweave.llm.common import doc_key, doc_no, packed, stored
+from cashweave.llm.common import arrow_records, doc_key, doc_no, packed, stored
 
 SHINGLE = 3
 MAX_BITS = 2
 SEGMENTS = 5
 PAIR_LIMIT = 64
 SEED = 42
+ARROW_ROWS = 500         # documents that a task is handed at a time
 
 
 def _signed(x: int) -> int:
@@ -70,7 +71,8 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_no().alias("doc_no"), doc_key().alias("doc_key"),
                        F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, doc_no long, doc_key long, fp long"), "fingerprints")
+    with arrow_records(docs.sparkSession, ARROW_ROWS):
+        return stored(rows.mapInArrow(run, "doc_id long, doc_no long, doc_key long, fp long"), "fingerprints")
 
 
 def ring(segments: int) -> list[int]:

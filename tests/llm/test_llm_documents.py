@@ -8,6 +8,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,30 @@ def test_language_id_of_nulls_and_nothing(spark):
     assert language_id.identify(frame(spark, [])).count() == 0
 
 
+def test_language_id_scores_large_batches_in_small_ones():
+    """A batch of 10,000 rows, decoded at once, took an executor over its memory."""
+    trees = language_id.Trees.of_rows([(lang, int(g), 2) for lang, t in (("en", "the house"), ("es", "la casa"))
+                                       for g in np.unique(language_id._grams(np.frombuffer(t.encode(), np.uint8)))])
+    n = 2 * language_id.BATCH_ROWS + 7
+    texts = [(None, "12", "the house", "la casa")[k % 4] for k in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(range(n)), pa.array(texts)], ["doc_id", "text"]),
+                                        pa.array([k % 4 > 1 for k in range(n)])], ["doc", "letters"])
+    got = list(language_id._scored(batch.slice(3), 1, trees))
+    assert [b.num_rows for b in got] == [language_id.BATCH_ROWS] * 2 + [4]
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["doc"]["doc_id"], r["doc"]["text"], r["lang_pred"]) for r in rows] == [
+        (k, texts[k], ("und", "und", "en", "es")[k % 4]) for k in range(3, n)]
+
+
+def test_language_id_sends_each_text_to_python_once(spark):
+    trees = language_id.fit(frame(spark, [(1, "the house", "en")]))
+    plan = language_id.predict(frame(spark, [(1, "the house", "en")]), trees)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().apply(0)
+    sent = plan.children().apply(0).output()
+    assert [sent.apply(k).name() for k in range(sent.size())] == ["doc", "letters"]
+
+
 def test_language_id_keeps_every_sequence_of_small_languages(spark):
     rng = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
