@@ -6,17 +6,19 @@
 2. Distinct words are counted (summed per task before the shuffle), and each
    is encoded once, whatever the number of its occurrences.
 3. Ids are joined back to the words' positions. The most frequent words, by
-   whole powers of two of their counts and up to ``FREQUENT_BYTES``, are
-   broadcast, so no hot word is shuffled. The occurrences of all other words
-   meet their ids in a shuffle join and are written per input split; the last
-   scan, which keeps the documents where they are, merges them in by position.
-   Where all words are within the bound, that second way is empty and left out.
+   whole powers of two of their counts and up to ``FREQUENT_BYTES``, are a table
+   of the shared folder that every task joins its documents' words with in
+   Arrow, so no hot word is shuffled or made a row. The occurrences of all other
+   words meet their ids in a shuffle join and are written per input split; the
+   last scan, which keeps the documents where they are, merges them in by
+   position. Where all words are within the bound, that second way is empty and
+   left out.
 4. Decoding joins ids with the pieces of the vocabulary (a bounded table, sent
    to all tasks, batch by batch) and puts their bytes together by position.
 
-Rows of a document stay in order within the task that split it; the gather
-checks positions, and merged rows the hash of their text, and raises where
-they don't follow. ``docs`` should be files or a stored table: its splits are
+The words of a document stay in order in its row; merged rows are checked by
+position and the hash of their text, and the task raises where they don't
+follow. ``docs`` should be files or a stored table: its splits are
 listed twice. Null and empty texts have no ids; repeated rows are documents
 each; ids may be null. An empty table gives no rows. Other columns are not
 read.
@@ -27,11 +29,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import operator
 import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,13 +44,15 @@ from pyspark.sql import functions as F
 from cashweave.llm.alignment import _byte_alphabet
 from cashweave.llm.common import list_files, scratch_dir, shared_fs, stored
 
-FREQUENT_BYTES = 40 << 20       # of the broadcast words, ids and their row overhead
+FREQUENT_BYTES = 40 << 20       # of the frequent words, ids and their row overhead
 ROW_BYTES = 64
+SLICE_WORDS = 500_000           # words that a task looks up at a time
 
 # Fixed value: the split of byte-level BPE, with Unicode's white space spelled
 # out, which Java's \s is not. <L> and <N> stand for further letters and numbers.
+# The commonest kinds stand first: no other kind can begin where they match.
 _SPACE = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}<L>]+| ?[\p{N}<N>]+| ?[^" + _SPACE + r"\p{L}\p{N}<L><N>]+"
+_WORDS = (r" ?[\p{L}<L>]++| ?[\p{N}<N>]++|'(?:s|t|re|ve|m|ll|d)| ?[^" + _SPACE + r"\p{L}\p{N}<L><N>]++"
           r"|[" + _SPACE + r"]+(?![^" + _SPACE + r"])|[" + _SPACE + r"]+")
 
 
@@ -101,7 +107,7 @@ def words_of(text, added: list[str]):
     either = "|".join(re.escape(t).replace("\\<", "<").replace("\\>", ">") for t in sorted(added, key=len, reverse=True))
     between = F.split(text, f"(?={either})|(?<={either})")
     parts = F.transform(between, lambda s: F.when(s.isin(*added), F.array(s)).otherwise(split(s)))
-    return F.when(text.rlike(either), F.flatten(parts)).otherwise(split(text))
+    return F.when(functools.reduce(operator.or_, [text.contains(t) for t in added]), F.flatten(parts)).otherwise(split(text))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -113,11 +119,16 @@ def _rows(docs: DataFrame) -> DataFrame:
 _ROW_BITS = 33
 
 
+def split_rows(rows: DataFrame, added: list[str]) -> DataFrame:
+    """``doc_id, row, check, words``: documents with their words, in order, and
+    a hash of their text."""
+    return rows.select("doc_id", "row", F.xxhash64("text").alias("check"), words_of(F.col("text"), added).alias("words"))
+
+
 def positions(rows: DataFrame, added: list[str]) -> DataFrame:
     """One row per word, in order; documents without words have one of null."""
     # The hash is taken once a document, below the generator, not once a word.
-    split = rows.select("doc_id", "row", F.xxhash64("text").alias("check"), words_of(F.col("text"), added).alias("words"))
-    return split.select("doc_id", "row", "check", F.posexplode_outer("words").alias("pos", "word"))
+    return split_rows(rows, added).select("doc_id", "row", "check", F.posexplode_outer("words").alias("pos", "word"))
 
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
@@ -174,71 +185,53 @@ class _Split:
                 self.rows = pa.concat_tables([pq.read_table(n, filesystem=system, columns=["row", "pos", "check", "ids"], partitioning=None)
                                               for n in names]).sort_by([("row", "ascending"), ("pos", "ascending")]).combine_chunks()
 
-    def fill(self, b: pa.RecordBatch) -> pa.Array:
-        """The batch's ids, its holes filled from the next rows of the split."""
-        ids = b.column("ids")
-        holes = np.flatnonzero(b.column("ids").is_null().to_numpy(zero_copy_only=False) & b.column("word_here").to_numpy(zero_copy_only=False))
+    def fill(self, ids: pa.ListArray, b: pa.RecordBatch, ends: np.ndarray, n: np.ndarray) -> pa.ListArray:
+        """The ids of the batch's words, of which each document has ``n`` up to
+        ``ends``; holes are filled from the next rows of the split."""
+        holes = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
         if not len(holes):
             return ids
+        doc = np.searchsorted(ends, holes, side="right")
+        want = {"row": b.column("row").to_numpy()[doc], "pos": holes - (ends - n)[doc], "check": b.column("check").to_numpy()[doc]}
         part = self.rows.slice(self.at, len(holes)) if self.rows is not None else None
         self.at += len(holes)
-        if part is None or part.num_rows < len(holes) or any(
-                not np.array_equal(part.column(c).to_numpy(), b.column(c).to_numpy(zero_copy_only=False)[holes]) for c in ("row", "pos", "check")):
+        if part is None or part.num_rows < len(holes) or any(not np.array_equal(part.column(c).to_numpy(), v) for c, v in want.items()):
             raise ValueError("the documents are split in another way than before; store them first")
         take = np.arange(len(ids))
         take[holes] = len(ids) + np.arange(len(holes))
         return pa.concat_arrays([ids, part.column("ids").combine_chunks().cast(ids.type)]).take(pa.array(take))
 
 
-def gathered(batches, values_of):
-    """From rows ``doc_id, row, pos`` in order, (doc_id, values of all its
-    rows) of each ``row``; ``values_of(batch)`` has a list for each row."""
-    held: list[np.ndarray] = []
-    last_row, last_pos, last_id = None, -1, None
+_LOADED: dict[str, tuple[pa.Array, pa.Array]] = {}
+
+
+def _frequent(folder: str) -> tuple[pa.Array, pa.Array]:
+    """The process's copy of the frequent words and their ids (workers are reused)."""
+    if folder not in _LOADED:
+        _LOADED.clear()
+        system = shared_fs(folder)[0]
+        found = pa.concat_tables([pq.read_table(n, filesystem=system, columns=["word", "ids"], partitioning=None)
+                                  for n in list_files(folder, ".parquet")])
+        _LOADED[folder] = found["word"].combine_chunks(), found["ids"].combine_chunks()
+    return _LOADED[folder]
+
+
+def _encode(batches, frequent: tuple[pa.Array, pa.Array], split: _Split, words: int = SLICE_WORDS):
+    """Batches ``doc_id, ids`` of documents ``doc_id, row, check, words``, of
+    which about ``words`` words are looked up at a time."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        lists = values_of(b)
-        rows, pos = b.column("row").to_numpy(), b.column("pos").fill_null(0).to_numpy()
-        sizes = lists.value_lengths().fill_null(0).to_numpy()
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes)
-        first = np.concatenate(([last_row is None or rows[0] != last_row], rows[1:] != rows[:-1]))
-        expected = np.concatenate(([0 if first[0] else last_pos + 1], np.where(first[1:], 0, pos[:-1] + 1)))
-        if not np.array_equal(pos, expected):
-            raise ValueError("rows of a document are out of order")
-        starts = np.flatnonzero(first)
-        cuts = np.concatenate(([0], ends))[starts]
-        doc_ids = b.column("doc_id")
-        parts = np.split(flat, cuts)
-        held.append(parts[0])
-        for k, part in zip(starts.tolist(), parts[1:]):
-            if last_row is not None:
-                yield last_id, np.concatenate(held) if len(held) > 1 else held[0]
-            held, last_row, last_id = [part], rows[k], doc_ids[k].as_py()
-        last_pos = pos[-1]
-    if last_row is not None:
-        yield last_id, np.concatenate(held)
-
-
-def _batched(pairs, kind: pa.DataType, names: list[str], rows: int = 500, values: int = 500_000):
-    """Record batches of (id, array) pairs."""
-    ids, arrays, n = [], [], 0
-
-    def batch():
-        ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(
-            pa.array(ends), pa.array(np.concatenate(arrays), kind))], names)
-
-    for doc_id, array in pairs:
-        ids.append(doc_id)
-        arrays.append(array)
-        n += len(array)
-        if len(ids) >= rows or n >= values:
-            yield batch()
-            ids, arrays, n = [], [], 0
-    if ids:
-        yield batch()
+        total = np.cumsum(b.column("words").value_lengths().fill_null(0).to_numpy())
+        first = 0
+        while first < b.num_rows:
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + words, side="right")))
+            part, first = b.slice(first, last - first), last
+            n = part.column("words").value_lengths().fill_null(0).to_numpy()
+            ends = np.cumsum(n)
+            found = frequent[1].take(pc.index_in(part.column("words").flatten(), value_set=frequent[0]))
+            ids = split.fill(found, part, ends, n)
+            places = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())))
+            cuts = places[np.concatenate(([0], ends))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts), ids.flatten())], ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str | None = None, max_bytes: int = FREQUENT_BYTES) -> DataFrame:
@@ -254,18 +247,17 @@ def _encoded(docs: DataFrame, path: str | None, max_bytes: int, finish, schema:
     rows, added = _rows(docs), added_tokens(path)
     table = word_table(docs, path)
     frequent, least, rest = frequent_words(table, max_bytes)
+    often = scratch_dir(docs.sparkSession, "frequent-words")
+    frequent.select("word", "ids").write.parquet(often)
     folder = None
     if rest:
         folder = scratch_dir(docs.sparkSession, "word-ids")
         _rest_by_split(positions(rows, added), frequent, table.filter(F.col("n") < least), folder)
 
     def run(batches):
-        split = _Split(folder)
-        yield from finish(_batched(gathered(batches, split.fill), pa.int32(), ["doc_id", "ids"]))
+        yield from finish(_encode(batches, _frequent(often), _Split(folder)))
 
-    placed = positions(rows, added).join(F.broadcast(frequent.select("word", "ids")), "word", "left")
-    return placed.select("doc_id", "row", "pos", "check", F.col("word").isNotNull().alias("word_here"), "ids") \
-        .mapInArrow(run, schema)
+    return split_rows(rows, added).mapInArrow(run, schema)
 
 
 def pieces(path: str) -> list[bytes]:

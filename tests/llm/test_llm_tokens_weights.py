@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from brute import words
@@ -246,3 +247,24 @@ def test_digests_are_made_where_ids_are_made(spark):
     got = bpe_words.encoded_digests(docs, max_bytes=200)
     assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(got.collect()) == sorted(bpe_words.digests(bpe_words.encode(docs)).collect())
+
+
+def test_no_word_becomes_a_row_on_its_way_to_its_ids(spark):
+    """A row for every word, joined and handed to Python, was most of the time."""
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
+    plan = bpe_words.encoded_digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("words", [1, 3, 1000])
+def test_words_are_looked_up_in_slices(words):
+    table = pa.array(["a", " b", " c"]), pa.array([[1], [2, 3], []], pa.list_(pa.int32()))
+    docs = [(0, ["a", " b"]), (1, None), (None, []), (3, [" b", " c", "a", " b"]), (4, ["a"])]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array(range(5)), pa.array([7] * 5), pa.array([w for _, w in docs])],
+                                       ["doc_id", "row", "check", "words"])
+    got = list(bpe_words._encode([batch], table, bpe_words._Split(None), words))
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(0, [1, 2, 3]), (1, []), (None, []), (3, [2, 3, 1, 2, 3]), (4, [1])]
+    assert len(got) == {1: 4, 3: 3, 1000: 1}[words]
+    unknown = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([["a", "zz"]] * 5)], batch.schema.names)
+    with pytest.raises(ValueError, match="split in another way"):
+        list(bpe_words._encode([unknown], table, bpe_words._Split(None)))
