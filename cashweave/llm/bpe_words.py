@@ -42,11 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashweave.llm.alignment import _byte_alphabet
-from cashweave.llm.common import list_files, scratch_dir, shared_fs, stored
+from cashweave.llm.common import arrow_records, list_files, scratch_dir, shared_fs, stored
 
 FREQUENT_BYTES = 40 << 20       # of the frequent words, ids and their row overhead
 ROW_BYTES = 64
 SLICE_WORDS = 500_000           # words that a task looks up at a time
+ARROW_ROWS = 250                # documents in an Arrow batch
 
 # Fixed value: the split of byte-level BPE, with Unicode's white space spelled
 # out, which Java's \s is not. <L> and <N> stand for further letters and numbers.
@@ -216,6 +217,18 @@ def _frequent(folder: str) -> tuple[pa.Array, pa.Array]:
     return _LOADED[folder]
 
 
+def _looked_up(words: pa.Array, among: pa.Array) -> pa.Array:
+    """Each word's place in ``among``, whose words are distinct, or null. The
+    hash table is of the slice's distinct words, far fewer than ``among`` has."""
+    coded = words.dictionary_encode()
+    at = pc.index_in(among, value_set=coded.dictionary)
+    held = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    places = np.full(len(coded.dictionary), -1)
+    places[at.drop_null().to_numpy()] = held
+    places = pa.array(places, pa.int32(), mask=places < 0)
+    return places.take(coded.indices)
+
+
 def _encode(batches, frequent: tuple[pa.Array, pa.Array], split: _Split, words: int = SLICE_WORDS):
     """Batches ``doc_id, ids`` of documents ``doc_id, row, check, words``, of
     which about ``words`` words are looked up at a time."""
@@ -227,8 +240,7 @@ def _encode(batches, frequent: tuple[pa.Array, pa.Array], split: _Split, words:
             part, first = b.slice(first, last - first), last
             n = part.column("words").value_lengths().fill_null(0).to_numpy()
             ends = np.cumsum(n)
-            found = frequent[1].take(pc.index_in(part.column("words").flatten(), value_set=frequent[0]))
-            ids = split.fill(found, part, ends, n)
+            ids = split.fill(frequent[1].take(_looked_up(part.column("words").flatten(), frequent[0])), part, ends, n)
             places = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())))
             cuts = places[np.concatenate(([0], ends))].astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts), ids.flatten())], ["doc_id", "ids"])
@@ -248,7 +260,7 @@ def _encoded(docs: DataFrame, path: str | None, max_bytes: int, finish, schema:
     table = word_table(docs, path)
     frequent, least, rest = frequent_words(table, max_bytes)
     often = scratch_dir(docs.sparkSession, "frequent-words")
-    frequent.select("word", "ids").write.parquet(often)
+    frequent.select("word", "ids").repartition(4).write.parquet(often)      # all tasks list and read them
     folder = None
     if rest:
         folder = scratch_dir(docs.sparkSession, "word-ids")
@@ -256,6 +268,7 @@ def _encoded(docs: DataFrame, path: str | None, max_bytes: int, finish, schema:
 
     def run(batches):
         yield from finish(_encode(batches, _frequent(often), _Split(folder)))
+        pa.default_memory_pool().release_unused()      # the worker stays and would hold it
 
     return split_rows(rows, added).mapInArrow(run, schema)
 
@@ -330,3 +343,11 @@ def encoded_digests(docs: DataFrame, path: str | None = None, max_bytes: int = F
     """``digests`` of what ``encode`` gives, a few hundred documents at a time
     in the task that encodes them: their ids are not handed to the JVM and back."""
     return _encoded(docs, path, max_bytes, _digests(pieces(path or default_bpe())), DIGESTS)
+
+
+def stored_digests(docs: DataFrame, path: str | None = None, max_bytes: int = FREQUENT_BYTES) -> DataFrame:
+    """``encoded_digests``, stored: its tasks are handed ``ARROW_ROWS`` documents
+    with their words at a time, where a default batch is a whole input split."""
+    found = encoded_digests(docs, path, max_bytes)      # the word table has batches of its own
+    with arrow_records(docs.sparkSession, ARROW_ROWS):
+        return stored(found, "digests")

@@ -73,7 +73,7 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_words.encoded_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return bpe_words.stored_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

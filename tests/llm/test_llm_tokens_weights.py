@@ -249,6 +249,19 @@ def test_digests_are_made_where_ids_are_made(spark):
     assert sorted(got.collect()) == sorted(bpe_words.digests(bpe_words.encode(docs)).collect())
 
 
+def test_digests_are_stored_from_small_batches(spark, monkeypatch):
+    """A batch of 10,000 documents with their words was too much memory."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before, stored = spark.conf.get(key), bpe_words.stored
+    monkeypatch.setattr(bpe_words, "stored", lambda df, tag: seen.update({tag: int(spark.conf.get(key))}) or stored(df, tag))
+    monkeypatch.setattr(bpe_words, "ARROW_ROWS", 2)
+    docs = spark.createDataFrame(list(enumerate(["first text of words", "", None, "first words 123"] * 3)), "doc_id long, text string")
+    got = bpe_words.stored_digests(docs)
+    assert seen["digests"] == 2 and spark.conf.get(key) == before
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.collect()) == sorted(bpe_words.digests(bpe_words.encode(docs)).collect())
+
+
 def test_no_word_becomes_a_row_on_its_way_to_its_ids(spark):
     """A row for every word, joined and handed to Python, was most of the time."""
     docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
@@ -256,6 +269,18 @@ def test_no_word_becomes_a_row_on_its_way_to_its_ids(spark):
     assert "MapInArrow" in plan and "Generate" not in plan and "Join" not in plan
 
 
+def test_a_look_up_holds_less_than_the_frequent_words():
+    """A hash table of all frequent words for every slice was most of a worker's memory."""
+    among = pa.array([f"word {k}" for k in range(300_000)])
+    words = pa.array(["word 7", None, "none", "word 299999", "word 7", "none"])
+    pa.default_memory_pool().release_unused()
+    before, most = pa.total_allocated_bytes(), pa.default_memory_pool().max_memory()
+    assert bpe_words._looked_up(words, among).to_pylist() == [7, None, None, 299_999, 7, None]
+    assert bpe_words._looked_up(words.slice(4), among.slice(0, 10)).to_pylist() == [7, None]
+    assert bpe_words._looked_up(words.slice(0, 0), among).to_pylist() == []
+    assert pa.default_memory_pool().max_memory() <= max(most, before + among.nbytes)
+
+
 @pytest.mark.parametrize("words", [1, 3, 1000])
 def test_words_are_looked_up_in_slices(words):
     table = pa.array(["a", " b", " c"]), pa.array([[1], [2, 3], []], pa.list_(pa.int32()))
