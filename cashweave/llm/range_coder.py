@@ -8,12 +8,16 @@ so blocks can be read on their own, and carries a CRC-32 of its ids. Per id:
 * the two confidences and whether the proposals agree choose a mixing context,
   whose adaptive counts share the coding range among "order 2 is right",
   "order 1 is right", "an id seen in this block" and "a new id";
-* a seen id is then coded by its order-0 frequency, a new one at 16 or 32 bits.
+* a seen id is then coded by its order-0 frequency, a new one at 16 bits or as
+  many as the vocabulary takes.
 
 Order-0 frequencies are brought up to date every so many ids, the contexts and
 the mixing counts at every id. The coder is a carry-less range coder of 64 bits
 that puts out 16 at a time. Many blocks are coded in step, one id of each at a
 time, which lets numpy do the arithmetic; blocks don't influence each other.
+The range stays wide enough for a kind and an id, so it is settled once an id.
+What doesn't depend on the coder's state, the order-0 intervals of the ids up to
+the next refresh, is looked up for all of them at once when writing.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ import zlib
 import numpy as np
 
 BLOCK = 4_096
-LANES = 1024                 # blocks coded in step; bounds the memory of a task
+LANES = 2048                 # blocks coded in step; bounds the memory of a task
+GROUP_LANES = 64             # of which so many look up their ids at a time
 SLOTS = 1 << 13              # resolution of the order-0 frequencies, twice the ids of a block
 SLOT_BITS = SLOTS.bit_length() - 1
 CONTEXTS = 1 << 12           # entries of each context table
@@ -37,54 +42,49 @@ TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
 class _Coder:
     """Range coder state of all lanes, writing or reading 16-bit words."""
 
-    def __init__(self, lanes: int, words: np.ndarray | None):
+    def __init__(self, lanes: int, bottom: int, words: np.ndarray | None):
         self.low = np.zeros(lanes, U64)
         self.range = np.full(lanes, (1 << 64) - 1, U64)
+        self.bottom = U64(bottom)
         self.reads = words is not None
         self.words = words if words is not None else np.zeros((lanes, 3 * BLOCK + 8), np.uint16)
-        self.at = np.zeros(lanes, np.int64)
+        self.flat, self.at = self.words.reshape(-1), np.arange(lanes) * self.words.shape[1]
+        self.end = self.at + self.words.shape[1]
         self.code = np.zeros(lanes, U64)
         if self.reads:
-            for _ in range(4):
-                self._read(np.arange(lanes))
-
-    def _read(self, lanes: np.ndarray) -> None:
-        self.code[lanes] = self.code[lanes] << U64(16) | self.words[lanes, self.at[lanes]].astype(U64)
-        self.at[lanes] += 1
-
-    def target(self, lanes: np.ndarray, bits: int) -> np.ndarray:
-        """Where in [0, 2**bits) the next symbol lies."""
-        step = self.range[lanes] >> U64(bits)
-        return np.minimum((self.code[lanes] - self.low[lanes]) // step, U64((1 << bits) - 1)).astype(np.int64)
-
-    def code_interval(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        step = self.range[lanes] >> U64(bits)
-        low = self.low[lanes] + step * start.astype(U64)
-        rng = step * size.astype(U64)
-        while True:
-            settled = (low ^ (low + rng)) < TOP
-            out = settled | (rng < BOTTOM)
-            if not out.any():
-                break
-            small = out & ~settled
-            rng[small] = (~low[small] + U64(1)) & (BOTTOM - U64(1))
-            w = lanes[out]
+            for k in range(4):
+                self.code = self.code << U64(16) | self.words[:, k].astype(U64)
+            self.at += 4
+
+    def settle(self, n: int) -> None:
+        """Put out, or take in, the words that are settled in the first ``n`` lanes."""
+        low, rng = self.low[:n], self.range[:n]
+        lanes = np.flatnonzero(((low ^ (low + rng)) < TOP) | (rng < self.bottom))
+        low, rng = low.take(lanes), rng.take(lanes)
+        while len(lanes):
+            small = np.flatnonzero((low ^ (low + rng)) >= TOP)
+            if len(small):
+                rng[small] = (~low[small] + U64(1)) & (self.bottom - U64(1))
+            at = self.at.take(lanes)
             if self.reads:
-                self._read(w)
+                if (at >= self.end.take(lanes)).any():
+                    raise IndexError("words run out")
+                self.code[lanes] = self.code.take(lanes) << U64(16) | self.flat.take(at).astype(U64)
             else:
-                self.words[w, self.at[w]] = (low[out] >> U64(48)).astype(np.uint16)
-                self.at[w] += 1
-            low[out] <<= U64(16)
-            rng[out] <<= U64(16)
-        self.low[lanes], self.range[lanes] = low, rng
+                self.flat[at] = (low >> U64(48)).astype(np.uint16)
+            self.at[lanes] = at + 1
+            low, rng = low << U64(16), rng << U64(16)
+            self.low[lanes], self.range[lanes] = low, rng
+            more = np.flatnonzero(((low ^ (low + rng)) < TOP) | (rng < self.bottom))
+            lanes, low, rng = lanes.take(more), low.take(more), rng.take(more)
 
     def finish(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
         for _ in range(4):
-            self.words[lanes, self.at] = (self.low >> U64(48)).astype(np.uint16)
+            self.flat[self.at] = (self.low >> U64(48)).astype(np.uint16)
             self.at += 1
             self.low <<= U64(16)
-        return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
+        width = self.words.shape[1]
+        return [self.words[i, :n - i * width].astype("<u2").tobytes() for i, n in enumerate(self.at.tolist())]
 
 
 def _refresh_at(length: int) -> set[int]:
@@ -93,112 +93,150 @@ def _refresh_at(length: int) -> set[int]:
 
 
 class _Order0:
-    """Order-0 frequencies of the ids each lane has seen."""
+    """Order-0 frequencies of the ids each lane has seen, distinct ones in order."""
 
     def __init__(self, lanes: int, vocabulary: int):
-        self.index = np.full((lanes, vocabulary), -1, np.int16)
-        self.ids = np.zeros((lanes, BLOCK), np.uint32)
-        self.counts = np.zeros((lanes, BLOCK), np.int32)
-        self.known = np.zeros(lanes, np.int64)
-        self.slot = np.zeros((lanes, SLOTS), np.int16)
-        self.start = self.size = np.zeros((lanes, 1), np.int32)
-
-    def refresh(self, ids: np.ndarray) -> None:
-        """Take in the ids (lane x time) since the last refresh."""
-        lanes = len(ids)
-        for lane in range(lanes):
-            new = np.unique(ids[lane])
-            new = new[self.index[lane, new] < 0]
-            k = int(self.known[lane])
-            self.index[lane, new] = np.arange(k, k + len(new))
-            self.ids[lane, k:k + len(new)] = new
-            self.known[lane] = k + len(new)
-        np.add.at(self.counts, (np.arange(lanes)[:, None], self.index[np.arange(lanes)[:, None], ids]), 1)
-        width = int(self.known.max())
-        counts = self.counts[:, :width].astype(np.int64)
-        spare = (SLOTS - self.known)[:, None]
-        size = (counts > 0) + counts * spare // np.maximum(1, counts.sum(1, keepdims=True))
-        size[:, 0] += SLOTS - size.sum(1)
-        self.size = size.astype(np.int32)
-        self.start = (np.cumsum(size, 1) - size).astype(np.int32)
-        which = np.broadcast_to(np.arange(width, dtype=np.int16), size.shape)
-        self.slot = np.repeat(which.ravel(), size.ravel()).reshape(lanes, SLOTS)
+        self.vocabulary, self.known = vocabulary, np.zeros(lanes, np.int64)
+        self.first = np.zeros(lanes, np.int64)      # each lane's first distinct id in ids and packed
+        self.ids = self.packed = np.zeros(0, np.int64)
+        self.slot = np.zeros(0, np.int16)
+
+    def refresh(self, ids: np.ndarray, slots: bool) -> None:
+        """Take in all ids (lane x time) so far; ``slots``: for decoding."""
+        lanes, length = ids.shape
+        ordered = np.sort(ids, axis=1)
+        distinct = np.ones(ids.shape, bool)
+        np.not_equal(ordered[:, 1:], ordered[:, :-1], out=distinct[:, 1:])
+        place = np.flatnonzero(distinct)
+        self.ids = ordered.reshape(-1).take(place).astype(np.int64)
+        self.known = distinct.sum(1)
+        self.first = np.cumsum(self.known) - self.known
+        # One correctly rounded division and product: the same on every machine.
+        size = (np.diff(place, append=ids.size) * np.repeat((SLOTS - self.known) / length, self.known)).astype(np.int64) + 1
+        size[self.first] += SLOTS - np.add.reduceat(size, self.first)
+        start = np.cumsum(size) - size
+        self.packed = (start & (SLOTS - 1)) << 16 | size      # every lane has all of its SLOTS
+        if slots:
+            k = np.arange(len(size)) - np.repeat(self.first, self.known)
+            self.slot = np.repeat(k.astype(np.int16), size)
+
+    def ahead(self, ids: np.ndarray, id_bits: int):
+        """Of ids to come (lane x time), up to the next refresh: kind, bits,
+        start and size, each time x lane."""
+        places = np.full(ids.shape, -1, np.int64)
+        table = np.full((min(GROUP_LANES, len(ids)), self.vocabulary), -1, np.int32)
+        for a in range(0, len(ids) if len(self.ids) else 0, GROUP_LANES):
+            b = min(a + GROUP_LANES, len(ids))
+            i, j = self.first[a], self.first[b] if b < len(ids) else len(self.ids)
+            at = np.repeat(np.arange(b - a), self.known[a:b]) * self.vocabulary + self.ids[i:j]
+            table.reshape(-1)[at] = np.arange(i, j)
+            places[a:b] = table.reshape(-1).take(np.arange(b - a)[:, None] * self.vocabulary + ids[a:b])
+            table.reshape(-1)[at] = -1
+        known = places >= 0
+        packed = self.packed.take(np.maximum(places, 0)) if len(self.packed) else places
+        return (np.ascontiguousarray(c.T) for c in (
+            3 - known, np.where(known, SLOT_BITS, id_bits).astype(U64),
+            np.where(known, packed >> 16, ids).astype(U64), np.where(known, packed & 0xFFFF, 1).astype(U64)))
+
+
+def _shares(counts: np.ndarray, total: np.ndarray):
+    """Ends of the first three of four shares of ``1 << MIX_BITS``."""
+    rate = ((1 << MIX_BITS) - 4) / total
+    a = (counts[:, 0] * rate).astype(np.int64) + 1
+    b = (counts[:, 1] * rate).astype(np.int64) + a + 1
+    return a, b, (counts[:, 2] * rate).astype(np.int64) + b + 1
 
 
 def _run(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, words: np.ndarray | None):
     """Code (``ids`` given) or decode (``words`` given) lanes of equal or
     descending ``lengths`` in step."""
     lanes, longest = len(lengths), int(lengths.max(initial=0))
-    coder, order0 = _Coder(lanes, words), _Order0(lanes, vocabulary)
     decoding = words is not None
-    out = np.zeros((lanes, longest), np.int64) if decoding else ids
-    guess = [np.zeros((lanes, CONTEXTS), np.uint32) for _ in range(2)]
-    trust = [np.zeros((lanes, CONTEXTS), np.int8) for _ in range(2)]
-    mix = np.ones((lanes, 32, 4), np.int32)
-    every = np.arange(lanes)
+    id_bits = max(16, int(vocabulary - 1).bit_length())
+    coder, order0 = _Coder(lanes, 1 << MIX_BITS + id_bits, words), _Order0(lanes, vocabulary)
+    by_time = np.zeros((longest, lanes), np.int32) if decoding else np.ascontiguousarray(ids.T)
+    guess = [np.zeros(lanes * CONTEXTS, np.int32) for _ in range(2)]      # id << 2 | confidence
+    mix = np.ones((lanes * 32, 4), np.int32)
+    of_context, of_mix, every = np.arange(lanes) * CONTEXTS, np.arange(lanes) * 32, np.arange(lanes)
     p1 = np.zeros(lanes, np.int64)
     p2 = np.zeros(lanes, np.int64)
-    id_bits = max(16, int(vocabulary - 1).bit_length())
-    refresh, since = _refresh_at(longest), 0
+    stops = sorted(t for t in _refresh_at(longest) if t < longest) + [longest]
+    since = 0
     for t in range(longest):
-        if t in refresh:
-            order0.refresh(out[:, since:t] if lengths[-1] >= t else _padded(out, lengths, since, t))
-            since = t
+        if t == since or t == stops[0]:
+            if t:
+                order0.refresh(_padded(by_time, lengths, t), decoding)
+                since = t
+                stops.pop(0)
+            if not decoding:
+                kinds, bits, starts, sizes = order0.ahead(ids[:, t:stops[0]], id_bits)
         n = int(np.searchsorted(-lengths, -t, side="left")) if lengths[-1] <= t else lanes   # lanes longer than t
-        lane = every[:n]
-        h1 = (p1[:n] * 40503 >> 2) % CONTEXTS
-        h2 = (p1[:n] * 26039 + p2[:n] * 48271 >> 3) % CONTEXTS
-        g2, g1 = guess[1][lane, h2].astype(np.int64), guess[0][lane, h1].astype(np.int64)
-        c2, c1 = trust[1][lane, h2].astype(np.int64), trust[0][lane, h1].astype(np.int64)
-        context = c2 * 8 + c1 * 2 + (g2 == g1)
-        counts = mix[lane, context]
-        total = counts.sum(1)
-        share = 1 + counts * ((1 << MIX_BITS) - 4) // total[:, None]
-        share[:, 3] += (1 << MIX_BITS) - share.sum(1)
-        edge = np.cumsum(share, 1)
+        a1, a2 = p1[:n], p2[:n]
+        h1 = of_context[:n] + ((a1 * 40503 >> 2) & (CONTEXTS - 1))
+        h2 = of_context[:n] + ((a1 * 26039 + a2 * 48271 >> 3) & (CONTEXTS - 1))
+        e2, e1 = guess[1].take(h2), guess[0].take(h1)
+        g2, g1 = e2 >> 2, e1 >> 2
+        c2, c1 = e2 & 3, e1 & 3
+        context = of_mix[:n] + (c2 * 8 + c1 * 2 + (g2 == g1))
+        counts = mix.take(context, axis=0)
+        total = counts[:, 0] + counts[:, 1] + counts[:, 2] + counts[:, 3]
+        ends = np.empty((5, n), np.int64)
+        ends[0], ends[4] = 0, 1 << MIX_BITS
+        ends[1], ends[2], ends[3] = _shares(counts, total)
+        low, rng = coder.low[:n], coder.range[:n]
+        step = rng >> U64(MIX_BITS)
         if decoding:
-            where = coder.target(lane, MIX_BITS)
-            kind = (where[:, None] >= edge[:, :3]).sum(1)
+            edge = ends.view(U64)
+            ahead = coder.code[:n] - low
+            kind = (ahead >= step * edge[1]).astype(np.int64) + (ahead >= step * edge[2]) + (ahead >= step * edge[3])
         else:
-            x = ids[:n, t]
-            known = order0.index[lane, x] >= 0
-            kind = np.where(x == g2, 0, np.where(x == g1, 1, np.where(known, 2, 3)))
-        coder.code_interval(lane, edge[lane, kind] - share[lane, kind], share[lane, kind], MIX_BITS)
+            x = by_time[t, :n]
+            kind = np.where(x == g2, 0, np.where(x == g1, 1, kinds[t - since, :n]))
+        at = kind * n + every[:n]
+        start = ends.reshape(-1).take(at)
+        size = ends.reshape(-1).take(at + n) - start
+        low += step * start.view(U64)
+        np.multiply(step, size.view(U64), out=rng)
         if decoding:
-            x = np.where(kind == 0, g2, g1)
-        seen = np.flatnonzero(kind == 2)
-        if len(seen):
-            if decoding:
-                k = order0.slot[seen, coder.target(seen, SLOT_BITS)].astype(np.int64)
-                x[seen] = order0.ids[seen, k]
-            else:
-                k = order0.index[seen, x[seen]].astype(np.int64)
-            coder.code_interval(seen, order0.start[seen, k], order0.size[seen, k], SLOT_BITS)
-        new = np.flatnonzero(kind == 3)
-        if len(new):
-            if decoding:
-                x[new] = coder.target(new, id_bits)
-            coder.code_interval(new, x[new], np.ones(len(new), np.int64), id_bits)
-        if decoding:
-            out[:n, t] = x
-        mix[lane, context, kind] += 24
+            x = np.where(kind == 0, g2, g1).astype(np.int64)
+            for which, width in ((2, SLOT_BITS), (3, id_bits)):
+                lane = np.flatnonzero(kind == which)
+                if not len(lane):
+                    continue
+                step, base = rng.take(lane) >> U64(width), low.take(lane)
+                where = np.minimum((coder.code.take(lane) - base) // step, U64((1 << width) - 1)).view(np.int64)
+                if which == 3:
+                    x[lane] = where
+                    low[lane], rng[lane] = base + step * where.view(U64), step
+                else:
+                    k = order0.slot.take(lane * SLOTS + where).astype(np.int64)
+                    k += order0.first.take(lane)
+                    x[lane] = order0.ids.take(k)
+                    packed = order0.packed.take(k).view(U64)
+                    low[lane], rng[lane] = base + step * (packed >> U64(16)), step * (packed & U64(0xFFFF))
+            by_time[t, :n] = x
+        else:
+            row, lane = t - since, np.flatnonzero(kind >= 2)
+            step = rng.take(lane) >> bits[row].take(lane)
+            low[lane] += step * starts[row].take(lane)
+            rng[lane] = step * sizes[row].take(lane)
+        coder.settle(n)
+        mix.reshape(-1)[context * 4 + kind] += 24
         full = np.flatnonzero(total > 6000)
         if len(full):
-            mix[full, context[full]] = (mix[full, context[full]] + 1) >> 1
-        for table, sure, h, g, c in ((guess[0], trust[0], h1, g1, c1), (guess[1], trust[1], h2, g2, c2)):
-            right = g == x
-            sure[lane, h] = np.where(right, np.minimum(c + 1, 3), np.maximum(c - 1, 0))
-            table[lane, h] = np.where(right | (c > 1), g, x)
+            mix[context[full]] = (mix[context[full]] + 1) >> 1
+        for table, h, e, g, c in ((guess[0], h1, e1, g1, c1), (guess[1], h2, e2, g2, c2)):
+            table[h] = np.where(g == x, e + (c < 3), np.where(c > 1, e - 1, x << 2))
         p2[:n] = p1[:n]
         p1[:n] = x
-    return out if decoding else coder.finish()
+    return np.ascontiguousarray(by_time.T) if decoding else coder.finish()
 
 
-def _padded(out: np.ndarray, lengths: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Ids a..b of each lane; a lane that has ended repeats what no longer matters."""
-    part = out[:, a:b].copy()
-    for lane in np.flatnonzero(lengths < b):
-        part[lane, max(0, int(lengths[lane]) - a):] = 0
+def _padded(by_time: np.ndarray, lengths: np.ndarray, t: int) -> np.ndarray:
+    """The first ``t`` ids, lane x time; of a lane that has ended, what no longer matters."""
+    part = np.ascontiguousarray(by_time[:t].T, np.int32)
+    for lane in np.flatnonzero(lengths < t):
+        part[lane, int(lengths[lane]):] = 0
     return part
 
 
@@ -206,7 +244,7 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     """Blocks (header and payload) of a run of at most ``LANES * BLOCK`` ids."""
     starts = range(0, len(ids), BLOCK)
     lengths = np.array([min(BLOCK, len(ids) - s) for s in starts], np.int64)
-    table = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
+    table = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int32)
     for row, s, n in zip(table, starts, lengths):
         row[:n] = ids[s:s + n]
     payloads = _run(lengths, vocabulary, table, None)

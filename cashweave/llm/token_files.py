@@ -30,7 +30,7 @@ from cashweave.llm import range_coder as rc
 from cashweave.llm.common import list_files, scratch_dir, shared_fs, shuffle_partitions, stored
 from cashweave.llm.token_ids import default_tokenizer, encoder
 
-MAGIC = b"CWIDS1\n\0"
+MAGIC = b"CWIDS2\n\0"
 TAIL = "<QQI"                       # footer's place, its length, vocabulary
 DOCUMENT = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("n", "<u8")])
 GROUP = rc.LANES * rc.BLOCK
@@ -138,12 +138,17 @@ def read_coded_file(fs, name: str):
             first += n
 
 
+def one_a_task(files: DataFrame) -> DataFrame:
+    """The files in ranges of ``part``, one each; by a hash, some tasks had several."""
+    return files.repartitionByRange(max(1, files.count()), "part")
+
+
 def read_coded(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document in the files,
     ``start`` counted over all files."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = stored(files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "placed")
-    spread = placed.repartition(max(1, placed.count()), "part").select("file", "base")
+    spread = one_a_task(placed).select("file", "base")
 
     def run(batches):
         for b in batches:

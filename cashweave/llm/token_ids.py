@@ -83,11 +83,10 @@ class Encoder:
             return self._library(text)
         if len(self.words) >= CACHE_WORDS:
             self.words = {"": b""}
-        known = self.words.get
-        out = []
-        for word in text.replace("\n", " ").split(" "):
-            ids = known(word)
-            out.append(self._word(word) if ids is None else ids)
+        known, words = self.words.get, text.replace("\n", " ").split(" ")
+        out = list(map(known, words))
+        if None in out:
+            out = [(known(w) or self._word(w)) if ids is None else ids for w, ids in zip(words, out)]
         return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:

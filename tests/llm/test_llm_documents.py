@@ -412,6 +412,29 @@ def test_coder_round_trips(size, top):
     assert np.array_equal(rc.decode_blocks(cut, top + 1), ids)
 
 
+def test_lanes_of_unlike_ids_round_trip(monkeypatch):
+    """Lanes that repeat themselves, lanes of new ids, a short last lane, more
+    lanes than look up their ids together; a block's bytes are its own."""
+    from cashweave.llm import range_coder as rc
+
+    monkeypatch.setattr(rc, "GROUP_LANES", 2)
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([np.zeros(rc.BLOCK, np.int64), rng.permutation(60_000)[:rc.BLOCK], np.tile(rng.integers(0, 49_000, 64), rc.BLOCK // 64),
+                          rng.zipf(1.3, rc.BLOCK) % 49_000, np.arange(rc.BLOCK) // 3, rng.integers(0, 9, 1500)])
+    blocks = rc.encode_blocks(ids, 60_000)
+    cut = [(*rc.HEADER.unpack(b[:12])[::2], b[12:]) for b in blocks]
+    assert np.array_equal(rc.decode_blocks(cut, 60_000), ids)
+    assert np.array_equal(rc.decode_blocks(cut[::-1], 60_000)[:1500], ids[-1500:])
+    assert blocks[3] == rc.encode_blocks(ids[3 * rc.BLOCK:4 * rc.BLOCK], 60_000)[0]
+    assert len(blocks[0]) < 100 and len(blocks[2]) < rc.BLOCK
+
+
+def test_a_task_reads_one_file(spark):
+    files = spark.createDataFrame([(k, f"file {k}") for k in range(40)], "part int, file string")
+    assert [len(part) for part in token_files.one_a_task(files).rdd.glom().collect()] == [1] * 40
+    assert token_files.one_a_task(files.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("block", [1, 3, 7, 1000])
 def test_separator_scan_stitches_blocks(spark, tmp_path, block):
     contents = [[1, 2, 9, 3, 9], [9, 9, 4, 5, 6, 7, 8, 1, 2, 3], [5], [9]]
