@@ -6,18 +6,20 @@ so blocks can be read on their own, and carries a CRC-32 of its ids. Per id:
 * the order-2 context (the two ids before) and the order-1 context each
   propose the id they last saw, with a confidence;
 * the two confidences and whether the proposals agree choose a mixing context,
-  whose adaptive counts share the coding range among "order 2 is right",
+  whose adaptive shares divide the coding range among "order 2 is right",
   "order 1 is right", "an id seen in this block" and "a new id";
 * a seen id is then coded by its order-0 frequency, a new one at 16 bits or as
   many as the vocabulary takes.
 
 Order-0 frequencies are brought up to date every so many ids, the contexts and
-the mixing counts at every id. The coder is a carry-less range coder of 64 bits
-that puts out 16 at a time. Many blocks are coded in step, one id of each at a
-time, which lets numpy do the arithmetic; blocks don't influence each other.
-The range stays wide enough for a kind and an id, so it is settled once an id.
-What doesn't depend on the coder's state, the order-0 intervals of the ids up to
-the next refresh, is looked up for all of them at once when writing.
+the mixing shares at every id. The coder is a carry-less range coder of 64 bits
+that puts out 32 at a time: with at least 32 bits of range before an id, one
+look at the range after it is enough. Many blocks are coded in step, one id of
+each at a time, which lets numpy do the arithmetic; blocks don't influence each
+other. A mixing context is one 64-bit number, the ends of its four shares in 16
+bits each, so that one expression moves all of them. What doesn't depend on the
+state of the model or the coder is worked out for ``STEPS`` ids of all blocks
+at once when writing: hashes of contexts, order-0 intervals, shares.
 """
 
 from __future__ import annotations
@@ -29,62 +31,75 @@ import numpy as np
 
 BLOCK = 4_096
 LANES = 2048                 # blocks coded in step; bounds the memory of a task
-GROUP_LANES = 64             # of which so many look up their ids at a time
+GROUP_LANES = 8              # of which so many look up their ids at a time, in a table that caches hold
+STEPS = 32                   # ids of a block that are prepared together
 SLOTS = 1 << 13              # resolution of the order-0 frequencies, twice the ids of a block
 SLOT_BITS = SLOTS.bit_length() - 1
+SIZE_BITS = SLOT_BITS + 1
 CONTEXTS = 1 << 12           # entries of each context table
-MIX_BITS = 16
+MIX_BITS = 15
+RATES = ((0, 4), (512, 5))   # from which id on the shares move by which power of two
 HEADER = struct.Struct("<III")          # ids, bytes, CRC-32 of the ids as 32-bit integers
+MAX_ID_BITS = 32 - MIX_BITS + 3         # a share is never under 15 of 1 << MIX_BITS
 U64 = np.uint64
-TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
+WORD, DIGIT, FIELD = U64(32), U64((1 << 32) - 1), U64(0xFFFF)
+
+
+def _fields(values) -> np.uint64:
+    return U64(sum(v << 16 * k for k, v in enumerate(values)))
+
+
+def _rate(shift: int):
+    """Of a rate: the shift, its mask, and what each kind adds to the ends.
+    Neighbouring ends stay ``(1 << shift) - 1`` apart."""
+    top = 1 << MIX_BITS - shift
+    return U64(shift), _fields([0xFFFF >> shift] * 4), np.array(
+        [_fields([top - 3 + j if kind <= j else j + 1 for j in range(4)]) for kind in range(4)], U64)
+
+
+EVEN = _fields([(j + 1) << MIX_BITS - 2 for j in range(4)])
+
+
+def _apart(lanes: int, length: int) -> np.ndarray:
+    """Zeros, lane x time, of lanes that don't begin a power of two apart: the
+    same ids of all lanes then don't share a few places of the caches."""
+    return np.zeros((lanes, length + 16), np.int32)[:, :length]
 
 
 class _Coder:
-    """Range coder state of all lanes, writing or reading 16-bit words."""
-
-    def __init__(self, lanes: int, bottom: int, words: np.ndarray | None):
-        self.low = np.zeros(lanes, U64)
-        self.range = np.full(lanes, (1 << 64) - 1, U64)
-        self.bottom = U64(bottom)
-        self.reads = words is not None
-        self.words = words if words is not None else np.zeros((lanes, 3 * BLOCK + 8), np.uint16)
-        self.flat, self.at = self.words.reshape(-1), np.arange(lanes) * self.words.shape[1]
-        self.end = self.at + self.words.shape[1]
-        self.code = np.zeros(lanes, U64)
-        if self.reads:
-            for k in range(4):
-                self.code = self.code << U64(16) | self.words[:, k].astype(U64)
-            self.at += 4
-
-    def settle(self, n: int) -> None:
-        """Put out, or take in, the words that are settled in the first ``n`` lanes."""
-        low, rng = self.low[:n], self.range[:n]
-        lanes = np.flatnonzero(((low ^ (low + rng)) < TOP) | (rng < self.bottom))
-        low, rng = low.take(lanes), rng.take(lanes)
-        while len(lanes):
-            small = np.flatnonzero((low ^ (low + rng)) >= TOP)
-            if len(small):
-                rng[small] = (~low[small] + U64(1)) & (self.bottom - U64(1))
-            at = self.at.take(lanes)
-            if self.reads:
-                if (at >= self.end.take(lanes)).any():
-                    raise IndexError("words run out")
-                self.code[lanes] = self.code.take(lanes) << U64(16) | self.flat.take(at).astype(U64)
-            else:
-                self.flat[at] = (low >> U64(48)).astype(np.uint16)
-            self.at[lanes] = at + 1
-            low, rng = low << U64(16), rng << U64(16)
-            self.low[lanes], self.range[lanes] = low, rng
-            more = np.flatnonzero(((low ^ (low + rng)) < TOP) | (rng < self.bottom))
-            lanes, low, rng = lanes.take(more), low.take(more), rng.take(more)
+    """Range coder state of all lanes, writing or reading 32-bit words."""
+
+    def __init__(self, lanes: int, words: np.ndarray):
+        self.low, self.range, self.words = np.zeros(lanes, U64), np.full(lanes, (1 << 64) - 1, U64), words
+        self.flat, self.at = words.reshape(-1), np.arange(lanes) * words.shape[1]
+
+    def start_reading(self) -> None:
+        self.code = self.words[:, 0].astype(U64) << WORD | self.words[:, 1]
+        self.at += 2
+
+    def settle(self, n: int, reading: bool) -> None:
+        """Put out, or take in, a word in those of the first ``n`` lanes whose
+        range is used up; one that straddles a word's edge is cut there."""
+        lanes = (self.range[:n] <= DIGIT).nonzero()[0]
+        if not len(lanes):
+            return
+        low, rng, at = self.low.take(lanes), self.range.take(lanes), self.at.take(lanes)
+        room = (~low & DIGIT) + U64(1)
+        self.range[lanes] = np.minimum(rng, room, out=room) << WORD
+        if reading:
+            self.code[lanes] = self.code.take(lanes) << WORD | self.flat.take(at)
+        else:
+            self.flat[at] = low >> WORD
+        self.low[lanes] = low << WORD
+        self.at[lanes] = at + 1
 
     def finish(self) -> list[bytes]:
-        for _ in range(4):
-            self.flat[self.at] = (self.low >> U64(48)).astype(np.uint16)
+        for _ in range(2):
+            self.flat[self.at] = self.low >> WORD
             self.at += 1
-            self.low <<= U64(16)
+            self.low <<= WORD
         width = self.words.shape[1]
-        return [self.words[i, :n - i * width].astype("<u2").tobytes() for i, n in enumerate(self.at.tolist())]
+        return [self.words[i, :n - i * width].astype("<u4").tobytes() for i, n in enumerate(self.at.tolist())]
 
 
 def _refresh_at(length: int) -> set[int]:
@@ -97,157 +112,221 @@ class _Order0:
 
     def __init__(self, lanes: int, vocabulary: int):
         self.vocabulary, self.known = vocabulary, np.zeros(lanes, np.int64)
+        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.int32
         self.first = np.zeros(lanes, np.int64)      # each lane's first distinct id in ids and packed
-        self.ids = self.packed = np.zeros(0, np.int64)
-        self.slot = np.zeros(0, np.int16)
+        self.ids = self.packed = np.zeros(0, np.int32)
+        self.slot, self.whole = np.zeros(0, np.int16), np.zeros(0, U64)     # of each slot, its distinct id in order; ids with packed
 
     def refresh(self, ids: np.ndarray, slots: bool) -> None:
         """Take in all ids (lane x time) so far; ``slots``: for decoding."""
         lanes, length = ids.shape
-        ordered = np.sort(ids, axis=1)
+        ordered = ids.astype(self.kind)
+        ordered.sort(axis=1)
         distinct = np.ones(ids.shape, bool)
         np.not_equal(ordered[:, 1:], ordered[:, :-1], out=distinct[:, 1:])
         place = np.flatnonzero(distinct)
-        self.ids = ordered.reshape(-1).take(place).astype(np.int64)
-        self.known = distinct.sum(1)
-        self.first = np.cumsum(self.known) - self.known
+        self.ids = ordered.reshape(-1).take(place).astype(np.int32)
+        self.first = np.searchsorted(place, np.arange(lanes) * length)
+        self.known = np.diff(self.first, append=len(place))
         # One correctly rounded division and product: the same on every machine.
         size = (np.diff(place, append=ids.size) * np.repeat((SLOTS - self.known) / length, self.known)).astype(np.int64) + 1
         size[self.first] += SLOTS - np.add.reduceat(size, self.first)
         start = np.cumsum(size) - size
-        self.packed = (start & (SLOTS - 1)) << 16 | size      # every lane has all of its SLOTS
+        self.packed = ((start & (SLOTS - 1)) << SIZE_BITS | size).astype(np.int32)      # every lane has all of its SLOTS
         if slots:
             k = np.arange(len(size)) - np.repeat(self.first, self.known)
             self.slot = np.repeat(k.astype(np.int16), size)
+            self.whole = self.ids.astype(U64) << WORD | self.packed.astype(U64)
 
-    def ahead(self, ids: np.ndarray, id_bits: int):
-        """Of ids to come (lane x time), up to the next refresh: kind, bits,
-        start and size, each time x lane."""
-        places = np.full(ids.shape, -1, np.int64)
-        table = np.full((min(GROUP_LANES, len(ids)), self.vocabulary), -1, np.int32)
+    def ahead(self, ids: np.ndarray) -> np.ndarray:
+        """Start and size, packed, of ids to come (lane x time); 0: a new one."""
+        found = _apart(*ids.shape)
+        table = np.zeros(min(GROUP_LANES, len(ids)) * self.vocabulary, np.int32)
         for a in range(0, len(ids) if len(self.ids) else 0, GROUP_LANES):
             b = min(a + GROUP_LANES, len(ids))
             i, j = self.first[a], self.first[b] if b < len(ids) else len(self.ids)
-            at = np.repeat(np.arange(b - a), self.known[a:b]) * self.vocabulary + self.ids[i:j]
-            table.reshape(-1)[at] = np.arange(i, j)
-            places[a:b] = table.reshape(-1).take(np.arange(b - a)[:, None] * self.vocabulary + ids[a:b])
-            table.reshape(-1)[at] = -1
-        known = places >= 0
-        packed = self.packed.take(np.maximum(places, 0)) if len(self.packed) else places
-        return (np.ascontiguousarray(c.T) for c in (
-            3 - known, np.where(known, SLOT_BITS, id_bits).astype(U64),
-            np.where(known, packed >> 16, ids).astype(U64), np.where(known, packed & 0xFFFF, 1).astype(U64)))
-
-
-def _shares(counts: np.ndarray, total: np.ndarray):
-    """Ends of the first three of four shares of ``1 << MIX_BITS``."""
-    rate = ((1 << MIX_BITS) - 4) / total
-    a = (counts[:, 0] * rate).astype(np.int64) + 1
-    b = (counts[:, 1] * rate).astype(np.int64) + a + 1
-    return a, b, (counts[:, 2] * rate).astype(np.int64) + b + 1
-
-
-def _run(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, words: np.ndarray | None):
-    """Code (``ids`` given) or decode (``words`` given) lanes of equal or
-    descending ``lengths`` in step."""
-    lanes, longest = len(lengths), int(lengths.max(initial=0))
-    decoding = words is not None
-    id_bits = max(16, int(vocabulary - 1).bit_length())
-    coder, order0 = _Coder(lanes, 1 << MIX_BITS + id_bits, words), _Order0(lanes, vocabulary)
-    by_time = np.zeros((longest, lanes), np.int32) if decoding else np.ascontiguousarray(ids.T)
-    guess = [np.zeros(lanes * CONTEXTS, np.int32) for _ in range(2)]      # id << 2 | confidence
-    mix = np.ones((lanes * 32, 4), np.int32)
-    of_context, of_mix, every = np.arange(lanes) * CONTEXTS, np.arange(lanes) * 32, np.arange(lanes)
-    p1 = np.zeros(lanes, np.int64)
-    p2 = np.zeros(lanes, np.int64)
-    stops = sorted(t for t in _refresh_at(longest) if t < longest) + [longest]
-    since = 0
-    for t in range(longest):
-        if t == since or t == stops[0]:
-            if t:
-                order0.refresh(_padded(by_time, lengths, t), decoding)
-                since = t
-                stops.pop(0)
-            if not decoding:
-                kinds, bits, starts, sizes = order0.ahead(ids[:, t:stops[0]], id_bits)
-        n = int(np.searchsorted(-lengths, -t, side="left")) if lengths[-1] <= t else lanes   # lanes longer than t
-        a1, a2 = p1[:n], p2[:n]
-        h1 = of_context[:n] + ((a1 * 40503 >> 2) & (CONTEXTS - 1))
-        h2 = of_context[:n] + ((a1 * 26039 + a2 * 48271 >> 3) & (CONTEXTS - 1))
-        e2, e1 = guess[1].take(h2), guess[0].take(h1)
-        g2, g1 = e2 >> 2, e1 >> 2
-        c2, c1 = e2 & 3, e1 & 3
-        context = of_mix[:n] + (c2 * 8 + c1 * 2 + (g2 == g1))
-        counts = mix.take(context, axis=0)
-        total = counts[:, 0] + counts[:, 1] + counts[:, 2] + counts[:, 3]
-        ends = np.empty((5, n), np.int64)
-        ends[0], ends[4] = 0, 1 << MIX_BITS
-        ends[1], ends[2], ends[3] = _shares(counts, total)
+            of_lane = np.arange(b - a) * self.vocabulary
+            at = np.repeat(of_lane, self.known[a:b]) + self.ids[i:j]
+            table[at] = self.packed[i:j]
+            found[a:b] = table.take(of_lane[:, None] + ids[a:b])
+            table[at] = 0
+        return found
+
+
+class _Model:
+    """Contexts and mixing shares of all lanes."""
+
+    def __init__(self, lanes: int):
+        self.guess = np.zeros(2 * lanes * CONTEXTS, np.int32)      # of order 1, then order 2: id << 2 | confidence
+        self.mix = np.full(lanes * 32, EVEN)
+        self.of_context = np.arange(lanes) * CONTEXTS + np.array([[0], [lanes * CONTEXTS]])
+        self.of_mix = np.arange(lanes) * 32
+
+    def propose(self, h: np.ndarray, n: int):
+        """Both contexts' entries, the confidences, the mixing context, its ends."""
+        entry = self.guess.take(h)
+        sure = entry & 3
+        context = sure[1] << 2
+        context |= sure[0]
+        context <<= 1
+        context |= (entry[0] ^ entry[1]).view(np.uint32) < 4
+        context = self.of_mix[:n] + context
+        return entry, sure, context, self.mix.take(context)
+
+    def learn(self, h, entry, sure, context, ends, kind, right, x4, rate) -> None:
+        """Of ids ``x4 >> 2`` of the kinds ``kind``; ``right``: which proposals were."""
+        shift, mask, added = rate
+        moved = ends >> shift
+        moved &= mask
+        np.subtract(ends, moved, out=moved)
+        moved += added.take(kind)
+        self.mix[context] = moved
+        missed = entry - 1
+        np.copyto(missed, x4, where=sure < 2)
+        self.guess[h] = np.where(right, entry + (sure < 3), missed)
+
+
+def _spans(lengths: np.ndarray):
+    """(from, to, lanes longer than from) of ids coded without a change of
+    frequencies, rate or lanes; ``lengths`` descend."""
+    longest = int(lengths.max(initial=0))
+    cuts = {0, longest, *range(0, longest, STEPS), *lengths.tolist(), *(t for t in _refresh_at(longest) if t < longest)}
+    cuts = sorted(cuts)
+    return [(a, b, int(np.searchsorted(-lengths, -a, side="left"))) for a, b in zip(cuts, cuts[1:])]
+
+
+def _encode(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> list[bytes]:
+    """Code lanes (lane x time) of descending ``lengths`` in step."""
+    lanes, longest = ids.shape
+    id_bits = _id_bits(vocabulary)
+    coder, order0, model = _Coder(lanes, np.zeros((lanes, longest + 2), np.uint32)), _Order0(lanes, vocabulary), _Model(lanes)
+    refresh = _refresh_at(longest)
+    bits_of = np.array([0, 0, SLOT_BITS, id_bits], U64)
+    stops = sorted(t for t in refresh if t < longest) + [longest]
+    since, packed = 0, _apart(lanes, min(stops[0], longest))
+    for a, b, n in _spans(lengths):
+        if a in refresh:
+            order0.refresh(ids[:, :a], False)
+            since, stop = a, stops[stops.index(a) + 1]
+            packed = order0.ahead(ids[:, a:stop])
+        rate = RATE[a >= RATES[1][0]]
+        x = np.zeros((b - a + 2, n), np.int32)                # with the two ids before
+        x[max(0, 2 - a):] = ids[:n, max(0, a - 2):b].T
+        found = np.ascontiguousarray(packed[:n, a - since:b - since].T)
+        h = np.empty((b - a, 2, n), np.int64)
+        np.add(x[1:-1] * 40503 >> 2 & CONTEXTS - 1, model.of_context[0, :n], out=h[:, 0])
+        np.add(x[1:-1] * 26039 + x[:-2] * 48271 >> 3 & CONTEXTS - 1, model.of_context[1, :n], out=h[:, 1])
+        x = x[2:]
+        kind, x4, shares = 3 - (found > 0).astype(np.int64), x << 2, np.empty((b - a, n), U64)
+        found = np.where(found > 0, found, x.astype(np.int64) << SIZE_BITS | 1).view(U64)
+        for t in range(b - a):
+            entry, sure, context, ends = model.propose(h[t], n)
+            right = (entry ^ x4[t]).view(np.uint32) < 4
+            np.copyto(kind[t], 1, where=right[0])
+            np.copyto(kind[t], 0, where=right[1])
+            shares[t] = ends
+            model.learn(h[t], entry, sure, context, ends, kind[t], right, x4[t], rate)
+        place = (kind << 4).view(U64)
+        mix_size = shares >> place & FIELD
+        mix_start = (shares << U64(16)) >> place & FIELD
+        mix_size -= mix_start
+        bits = bits_of.take(kind)
+        np.copyto(found, 1, where=kind < 2)
+        start, size = found >> U64(SIZE_BITS), found & U64((1 << SIZE_BITS) - 1)
         low, rng = coder.low[:n], coder.range[:n]
-        step = rng >> U64(MIX_BITS)
-        if decoding:
-            edge = ends.view(U64)
-            ahead = coder.code[:n] - low
-            kind = (ahead >= step * edge[1]).astype(np.int64) + (ahead >= step * edge[2]) + (ahead >= step * edge[3])
-        else:
-            x = by_time[t, :n]
-            kind = np.where(x == g2, 0, np.where(x == g1, 1, kinds[t - since, :n]))
-        at = kind * n + every[:n]
-        start = ends.reshape(-1).take(at)
-        size = ends.reshape(-1).take(at + n) - start
-        low += step * start.view(U64)
-        np.multiply(step, size.view(U64), out=rng)
-        if decoding:
-            x = np.where(kind == 0, g2, g1).astype(np.int64)
-            for which, width in ((2, SLOT_BITS), (3, id_bits)):
-                lane = np.flatnonzero(kind == which)
-                if not len(lane):
-                    continue
-                step, base = rng.take(lane) >> U64(width), low.take(lane)
-                where = np.minimum((coder.code.take(lane) - base) // step, U64((1 << width) - 1)).view(np.int64)
-                if which == 3:
-                    x[lane] = where
-                    low[lane], rng[lane] = base + step * where.view(U64), step
-                else:
-                    k = order0.slot.take(lane * SLOTS + where).astype(np.int64)
-                    k += order0.first.take(lane)
-                    x[lane] = order0.ids.take(k)
-                    packed = order0.packed.take(k).view(U64)
-                    low[lane], rng[lane] = base + step * (packed >> U64(16)), step * (packed & U64(0xFFFF))
-            by_time[t, :n] = x
-        else:
-            row, lane = t - since, np.flatnonzero(kind >= 2)
-            step = rng.take(lane) >> bits[row].take(lane)
-            low[lane] += step * starts[row].take(lane)
-            rng[lane] = step * sizes[row].take(lane)
-        coder.settle(n)
-        mix.reshape(-1)[context * 4 + kind] += 24
-        full = np.flatnonzero(total > 6000)
-        if len(full):
-            mix[context[full]] = (mix[context[full]] + 1) >> 1
-        for table, h, e, g, c in ((guess[0], h1, e1, g1, c1), (guess[1], h2, e2, g2, c2)):
-            table[h] = np.where(g == x, e + (c < 3), np.where(c > 1, e - 1, x << 2))
-        p2[:n] = p1[:n]
-        p1[:n] = x
-    return np.ascontiguousarray(by_time.T) if decoding else coder.finish()
-
-
-def _padded(by_time: np.ndarray, lengths: np.ndarray, t: int) -> np.ndarray:
-    """The first ``t`` ids, lane x time; of a lane that has ended, what no longer matters."""
-    part = np.ascontiguousarray(by_time[:t].T, np.int32)
-    for lane in np.flatnonzero(lengths < t):
-        part[lane, int(lengths[lane]):] = 0
-    return part
+        for t in range(b - a):
+            step = rng >> U64(MIX_BITS)
+            low += step * mix_start[t]
+            step *= mix_size[t]
+            step >>= bits[t]
+            low += step * start[t]
+            np.multiply(step, size[t], out=rng)
+            coder.settle(n, False)
+    return coder.finish()
+
+
+def _decode(words: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Ids (lane x time) of lanes of descending ``lengths``."""
+    lanes, longest = len(lengths), int(lengths.max(initial=0))
+    id_bits = _id_bits(vocabulary)
+    coder, order0, model = _Coder(lanes, words), _Order0(lanes, vocabulary), _Model(lanes)
+    coder.start_reading()
+    refresh = _refresh_at(longest)
+    ids = _apart(lanes, longest)
+    h, before = model.of_context.copy(), np.zeros(lanes, np.int32)
+    of_slot, bits_of = np.arange(lanes) * SLOTS, np.array([0, 0, SLOT_BITS, id_bits], U64)
+    fields = np.array([[0], [16], [32]], U64)
+    for a, b, n in _spans(lengths):
+        if a in refresh:
+            order0.refresh(ids[:, :a], True)
+        rate = RATE[a >= RATES[1][0]]
+        low, rng, code, h, before = coder.low[:n], coder.range[:n], coder.code[:n], np.ascontiguousarray(h[:, :n]), before[:n]
+        context1, context2 = model.of_context[0, :n], model.of_context[1, :n]
+        got = np.empty((b - a, n), np.int32)
+        for t in range(b - a):
+            entry, sure, context, ends = model.propose(h, n)
+            step = rng >> U64(MIX_BITS)
+            at = code - low
+            past = at >= step * (ends >> fields & FIELD)
+            kind = past[0].astype(np.int64)
+            kind += past[1]
+            kind += past[2]
+            place = (kind << 4).view(U64)
+            start = (ends << U64(16)) >> place & FIELD
+            size = ends >> place & FIELD
+            size -= start
+            start *= step
+            low += start
+            at -= start
+            np.multiply(step, size, out=rng)
+            x = entry[0] >> 2
+            np.copyto(x, entry[1] >> 2, where=kind == 0)
+            lane = (kind > 1).nonzero()[0]
+            which = kind.take(lane)
+            step = rng.take(lane) >> bits_of.take(which)
+            start = at.take(lane) // step
+            size, one = np.ones(len(lane), U64), start.astype(np.int32)
+            seen = (which == 2).nonzero()[0]
+            if len(seen):
+                of = lane.take(seen)
+                k = order0.slot.take(of_slot.take(of) + start.take(seen).view(np.int64)) + order0.first.take(of)
+                whole = order0.whole.take(k)
+                one[seen] = whole >> WORD
+                start[seen] = (whole & DIGIT) >> U64(SIZE_BITS)
+                size[seen] = whole & U64((1 << SIZE_BITS) - 1)
+            x[lane] = one
+            rng[lane] = step * size
+            start *= step
+            low[lane] += start
+            coder.settle(n, True)
+            x4 = x << 2
+            model.learn(h, entry, sure, context, ends, kind, (entry ^ x4).view(np.uint32) < 4, x4, rate)
+            np.add(x * 40503 >> 2 & CONTEXTS - 1, context1, out=h[0])
+            np.add(x * 26039 + before >> 3 & CONTEXTS - 1, context2, out=h[1])
+            before = x * 48271
+            got[t] = x
+        ids[:n, a:b] = got.T
+    return ids
+
+
+RATE = [_rate(shift) for _, shift in RATES]
+
+
+def _id_bits(vocabulary: int) -> int:
+    bits = max(16, int(vocabulary - 1).bit_length())
+    if bits > MAX_ID_BITS:
+        raise ValueError(f"a vocabulary of {vocabulary} ids takes more than {MAX_ID_BITS} bits")
+    return bits
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     """Blocks (header and payload) of a run of at most ``LANES * BLOCK`` ids."""
     starts = range(0, len(ids), BLOCK)
     lengths = np.array([min(BLOCK, len(ids) - s) for s in starts], np.int64)
-    table = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int32)
+    table = _apart(len(lengths), int(lengths.max(initial=0)))
     for row, s, n in zip(table, starts, lengths):
         row[:n] = ids[s:s + n]
-    payloads = _run(lengths, vocabulary, table, None)
+    payloads = _encode(table, lengths, vocabulary)
     return [HEADER.pack(int(n), len(p), zlib.crc32(row[:n].astype("<u4").tobytes())) + p
             for row, n, p in zip(table, lengths, payloads)]
 
@@ -258,12 +337,12 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]], vocabulary: int) -> np.n
         return np.zeros(0, "<u4")
     order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
     lengths = np.array([blocks[i][0] for i in order], np.int64)
-    words = np.zeros((len(blocks), max(len(blocks[i][2]) // 2 for i in order) + 8), np.uint16)
+    words = np.zeros((len(blocks), int(lengths.max(initial=0)) + 2), np.uint32)     # an id takes in one word at most
     for row, i in zip(words, order):
-        w = np.frombuffer(blocks[i][2], "<u2")
+        w = np.frombuffer(blocks[i][2], "<u4", min(len(row), len(blocks[i][2]) // 4))
         row[:len(w)] = w
     try:
-        table = _run(lengths, vocabulary, None, words)
+        table = _decode(words, lengths, vocabulary)
     except IndexError as e:
         raise ValueError("a damaged block") from e
     out: list = [None] * len(blocks)

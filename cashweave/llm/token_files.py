@@ -30,7 +30,7 @@ from cashweave.llm import range_coder as rc
 from cashweave.llm.common import list_files, scratch_dir, shared_fs, shuffle_partitions, stored
 from cashweave.llm.token_ids import default_tokenizer, encoder
 
-MAGIC = b"CWIDS2\n\0"
+MAGIC = b"CWIDS3\n\0"
 TAIL = "<QQI"                       # footer's place, its length, vocabulary
 DOCUMENT = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("n", "<u8")])
 GROUP = rc.LANES * rc.BLOCK
@@ -72,6 +72,15 @@ def _file_row(part: int, name: str, n_docs: int, n_ids: int) -> pa.RecordBatch:
         ["part", "file", "n_docs", "n_ids"])
 
 
+def _with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids with the end id put in, so that it stands at ``ends``."""
+    out = np.full(len(ids) + len(ends), end_id, np.result_type(ids.dtype, np.min_scalar_type(end_id)))
+    others = np.ones(len(out), bool)
+    others[ends] = False
+    out[others] = ids
+    return out
+
+
 def write_coded(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, folder: str | None = None) -> DataFrame:
     """Write coded files; one row per file: ``part, file, n_docs, n_ids``."""
     path, where = tokenizer or default_tokenizer(), folder or scratch_dir(docs.sparkSession, "coded-ids")
@@ -84,7 +93,7 @@ def write_coded(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
             while n_held >= GROUP or (all_of_it and n_held):
                 ids = np.concatenate(held)
                 part, rest = ids[:GROUP], ids[GROUP:]
-                for block in rc.encode_blocks(part.astype(np.int64), vocabulary):
+                for block in rc.encode_blocks(part, vocabulary):
                     out.stream.write(block)
                 held, n_held = ([rest], len(rest)) if len(rest) else ([], 0)
 
@@ -94,20 +103,27 @@ def write_coded(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
                 vocabulary = max(enc.tok.get_vocab_size(with_added_tokens=True), end_id + 1)
                 out = _File(where, f"part-{TaskContext.get().partitionId():05d}.ids")
                 out.stream.write(MAGIC)
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(enc.encode(text).astype(np.uint32), np.uint32(end_id))
-                index.append((doc_id is None, doc_id or 0, len(ids)))
+            rows = np.zeros(b.num_rows, DOCUMENT)
+            rows["null"] = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            rows["doc_id"] = b.column(0).fill_null(0).to_numpy()
+            at = 0
+            for ids, counts in enc.encode_rows(b.column(1)):
+                ends = np.cumsum(counts + 1)
+                rows["n"][at:at + len(counts)] = counts + 1
+                at += len(counts)
+                ids = _with_ends(ids, ends - 1, end_id)
                 held.append(ids)
                 n_held += len(ids)
                 n_ids += len(ids)
                 flush(False)
+            index.append(rows)
         if out is None:
             return
         flush(True)
         place = out.stream.tell()
-        footer = zlib.compress(np.array(index, DOCUMENT).tobytes(), 1)
+        footer = zlib.compress(np.concatenate(index).tobytes(), 1)
         out.stream.write(footer + struct.pack(TAIL, place, len(footer), vocabulary))
-        yield _file_row(TaskContext.get().partitionId(), out.done(), len(index), n_ids)
+        yield _file_row(TaskContext.get().partitionId(), out.done(), sum(map(len, index)), n_ids)
 
     return _write(docs, where, task)
 

@@ -8,6 +8,7 @@ import zlib
 
 import brute
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -429,6 +430,74 @@ def test_lanes_of_unlike_ids_round_trip(monkeypatch):
     assert len(blocks[0]) < 100 and len(blocks[2]) < rc.BLOCK
 
 
+def test_an_id_puts_out_one_word_at_most():
+    """Also with the widest ids, all of them new; more are refused."""
+    from cashweave.llm import range_coder as rc
+
+    top = 1 << rc.MAX_ID_BITS
+    ids = np.random.default_rng(2).permutation(top)[:rc.BLOCK + 700]
+    blocks = rc.encode_blocks(ids, top)
+    cut = [(*rc.HEADER.unpack(b[:12])[::2], b[12:]) for b in blocks]
+    assert np.array_equal(rc.decode_blocks(cut, top), ids)
+    assert all(len(data) <= 4 * (n + 2) for n, _, data in cut)
+    with pytest.raises(ValueError):
+        rc.encode_blocks(ids, top + 1)
+
+
+def test_shares_of_the_coding_range_stay_apart():
+    """Whatever kinds come, every kind keeps a share that leaves room for the widest id."""
+    from cashweave.llm import range_coder as rc
+
+    rng = np.random.default_rng(3)
+    for p in ([1, 0, 0, 0], [0, 0, 0, 1], [0, .5, .5, 0], [.97, .01, .01, .01]):
+        model = rc._Model(1)
+        h = model.of_context[:, 0]
+        for k, kind in enumerate(rng.choice(4, 1500, p=p)):
+            ends = model.mix[:1].copy()
+            model.learn(h[:, None], np.zeros((2, 1), np.int32), np.zeros((2, 1), np.int32), np.array([0]), ends,
+                        np.array([kind]), np.zeros((2, 1), bool), np.zeros(1, np.int32), rc.RATE[k >= 512])
+            at = [0, *(int(model.mix[0]) >> 16 * j & 0xFFFF for j in range(4))]
+            assert at[4] == 1 << rc.MIX_BITS and min(np.diff(at)) >= 15
+
+
+def test_rows_encode_as_the_library_does(monkeypatch):
+    from cashweave.llm import token_ids
+
+    rng = random.Random(11)
+    alphabet = list("abcXYZ '\"!?.,;0123\t\n\n  \r\u00a0éÉßÿµ×÷İſK中あ😀\u0301\ufeff") + ["'s", "'LL", "the ", "<|endoftext|"]
+    texts = [None, "", " ", "\n\n", "x" * 100 + " " + "x" * 100, "it's IT'S a <|endoftext|> b", "'", None]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += [prose(rng, rng.randint(0, 80)) + "." for _ in range(100)]
+    for path in (default_tokenizer(), public_tokenizers.path("byte_bpe_50k.json")):
+        enc = Encoder(path)
+        want = [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for size, words in ((1, 5), (300, 50), (12_000_000, 300_000)):
+            monkeypatch.setattr(token_ids, "ROWS_BYTES", size)
+            monkeypatch.setattr(token_ids, "CACHE_WORDS", words)
+            ids, counts = map(np.concatenate, zip(*enc.encode_rows(pa.array(texts))))
+            assert counts.tolist() == [len(w) for w in want]
+            assert ids.tolist() == [i for w in want for i in w]
+            assert len(enc.recent) <= words + 1 or not enc.by_word
+        assert list(enc.encode_rows(pa.array([], pa.string()))) == []
+
+
+def test_files_are_written_from_distinct_words(monkeypatch):
+    """A word is cut once, however often it stands in a slice, and pieces
+    met again outlast a cache that overflows."""
+    from cashweave.llm import token_ids
+
+    enc = Encoder(default_tokenizer())
+    spelled, words = [], []
+    cut, of_words = enc._spelled, enc._words
+    monkeypatch.setattr(enc, "_spelled", lambda p: spelled.append(p) or cut(p))
+    monkeypatch.setattr(enc, "_words", lambda w: words.append(len(w)) or of_words(w))
+    monkeypatch.setattr(token_ids, "CACHE_WORDS", 6)
+    for k in range(8):
+        list(enc.encode_rows(pa.array(["the river the House, the\nriver"] * 50 + [f"w{'abcdefgh'[k]}x w{'abcdefgh'[k]}y"])))
+    assert words == [5] * 8
+    assert spelled.count("the") == spelled.count("river") == spelled.count("house") == 1
+
+
 def test_a_task_reads_one_file(spark):
     files = spark.createDataFrame([(k, f"file {k}") for k in range(40)], "part int, file string")
     assert [len(part) for part in token_files.one_a_task(files).rdd.glom().collect()] == [1] * 40
