@@ -255,13 +255,13 @@ def _decode(words: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarr
     ids = _apart(lanes, longest)
     h, before = model.of_context.copy(), np.zeros(lanes, np.int32)
     of_slot, bits_of = np.arange(lanes) * SLOTS, np.array([0, 0, SLOT_BITS, id_bits], U64)
-    fields = np.array([[0], [16], [32]], U64)
+    fields, hashed, shifted = np.array([[0], [16], [32]], U64), np.array([[40503], [26039]], np.int32), np.array([[2], [3]], np.int32)
     for a, b, n in _spans(lengths):
         if a in refresh:
             order0.refresh(ids[:, :a], True)
         rate = RATE[a >= RATES[1][0]]
         low, rng, code, h, before = coder.low[:n], coder.range[:n], coder.code[:n], np.ascontiguousarray(h[:, :n]), before[:n]
-        context1, context2 = model.of_context[0, :n], model.of_context[1, :n]
+        of_context = np.ascontiguousarray(model.of_context[:, :n])
         got = np.empty((b - a, n), np.int32)
         for t in range(b - a):
             entry, sure, context, ends = model.propose(h, n)
@@ -279,8 +279,8 @@ def _decode(words: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarr
             low += start
             at -= start
             np.multiply(step, size, out=rng)
-            x = entry[0] >> 2
-            np.copyto(x, entry[1] >> 2, where=kind == 0)
+            x = np.where(kind == 0, entry[1], entry[0])
+            x >>= 2
             lane = (kind > 1).nonzero()[0]
             which = kind.take(lane)
             step = rng.take(lane) >> bits_of.take(which)
@@ -301,8 +301,11 @@ def _decode(words: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarr
             coder.settle(n, True)
             x4 = x << 2
             model.learn(h, entry, sure, context, ends, kind, (entry ^ x4).view(np.uint32) < 4, x4, rate)
-            np.add(x * 40503 >> 2 & CONTEXTS - 1, context1, out=h[0])
-            np.add(x * 26039 + before >> 3 & CONTEXTS - 1, context2, out=h[1])
+            mixed = x * hashed
+            mixed[1] += before
+            mixed >>= shifted
+            mixed &= CONTEXTS - 1
+            np.add(mixed, of_context, out=h)
             before = x * 48271
             got[t] = x
         ids[:n, a:b] = got.T
