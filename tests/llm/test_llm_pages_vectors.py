@@ -180,6 +180,30 @@ def test_top_k_leaves_out_what_takes_no_part(spark):
     assert _search(spark, []) == {} and _search(spark, [(0, [1.0])]) == {}
 
 
+def test_top_k_meets_blocks_without_the_driver(spark):
+    """Blocks of queries were copied to every shard and broadcast for it."""
+    rng = np.random.default_rng(5)
+    vs = vectors(spark, [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (600, 6)))])
+    found = topk_search.top_k(vs, vs.filter("vec_id % 100 = 0"), shard=20, query_block=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and "values" not in plan
+    assert found.count() == 60
+
+
+def test_nra_with_scores_known_from_other_shards():
+    rng = np.random.default_rng(6)
+    for n, scale in ((300, 9), (300, 1 << 40), (8, 9)):
+        values, queries = rng.integers(-scale, scale, (n, 5)), rng.integers(-scale, scale, (12, 5))
+        values[:40] = values[0]
+        ids, order = np.arange(n), np.argsort(values, axis=0, kind="stable").astype(np.int32)
+        q_ids = np.arange(-12, 0)
+        whole = {(q, i): s for q, i, s in topk_search.nra(q_ids, queries, ids, values, order)}
+        known = [sorted(s for (q, _), s in whole.items() if q == query)[-3] if query % 2 else None for query in q_ids]
+        some = {(q, i): s for q, i, s in topk_search.nra(q_ids, queries, ids, values, order, few=0, known=known)}
+        assert some.items() <= whole.items()
+        assert all((q, i) in some for (q, i), s in whole.items() if known[q + 12] is None or s >= known[q + 12])
+
+
 def test_top_k_of_large_numbers_stays_exact(spark):
     rows = [(0, [2.0e6, 1.0])] + [(k, [2.0e6, float(k)]) for k in range(1, 40)]
     got = _search(spark, rows)[0]
