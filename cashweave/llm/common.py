@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashweave.session import ensure_checkpoint_dir
+from cashweave.session import list_files, scratch_dir, shared_fs  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def scratch_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name below the shared folder named by ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -79,21 +72,3 @@ def doc_key(doc_id="doc_id", text="text"):
 
 def doc_no(doc_id="doc_id"):
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(0))
-
-
-def shared_fs(uri: str):
-    """(filesystem, path) of a URI, usable from tasks; plain paths are local."""
-    from pyarrow import fs
-
-    if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri[len("file:"):])
-    return fs.LocalFileSystem(), os.path.abspath(uri)
-
-
-def list_files(uri: str, suffix: str = "") -> list[str]:
-    """Sorted paths (within their filesystem) of the files below ``uri``."""
-    from pyarrow import fs
-
-    system, path = shared_fs(uri)
-    infos = system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
-    return sorted(i.path for i in infos if i.is_file and i.path.endswith(suffix))

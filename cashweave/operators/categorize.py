@@ -10,7 +10,7 @@ Python rounds floats (``py_round``). No match:
 A lexicon given as a list is configuration: it becomes column expressions, so
 the whole categorizer is one narrow projection with no shuffle, no join and no
 Python worker. A lexicon given as a table, or a list too long for generated
-code, is joined through a q-gram index (``lexicon_index``), with equal results.
+code, is scanned for through a stored index (``lexicon_index``), with equal results.
 """
 
 from __future__ import annotations
