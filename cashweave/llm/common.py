@@ -7,22 +7,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashweave.session import list_files, scratch_dir, shared_fs  # noqa: F401
+from cashweave.session import list_files, scratch_dir, shared_fs, stored  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks of the current
-    stage, never the work that led to the table.
-    """
-    path = scratch_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def arrow_records(spark: SparkSession, rows: int):
     """Tasks that start in here hand Python at most ``rows`` rows at a time;

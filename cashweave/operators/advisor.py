@@ -32,6 +32,7 @@ from cashweave.operators import forecast as fc
 from cashweave.operators.accounts import with_account
 from cashweave.operators.notes import DEFAULT_K, search_notes
 from cashweave.schema import GENERAL_INTENT
+from cashweave.session import stored
 
 DEFAULT_WINDOW_DAYS = 30
 RUNWAY_HORIZON = 180
@@ -147,7 +148,8 @@ def answer_questions(questions: DataFrame, txns: DataFrame | None, notes: DataFr
     questions = with_account(questions)
     q = parse_questions(questions)
 
-    facts = ledger_facts(txns) if facts is None else with_account(facts)
+    # Stored, as the figures use different columns of them and each would read and categorize the ledger.
+    facts = stored(ledger_facts(txns), "ledger-facts") if facts is None else with_account(facts)
     daily = facts.groupBy("account_id", "date").agg(F.sum("net").alias("net"))
     stats = fc.stats_from_daily(daily)
     acct_win, cat_win = window_from_facts(facts, window_days)
@@ -159,15 +161,13 @@ def answer_questions(questions: DataFrame, txns: DataFrame | None, notes: DataFr
         found = search_notes(notes, asked.select("question_id", "question"), k=k if retrieve else 1, dim=dim, embed=embed)
         hits = found if retrieve else None
         # min_by, as a filter on the rank would make another search of it
-        best = F.min_by(F.struct("id", "text", "metadata"), "rank")
-        top = found.groupBy("question_id").agg(best.alias("n")).select(
-            "question_id", F.col("n.id").alias("note_id"), F.col("n.text").alias("note_text"),
-            F.coalesce(F.element_at("n.metadata", F.lit("type")), F.lit("note")).alias("note_type"))
+        best = F.min_by(F.struct("seq", "id"), "rank")
+        top = found.groupBy("question_id").agg(best.alias("n")).select("question_id", "n.seq", F.col("n.id").alias("note_id"))
 
     j = q.join(stats, "account_id", "left").join(acct_win, "account_id", "left") \
         .join(cat_win.withColumnRenamed("category", "asked_category"), ["account_id", "asked_category"], "left")
     if top is not None:
-        j = j.join(top, "question_id", "left")
+        j = _with_note_texts(j.join(top, "question_id", "left"), notes)
     else:
         j = j.withColumn("note_id", F.lit(None).cast("string")).withColumn("note_text", F.lit(None).cast("string")) \
             .withColumn("note_type", F.lit(None).cast("string"))
@@ -261,6 +261,19 @@ def answer_questions(questions: DataFrame, txns: DataFrame | None, notes: DataFr
     return answers, hits
 
 
+def _with_note_texts(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """Text and type of the best note (``seq, note_id``) where a general
+    question asks for it; other rows don't carry texts about, and are dealt by
+    themselves, as they have no note to meet."""
+    general = F.col("intent") == GENERAL_INTENT
+    n = notes.select(F.col("seq").alias("_seq"), F.col("id").alias("_id"), F.col("text").alias("note_text"),
+                     F.coalesce(F.element_at("metadata", F.lit("type")), F.lit("note")).alias("note_type"))
+    met = rows.withColumn("_asks", F.when(general & F.col("note_id").isNotNull(), F.col("note_id"))
+                          .otherwise(F.concat(F.lit("none "), F.coalesce(F.col("question_id").cast("string"), F.lit("")))))
+    same = (F.col("_asks") == F.col("_id")) & (F.col("seq") == F.col("_seq")) & general
+    return met.join(n, same, "left").drop("_asks", "seq", "_seq", "_id")
+
+
 def answer_citations(answers: DataFrame, sets: DataFrame, first_n: int | None = None) -> DataFrame:
     """One row per (question, cited id), in input order.
 

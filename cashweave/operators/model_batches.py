@@ -166,12 +166,17 @@ REWRITE_PROMPT = (
 )
 
 
-def rewrite_context(answers: DataFrame, hits: DataFrame | None) -> DataFrame:
+def rewrite_context(answers: DataFrame, hits: DataFrame | None, notes: DataFrame | None = None) -> DataFrame:
     """(question_id, prompt): question, draft answer and the masked retrieved
-    notes, one "- [id] text" line each, "(none)" without notes (O21)."""
-    if hits is not None:
-        lines = hits.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct(
-            "rank", F.concat(F.lit("- ["), F.col("id"), F.lit("] "), mask_pii("text")).alias("line")))).alias("_l"))
+    notes, one "- [id] text" line each, "(none)" without notes (O21).
+
+    With the ``notes`` that were searched, each note found is masked once and
+    each list of notes written once, however many questions have them; hits
+    then bring their (``rank, seq, id``) only, and no texts."""
+    if hits is not None and notes is not None:
+        a, ctx = _with_contexts(answers, hits, notes), F.coalesce("_ctx", F.lit("(none)"))
+    elif hits is not None:
+        lines = hits.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", _line().alias("line")))).alias("_l"))
         a = answers.join(lines, "question_id", "left")
         ctx = F.when(F.size(F.coalesce("_l", F.array())) > 0,
                      F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).otherwise(F.lit("(none)"))
@@ -180,3 +185,20 @@ def rewrite_context(answers: DataFrame, hits: DataFrame | None) -> DataFrame:
     prompt = F.concat(F.lit(REWRITE_PROMPT), F.lit("Question: "), F.col("question"), F.lit("\nDraft: "),
                       F.col("answer"), F.lit("\nContext notes:\n"), ctx, F.lit("\n\nRewritten answer:"))
     return a.select("question_id", prompt.alias("prompt"))
+
+
+def _line() -> Column:
+    return F.concat(F.lit("- ["), F.col("id"), F.lit("] "), mask_pii("text"))
+
+
+def _with_contexts(answers: DataFrame, hits: DataFrame, notes: DataFrame) -> DataFrame:
+    """``answers`` with ``_ctx``, the lines of their notes; null without notes."""
+    lists = hits.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "seq", "id"))).alias("_l"))
+    listed = lists.select("_l").distinct().select("_l", F.posexplode("_l").alias("pos", "hit")) \
+        .select("_l", "pos", F.col("hit.seq").alias("seq"), F.col("hit.id").alias("id"))
+    found = listed.select(F.col("seq").alias("_seq"), F.col("id").alias("_id")).distinct()
+    masked = notes.join(found, (F.col("seq") == F.col("_seq")) & (F.col("id") == F.col("_id"))) \
+        .select("_seq", "_id", _line().alias("line")).dropDuplicates(["_seq", "_id"])
+    written = listed.join(masked, (F.col("seq") == F.col("_seq")) & (F.col("id") == F.col("_id"))).groupBy("_l").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("_ctx"))
+    return answers.join(lists, "question_id", "left").join(written, "_l", "left")

@@ -9,8 +9,10 @@ sides are dealt into blocks, and every pair of blocks meets in one run of rows,
 the notes first and the questions after them. A task holds the notes of one
 meeting and a batch of questions, however many there are of either, and keeps
 the k best notes of each question. A final ``row_number() <= k`` per question
-merges them. Questions of equal vectors have equal hits and are scored once.
-Nothing passes through the driver but two counts. Vectors of different widths,
+merges them. Questions of equal texts are embedded once, and those of equal
+vectors, which have equal hits, are scored once.
+The vectors asked for and their best notes are stored in the shared folder, so
+hits may be used often for one search. Nothing passes through the driver but two counts. Vectors of different widths,
 and vectors that are null, zero or not finite, score 0, which is no hit; notes
 without a ``seq`` take no part.
 """
@@ -29,7 +31,7 @@ from cashweave.functions.embeddings import with_embedding
 from cashweave.functions.hashing import stable_note_id
 from cashweave.functions.text import py_strip
 from cashweave.schema import DEFAULT_EMBED_DIM
-from cashweave.session import ship_package
+from cashweave.session import ship_package, stored
 
 DEFAULT_K = 4
 QUESTION_BLOCK = 65_536
@@ -239,11 +241,12 @@ def _meet(k: int):
 
 
 def _grid(items: DataFrame, item: str, item_vector: str, queries: DataFrame, query: str, query_vector: str, k: int,
-          item_block: int, query_block: int) -> DataFrame:
-    """``question_id, seq, score, rank`` of the k best items of each query."""
+          item_block: int, query_block: int, questions: DataFrame | None = None) -> DataFrame:
+    """``question_id, seq, score, rank`` of the k best items of each query, or
+    of each of the ``questions`` (question_id, <query>) that ask one."""
     left = _as_vectors(items, item, item_vector).where(F.col("key").isNotNull())
     vec = F.unhex(F.md5(F.to_json(F.struct("width", "idx", "val"))))
-    asked = _as_vectors(queries, query, query_vector).withColumn("vec", vec)
+    asked = stored(_as_vectors(queries, query, query_vector).withColumn("vec", vec), "asked-vectors")
     right = asked.select("vec", "width", "idx", "val", "norm").dropDuplicates(["vec"])
     n_items, n_queries = (max(1, -(-rows // size)) for rows, size in
                           ((items.select(item).count(), item_block), (asked.select("vec").distinct().count(), query_block)))
@@ -263,11 +266,13 @@ def _grid(items: DataFrame, item: str, item_vector: str, queries: DataFrame, que
     found = met.mapInArrow(_meet(k), "vec binary, seq long, score double")
     best_first = [F.col("score").desc(), F.col("seq").asc()]
     of_vector = Window.partitionBy("vec").orderBy(*best_first)
-    top = found.withColumn("rank", F.row_number().over(of_vector)).where(F.col("rank") <= k).drop("rank")
-    # Null-safe, as a test for null would be pushed below the embedding and have it computed again.
+    # Stored, as each use of the hits would embed and search again.
+    top = stored(found.withColumn("rank", F.row_number().over(of_vector)).where(F.col("rank") <= k).drop("rank"), "best-notes")
     # Ids may repeat, with other texts.
-    hits = asked.select(F.col("key").alias("question_id"), F.col("vec").alias("_vec")) \
-        .join(top, F.col("_vec").eqNullSafe(F.col("vec"))).drop("vec", "_vec")
+    hits = asked.select(F.col("key").alias("question_id" if questions is None else query), F.col("vec").alias("_vec")) \
+        .join(top, F.col("_vec") == F.col("vec")).drop("vec", "_vec")
+    if questions is not None:
+        hits = questions.join(hits, query).drop(query)
     of_question = Window.partitionBy("question_id").orderBy(*best_first)
     return hits.withColumn("rank", F.row_number().over(of_question).cast("int")).where(F.col("rank") <= k)
 
@@ -282,9 +287,10 @@ def search_notes(notes: DataFrame, questions: DataFrame, k: int = DEFAULT_K,
     made with (H2). Returns (question_id, rank, id, text, metadata, score) for
     hits with score > 0, best first, ties to the older note.
     """
-    asked = (embed or _hashing(dim))(questions.select(F.col("question_id").cast("long").alias("question_id"),
-                                                      F.col(question_text).alias("_qt")), "_qt", "qemb")
-    top = _grid(notes, "seq", "embedding", asked, "question_id", "qemb", k, note_block, question_block)
+    asked = questions.select(F.col("question_id").cast("long").alias("question_id"), F.col(question_text).alias("_qt"))
+    # Stored, as filters on the vectors would be pushed below the distinct, and embed each question.
+    texts = (embed or _hashing(dim))(stored(asked.select("_qt").distinct(), "asked-texts"), "_qt", "qemb")
+    top = _grid(notes, "seq", "embedding", texts, "_qt", "qemb", k, note_block, question_block, questions=asked)
     return notes.select("seq", "id", "text", "metadata").join(top, "seq") \
         .select("question_id", "rank", "id", "text", "metadata", "score", "seq")
 

@@ -1291,7 +1291,7 @@ FROM a LEFT JOIN ctx ON ctx.question_id = a.question_id
 def q_model_rewrite_context(spark, sf_dir):
     from cashweave.operators.model_batches import rewrite_context
     answers, hits = _answers(spark, sf_dir)
-    return rewrite_context(answers, hits)
+    return rewrite_context(answers, hits, document_notes(spark, sf_dir))
 
 
 @register("transaction_records", f"""

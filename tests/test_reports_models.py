@@ -89,3 +89,45 @@ def test_equal_rows_of_several_ledgers_stay_apart(spark):
     assert len(got) == 4 and got[0].__fields__ == t.columns
     assert sorted((r.account_id, r.raw_hash, r.ref or "", r.category) for r in got) == [
         (1, "h1", "", "Travel"), (2, "h1", "", "Rent"), (2, "h1", "r2", "Uncategorized"), (2, "h3", "r3", "Uncategorized")]
+
+
+def test_rewrite_contexts_are_written_once_per_list_of_notes(spark):
+    """Every hit carried its text and was masked anew."""
+    from pyspark.sql import functions as F
+    from cashweave.operators.model_batches import rewrite_context
+    from cashweave.operators.notes import prepare_notes, search_notes, upsert_notes
+    batch = spark.createDataFrame([("Call 555-123-4567 about marketing goals",), ("Marketing goals for autumn: mail a@b.example",),
+                                   ("Repairs of the van",)], "text string")
+    notes = upsert_notes(None, prepare_notes(batch, dim=64)[0])
+    asked = [(i, ["marketing goals?", "van repairs", "QQ", None][i % 4]) for i in range(40)] + [(1, "marketing goals?"), (None, "van repairs")]
+    questions = spark.createDataFrame(asked, "question_id long, question string")
+    answers = questions.select("question_id", "question", F.lit("It is so.").alias("answer"))
+    hits = search_notes(notes, questions, k=2, dim=64)
+    got = rewrite_context(answers, hits, notes)
+    prompts = sorted(map(tuple, got.collect()), key=str)
+    assert prompts == sorted(map(tuple, rewrite_context(answers, hits).collect()), key=str) and len(prompts) == 42
+    text = dict(p for p in prompts if p[0] is not None)
+    assert "[PHONE]" in text[4] and "[EMAIL]" in text[4] and text[4].count("\n- [") == 2 and "\n(none)\n" in text[2]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    masking = [line for line in plan.splitlines() if "PHONE" in line]
+    assert masking and not any("question_id" in line or "rank" in line for line in masking)
+
+
+def test_questions_of_one_text_are_embedded_once(spark):
+    from pyspark.sql import functions as F
+    from cashweave.operators.notes import prepare_notes, search_notes, upsert_notes
+    seen = spark.sparkContext.accumulator(0)
+
+    def vector(text):
+        seen.add(1)
+        return [float(len(text or "")), 1.0]
+
+    def embed(df, text, out):
+        return df.withColumn(out, F.udf(vector, "array<double>")(text))
+
+    notes = upsert_notes(None, prepare_notes(spark.createDataFrame([("a note",)], "text string"), embed=embed)[0]).localCheckpoint()
+    seen.value = 0
+    questions = spark.createDataFrame([(i, "one text") for i in range(50)], "question_id long, question string")
+    hits = search_notes(notes, questions, k=2, embed=embed)
+    assert hits.count() == 50 and hits.where("rank = 1").count() == 50
+    assert 1 <= seen.value <= 5         # not for each question, nor for each use of the hits
