@@ -158,7 +158,7 @@ def answer_questions(questions: DataFrame, txns: DataFrame | None, notes: DataFr
     top = None
     if notes is not None:
         asked = questions if retrieve else q.where(F.col("intent") == GENERAL_INTENT)
-        found = search_notes(notes, asked.select("question_id", "question"), k=k if retrieve else 1, dim=dim, embed=embed)
+        found = search_notes(notes, asked.select("question_id", "question"), k=k if retrieve else 1, dim=dim, embed=embed, keep=True)
         hits = found if retrieve else None
         # min_by, as a filter on the rank would make another search of it
         best = F.min_by(F.struct("seq", "id"), "rank")
